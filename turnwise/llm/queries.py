@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from turnwise.llm import bpe, decontaminate
+from turnwise.llm import bpe, decontaminate, langid, quality
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op3_quality": quality.op3_quality,
+    "op6_langid": langid.op6_langid,
 }
 
 ORACLE_SQL = {

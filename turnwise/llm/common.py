@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Python works on slices of an Arrow batch of about this many text bytes, so
 #: that the numpy arrays (8 or more bytes for each text byte) stay small.
 SLICE_BYTES = 2_000_000
+_WRITTEN: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,14 +30,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage replaced by files in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
+    """``df`` computed once and read back from a table in the shared folder.
+
+    The table stays for the life of the application, since later stages may
+    read it again when an executor is lost; ``sweep`` removes all of them.
+    """
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/turnwise-{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes the tables that ``cut`` has written, once their results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:

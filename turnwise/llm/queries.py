@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from turnwise.llm import bpe, decontaminate, langid, quality
+from turnwise.llm import bpe, decontaminate, langid, neardup, quality
 
 QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op7_bpe": bpe.op7_bpe,
+    "op4_neardup": neardup.op4_neardup,
     "op3_quality": quality.op3_quality,
     "op6_langid": langid.op6_langid,
 }
 
 ORACLE_SQL = {
+    "op4_neardup": neardup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from turnwise.llm import bpe, decontaminate, langid, neardup, quality
+from turnwise.llm import bpe, decontaminate, langid, neardup, quality, repeats
 
 QUERIES = {
+    "op2_repeats": repeats.op2_repeats,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op7_bpe": bpe.op7_bpe,
     "op4_neardup": neardup.op4_neardup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_repeats": repeats.SQL,
     "op4_neardup": neardup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }

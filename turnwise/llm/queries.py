@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from turnwise.llm import bpe, decontaminate, langid, neardup, quality, repeats
+from turnwise.llm import ann, bpe, chat, decontaminate, langid, neardup, quality, repeats
 
 QUERIES = {
+    "op8_chat": chat.op8_chat,
+    "op9_neighbours": ann.op9_neighbours,
     "op2_repeats": repeats.op2_repeats,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op7_bpe": bpe.op7_bpe,
@@ -14,6 +16,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_chat": chat.SQL,
+    "op9_neighbours": ann.SQL,
     "op2_repeats": repeats.SQL,
     "op4_neardup": neardup.SQL,
     "op10_decontaminate": decontaminate.SQL,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from turnwise.llm import ann, bpe, chat, decontaminate, langid, neardup, quality, repeats
+from turnwise.llm import ann, bpe, chat, decontaminate, langid, neardup, pii, quality, repeats, urlfilter
 
 QUERIES = {
+    "op1_urls": urlfilter.op1_urls,
+    "op5_pii": pii.op5_pii,
     "op8_chat": chat.op8_chat,
     "op9_neighbours": ann.op9_neighbours,
     "op2_repeats": repeats.op2_repeats,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_urls": urlfilter.SQL,
     "op8_chat": chat.SQL,
     "op9_neighbours": ann.SQL,
     "op2_repeats": repeats.SQL,

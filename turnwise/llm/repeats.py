@@ -13,7 +13,10 @@ thinned without loss:
    bucket of anchors, and gets one byte for each back: the anchor is unique;
    all its contexts are equal and the first is here, or elsewhere; or it has
    several contexts. The first three settle whole runs.
-2. Starts of runs with several contexts are the candidate suffixes. Each block
+2. Runs with several contexts are asked again in parts of ``_PART`` starts, by
+   the bytes that all strings of a part have in common (93 of 100). What is near
+   an edit is unique by then, what is far from it is settled.
+3. The strings of the parts that are left are the candidate suffixes. Each block
    sorts them by ``suffix_order``: a stable mergesort on eight bytes at a time,
    whose ties skip their common extension, found by binary search over prefix
    polynomial hashes, so that comparing two suffixes takes a logarithmic number
@@ -24,7 +27,7 @@ thinned without loss:
 
 What a bucket gets of one anchor or string is one entry for each block,
 however often it occurs, so that no passage makes a task hot. The text is
-shuffled once (by block) and that exchange is reused by the three passes.
+shuffled once (by block) and that exchange is reused by the four passes.
 
 Defined results: null counts as the empty text; texts under ``LENGTH`` bytes lose
 nothing; rows that share id and text are one document and get equal rows; rows
@@ -46,7 +49,7 @@ from turnwise.llm.common import utf8
 from turnwise.llm.shingles import mix, prefix_hash, range_hash
 from turnwise.session import table
 
-LENGTH, _GRAM = 100, 32
+LENGTH, _GRAM, _PART = 100, 32, 8
 _SECOND_BASE = 0xC2B2AE3D27D4EB4F
 _SLICE = 1 << 20
 _LOW24 = np.uint64((1 << 24) - 1)
@@ -143,7 +146,7 @@ class Slice:
         self.data, self.off, self.doc, self.base = data, off, doc, base
         self.total, self.down = prefix_hash(data)
         n = len(data)
-        self.first = self.count = np.zeros(0, np.int64)
+        self.first = self.count = self.at = np.zeros(0, np.int64)
         self.anchor = self.context = np.zeros(0, np.uint64)
         self.piece = np.zeros(0, np.int64)
         if n < LENGTH:
@@ -152,32 +155,50 @@ class Slice:
         # leftmost minimum: 40 bits of hash, then the position
         ranked = sliding_min((gram & ~_LOW24) | np.arange(len(gram), dtype=np.uint64), LENGTH - _GRAM + 1)
         at = (ranked & _LOW24).astype(np.int64)
-        windows = np.arange(len(at))
-        piece = np.searchsorted(off, windows, side="right") - 1
-        inside = windows + LENGTH <= off[piece + 1]
-        new = inside.copy()
-        new[1:] &= (at[1:] != at[:-1]) | (piece[1:] != piece[:-1]) | ~inside[:-1]
-        stop = inside.copy()
-        stop[:-1] &= (at[1:] != at[:-1]) | (piece[1:] != piece[:-1]) | ~inside[1:]
-        self.first = np.flatnonzero(new)
-        last = np.flatnonzero(stop)
-        self.count = last - self.first + 1
-        self.piece = piece[self.first]
-        a = at[self.first]
-        self.anchor = gram[a]
-        self.context = mix(range_hash(self.total, self.down, self.first, last + LENGTH) + mix(((a - self.first) * 256 + self.count).astype(np.uint64)))
+        # the starts of whole strings, document by document, and where runs begin
+        number = np.maximum(np.diff(off) - LENGTH + 1, 0)
+        shift = off[:-1] - (np.cumsum(number) - number)
+        starts = np.arange(int(number.sum())) + np.repeat(shift, number)
+        if not len(starts):
+            return
+        at = at[starts]
+        new = np.empty(len(at), bool)
+        new[0] = True
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        new[(np.cumsum(number) - number)[number > 0]] = True
+        head = np.flatnonzero(new)
+        self.first = starts[head]
+        self.count = np.diff(np.append(head, len(at)))
+        self.piece = np.searchsorted(off, self.first, side="right") - 1
+        self.at = at[head]
+        self.anchor = gram[self.at]
+        self.context = self.contexts(self.first, self.count, self.at)
+
+    def contexts(self, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of all bytes of consecutive strings and of where their anchor lies."""
+        return mix(range_hash(self.total, self.down, first, first + count + LENGTH - 1) + mix(((at - first) * 256 + count).astype(np.uint64)))
+
+    def split(self, runs: np.ndarray):
+        """Runs in parts of up to ``_PART`` starts: (first, count, piece, core hash, context).
+
+        Parts are aligned to the anchor. All strings of a part hold its core, so
+        that a string that also occurs elsewhere has its core there as well.
+        """
+        first, at, piece = self.first[runs], self.at[runs], self.piece[runs]
+        last = first + self.count[runs] - 1
+        high = (at - first) // _PART
+        n = high - (at - last) // _PART + 1
+        j = np.repeat(high, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        first, last, at, piece = (np.repeat(x, n) for x in (first, last, at, piece))
+        f, t = np.maximum(first, at - _PART * j - _PART + 1), np.minimum(last, at - _PART * j)
+        core = at - _PART * j
+        key = mix(range_hash(self.total, self.down, core, core + LENGTH - _PART + 1) + mix(j.astype(np.uint64)))
+        return f, t - f + 1, piece, key, self.contexts(f, t - f + 1, at)
 
     def places(self, start: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row in the block, byte position in the document)."""
         return self.doc[piece], start - self.off[piece] + self.base[piece]
 
-    def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All starts of the given runs and their pieces."""
-        c = self.count[runs]
-        inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        return np.repeat(self.first[runs], c) + inner, np.repeat(self.piece[runs], c)
-
-
 class Block:
     """The distinct documents of a block, in one fixed order."""
 
@@ -196,8 +217,9 @@ class Block:
                 self.texts.append(t)
                 self.copies.append(1)
         self.key = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
+        self.slices = list(self._cut())
 
-    def slices(self):
+    def _cut(self):
         pieces, size = [], 0
         for d, t in enumerate(self.texts):
             for a in range(0, max(1, len(t) - LENGTH + 1), _SLICE):
@@ -253,28 +275,64 @@ def _rows(kind: str, to: list[int], block: list[int], blob: list[bytes]) -> pa.T
 _SPEC = "kind string, to long, src long, blob binary"
 
 
-def _anchors(block: Block):
-    """All runs of a block, and its distinct anchors."""
-    parts = []
-    for s in block.slices():
-        row, pos = s.places(s.first, s.piece)
-        parts.append((s.anchor, s.context, row, pos))
-    a, c, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order, first = _firsts((a,), row, pos)
+def _distinct(block: Block, parts: list[tuple[np.ndarray, ...]]):
+    """Entries of distinct keys; the entry of each part; whether a part is its first.
+
+    ``parts``: (key, context, row, position) of each slice, in the order of the block.
+    """
+    key, context, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    order = np.argsort(key, kind="stable")  # parts are in order of row and position
+    ordered = key[order]
+    change = np.ones(len(order), bool)
+    change[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(change)
     own = np.zeros(len(first), _ANCHOR)
     lead = order[first]
-    own["a"], own["c"], own["id"], own["pos"] = a[lead], c[lead], block.key[row[lead]], pos[lead]
+    own["a"], own["c"], own["id"], own["pos"] = key[lead], context[lead], block.key[row[lead]], pos[lead]
     n = np.diff(np.append(first, len(order)))
     if len(first):
-        several = np.maximum.reduceat(c[order], first) != np.minimum.reduceat(c[order], first)
+        several = np.maximum.reduceat(context[order], first) != np.minimum.reduceat(context[order], first)
         own["flag"] = (n > 1) + 2 * several
     which = np.empty(len(order), np.int64)
-    which[order] = np.repeat(np.arange(len(first)), n)  # distinct anchor of each run
+    which[order] = np.repeat(np.arange(len(first)), n)
     is_first = np.zeros(len(order), bool)
     is_first[lead] = True
     return own, which, is_first
 
 
+def _runs(block: Block):
+    return _distinct(block, [(s.anchor, s.context, *s.places(s.first, s.piece)) for s in block.slices])
+
+
+class Parts:
+    """The parts of the runs with several contexts, by slice."""
+
+    def __init__(self, block: Block, several: np.ndarray) -> None:
+        self.of, at, parts = [], 0, []
+        for s in block.slices:
+            first, count, piece, key, context = s.split(np.flatnonzero(several[at : at + len(s.first)]))
+            at += len(s.first)
+            self.of.append((s, first, count, piece))
+            parts.append((key, context, *s.places(first, piece)))
+        self.distinct = _distinct(block, parts)
+
+
+def _statuses(distinct, replies: pa.Table, kind: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(has several contexts, is a repeat) of each part, from the answers of the buckets."""
+    own, which, is_first = distinct
+    status = np.zeros(len(own), np.uint8)
+    got = _blobs(replies, kind)
+    for k, i in _deal(own, "a", buckets):
+        status[i] = np.frombuffer(got[k], np.uint8)
+    each = status[which]
+    return each == 3, (each == 2) | ((each == 1) & ~is_first)
+
+
+def _blobs(replies: pa.Table, kind: str) -> dict[int, bytes]:
+    own = replies.filter(pc.equal(replies.column("kind"), kind))
+    return dict(zip(own.column("src").to_pylist(), own.column("blob").to_pylist(), strict=True))
+
+
 def _deal(x: np.ndarray, key: str, buckets: int):
     """(bucket, positions) of packed entries, in a fixed order."""
     b = (x[key] >> np.uint64(8)) % np.uint64(buckets)
@@ -284,167 +342,181 @@ def _deal(x: np.ndarray, key: str, buckets: int):
 
 
 def _merge(rows: pa.Table, dtype: np.dtype, names: tuple[str, ...]):
+    """Entries of all blocks in order of key, id, block and place; where they came from."""
     blobs = [_unpacked(b, dtype) for b in rows.column("blob").to_pylist()]
     src = np.array(rows.column("src").to_pylist(), np.int64)
+    lengths = [len(b) for b in blobs]
     all_ = np.concatenate(blobs) if blobs else np.zeros(0, dtype)
-    owner = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
-    order = np.lexsort((all_["pos"], src[owner], all_["id"], *[all_[n] for n in names[::-1]]))
+    order = np.lexsort((all_["pos"], np.repeat(src, lengths), all_["id"], *[all_[n] for n in names[::-1]]))
     s = all_[order]
     change = np.zeros(len(order), bool)
     change[:1] = True
     for n in names:
         change[1:] |= s[n][1:] != s[n][:-1]
-    return s, order, np.flatnonzero(change), owner, src, [len(b) for b in blobs]
+    return s, order, np.flatnonzero(change), src, lengths
+
+
+def _suffixes(block: Block, parts: Parts, several: np.ndarray):
+    """Strings of the parts with several contexts: distinct ones, and all places.
+
+    Returns entries of distinct strings; the entry of each place; (rows,
+    positions); whether a place is the first of its string in the block.
+    """
+    at, sets, members, seen = 0, [], [], 0
+    for s, first, count, piece in parts.of:
+        own = np.flatnonzero(several[at : at + len(first)])
+        at += len(first)
+        if not len(own):
+            continue
+        c = count[own]
+        start = np.repeat(first[own], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        order, group = suffix_order(s.data, start, LENGTH, s.total, s.down, byte_keys(s.data))
+        second, down = prefix_hash(s.data, _SECOND_BASE)
+        row, pos = s.places(start, np.repeat(piece[own], c))
+        order = order[np.lexsort((pos[order], row[order], group))]  # the first place of each set leads
+        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        lead = start[order[head]]
+        found = np.zeros(len(head), _STRING)
+        found["h"] = mix(range_hash(s.total, s.down, lead, lead + LENGTH))
+        found["g"] = mix(range_hash(second, down, lead, lead + LENGTH))
+        found["id"], found["pos"] = row[order[head]], pos[order[head]]
+        leads = np.zeros(len(order), bool)
+        leads[head] = True
+        members.append((seen + group, row[order], pos[order], leads))
+        sets.append(found)
+        seen += len(found)
+    if not sets:
+        return np.zeros(0, _STRING), np.zeros(0, np.int64), np.zeros((2, 0), np.int64), np.zeros(0, bool)
+    all_ = np.concatenate(sets)
+    which, row, pos, leads = (np.concatenate(x) for x in zip(*members, strict=True))
+    order, first = _firsts((all_["h"], all_["g"]), all_["id"], all_["pos"])
+    to = np.empty(len(order), np.int64)
+    to[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    one = np.zeros(len(order), bool)
+    one[order[first]] = True
+    own = all_[order[first]]
+    own["id"] = block.key[own["id"]]
+    return own, to[which], np.stack([row, pos]), leads & one[which]
+
+
+def _removed(block: Block, replies: pa.Table, buckets: int) -> list[np.ndarray]:
+    """For each document +1 and -1 where removed strings begin and end."""
+    edge = [np.zeros(len(t) + 1, np.int32) for t in block.texts]
+
+    def mark(row: np.ndarray, pos: np.ndarray, count: np.ndarray) -> None:
+        if not len(row):
+            return
+        by = np.argsort(row, kind="stable")
+        row, pos, count = row[by], pos[by], count[by]
+        cuts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        for a, b in zip(cuts, [*cuts[1:], len(row)], strict=True):
+            np.add.at(edge[row[a]], pos[a:b], 1)
+            np.add.at(edge[row[a]], pos[a:b] + count[a:b] - 1 + LENGTH, -1)
+
+    several, gone = _statuses(_runs(block), replies, "runs!", buckets)
+    parts, at = Parts(block, several), 0
+    for s in block.slices:
+        own = np.flatnonzero(gone[at : at + len(s.first)])
+        at += len(s.first)
+        mark(*s.places(s.first[own], s.piece[own]), s.count[own])
+    several, gone = _statuses(parts.distinct, replies, "parts!", buckets)
+    at = 0
+    for s, first, count, piece in parts.of:
+        own = np.flatnonzero(gone[at : at + len(first)])
+        at += len(first)
+        mark(*s.places(first[own], piece[own]), count[own])
+    own, which, place, leads = _suffixes(block, parts, several)
+    late, got = np.zeros(len(own), bool), _blobs(replies, "strings!")
+    for k, i in _deal(own, "h", buckets):
+        late[i] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=len(i)).astype(bool)
+    row, pos = place[:, late[which] | ~leads]
+    mark(row, pos, np.ones(len(row), np.int64))
+    return edge
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, starts and ends of the maximal removed runs, kept (binary)."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    room = block_bytes or min(max(4 << 20, size // 512), 64 << 20)
+    room = block_bytes or min(max(4 << 20, size // 512), 32 << 20)
     blocks = max(1, math.ceil(size / room))
     placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
-    def ask(rows: pa.Table) -> pa.Table:
-        own, _, _ = _anchors(Block(rows))
-        here = rows.column("block")[0].as_py()
-        dealt = _deal(own, "a", blocks)
-        return _rows("a", [k for k, _ in dealt], [here] * len(dealt), [_packed(own[i]) for _, i in dealt])
+    def sent(kind: str, own: np.ndarray, key: str, here: int) -> pa.Table:
+        dealt = _deal(own, key, blocks)
+        return _rows(kind, [k for k, _ in dealt], [here] * len(dealt), [_packed(own[i]) for _, i in dealt])
+
+    def passed_on(replies: pa.Table, here: int) -> pa.Table:
+        """Answers that the block needs again in a later pass."""
+        return replies.select(["kind", "block", "src", "blob"]).rename_columns(["kind", "to", "src", "blob"])
+
+    def ask_runs(rows: pa.Table) -> pa.Table:
+        return sent("runs", _runs(Block(rows))[0], "a", rows.column("block")[0].as_py())
+
+    def ask_parts(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _rows("parts", [], [], [])
+        block, here = Block(rows), rows.column("block")[0].as_py()
+        several, _ = _statuses(_runs(block), replies, "runs!", blocks)
+        return pa.concat_tables([sent("parts", Parts(block, several).distinct[0], "a", here), passed_on(replies, here)])
+
+    def ask_strings(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _rows("strings", [], [], [])
+        block, here = Block(rows), rows.column("block")[0].as_py()
+        parts = Parts(block, _statuses(_runs(block), replies, "runs!", blocks)[0])
+        several, _ = _statuses(parts.distinct, replies, "parts!", blocks)
+        return pa.concat_tables([sent("strings", _suffixes(block, parts, several)[0], "h", here), passed_on(replies, here)])
 
     def answer(rows: pa.Table) -> pa.Table:
-        """1: first of equal contexts, 2: not the first, 3: several contexts, 0: unique."""
-        s, order, first, owner, src, lengths = _merge(rows, _ANCHOR, ("a",))
+        """For runs and parts: 1 first of equal contexts, 2 not the first, 3 several contexts, 0 unique.
+
+        For strings one bit: there is an earlier one in another block. Answers on their way pass.
+        """
+        kind, here = rows.column("kind")[0].as_py(), rows.column("to")[0].as_py()
+        if kind.endswith("!"):
+            return rows.select(["kind", "to", "src", "blob"])
+        one = kind == "strings"
+        s, order, first, src, lengths = _merge(rows, _STRING, ("h", "g")) if one else _merge(rows, _ANCHOR, ("a",))
         n = np.diff(np.append(first, len(s)))
+        lead = np.zeros(len(s), bool)
+        lead[first] = True
         out = np.zeros(len(s), np.uint8)
-        if len(s):
-            several = (np.maximum.reduceat(s["c"], first) != np.minimum.reduceat(s["c"], first)) | (np.maximum.reduceat(s["flag"], first) >= 2)
-            more = (n > 1) | (np.maximum.reduceat(s["flag"], first) >= 1)
-            lead = np.zeros(len(s), bool)
-            lead[first] = True
-            each = np.repeat(np.where(several, 3, np.where(more, 2, 0)), n)
+        if one:
+            out[order] = ~lead
+        elif len(s):
+            flag = np.maximum.reduceat(s["flag"], first)
+            several = (np.maximum.reduceat(s["c"], first) != np.minimum.reduceat(s["c"], first)) | (flag >= 2)
+            each = np.repeat(np.where(several, 3, np.where((n > 1) | (flag >= 1), 2, 0)), n)
             out[order] = np.where(lead & (each == 2), 1, each)
         ends = np.cumsum(lengths)
-        here = rows.column("to")[0].as_py()
-        return _rows("b", src.tolist(), [here] * len(src), [out[e - k : e].tobytes() for e, k in zip(ends, lengths, strict=True)])
-
-    def settled(block: Block, replies: pa.Table):
-        own, which, is_first = _anchors(block)
-        status = np.zeros(len(own), np.uint8)
-        got = dict(zip(replies.column("src").to_pylist(), replies.column("blob").to_pylist(), strict=True))
-        for k, i in _deal(own, "a", blocks):
-            status[i] = np.frombuffer(got[k], np.uint8)
-        each = status[which]
-        return each == 3, (each == 2) | ((each == 1) & ~is_first)
-
-    def suffixes(block: Block, several: np.ndarray):
-        """Equal strings of each slice: the first of each set, by its hashes; and all members."""
-        at, sets, members = 0, [], []
-        for s in block.slices():
-            runs = np.flatnonzero(several[at : at + len(s.first)])
-            at += len(s.first)
-            if not len(runs):
-                continue
-            start, piece = s.strings(runs)
-            order, group = suffix_order(s.data, start, LENGTH, s.total, s.down, byte_keys(s.data))
-            second, down = prefix_hash(s.data, _SECOND_BASE)
-            row, pos = s.places(start, piece)
-            back = np.lexsort((pos[order], row[order], group))  # the first place of each set leads
-            order = order[back]
-            head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            lead = start[order[head]]
-            found = np.zeros(len(head), _STRING)
-            found["h"] = mix(range_hash(s.total, s.down, lead, lead + LENGTH))
-            found["g"] = mix(range_hash(second, down, lead, lead + LENGTH))
-            found["id"], found["pos"] = row[order[head]], pos[order[head]]
-            leads = np.zeros(len(order), bool)
-            leads[head] = True
-            members.append((sum(map(len, sets)) + group, row[order], pos[order], leads))
-            sets.append(found)
-        if not sets:
-            return np.zeros(0, _STRING), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        all_ = np.concatenate(sets)
-        which, row, pos, leads = (np.concatenate(x) for x in zip(*members, strict=True))
-        order, first = _firsts((all_["h"], all_["g"]), all_["id"], all_["pos"])
-        n = np.diff(np.append(first, len(order)))
-        to = np.empty(len(order), np.int64)
-        to[order] = np.repeat(np.arange(len(first)), n)
-        one = np.zeros(len(order), bool)
-        one[order[first]] = True
-        own = all_[order[first]]
-        own["id"] = block.key[own["id"]]
-        return own, to[which], np.stack([row, pos]), leads & one[which]
-
-    def compare(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _rows("s", [], [], [])
-        block, here = Block(rows), rows.column("block")[0].as_py()
-        several, _ = settled(block, replies)
-        own, _, _, _ = suffixes(block, several)
-        dealt = _deal(own, "h", blocks)
-        sent = _rows("s", [k for k, _ in dealt], [here] * len(dealt), [_packed(own[i]) for _, i in dealt])
-        kept = _rows("b", [here] * replies.num_rows, replies.column("src").to_pylist(), replies.column("blob").to_pylist())
-        return pa.concat_tables([sent, kept])
-
-    def decide(rows: pa.Table) -> pa.Table:
-        if rows.column("kind")[0].as_py() == "b":
-            return rows.select(["kind", "to", "src", "blob"])  # on their way to the last pass
-        s, order, first, owner, src, lengths = _merge(rows, _STRING, ("h", "g"))
-        out = np.ones(len(s), bool)
-        out[order[first]] = False
-        ends = np.cumsum(lengths)
-        here = rows.column("to")[0].as_py()
-        return _rows("t", src.tolist(), [here] * len(src), [np.packbits(out[e - k : e]).tobytes() for e, k in zip(ends, lengths, strict=True)])
+        cut = [out[e - k : e] for e, k in zip(ends, lengths, strict=True)]
+        return _rows(kind + "!", src.tolist(), [here] * len(src), [np.packbits(x).tobytes() if one else x.tobytes() for x in cut])
 
     def remove(key, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
-        block = Block(rows)
-        kind = replies.column("kind")
-        one = replies.filter(pc.equal(kind, "b"))
-        two = replies.filter(pc.equal(kind, "t"))
-        several, gone = settled(block, one)
-        edge = [np.zeros(len(t) + 1, np.int32) for t in block.texts]
-        at = 0
-        for s in block.slices():
-            runs = np.flatnonzero(gone[at : at + len(s.first)])
-            at += len(s.first)
-            row, pos = s.places(s.first[runs], s.piece[runs])
-            for r, p, c in zip(row.tolist(), pos.tolist(), s.count[runs].tolist(), strict=True):
-                edge[r][p] += 1
-                edge[r][p + c - 1 + LENGTH] -= 1
-        own, which, place, leads = suffixes(block, several)
-        late = np.zeros(len(own), bool)
-        got = dict(zip(two.column("src").to_pylist(), two.column("blob").to_pylist(), strict=True))
-        for k, i in _deal(own, "h", blocks):
-            late[i] = np.unpackbits(np.frombuffer(got[k], np.uint8), count=len(i)).astype(bool)
-        if len(own):
-            out = late[which] | ~leads
-            row, pos = place[:, out]
-            by = np.argsort(row, kind="stable")
-            row, pos = row[by], pos[by]
-            for r in np.unique(row):
-                p = pos[np.searchsorted(row, r) : np.searchsorted(row, r, side="right")]
-                np.add.at(edge[r], p, 1)
-                np.add.at(edge[r], p + LENGTH, -1)
         cols: dict[str, list] = {"doc_id": [], "n_bytes": [], "starts": [], "ends": [], "kept": []}
-        for i, t, e, k in zip(block.ids, block.texts, edge, block.copies, strict=True):
-            on = np.cumsum(e[:-1]) > 0
-            step = np.diff(np.concatenate(([0], on.view(np.int8), [0])))
-            kept = t[~on].tobytes()
-            for _ in range(k):
-                cols["doc_id"].append(i)
-                cols["n_bytes"].append(len(t))
-                cols["starts"].append(np.flatnonzero(step == 1).tolist())
-                cols["ends"].append(np.flatnonzero(step == -1).tolist())
-                cols["kept"].append(kept)
+        if rows.num_rows:
+            block = Block(rows)
+            edge = _removed(block, replies, blocks)
+            for i, t, e, k in zip(block.ids, block.texts, edge, block.copies, strict=True):
+                on = np.cumsum(e[:-1]) > 0
+                step = np.diff(np.concatenate(([0], on.view(np.int8), [0])))
+                out = (i, len(t), np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), t[~on].tobytes())
+                for _ in range(k):
+                    for c, v in zip(cols.values(), out, strict=True):
+                        c.append(v)
         big = pa.list_(pa.int64())
-        return pa.table([pa.array(cols["doc_id"], pa.int64()), pa.array(cols["n_bytes"], pa.int64()), pa.array(cols["starts"], big), pa.array(cols["ends"], big), pa.array(cols["kept"], pa.binary())], names=list(cols))
+        return pa.table([pa.array(v, t) for v, t in zip(cols.values(), (pa.int64(), pa.int64(), big, big, pa.binary()), strict=True)], names=list(cols))
 
     by_block = placed.groupBy("block")
-    replies = by_block.applyInArrow(ask, _SPEC).groupBy("to").applyInArrow(answer, _SPEC).withColumnRenamed("to", "block")
-    asked = by_block.cogroup(replies.groupBy("block")).applyInArrow(compare, _SPEC)
-    decided = asked.groupBy("kind", "to").applyInArrow(decide, _SPEC).withColumnRenamed("to", "block")
-    return by_block.cogroup(decided.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+
+    def answered(asked: DataFrame):
+        return asked.groupBy("kind", "to").applyInArrow(answer, _SPEC).withColumnRenamed("to", "block").groupBy("block")
+
+    runs = answered(by_block.applyInArrow(ask_runs, _SPEC))
+    parts = answered(by_block.cogroup(runs).applyInArrow(ask_parts, _SPEC))
+    strings = answered(by_block.cogroup(parts).applyInArrow(ask_strings, _SPEC))
+    return by_block.cogroup(strings).applyInArrow(remove, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,24 +52,12 @@ ENTITY = "|".join(f"(?:{x})" for x in (EMAIL, IPV4, PHONE, PHONE_PLAIN, SSN, CAR
 _QUICK = rf"@|[0-9a-fA-F]{{32}}|\d[ .\-)]?\(?\d[ .\-)]?\(?\d|\d\.\d|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
 
 
-def _hash(key: str, name: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), name, attempt.cast("string")), 256)
-
-
-def _digits(h: Column) -> Column:
-    return F.translate(h, "abcdef", "274953")
-
-
-def _word(h: Column, n: int, onsets: str, vowels: str) -> Column:
-    """``n`` syllables of consonant and vowel from a hexadecimal digest."""
-    parts = []
-    for k in range(n):
-        parts += [F.translate(F.substring(h, 2 * k + 1, 1), "0123456789abcdef", onsets), F.translate(F.substring(h, 2 * k + 2, 1), "0123456789abcdef", vowels)]
-    return F.concat(*parts)
-
-
 # Letters of the syllables (16 onsets, 16 vowels) and gender endings, by script.
 _LETTERS = {"latin": ("bdfgklmnprstvzhj", "aeiouaeioaeioaei", "o", "a"), "greek": ("βγδζκλμνπρστφχθξ", "αειουαειοαειοαει", "ος", "α"), "cyrillic": ("бвгдзклмнпрстфхж", "аеиоуаеиоаеиоаеи", "", "а")}
+_HEX = "0123456789abcdef"
+
+# The steps below are chained by ``transform`` over small arrays of structs, so that
+# each value is computed once and the expression stays small.
 
 
 def kind(raw: Column) -> Column:
@@ -80,83 +68,90 @@ def kind(raw: Column) -> Column:
     )
 
 
-def _script(raw: Column) -> Column:
-    last = F.regexp_extract(raw, r"(\p{L}+)$", 1)
-    return F.when(last.rlike(r"[Ͱ-Ͽ]"), "greek").when(last.rlike(r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin")
-
-
-def _name_parts(raw: Column) -> tuple[Column, Column, Column, Column]:
-    """title with its blank, given name (may be empty), last name, gender."""
-    title = F.regexp_extract(raw, rf"^(?:{_MALE}|{_FEMALE})\.? ", 0)
-    rest = F.split(F.substr(raw, F.length(title) + F.lit(1)), " ")
-    gender = F.when(raw.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
-    return title, F.when(F.size(rest) > 1, F.get(rest, F.lit(0))).otherwise(""), F.get(rest, F.size(rest) - 1), gender
-
-
-def names_of(raw: Column) -> Column:
-    """The entities of a match, as ``type|format|canonical form``."""
-    k = kind(raw)
-    digits = F.regexp_replace(raw, r"[^0-9]", "")
-    code = F.regexp_extract(raw, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    local = F.substr(digits, F.length(F.regexp_replace(code, "[^0-9]", "")) + F.lit(1))
-    _, given, last, gender = _name_parts(raw)
-    script = _script(raw)
-    both = F.array(F.concat_ws("|", F.lit("last"), script, F.lower(last)), F.concat_ws("|", F.lit("given"), F.concat(script, gender), F.lower(given)))
-    return (
-        F.when(k == "email", F.array(F.concat(F.lit("email||"), F.lower(raw)))).when(k == "ip", F.array(F.concat(F.lit("ip||"), raw)))
-        .when(k == "phone", F.array(F.concat_ws("|", F.lit("phone"), F.concat(code, F.lit("#"), F.length(local).cast("string")), local)))
-        .when(k == "secret", F.array(F.concat_ws("|", F.lit("secret"), F.length(raw).cast("string"), F.lower(raw))))
-        .when(k == "name", F.when(given == "", F.slice(both, 1, 1)).otherwise(both))
-        .otherwise(F.array(F.concat_ws("|", k, F.length(digits).cast("string"), digits)))
+def described(found: Column) -> Column:
+    """Matches with their kind, fixed part (country code or title), rest and names (``type|format|canonical form``)."""
+    first = F.transform(found, lambda r: F.struct(r.alias("raw"), kind(r).alias("k")))
+    fixed = F.transform(
+        first,
+        lambda x: F.struct(
+            x["raw"].alias("raw"), x["k"].alias("k"),
+            F.when(x["k"] == "name", F.regexp_extract(x["raw"], rf"^(?:{_MALE}|{_FEMALE})\.? ", 0)).when(x["k"] == "phone", F.regexp_extract(x["raw"], r"^\+\d{1,3}(?=[ .\-(])", 0)).otherwise("").alias("fixed"),
+        ),
     )
-
-
-def value_of(name: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity in canonical form (what distinctness is checked on)."""
-    parts = F.split(name, r"\|", 3)
-    t, form, canon = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    h = _hash(key, name, attempt)
-    octet = lambda i: (F.conv(F.substring(h, i, 4), 16, 10).cast("int") % 223 + 1).cast("string")
-    local = F.substring_index(canon, "@", 1)
-    letters = F.translate(h, "0123456789", "ghjkmnpqrs")
-    mail = F.concat(F.substr(letters, F.lit(1), F.greatest(F.lit(10), F.least(F.length(local), F.lit(40)))), F.lit("@example."), F.translate(F.substring(h, 60, 1), "0123456789abcdef", "0001111222012012"))
-    mail = F.regexp_replace(F.regexp_replace(F.regexp_replace(mail, "0$", "com"), "1$", "org"), "2$", "net")
-    latin, greek, cyrillic = (
-        {"last": _word(h, 3, on, vo), "givenm": F.concat(_word(h, 3, on, vo), F.substring(F.translate(F.substring(h, 9, 1), "0123456789abcdef", on), 1, 1), F.lit(m)), "givenf": F.concat(_word(h, 3, on, vo), F.substring(F.translate(F.substring(h, 9, 1), "0123456789abcdef", on), 1, 1), F.lit(f))}
-        for on, vo, m, f in (_LETTERS[x] for x in ("latin", "greek", "cyrillic"))
-    )
-    by_script = lambda what: F.when(form.startswith("greek"), greek[what]).when(form.startswith("cyrillic"), cyrillic[what]).otherwise(latin[what])
-    # the more draws a word has lost, the longer it gets
-    more = F.when(attempt > 2, _word(F.substring(h, 20, 20), 3, *_LETTERS["latin"][:2])).otherwise("")
-    return (
-        F.when(t == "email", mail).when(t == "ip", F.concat_ws(".", octet(1), octet(5), octet(9), octet(13)))
-        .when(t == "secret", F.substr(h, F.lit(1), F.length(canon))).when(t == "last", F.concat(by_script("last"), more))
-        .when(t == "given", F.concat(F.when(form.endswith("f"), by_script("givenf")).otherwise(by_script("givenm")), more))
-        .otherwise(F.substr(_digits(h), F.lit(1), F.length(canon)))
+    rest = F.transform(fixed, lambda x: F.struct(x["raw"].alias("raw"), x["k"].alias("k"), x["fixed"].alias("fixed"), F.substr(x["raw"], F.length(x["fixed"]) + F.lit(1)).alias("rest")))
+    parts = F.transform(
+        rest,
+        lambda x: F.struct(
+            x["raw"].alias("raw"), x["k"].alias("k"), x["fixed"].alias("fixed"), x["rest"].alias("rest"),
+            F.when(x["k"].isin("email", "ip", "secret"), F.lower(x["raw"])).otherwise(F.regexp_replace(x["rest"], "[^0-9]", "")).alias("canon"), F.split(F.lower(x["rest"]), " ").alias("words"),
+            F.when(x["rest"].rlike(r"[Ͱ-Ͽ]"), "greek").when(x["rest"].rlike(r"[Ѐ-ӿ]"), "cyrillic").otherwise("latin").alias("script"),
+            F.when(x["fixed"].rlike(rf"^(?:{_FEMALE})\.? $"), "f").otherwise("m").alias("gender"),
+        ),
+    )
+    return F.transform(
+        parts,
+        lambda x: F.struct(
+            x["raw"].alias("raw"), x["k"].alias("k"), x["fixed"].alias("fixed"), x["rest"].alias("rest"),
+            F.when(
+                x["k"] == "name",
+                F.transform(x["words"], lambda w, i: F.when(i == F.size(x["words"]) - 1, F.concat_ws("|", F.lit("last"), x["script"], w)).otherwise(F.concat_ws("|", F.lit("given"), F.concat(x["script"], x["gender"]), w))),
+            ).otherwise(F.array(F.concat_ws("|", x["k"], F.concat(x["fixed"], F.lit("#"), F.length(x["canon"]).cast("string")), x["canon"]))).alias("names"),
+        ),
     )
 
 
-def _lookup(attempts: Column | None, name: Column) -> Column:
-    return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, name), F.lit(0))
-
+def values_of(names: Column, attempt, key: str) -> Column:
+    """The surrogates of entities in canonical form (what distinctness is checked on).
 
-def surrogate(raw: Column, attempts: Column | None, key: str) -> Column:
-    """What stands in for a match, in its own format."""
-    k, names = kind(raw), names_of(raw)
-    first = F.get(names, F.lit(0))
-    value = value_of(first, _lookup(attempts, first), key)
-    upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
-    code = F.regexp_extract(raw, r"^\+\d{1,3}(?=[ .\-(])", 0)
-    rest = F.substr(raw, F.length(code) + F.lit(1))
-    chars = F.split(rest, "")
-    spread = F.array_join(
-        F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(value, F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), ""
-    )
-    title, given, _, _ = _name_parts(raw)
-    second = F.get(names, F.lit(1))
-    name = F.concat(title, F.when(given == "", F.lit("")).otherwise(F.concat(F.initcap(value_of(second, _lookup(attempts, second), key)), F.lit(" "))), F.initcap(value))
-    cased = F.when(upper, F.upper(value)).otherwise(value)
-    return F.when(k.isin("email", "secret"), cased).when(k == "ip", value).when(k == "name", name).otherwise(F.concat(code, spread))
+    ``attempt`` gives the number of draws an entity has lost.
+    """
+    drawn = F.transform(names, lambda n: F.struct(F.split(n, r"\|", 3).alias("p"), n.alias("n"), attempt(n).alias("a")))
+    hashed = F.transform(drawn, lambda x: F.struct(F.get(x["p"], F.lit(0)).alias("t"), F.get(x["p"], F.lit(1)).alias("form"), F.get(x["p"], F.lit(2)).alias("canon"), x["a"].alias("a"),
+                                                   F.sha2(F.concat_ws("|", F.lit(key), x["n"], x["a"].cast("string")), 256).alias("h")))
+    by_script = lambda f, i: F.when(f.startswith("greek"), _LETTERS["greek"][i]).when(f.startswith("cyrillic"), _LETTERS["cyrillic"][i]).otherwise(_LETTERS["latin"][i])
+    tr = lambda h, to: F.call_function("translate", h, F.lit(_HEX), to)
+    spelled = F.transform(hashed, lambda x: F.struct(x["t"].alias("t"), x["form"].alias("form"), x["canon"].alias("canon"), x["a"].alias("a"), x["h"].alias("h"), tr(x["h"], by_script(x["form"], 0)).alias("c"), tr(x["h"], by_script(x["form"], 1)).alias("v")))
+
+    def value(x: Column) -> Column:
+        h, n = x["h"], F.length(x["canon"])
+        # three syllables; a word that has lost draws gets longer
+        syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(2) + x["a"], F.lit(20))), lambda i: F.concat(F.substr(x["c"], 2 * i + 1, F.lit(1)), F.substr(x["v"], 2 * i + 2, F.lit(1)))), "")
+        ending = F.when(x["form"].endswith("f"), by_script(x["form"], 3)).otherwise(by_script(x["form"], 2))
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substr(h, 4 * i + 1, F.lit(4)), 16, 10).cast("int") % 223 + 1).cast("string")), ".")
+        local = F.greatest(F.lit(10), F.least(F.length(F.substring_index(x["canon"], "@", 1)), F.lit(40)))
+        domain = F.when(h.endswith("0"), "@example.org").when(h.endswith("1"), "@example.net").otherwise("@example.com")
+        return (
+            F.when(x["t"] == "email", F.concat(F.substr(F.translate(h, "0123456789", "ghjkmnpqrs"), F.lit(1), local), domain)).when(x["t"] == "ip", octets)
+            .when(x["t"] == "secret", F.substr(h, F.lit(1), n)).when(x["t"] == "last", syllables).when(x["t"] == "given", F.concat(syllables, F.substr(x["c"], F.lit(60), F.lit(1)), ending))
+            .otherwise(F.substr(F.translate(h, "abcdef", "274953"), F.lit(1), n))
+        )
+
+    return F.transform(spelled, value)
+
+
+def surrogates(found: Column, attempts: Column | None, key: str) -> Column:
+    """What stands in for each match, in its own format."""
+    attempt = (lambda n: F.lit(0)) if attempts is None else (lambda n: F.coalesce(F.try_element_at(attempts, n), F.lit(0)))
+    valued = F.transform(described(found), lambda x: F.struct(x["raw"].alias("raw"), x["k"].alias("k"), x["fixed"].alias("fixed"), x["rest"].alias("rest"), values_of(x["names"], attempt, key).alias("vs")))
+    first = F.transform(valued, lambda x: F.struct(x["raw"].alias("raw"), x["k"].alias("k"), x["fixed"].alias("fixed"), x["rest"].alias("rest"), x["vs"].alias("vs"), F.get(x["vs"], F.lit(0)).alias("v")))
+
+    def one(x: Column) -> Column:
+        upper = (x["raw"] == F.upper(x["raw"])) & (x["raw"] != F.lower(x["raw"]))
+        spread = F.array_join(
+            F.transform(F.split(x["rest"], ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(x["v"], F.length(F.regexp_replace(F.substr(x["rest"], F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), ""
+        )
+        name = F.array_join(F.transform(x["vs"], lambda w: F.initcap(w)), " ")
+        return (
+            F.when(x["k"].isin("email", "secret"), F.when(upper, F.upper(x["v"])).otherwise(x["v"])).when(x["k"] == "ip", x["v"])
+            .when(x["k"] == "name", F.concat(x["fixed"], name)).otherwise(F.concat(x["fixed"], spread))
+        )
+
+    return F.transform(first, one)
+
+
+def names_of(found: Column) -> Column:
+    """The entities of the matches of a text."""
+    return F.flatten(F.transform(described(found), lambda x: x["names"]))
 
 
 def matches(text: Column) -> Column:
@@ -165,8 +160,8 @@ def matches(text: Column) -> Column:
 
 def entities(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Every distinct entity of the corpus (``name``) and how many matches it has."""
-    found = docs.select(F.explode(F.flatten(F.transform(matches(F.col(text)), names_of))).alias("name"))
-    return found.groupBy("name").agg(F.count("*").alias("n"))
+    found = docs.select(F.explode(matches(F.col(text))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    return found.select("n", F.explode(names_of(F.array("m"))).alias("name")).groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def redraws(names: DataFrame, key: str) -> DataFrame:
@@ -177,9 +172,10 @@ def redraws(names: DataFrame, key: str) -> DataFrame:
     """
     cur = cut(names.select("name", F.lit(0).alias("attempt")), "draws")
     form = F.regexp_extract("name", r"^[^|]*\|[^|]*\|", 0)
-    real = names.select(F.col("name").alias("real"))
+    real = cur.select(F.col("name").alias("real"))
     while True:
-        drawn = cur.withColumn("drawn", F.concat(form, value_of(F.col("name"), F.col("attempt"), key)))
+        value = F.get(values_of(F.array("name"), lambda n: F.col("attempt"), key), F.lit(0))
+        drawn = cur.withColumn("drawn", F.concat(form, value))
         order = Window.partitionBy("drawn").orderBy("attempt", "name")
         ranked = drawn.withColumn("r", F.row_number().over(order)).join(real, F.col("drawn") == F.col("real"), "left")
         lost = (F.col("r") > 1) | F.col("real").isNotNull()
@@ -189,32 +185,32 @@ def redraws(names: DataFrame, key: str) -> DataFrame:
         cur = cur.select("name", "attempt")
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "turnwise") -> DataFrame:
-    """``docs`` with surrogates in ``text``; all columns and rows are kept."""
-    taken = cut(redraws(entities(docs, text=text), key), "redraws")
+def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "turnwise", count: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``; all columns and rows are kept.
+
+    ``count`` names a column to add: how many matches the text had.
+    """
+    taken = redraws(entities(docs, text=text), key)
     few = taken.limit(_LITERAL + 1).collect()
-    body = F.col(text)
+    body, hits = F.col(text), fresh(docs, "_hits")
 
     def replaced(attempts: Column | None) -> Column:
-        found = matches(body)
-        new = F.transform(found, lambda m: surrogate(m, attempts, key))
-        gaps = F.split(body, ENTITY, -1)
-        joined = F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-        return F.when(F.size(found) > 0, joined).otherwise(body)
+        joined = F.array_join(F.zip_with(F.split(body, ENTITY, -1), surrogates(F.col(hits), attempts, key), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+        return F.when(F.size(hits) > 0, joined).otherwise(body)
 
+    found = docs.withColumn(hits, matches(body))
     if len(few) <= _LITERAL:
         attempts = F.create_map(*[F.lit(x) for r in few for x in (r["name"], r["attempt"])]) if few else None
-        return docs.withColumn(text, replaced(attempts))
-    # many draws: the documents that hold such an entity get their own little map
-    row, own = fresh(docs, "_row"), fresh(docs, "_attempts")
-    marked = docs.withColumn(row, F.sha2(body, 256))
-    needs = marked.select(row, F.explode(F.array_distinct(F.flatten(F.transform(matches(body), names_of)))).alias("name")).distinct().join(taken, "name")
-    maps = needs.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(own))
-    return marked.join(maps, row, "left").withColumn(text, replaced(F.col(own))).select(*docs.columns)
+    else:  # many draws: the documents that hold such an entity get their own little map
+        row, own = fresh(docs, "_row"), fresh(docs, "_attempts")
+        found = found.withColumn(row, F.sha2(body, 256))
+        needs = found.select(row, F.explode(F.array_distinct(names_of(F.col(hits)))).alias("name")).distinct().join(taken, "name")
+        found = found.join(needs.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(own)), row, "left")
+        attempts = F.col(own)
+    out = found.withColumn(text, replaced(attempts))
+    return out.select(*docs.columns, *([F.coalesce(F.size(hits), F.lit(0)).cast("long").alias(count)] if count else []))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates: doc_id, text, n_entities (matches of the original)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.withColumn("n_entities", F.size(matches(F.coalesce("text", F.lit("")))).cast("long"))
-    return pseudonymise(counted).select("doc_id", "text", "n_entities")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")

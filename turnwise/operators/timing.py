@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
 
-_FILE = Window.partitionBy("file").orderBy("line")
-_SPEAKER = Window.partitionBy("file", "speaker").orderBy("line")
+
+def _file():
+    return Window.partitionBy("file").orderBy("line")
+
+
+def _speaker():
+    return Window.partitionBy("file", "speaker").orderBy("line")
 
 
 def timed(df: DataFrame) -> DataFrame:
@@ -23,7 +28,7 @@ def timed(df: DataFrame) -> DataFrame:
 
 def non_monotonic(df: DataFrame) -> DataFrame:
     """Adds ``stripped``: the start lies before that of an earlier row that is kept (a running maximum)."""
-    before = F.max("start_ms").over(_FILE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("start_ms").over(_file().rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("stripped", F.coalesce(F.col("start_ms") < before, F.lit(False)))
 
 
@@ -35,7 +40,7 @@ def enforce_monotonicity(df: DataFrame) -> DataFrame:
     """
     one = non_monotonic(df)
     kept = F.when(~F.col("stripped"), F.col("start_ms"))
-    following = F.first(kept, ignorenulls=True).over(_FILE.rowsBetween(1, Window.unboundedFollowing))
+    following = F.first(kept, ignorenulls=True).over(_file().rowsBetween(1, Window.unboundedFollowing))
     two = one.withColumns({"_s": kept, "_n": following})
     late = F.col("_s").isNotNull() & F.coalesce(F.col("end_ms") > F.col("_n"), F.lit(False))
     zero = late & (F.col("_n") <= F.col("_s"))
@@ -48,20 +53,20 @@ def enforce_monotonicity(df: DataFrame) -> DataFrame:
     ).withColumns({"start_ms": F.col("_b"), "end_ms": F.col("_e")}).drop("_s", "_n", "_e", "_b", "stripped")
 
 
-def same_speaker_overlaps(df: DataFrame, tolerance: int = L.SAME_SPEAKER_OVERLAP_MS) -> DataFrame:
+def same_speaker_overlaps(df: DataFrame, tolerance: int = L.SAME_speaker()_OVERLAP_MS) -> DataFrame:
     """Timed rows with ``stripped``: the speaker's next row starts more than ``tolerance`` before this one ends."""
-    return timed(df).withColumn("stripped", F.coalesce(F.col("end_ms") > F.lead("start_ms").over(_SPEAKER) + tolerance, F.lit(False)))
+    return timed(df).withColumn("stripped", F.coalesce(F.col("end_ms") > F.lead("start_ms").over(_speaker()) + tolerance, F.lit(False)))
 
 
 def gap_fills(df: DataFrame, most: int = L.FILL_GAP_MS) -> DataFrame:
     """Timed rows that start 1 to ``most`` ms after the same speaker's last end, with their ``new_start``."""
-    before = F.lag("end_ms").over(_SPEAKER)
+    before = F.lag("end_ms").over(_speaker())
     return timed(df).withColumn("new_start", before).where((F.col("start_ms") > F.col("new_start")) & (F.col("start_ms") - F.col("new_start") <= most))
 
 
 def boundary_averages(df: DataFrame, most: int = L.AVERAGE_OVERLAP_MS) -> DataFrame:
     """Timed rows that overlap the row before by up to ``most`` ms, with the ``midpoint`` (whole ms)."""
-    before = timed(df).withColumns({"prev_line": F.lag("line").over(_FILE), "prev_end": F.lag("end_ms").over(_FILE)})
+    before = timed(df).withColumns({"prev_line": F.lag("line").over(_file()), "prev_end": F.lag("end_ms").over(_file())})
     overlap = F.col("prev_end") - F.col("start_ms")
     return before.where((overlap > 0) & (overlap <= most)).withColumn("midpoint", F.col("start_ms") + F.floor(overlap / 2).cast("long"))
 
@@ -117,9 +122,9 @@ def _runs(df: DataFrame, duration: int) -> DataFrame:
     is_timed = F.col("start_ms").isNotNull()
     return df.withColumns(
         {
-            "gap_start": F.coalesce(F.last("end_ms", ignorenulls=True).over(_FILE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "gap_end": F.coalesce(F.first("start_ms", ignorenulls=True).over(_FILE.rowsBetween(1, Window.unboundedFollowing)), F.lit(duration)),
-            "run": F.sum(is_timed.cast("int")).over(_FILE.rowsBetween(Window.unboundedPreceding, 0)),
+            "gap_start": F.coalesce(F.last("end_ms", ignorenulls=True).over(_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "gap_end": F.coalesce(F.first("start_ms", ignorenulls=True).over(_file().rowsBetween(1, Window.unboundedFollowing)), F.lit(duration)),
+            "run": F.sum(is_timed.cast("int")).over(_file().rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
 
@@ -203,7 +208,7 @@ def group_for_alignment(df: DataFrame, max_ms: int, duration: int, max_chars: in
 
 def rescue_narrow(df: DataFrame) -> DataFrame:
     """Timed rows with too little time for their words; ``new_end`` reaches toward the next start."""
-    t = timed(df).withColumn("next_start", F.lead("start_ms").over(_FILE))
+    t = timed(df).withColumn("next_start", F.lead("start_ms").over(_file()))
     narrow = (F.col("n_words") > 0) & (F.col("end_ms") - F.col("start_ms") < F.col("n_words") * L.RESCUE_TRIGGER_MS)
     want = F.col("start_ms") + F.col("n_words") * L.RESCUE_TARGET_MS
     room = F.coalesce(F.col("next_start") - L.RESCUE_SAFETY_MS, want)
@@ -213,9 +218,9 @@ def rescue_narrow(df: DataFrame) -> DataFrame:
 
 def expand_edge_fillers(df: DataFrame) -> DataFrame:
     """Spans whose first or last word is a filler grow by half the gap, 1.5 s at most (needs lead_filler, trail_filler)."""
-    first = F.row_number().over(_FILE) == 1
-    before = F.when(first, F.lit(0)).otherwise(F.lag("end_ms").over(_FILE))
-    after = F.lead("start_ms").over(_FILE)
+    first = F.row_number().over(_file()) == 1
+    before = F.when(first, F.lit(0)).otherwise(F.lag("end_ms").over(_file()))
+    after = F.lead("start_ms").over(_file())
     grow = lambda gap: F.least(F.floor(gap / 2).cast("long"), F.lit(L.FILLER_EXPANSION_MS))
     s, e = F.col("start_ms"), F.col("end_ms")
     return df.withColumns(
@@ -284,7 +289,7 @@ def floor_pass(df: DataFrame) -> DataFrame:
 
 def order_violations(df: DataFrame) -> DataFrame:
     """file, violations: neighbours of one speaker whose start goes back."""
-    t = timed(df).withColumns({"ps": F.lag("speaker").over(_FILE), "pt": F.lag("start_ms").over(_FILE)})
+    t = timed(df).withColumns({"ps": F.lag("speaker").over(_file()), "pt": F.lag("start_ms").over(_file())})
     return t.groupBy("file").agg(F.count_if((F.col("ps") == F.col("speaker")) & (F.col("start_ms") < F.col("pt"))).alias("violations"))
 
 

@@ -114,7 +114,7 @@ def from_json(rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFr
 
 def inject_provenance(value: Column, fields: dict[str, str]) -> Column:
     """A comment header with key=value pairs before the first utterance."""
-    line = "@Comment:\\t[provenance] " + "; ".join(f"{k}={v}" for k, v in fields.items())
+    line = "@Comment:\t[provenance] " + "; ".join(f"{k}={v}" for k, v in fields.items())
     return F.regexp_replace(value, r"(?m)\A((?:@[^\n]*\n)*?)(?=\*|@End)", "$1" + line + "\n")
 
 

@@ -14,8 +14,8 @@ def event_stream(spark: SparkSession, path: str, schema: str, files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def job_state(events: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
-    """Latest status of each job with the number of updates; ``complete`` closes the state, idle jobs time out.
+def job_state(events: DataFrame, ttl_ms: int | None = 60_000) -> DataFrame:
+    """Latest status of each job with the number of updates; ``complete`` closes the state; idle jobs time out after ``ttl_ms`` (None: never, as a stream that is drained needs).
 
     ``events``: job_id, ts, kind (snapshot, job_update, file_update, complete, deleted).
     """
@@ -36,10 +36,11 @@ def job_state(events: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
                 state.remove()
         else:
             state.update((n, last))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [last], "updates": [n]})
 
-    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, status string, updates long", "n long, last string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, status string, updates long", "n long, last string", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

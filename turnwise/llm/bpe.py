@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import fresh
+from turnwise.llm.common import fresh, slices
 from turnwise.session import table
 
 #: Characters at a cut chunk end that a token must not reach.
@@ -82,8 +82,9 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
     def whole(batches):
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            ids = [_pack(enc.encode_ordinary(v.as_py())) for v in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, "text"):
+                ids = [_pack(enc.encode_ordinary(v.as_py())) for v in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     short = source.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids binary")
 
@@ -135,7 +136,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
                     if ids is None:
                         ids = _pack(enc._encode_single_piece(m[0]))
                         if len(m[0]) < 64:
-                            if len(cache) > 200_000:
+                            if len(cache) > 50_000:
                                 cache.clear()
                             cache[m[0]] = ids
                     parts.append(ids)
@@ -150,7 +151,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
     )
     copies = long.groupBy("row").agg(F.count("*").cast("int").alias("copies"))
     named = joined.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    good = named.where("lost = 0").select("doc_id", F.concat(F.unhex(F.lit("")), F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), ""))).alias("ids"))
+    good = named.where("lost = 0").select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), "")).alias("ids"))
     again = long.join(joined.where("lost > 0").select("row"), "row", "left_semi").select("doc_id", "text")
     return short.unionByName(good).unionByName(again.mapInArrow(whole, f"doc_id {id_type}, ids binary"))
 
@@ -164,8 +165,10 @@ def decode(coded: DataFrame, *, ids: str = "ids", ranks_path: str, pattern: str,
     def run(batches):
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            raw = [None if v is None else enc.decode_bytes(np.frombuffer(v, "<u4").tolist()) for v in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [None if not v.is_valid else enc.decode_bytes(np.frombuffer(v.as_buffer(), "<u4").tolist()) for v in part.column(ids)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
 
     return coded.mapInArrow(run, spec)
 

@@ -194,7 +194,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text
         def run(batches, shared=shared):
             index = shared.value
             for batch in batches:
-                for part in slices(batch, "text", 8_000_000):
+                for part in slices(batch, "text"):
                     yield _hits_of(part, index)
 
         passes.append(source.mapInArrow(run, schema))

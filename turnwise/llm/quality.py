@@ -89,7 +89,7 @@ class ByteNet:
             return np.full(len(off) - 1, self.constant)
         ids, first = chunks(data, off)
         n = np.diff(np.append(first, len(ids)))
-        m = np.concatenate([self.pooled(ids[i : i + 2048])[0] for i in range(0, len(ids), 2048)]) if len(ids) else np.zeros((0, FILTERS), np.float32)
+        m = np.concatenate([self.pooled(ids[i : i + 512])[0] for i in range(0, len(ids), 512)]) if len(ids) else np.zeros((0, FILTERS), np.float32)
         return self.combine(m, first, n)[2].astype(np.float64) if len(n) else np.zeros(0)
 
     def gradient(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -164,7 +164,7 @@ def score(docs: DataFrame, net: ByteNet, *, text: str = "text", out: str = "scor
         net = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for part in slices(batch, text, 1_000_000):
+            for part in slices(batch, text, 500_000):
                 found = net.score(*utf8(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, out])
 

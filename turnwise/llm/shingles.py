@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=2)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd ``base`` and of its inverse modulo 2^64, at least ``n``."""
     inv = pow(base, -1, 1 << 64)
@@ -75,7 +75,8 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
     h, first = words(data, off)
     gram = np.zeros(len(h), np.uint64)
     for k in range(size):
-        gram[: len(h) - k] = gram[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:]
+        n = max(0, len(h) - k)
+        gram[:n] = gram[:n] * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]
     gram = mix(gram + np.uint64(size))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -83,10 +84,10 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
             s = np.sort(gram[a : b - size + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.array([b - a], np.uint64)
             for k in range(a, b):
                 x = x * np.uint64(0xA0761D6478BD642F) + h[k]
-            out.append(mix(np.array([x], np.uint64)))
+            out.append(mix(x))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -105,3 +105,10 @@ def test_speaker_assignment():
 def test_trees():
     assert segmentation.clause_ranges("(S (NP (N a)) (VP (V b) (SBAR (S (N c)))))") == [(0, 2), (2, 2)]
     assert segmentation.clause_ranges("") == []
+
+
+def test_time_warp():
+    import numpy as np
+
+    assert A.time_warp(np.array([[0.0, 9], [9, 0]])) == [(0, 0), (1, 1)]
+    assert A.time_warp(np.array([[0.0, 0, 9], [9, 9, 0]])) == [(0, 0), (0, 1), (1, 2)]

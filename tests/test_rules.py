@@ -101,3 +101,29 @@ def test_plans():
     for bad in ([Stage("a", print), Stage("a", print)], [Stage("a", print, ("z",))], [Stage("a", print, ("b",)), Stage("b", print, ("a",))], [Stage("a", print, ("b",)), Stage("b", print, enabled=False)]):
         with pytest.raises(ValueError):
             Plan(bad).ordered()
+
+
+def test_audio(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from turnwise.sources import audio
+
+    x = (np.sin(np.arange(16000) / 5) * 9000).astype("<i2")
+    x[7000:8000] = 0
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(x.tobytes())
+    r = audio.recordings(spark, str(tmp_path)).first()
+    assert (r.rate, r.duration_ms, len(r.samples)) == (8000, 2000, 16000)
+    cuts = audio.quiet_cuts(np.array(r.samples), 8000, 1.0, 0.4)
+    assert cuts[0][0] == 0 and 6800 <= cuts[0][1] < 8000 and cuts[-1][1] == 16000
+
+
+def test_schemas(spark):
+    from turnwise import schemas
+
+    assert '"name":"job_id"' in schemas.exported()["jobs"]

@@ -205,9 +205,9 @@ def letters_and_digits(w: Column) -> Column:
 
 
 def bracket_annotation(refs: Column) -> Column:
-    """'(1, 2), -, 1)' for array<array<struct<chain, is_start, is_end>>>, a dash for a word without chains."""
+    """'(1, 2), -, 1)' for array<array<struct<chain_id, is_start, is_end>>>, a dash for a word without chains."""
     def one(r: Column) -> Column:
-        return F.concat(F.when(r["is_start"], "(").otherwise(""), r["chain"].cast("string"), F.when(r["is_end"], ")").otherwise(""))
+        return F.concat(F.when(r["is_start"], "(").otherwise(""), r["chain_id"].cast("string"), F.when(r["is_end"], ")").otherwise(""))
 
     return F.array_join(F.transform(refs, lambda w: F.when(F.size(w) == 0, F.lit("-")).otherwise(F.array_join(F.transform(w, one), " "))), ", ")
 

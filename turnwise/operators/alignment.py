@@ -268,14 +268,15 @@ def compare(main: DataFrame, gold: DataFrame, complete: bool = True) -> DataFram
     """Compared tokens of (file, utt, seq, text, pos) tables; a file is the unit of work."""
 
     def run(key, m: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        rows = compare_file(m.sort_values(["utt", "seq"]), g.sort_values(["utt", "seq"]), complete)
+        m, g = (_framed(x, "utt", "seq", "text", "pos").sort_values(["utt", "seq"]) for x in (m, g))
+        rows = compare_file(m, g, complete)
         out = pd.DataFrame(rows, columns=["unit", "seq", "side", "main_utt", "gold_utt", "text", "pos", "status"])
         out.insert(0, "file", key[0])
         for c in ("main_utt", "gold_utt"):
             out[c] = out[c].astype("Int64")
         return out
 
-    return main.groupBy("file").cogroup(gold.groupBy("file")).applyInPandas(run, COMPARED)
+    return main.groupBy("file").cogroup(_apart(gold).groupBy("file")).applyInPandas(run, COMPARED)
 
 
 # --- transcript differences -----------------------------------------------------
@@ -304,18 +305,29 @@ def diff_file(before: pd.DataFrame, after: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda d: (last if d[2] is None else d[2], -1 if d[1] is None else d[1]))
 
 
+def _framed(df: pd.DataFrame, *columns: str) -> pd.DataFrame:
+    """A side of a cogroup, with its columns even where it has no rows."""
+    return df if set(columns) <= set(df.columns) else pd.DataFrame({c: [] for c in columns})
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The same columns under new identities: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Deltas of (file, utt, speaker, words as one string, start_ms, end_ms) tables."""
 
     def run(key, b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        rows = diff_file(b.sort_values("utt").reset_index(drop=True), a.sort_values("utt").reset_index(drop=True))
+        b, a = (_framed(x, "utt", "speaker", "words", "start_ms", "end_ms").sort_values("utt").reset_index(drop=True) for x in (b, a))
+        rows = diff_file(b, a)
         out = pd.DataFrame(rows, columns=["kind", "before_idx", "after_idx"])
         out.insert(0, "file", key[0])
         for c in ("before_idx", "after_idx"):
             out[c] = out[c].astype("Int64")
         return out
 
-    return before.groupBy("file").cogroup(after.groupBy("file")).applyInPandas(run, "file long, kind string, before_idx long, after_idx long")
+    return before.groupBy("file").cogroup(_apart(after).groupBy("file")).applyInPandas(run, "file long, kind string, before_idx long, after_idx long")
 
 
 # --- timing recovery -----------------------------------------------------------
@@ -373,11 +385,12 @@ def recover_timing(utts: DataFrame, tokens: DataFrame) -> DataFrame:
     """Spans of (file, utt, words) from timed tokens (file, seq, text, start_ms, end_ms)."""
 
     def run(key, u: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        u, t = _framed(u, "utt", "words"), _framed(t, "seq", "text", "start_ms", "end_ms")
         out = pd.DataFrame(recover_file(u.sort_values("utt"), t.sort_values("seq")), columns=["utt", "start_ms", "end_ms"])
         out.insert(0, "file", key[0])
         return out.astype({"start_ms": "Int64", "end_ms": "Int64"})
 
-    return utts.groupBy("file").cogroup(tokens.groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
+    return utts.groupBy("file").cogroup(_apart(tokens).groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
 
 
 def recover_overlapping(utts: DataFrame, tokens: DataFrame, density: float = L.OVERLAP_DENSITY) -> DataFrame:
@@ -388,7 +401,7 @@ def recover_overlapping(utts: DataFrame, tokens: DataFrame, density: float = L.O
     """
 
     def run(key, u: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        u, t = u.sort_values("utt"), t.sort_values("seq")
+        u, t = _framed(u, "utt", "words", "has_overlap").sort_values("utt"), _framed(t, "seq", "text", "start_ms", "end_ms").sort_values("seq")
         one = recover_file(u, t)
         if len(u) and 0 < u["has_overlap"].mean() <= density:
             main = dict((r[0], r) for r in recover_file(u[~u["has_overlap"]], t))
@@ -406,7 +419,7 @@ def recover_overlapping(utts: DataFrame, tokens: DataFrame, density: float = L.O
         out.insert(0, "file", key[0])
         return out.astype({"start_ms": "Int64", "end_ms": "Int64"})
 
-    return utts.groupBy("file").cogroup(tokens.groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
+    return utts.groupBy("file").cogroup(_apart(tokens).groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
 
 
 def stitch(words: list[str], tokens: list[tuple[str, int, int]]) -> list[tuple[int, int] | None]:
@@ -446,5 +459,6 @@ def warping_path(cost: pd.Series) -> pd.Series:
 
 def token_jumps(path: Column) -> Column:
     """Steps of a path at which the row changes (with the column where it does)."""
-    jumps = F.transform(path, lambda p, k: F.when((k == 0) | (p["i"] != F.get(path, k - 1)["i"]), p["j"]))
-    return F.filter(jumps, lambda j: j.isNotNull())
+    first = F.transform(F.slice(path, 1, 1), lambda p: p["j"])
+    later = F.zip_with(F.slice(path, F.lit(2), F.size(path)), path, lambda p, q: F.when(p["i"] != q["i"], p["j"]))
+    return F.concat(first, F.filter(later, lambda j: j.isNotNull()))

@@ -138,7 +138,9 @@ def standardise(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
 
 def median_filter(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 3) -> DataFrame:
     half = width // 2
-    return df.withColumn(out, F.median(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)))
+    near = F.array_sort(F.collect_list(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)))
+    middle = lambda a, up: F.get(a, F.floor((F.size(a) - up) / 2).cast("int"))
+    return df.withColumn(out, (middle(near, 1) + middle(near, 0)) / 2)
 
 
 def count_flags(df: DataFrame, key: str, flag_columns: list[str]) -> DataFrame:

@@ -56,7 +56,7 @@ def spiced(spark: SparkSession, d: str) -> DataFrame:
 def spans(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.expr("event_id + (event_id * 7919) % 601"), "event_id")
     e = table(spark, d, "events")
-    start = F.expr("(unix_micros(ts) - 1704067200000000L) div 10000000L")
+    start = F.expr(("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)" if dict(e.dtypes)["ts"] == "timestamp_ntz" else "(unix_micros(ts) - 1704067200000000L)") + " div 10000000L")
     timed = F.col("event_id") % 5 != 0
     return e.select(
         F.col("user_id").alias("file"), F.row_number().over(order).cast("long").alias("line"), F.col("event_type").alias("speaker"),

@@ -258,20 +258,17 @@ def i07(spark, d):
     return streams.changed_only(before, after, ["doc_id"], ["lang", "source"]).select("doc_id")
 
 
-_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-
-
 @query("i01_windowed_stream", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def i01(spark, d):
     """Events by day and kind through a stream that is drained (an addition: the tables are the stream)."""
-    s = streams.event_counts(streams.event_stream(spark, f"{d}/events.parquet*", _SCHEMA), width="1 day")
+    s = streams.event_counts(streams.event_stream(spark, f"{d}/events.parquet*"), width="1 day")
     return streams.drain(s, f"events_by_day_{abs(hash(d)) % 10**8}", "complete").withColumn("total", F.round("total", 4))
 
 
 @query("i02_job_stream", "SELECT user_id AS job_id, count(*) AS updates FROM events GROUP BY 1")
 def i02(spark, d):
     """State of each job after all its events."""
-    raw = streams.event_stream(spark, f"{d}/events.parquet*", _SCHEMA)
+    raw = streams.event_stream(spark, f"{d}/events.parquet*")
     e = raw.select(F.col("user_id").alias("job_id"), "ts", F.lit("job_update").alias("kind"))
     out = streams.drain(streams.job_state(e, None), f"job_state_{abs(hash(d)) % 10**8}", "update")
     return out.groupBy("job_id").agg(F.max("updates").alias("updates"))
@@ -279,4 +276,4 @@ def i02(spark, d):
 
 @query("i05_sessions", "WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k")
 def i05(spark, d):
-    return streams.sessions(table(spark, d, "events"), gap="6 hours")
+    return streams.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), gap="6 hours")

@@ -18,12 +18,12 @@ _N = 25
 
 def pairs(spark, d):
     gold = F.slice("words", 1, _N)
-    worn = F.filter(F.transform(gold, lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 1, "um").when(i % 6 == 2, F.upper(w)).otherwise(w)), lambda w: w.isNotNull())
+    worn = F.filter(F.transform(gold, lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 1, "um").when(i % 6 == 2, F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(w)), lambda w: w.isNotNull())
     return utterances(spark, d).where(F.size("words") > 0).select("file", "utt", "speaker", gold.alias("gold"), worn.alias("main"))
 
 
 _PAIRS = f"""{U}, g AS (SELECT file, utt, speaker, words[1:{_N}] AS gold FROM u WHERE len(words) > 0),
-p AS (SELECT *, list_filter(list_transform(gold, lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN NULL WHEN (i - 1) % 5 = 1 THEN 'um' WHEN (i - 1) % 6 = 2 THEN upper(x) ELSE x END), lambda x: x IS NOT NULL) AS main FROM g)"""
+p AS (SELECT *, list_filter(list_transform(gold, lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN NULL WHEN (i - 1) % 5 = 1 THEN 'um' WHEN (i - 1) % 6 = 2 THEN translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE x END), lambda x: x IS NOT NULL) AS main FROM g)"""
 #: Longest common subsequence by a recursive table: one row of the table for each word.
 _LCS_CTE = """lcs AS (SELECT file, utt, 0 AS i, list_transform(range(len(b) + 1), lambda z: 0) AS r, a, b FROM ab
  UNION ALL SELECT file, utt, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN a[i + 1] = b[j] THEN r[j] + 1 ELSE -1 - r[j + 1] END])),
@@ -334,13 +334,6 @@ def g08(spark, d):
     return joins.speakers_in_order(utterances(spark, d), "file", "utt").select("file", F.array_join("speakers", ",").alias("speakers"))
 
 
-@query("c35_warping_path")
-def c35(spark, d):
-    cost = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.abs(i * 10 - j * 8 + F.col("event_id") % 7).cast("double")))
-    p = table(spark, d, "events").where("event_id % 10 = 0").select("event_id", alignment.warping_path(cost).alias("p"))
-    return p.select("event_id", F.size("p").alias("steps"), F.array_join(F.transform(alignment.token_jumps(F.col("p")), lambda x: x.cast("string")), ",").alias("jumps"))
-
-
 # --- commands ----------------------------------------------------------------------
 
 

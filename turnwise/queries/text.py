@@ -307,7 +307,7 @@ def h20(spark, d):
 @query("h21_chain_notation", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '-' ELSE (CASE WHEN event_id % 2 = 0 THEN '(' ELSE '' END) || (event_id % 10) || (CASE WHEN event_id % 5 = 0 THEN ')' ELSE '' END) END || ', -' AS notation FROM events""")
 def h21(spark, d):
     i = F.col("event_id")
-    one = F.array(F.struct((i % 10).cast("int").alias("chain"), (i % 2 == 0).alias("is_start"), (i % 5 == 0).alias("is_end")))
+    one = F.array(F.struct((i % 10).cast("int").alias("chain_id"), (i % 2 == 0).alias("is_start"), (i % 5 == 0).alias("is_end")))
     none = F.filter(one, lambda x: F.lit(False))
     return table(spark, d, "events").select("event_id", W.bracket_annotation(F.array(F.when(i % 3 == 0, none).otherwise(one), none)).alias("notation"))
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
+    """Parquet files as they come, with the schema of those that are there; ``ts`` as an instant."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def job_state(events: DataFrame, ttl_ms: int | None = 60_000) -> DataFrame:

@@ -41,7 +41,7 @@ def agreement(left: DataFrame, right: DataFrame, key: str, token: str) -> DataFr
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, min, p50, p95, max by nearest rank (``ceil(n * p / 100)``)."""
-    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
+    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").cast(df.schema[value].dataType)
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), F.max(value).alias("max"))
 
 

@@ -142,6 +142,25 @@ def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; a row of the table is one integer of len(b) bits."""
+    where: dict[str, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        same = row & where.get(x, 0)
+        row = ((row + same) | (row - same)) & full
+    return len(b) - row.bit_count()
+
+
+@lazy_udf("int")
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``functions.sequences.lcs_length`` for lists of any length."""
+    return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def counts(items: Column) -> Column:
     """struct<matches, extra_payload, extra_reference>."""
     n = lambda t: F.size(F.filter(items, lambda x: x["type"] == t)).cast("long")
@@ -208,6 +227,7 @@ def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int
     if not gold or not main:
         return 0, 0
     want, best, where = Counter(gold), None, (0, min(len(main), len(gold)))
+    low, low_gold = [t.translate(_ASCII) for t in main], [t.translate(_ASCII) for t in gold]
     for span in range(max(1, len(gold) - 2), min(len(main), len(gold) + 2) + 1):
         for start in range(len(main) - span + 1):
             inside = utts[start : start + span]
@@ -218,7 +238,7 @@ def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int
             overlap = sum((Counter(main[s:e]) & want).values())
             if best is not None and overlap < best[0]:
                 continue
-            hits = sum(t == "match" for t, *_ in align(main[s:e], gold, "nocase"))
+            hits = lcs(low[s:e], low_gold)  # the matches of an alignment without case
             key = (overlap, hits, -(e - s - overlap), e)
             if best is None or key > best:
                 best, where = key, (s, e)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.cantonese import character_tokens, normalise
 from turnwise.operators import joins, morphology, segmentation
 from turnwise.queries.base import U, query, spans, utterances
+from turnwise.queries.matching import first_words, whole
 from turnwise.queries.text import tagged
 
 
@@ -32,9 +33,9 @@ def b25(spark, d):
 
 
 @query("c17_realigned_tokens", f"""WITH {U} SELECT file, utt, string_agg(x, '|' ORDER BY i) AS words FROM (SELECT file, utt, unnest(words[1:5]) AS x, unnest(range(5)) AS i FROM u WHERE len(words) >= 5) GROUP BY 1, 2""")
-def c17(spark, d):
+def c17(spark, d, first=5):
     """Tokens of two characters put back together to the words they came from."""
-    u = utterances(spark, d).where(F.size("words") >= 5).select("file", "utt", F.slice("words", 1, 5).alias("ws"))
+    u = utterances(spark, d).where(F.size("words") >= (first or 1)).select("file", "utt", first_words(first).alias("ws"))
     w = u.select("file", "utt", F.posexplode("ws").alias("pos", "text"))
     parts = F.flatten(F.transform("ws", lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 2).cast("int")), lambda k: F.substr(x, k * 2 + 1, F.lit(2)))))
     t = u.select("file", "utt", F.posexplode(parts).alias("pos", "text"))
@@ -43,6 +44,9 @@ def c17(spark, d):
     return one.groupBy("file", "utt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "w"))), lambda x: x["w"]), "|").alias("words"))
 
 
+whole("c17_realigned_tokens", c17, ("words[1:5]", "words"), ("len(words) >= 5", "len(words) > 0"), ("range(5)", "range(len(words))"))
+
+
 @query("d31_hint_counters", f"WITH {U}, w AS (SELECT file, unnest(range(len(words))) AS i FROM u) SELECT file, count(*) FILTER (i % 4 = 0) AS hinted, count(*) FILTER (i % 4 <> 0) AS plain FROM w GROUP BY 1")
 def d31(spark, d):
     w = utterances(spark, d).select("file", F.posexplode("words").alias("i", "w")).select("file", F.when(F.col("i") % 4 == 0, "v").alias("pos_hint"), F.lit("NOUN").alias("pos"))

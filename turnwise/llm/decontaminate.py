@@ -13,7 +13,7 @@ rest are verified word by word.
   for each word of the index and task, summed by Spark).
 * The index goes to the executors in blocks of at most ``max_index_words``
   words. One block is the normal case; a larger benchmark takes more passes
-  over the documents, whose hits are then merged by document. Nothing is
+  over the documents, whose hits are then merged by id and text. Nothing is
   dropped, and what is broadcast never exceeds the block bound.
 * Documents never move: no shuffle carries text.
 
@@ -197,10 +197,16 @@ def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text
                 for part in slices(batch, "text"):
                     yield _hits_of(part, index)
 
-        passes.append(source.mapInArrow(run, schema))
+        passes.append(run)
     if len(passes) == 1:
-        return passes[0]
-    return _merged(passes)
+        return source.mapInArrow(run, schema)
+    # equal rows have equal hits: they are one key, and come out as often as they are in
+    keyed = source.withColumn("_key", F.sha2("text", 256))
+    both = None
+    for run in passes:
+        hits = keyed.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_key", T.StringType())]))
+        both = hits if both is None else both.unionByName(hits)
+    return _merged(both, len(passes))
 
 
 def _hits_of(part: pa.RecordBatch, index: WindowIndex) -> pa.RecordBatch:
@@ -234,20 +240,17 @@ def _hits_of(part: pa.RecordBatch, index: WindowIndex) -> pa.RecordBatch:
             items[d] = sorted({str(index.items[k]) for k in own})
     big = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [part.column(0), pa.array(n), pa.array(starts, big), pa.array(ends, big), pa.array(items, pa.list_(pa.string()))],
-        ["doc_id", "n_words", "starts", "ends", "items"],
+        [part.column(0), pa.array(n), pa.array(starts, big), pa.array(ends, big), pa.array(items, pa.list_(pa.string())), *part.columns[2:]],
+        ["doc_id", "n_words", "starts", "ends", "items", *part.schema.names[2:]],
     )
 
 
-def _merged(passes: list[DataFrame]) -> DataFrame:
-    """Hits of several index blocks, by document (repeated rows of an id stay apart by their order of hits being equal)."""
-    both = passes[0]
-    for p in passes[1:]:
-        both = both.unionByName(p)
-    grouped = both.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("r"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+def _merged(both: DataFrame, blocks: int) -> DataFrame:
+    """Hits of several index blocks by id and text; every row is in each block once."""
+    grouped = both.groupBy("doc_id", "_key").agg(
+        F.max("n_words").alias("n_words"), F.count("*").alias("_n"),
+        F.array_sort(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("r"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     step = F.aggregate(
         "r",
@@ -256,7 +259,8 @@ def _merged(passes: list[DataFrame]) -> DataFrame:
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
                      F.array(F.struct(F.get(acc, F.size(acc) - 1)["starts"].alias("starts"), F.greatest(F.get(acc, F.size(acc) - 1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    return grouped.withColumn("r", step).select("doc_id", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
+    each = grouped.withColumn("r", step).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"_n div {blocks}"))))
+    return each.select("doc_id", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from turnwise.llm import decontaminate
+from pyspark.sql import functions as F
+
+from turnwise.llm import decontaminate, pii
 
 
 def test_blocks_keep_rows_apart(spark):
@@ -11,3 +13,17 @@ def test_blocks_keep_rows_apart(spark):
     b = spark.createDataFrame([(7, "a b c"), (8, "d e f"), (9, "zz yy xx"), (10, "b c")], "item_id long, text string")
     rows = lambda most: Counter((r.doc_id, r.n_words, tuple(r.starts), tuple(r.ends), tuple(r["items"])) for r in decontaminate.find_hits(d, b, max_index_words=most).collect())
     assert rows(2) == rows(2_000_000) and sum(rows(2).values()) == len(docs)
+
+
+def test_addresses_of_any_length_stay_distinct(spark, monkeypatch):
+    few = lambda names, attempt, key: F.transform(names, lambda n: F.concat(F.lit("9.9.9."), F.abs(F.hash(n, attempt(n)) % 60).cast("string")))
+    monkeypatch.setattr(pii, "values_of", few)
+    names = [f"ip|#{7 + i}|1.1.1.{i}" for i in range(15)] + [f"ip|#{30 + i}|9.9.9.{i}" for i in range(5)]
+
+    def drawn(lost):
+        tries = spark.createDataFrame([(n, lost.get(n, 0)) for n in names], "name string, a int")
+        return [r.v for r in tries.select(few(F.array("name"), lambda n: F.col("a"), "k")[0].alias("v")).collect()]
+
+    assert len(set(drawn({}))) < len(names)  # first draws clash, between lengths only
+    got = drawn({r.name: r.attempt for r in pii.redraws(spark.createDataFrame([(n,) for n in names], "name string"), "k").collect()})
+    assert len(set(got)) == len(names) and not set(got) & {f"9.9.9.{i}" for i in range(5)}

@@ -171,8 +171,10 @@ def redraws(names: DataFrame, key: str) -> DataFrame:
     in order of the name) keeps it; none may keep an entity of the corpus.
     """
     cur = cut(names.select("name", F.lit(0).alias("attempt")), "draws")
-    form = F.regexp_extract("name", r"^[^|]*\|[^|]*\|", 0)
-    real = cur.select(F.col("name").alias("real"))
+    # what is compared: all but the length of the original, which a surrogate (of an address) may not keep
+    plain = lambda c: F.regexp_replace(c, r"^([^|]*\|[^|#]*)#\d+\|", "$1|")
+    form = F.regexp_extract(plain(F.col("name")), r"^[^|]*\|[^|]*\|", 0)
+    real = cur.select(plain(F.col("name")).alias("real")).distinct()
     while True:
         value = F.get(values_of(F.array("name"), lambda n: F.col("attempt"), key), F.lit(0))
         drawn = cur.withColumn("drawn", F.concat(form, value))

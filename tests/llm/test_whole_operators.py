@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, pii
+from turnwise.llm import decontaminate, pii, urlfilter
 
 
 def test_blocks_keep_rows_apart(spark):
@@ -27,3 +27,11 @@ def test_addresses_of_any_length_stay_distinct(spark, monkeypatch):
     assert len(set(drawn({}))) < len(names)  # first draws clash, between lengths only
     got = drawn({r.name: r.attempt for r in pii.redraws(spark.createDataFrame([(n,) for n in names], "name string"), "k").collect()})
     assert len(set(got)) == len(names) and not set(got) & {f"9.9.9.{i}" for i in range(5)}
+
+
+def test_deep_paths_and_capitals(spark):
+    e = spark.createDataFrame([("A.com/x/y/z/w/v", "block", "2024-01-01"), ("b.com/Q", "block", "2024-01-01")], "pattern string, action string, effective string")
+    c = spark.createDataFrame([(1, "http://a.com/x/y/z/w/v/u", "2024-02-01"), (2, "http://a.com/x/y/z/w", "2024-02-01"), (3, "http://B.com/Q/r", "2024-02-01"), (4, "http://b.com/q", "2024-02-01")], "id long, url string, fetched string")
+    for most in (200_000, 0):
+        got = {r.id: r.kept for r in urlfilter.filter_urls(c, e, broadcast_rows=most, salts=3).collect()}
+        assert got == {1: False, 2: True, 3: False, 4: True}

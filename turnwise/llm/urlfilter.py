@@ -43,13 +43,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)?", 1), r"/+$", "")
 
 
-def patterns_of(url: Column, depth: int = 3) -> Column:
+def patterns_of(url: Column, depth: int | Column = 3) -> Column:
     """Host suffixes, longest first, and the host with up to ``depth`` path parts."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    some = F.least(F.size(parts), F.lit(depth))
+    some = F.least(F.size(parts), F.lit(depth) if isinstance(depth, int) else depth)
     prefixes = F.when(some > 0, F.transform(F.sequence(F.lit(1), F.greatest(some, F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
@@ -57,7 +57,8 @@ def patterns_of(url: Column, depth: int = 3) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, action, valid_from, valid_to (open: null) of (pattern, action, effective)."""
     rank = F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv])
-    own = entries.select(F.lower("pattern").alias("pattern"), "action", "effective").where("pattern IS NOT NULL AND effective IS NOT NULL").where(F.col("action").isin(list(_RANK)))
+    host = F.substring_index("pattern", "/", 1)  # case matters in a path
+    own = entries.select(F.concat(F.lower(host), F.substr("pattern", F.length(host) + F.lit(1))).alias("pattern"), "action", "effective").where("pattern IS NOT NULL AND effective IS NOT NULL").where(F.col("action").isin(list(_RANK)))
     last = own.groupBy("pattern", "effective").agg(F.max_by("action", F.try_element_at(rank, F.col("action"))).alias("action"))
     order = Window.partitionBy("pattern").orderBy("effective")
     spans = last.select("pattern", "action", F.col("effective").alias("valid_from"), F.lead("effective").over(order).alias("valid_to"))
@@ -70,9 +71,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", fe
     spans = intervals(entries)
     p, u = fresh(captures, "_p"), fresh(captures, "_u")
     small = spans.limit(broadcast_rows + 1).count() <= broadcast_rows
+    depth = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # no entry has more path parts
     # the captures of one url and time are decided once and by one key
     keyed = captures.select(F.col(url).alias(u), F.col(fetched).alias("_f")).where("_f IS NOT NULL").where(F.col(u).isNotNull()).distinct()
-    asked = keyed.select(u, "_f", F.explode(patterns_of(F.col(u))).alias(p))
+    asked = keyed.select(u, "_f", F.explode(patterns_of(F.col(u), depth)).alias(p))
     inside = lambda s: (F.col("_f") >= s["valid_from"]) & (s["valid_to"].isNull() | (F.col("_f") < s["valid_to"]))
     if small:
         side = F.broadcast(spans)

@@ -38,3 +38,12 @@ def test_commands_see_whole_turns(spark, sf):
     assert QUERIES["c26_token_stitching"](spark, sf).count() == n
     said = QUERIES["k03_utseg"](spark, sf).select(F.sum(F.size(F.split("text", " ")))).first()[0]
     assert said == n
+
+
+def test_text_rules_reach_the_end(spark, sf):
+    longest = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY length(text) DESC LIMIT 1").fetchall()[0]
+    clean = QUERIES["h16_illegal_characters_whole"](spark, sf).where(F.col("doc_id") == longest[0]).first().clean
+    assert len(longest[1]) > 400 and len(clean) > 400
+    n = utterances(spark, sf).select(F.sum(F.size("words"))).first()[0]
+    assert QUERIES["h11_split_with_times_whole"](spark, sf).count() == n
+    assert QUERIES["h24_sentences"](spark, sf).where(F.size(F.split("gra", " ")) > 6).count() > 0

@@ -9,7 +9,7 @@ from turnwise.functions.cantonese import character_tokens, normalise
 from turnwise.operators import joins, morphology, segmentation
 from turnwise.queries.base import U, query, spans, utterances
 from turnwise.queries.matching import first_words, whole
-from turnwise.queries.text import tagged
+from turnwise.queries.text import e18, e19, e20, h04, h11, h16, tagged
 
 
 @query("b17_placeholders", f"WITH {U} SELECT file, utt FROM u WHERE len(words) > 0 AND utt % 3 <> 0")
@@ -76,6 +76,15 @@ def h18(spark, d):
 
 @query("h24_sentences")
 def h24(spark, d):
-    t = tagged(spark, d).where("pos < 6").withColumn("n", F.col("pos") + 1)
+    t = tagged(spark, d).withColumn("n", F.col("pos") + 1)
     s = t.groupBy("file", "utt").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("id_start"), F.when((F.col("n") == 2) & (F.col("file") % 2 == 0), 3).otherwise(0).alias("id_end"), F.col("w").alias("text"), F.lower("w").alias("lemma"), F.col("upos"), "feats", F.when(F.col("n") == 1, 0).otherwise(1).alias("head"), F.lit("nsubj:x").alias("deprel")))).alias("ud"))
     return s.select("file", "utt", morphology.mapped_sentence("ud").alias("m")).select("file", "utt", "m.mor", "m.gra")
+
+
+# The given SQL of these holds a cut; their twins take whole texts and turns.
+whole("h04_characters", h04, ("words[1:3]", "words"))
+whole("h11_split_with_times", h11, (" WHERE i < 20", ""))
+whole("h16_illegal_characters", h16, ("text[1:400]", "text"))
+whole("e18_compounds", e18, ("words[1:3]", "words"))
+whole("e19_abbreviations", e19, ("words[1:2]", "words"))
+whole("e20_single_letters", e20, ("words[1:2]", "words"))

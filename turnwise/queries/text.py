@@ -223,8 +223,8 @@ def h03(spark, d):
 
 
 @query("h04_characters", f"WITH {S} SELECT file, utt, length(array_to_string(words, ''))::INT AS n, array_to_string(string_split(array_to_string(words[1:3], ''), ''), '.') AS head FROM s")
-def h04(spark, d):
-    return spiced(spark, d).select("file", "utt", F.size(W.characters(F.col("words"))).alias("n"), F.array_join(W.characters(F.slice("words", 1, 3)), ".").alias("head"))
+def h04(spark, d, first=3):
+    return spiced(spark, d).select("file", "utt", F.size(W.characters(F.col("words"))).alias("n"), F.array_join(W.characters(F.col("words") if first is None else F.slice("words", 1, first)), ".").alias("head"))
 
 
 @query("h05_number_words")
@@ -259,10 +259,10 @@ def h09(spark, d):
 e AS (SELECT file, utt, s, e, total, unnest(words) AS text, unnest(range(len(words))) AS i FROM p),
 c AS (SELECT *, sum(length(text)) OVER (PARTITION BY file, utt ORDER BY i) AS t, sum(length(text)) OVER (PARTITION BY file, utt ORDER BY i) - length(text) AS f FROM e)
 SELECT file, utt, i::INT AS part, text, (s + (e - s) * f // total)::BIGINT AS start_ms, (s + (e - s) * t // total)::BIGINT AS end_ms FROM c WHERE i < 20""")
-def h11(spark, d):
+def h11(spark, d, first=20):
     start = F.col("utt") * 1000
     u = utterances(spark, d).select("file", "utt", F.posexplode(W.split_timed(F.coalesce("text", F.lit("")), start, start + 777)).alias("part", "p"))
-    return u.where("part < 20").select("file", "utt", "part", "p.text", "p.start_ms", "p.end_ms")
+    return (u if first is None else u.where(F.col("part") < first)).select("file", "utt", "part", "p.text", "p.start_ms", "p.end_ms")
 
 
 @query("h13_disfluency", f"WITH {SW} SELECT file, utt, pos, coalesce({_map(L.FILLED_PAUSES, 'lower(w)')}, {_map(L.REPLACEMENTS, 'lower(w)')}, w) AS w FROM w")
@@ -287,8 +287,8 @@ def h17(spark, d):
 
 
 @query("h16_illegal_characters", r"SELECT doc_id, regexp_replace(text[1:400], '[\[\]<>{}\x00-\x20\x15\\|^*%$#=;]', '', 'g') AS clean FROM documents")
-def h16(spark, d):
-    return table(spark, d, "documents").select("doc_id", W.illegal_removed(F.substring("text", 1, 400)).alias("clean"))
+def h16(spark, d, first=400):
+    return table(spark, d, "documents").select("doc_id", W.illegal_removed(F.col("text") if first is None else F.substring("text", 1, first)).alias("clean"))
 
 
 @query("h19_detection_gate", r"SELECT doc_id, CASE WHEN length(regexp_replace(trim(text), '[^\p{L}]', '', 'g')) >= 40 THEN lang END AS lang FROM documents")
@@ -382,20 +382,20 @@ def e17(spark, d):
 
 @query("e18_compounds", f"""WITH {U}, p AS (SELECT file, utt, list_concat(['air', 'port', 'port', 'some', 'thing'], words[1:3]) AS ws FROM u)
 SELECT file, utt, replace(replace(array_to_string(ws, ' '), 'air port', 'airport'), 'some thing', 'something') AS merged FROM p""")
-def e18(spark, d):
-    ws = F.concat(F.array(*map(F.lit, ["air", "port", "port", "some", "thing"])), F.slice("words", 1, 3))
+def e18(spark, d, first=3):
+    ws = F.concat(F.array(*map(F.lit, ["air", "port", "port", "some", "thing"])), F.col("words") if first is None else F.slice("words", 1, first))
     return utterances(spark, d).select("file", "utt", F.array_join(sequences.merge_compounds(ws), " ").alias("merged"))
 
 
 @query("e19_abbreviations", f"WITH {U} SELECT file, utt, 'USA x ' || array_to_string(list_transform(words[1:2], lambda x: x || '_'), ' ') || ' FBI TV' AS merged FROM u WHERE len(words) >= 2")
-def e19(spark, d):
-    ws = F.concat(F.array(*map(F.lit, ["U", "S", "A", "x"])), F.transform(F.slice("words", 1, 2), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, ["F", "B", "I", "T", "V"])))
+def e19(spark, d, first=2):
+    ws = F.concat(F.array(*map(F.lit, ["U", "S", "A", "x"])), F.transform(F.col("words") if first is None else F.slice("words", 1, first), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, ["F", "B", "I", "T", "V"])))
     return utterances(spark, d).where(F.size("words") >= 2).select("file", "utt", F.array_join(sequences.merge_abbreviations(ws), " ").alias("merged"))
 
 
 @query("e20_single_letters", f"WITH {U} SELECT file, utt, 'abc ' || array_to_string(list_transform(words[1:2], lambda x: x || '_'), ' ') || ' de' AS joined FROM u WHERE len(words) >= 2")
-def e20(spark, d):
-    ws = F.concat(F.array(*map(F.lit, "abc")), F.transform(F.slice("words", 1, 2), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, "de")))
+def e20(spark, d, first=2):
+    ws = F.concat(F.array(*map(F.lit, "abc")), F.transform(F.col("words") if first is None else F.slice("words", 1, first), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, "de")))
     return utterances(spark, d).where(F.size("words") >= 2).select("file", "utt", F.array_join(sequences.join_single_letters(ws), " ").alias("joined"))
 
 

@@ -181,7 +181,8 @@ def test_near_duplicates_on_odd_rows(spark):
     rows = neardup.classes(odd(spark), size=2).collect()
     assert len(rows) == len(ODD)
     assert neardup.classes(empty(spark)).count() == 0
-    assert neardup.deduplicate(odd(spark)).count() == len(ODD)
+    assert sorted(r.doc_id or 0 for r in neardup.deduplicate(odd(spark)).collect()) == [0, 1, 2, 3, 4, 5]  # one of the two equal rows
+    assert neardup.deduplicate(empty(spark)).columns == ["doc_id", "text", "score"]
 
 
 def test_components(spark):

@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, pii, urlfilter
+from turnwise.llm import decontaminate, neardup, pii, urlfilter
 
 
 def test_blocks_keep_rows_apart(spark):
@@ -35,3 +36,36 @@ def test_deep_paths_and_capitals(spark):
     for most in (200_000, 0):
         got = {r.id: r.kept for r in urlfilter.filter_urls(c, e, broadcast_rows=most, salts=3).collect()}
         assert got == {1: False, 2: True, 3: False, 4: True}
+
+
+def test_no_link_is_lost_in_a_crowd(spark):
+    """4,000 sets of pairwise similarity 0.79, which is no link, and 60 pairs above 0.8 among them."""
+    shared = [f"b{i}" for i in range(790)]
+    rows = [(i, " ".join(shared + [f"o{i}_{k}" for k in range(105)])) for i in range(4_000)]
+    pairs = [(5_000 + 2 * p, 5_001 + 2 * p) for p in range(60)]
+    for p, pair in enumerate(pairs):
+        rows += [(i, " ".join(shared + [f"s{p}_{k}" for k in range(12)] + [f"o{i}_{k}" for k in range(93)])) for i in pair]
+    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), size=1).collect()}
+    assert [got[b] for _, b in pairs] == [a for a, _ in pairs]
+    assert all(got[i] == i for i in range(4_000))
+
+
+def test_common_counts_match_set_intersection():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60 if k % 3 else 5_000, 40).astype(np.uint64)) for k in range(70)] + [np.zeros(0, np.uint64)]
+    a, b = sets[:40], sets[20:]
+    assert neardup.common_counts(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert neardup.common_counts([], b).shape == (0, len(b))
+
+
+def test_documents_that_share_an_id_stay_apart(spark):
+    a, b = "a b c d e f", "u v w x y z"
+    docs = [(1, a), (3, a), (3, b), (7, b), (5, "m n o"), (5, "m n o"), (None, "q r s"), (None, "q r s"), (9, ""), (9, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class", F.lit("x")).withColumn("_d", F.lit(1))
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.classes(d, size=2).collect())
+    assert got == Counter([(1, 1, True), (3, 1, False), (3, 3, True), (7, 3, False), (5, 5, True), (5, 5, True), (None, None, True), (None, None, True), (9, 9, True), (9, 9, True)])
+    stay = neardup.deduplicate(d, size=2)
+    assert stay.columns == d.columns
+    assert Counter((r.doc_id, r.text) for r in stay.collect()) == Counter([(1, a), (3, b), (5, "m n o"), (None, "q r s"), (9, ""), (9, None)])
+    named = spark.createDataFrame([("k2", a), ("k1", a), ("k3", b)], "name string, body string")
+    assert {r.name for r in neardup.deduplicate(named, doc_id="name", text="body", size=2).collect()} == {"k1", "k3"}

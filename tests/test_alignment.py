@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from turnwise.functions import sequences
 from turnwise.operators import alignment as A
 from turnwise.operators import joins, segmentation, timing
 
@@ -112,3 +113,63 @@ def test_time_warp():
 
     assert A.time_warp(np.array([[0.0, 9], [9, 0]])) == [(0, 0), (1, 1)]
     assert A.time_warp(np.array([[0.0, 0, 9], [9, 9, 0]])) == [(0, 0), (0, 1), (1, 2)]
+
+
+def test_a_segment_is_used_once():
+    """The later of two equal segments is taken; what lies before it is not sought again."""
+    said = [(0, "yes please"), (1, "the dog ran"), (2, "yes please")]
+    rows = pd.DataFrame([(w, u, None) for u, t in said for w in t.split()], columns=["text", "utt", "pos"])
+    got = [(unit, mu, gu, t, status) for unit, _, _, mu, gu, t, _, status in A.compare_file(rows, rows)]
+    assert got == [
+        (0, 0, None, "yes", "extra_payload"), (0, 0, None, "please", "extra_payload"),
+        (1, 1, None, "the", "extra_payload"), (1, 1, None, "dog", "extra_payload"), (1, 1, None, "ran", "extra_payload"),
+        (2, 2, 0, "yes", "match"), (2, 2, 0, "please", "match"),
+        (3, None, 1, "the", "extra_reference"), (3, None, 1, "dog", "extra_reference"), (3, None, 1, "ran", "extra_reference"),
+        (4, None, 2, "yes", "extra_reference"), (4, None, 2, "please", "extra_reference"),
+    ]
+    twice = pd.DataFrame([(w, u, None) for u, t in [(0, "go on now"), (1, "stop it there")] for w in t.split()], columns=["text", "utt", "pos"])
+    assert [r[-1] for r in A.compare_file(twice, twice)] == ["match"] * 6
+
+
+def test_segments_prefer_matches_in_order_and_one_utterance():
+    assert A.best_segment(["p", "q", "r"], ["r", "p", "q", "-", "p", "-", "q", "-", "r"], [0] * 9) == (4, 9)
+    assert A.best_segment(["my", "cat", "sat"], ["my", "sun", "that", "cat", "sat", "down"], [0, 0, 1, 1, 1, 1]) == (3, 5)
+    assert A.best_segment(["a"], ["b", "c"], [0, 0]) == (0, 0) == A.best_segment([], ["a"], [0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcA"), min_size=1, max_size=5), st.lists(st.tuples(st.sampled_from("abcAx"), st.booleans()), min_size=1, max_size=12))
+def test_best_segment_matches_a_search_of_all_windows(gold, steps):
+    main, utts = [w for w, _ in steps], [sum(n for _, n in steps[: k + 1]) for k in range(len(steps))]
+    best = None
+    for i in range(len(main)):
+        for j in range(i + max(1, len(gold) - 2), min(len(main), i + len(gold) + 2) + 1):
+            major = max(dict.fromkeys(utts[i:j]), key=utts[i:j].count)
+            s, e = i + utts[i:j].index(major), i + utts[i:j].index(major) + utts[i:j].count(major)
+            overlap = sum(min(main[s:e].count(w), gold.count(w)) for w in set(gold))
+            key = (overlap, lcs([w.lower() for w in main[s:e]], [w.lower() for w in gold]), -(e - s - overlap), e)
+            best = max(best, (key, (s, e))) if best else (key, (s, e))
+    assert A.best_segment(gold, main, utts) == (best[1] if best and best[0][0] else (0, 0))
+
+
+def test_benchmark_names_and_runs():
+    def errors(text):
+        kinds = {"m": ("match", "w"), "p": ("extra_payload", "h"), "r": ("extra_reference", "g"), "n": ("extra_reference", "firstname")}
+        sub, dele, ins, diff = A.benchmark_errors([kinds[c] for c in text])
+        return sub, dele, ins, "".join(d[0] for d in diff)
+
+    assert errors("rrpp") == (1, 1, 1, "++--")  # only neighbours pair up
+    assert errors("rmp") == (0, 1, 1, "+ -")
+    assert errors("pn") == (0, 1, 0, "+")  # the word before is counted, not shown
+    assert errors("nmp") == (0, 0, 0, "+ ")  # the next one is neither
+    assert errors("nnpp") == (0, 1, 0, "++-")
+    assert errors("npnp") == (0, 0, 0, "++")
+    assert errors("") == (0, 0, 0, "")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abA"), max_size=10), st.sampled_from([1, 2]))
+def test_repeated_stretches(words, least):
+    low = [w.lower() for w in words]
+    want = [any(low[s : s + n] == low[s + n : s + 2 * n] for n in range(least, len(low)) for s in range(max(0, i - n + 1), i + 1) if s + 2 * n <= len(low)) for i in range(len(low))]
+    assert sequences.repeated(words, least).tolist() == want

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
+from turnwise.functions.lazy import lazy_udf
 from turnwise.functions.words import fold_ascii
 
+_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, by one row of the table at a time.
@@ -92,24 +97,35 @@ def merge_abbreviations(words: Column, abbreviations: list[str] | None = None) -
     return F.aggregate(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), start, step)["out"]
 
 
-def retraces(words: Column, least: int = 1) -> Column:
-    """array<boolean>: words that open a repeated stretch (the repetition follows at once).
+def repeated(words: list[str], least: int = 1) -> np.ndarray:
+    """Which words lie in a stretch of ``least`` or more words that is repeated at once.
 
-    ``words`` are content words. Fillers take part in the comparison but are not marked.
+    A stretch of n words is repeated where n words in a row equal the word n
+    places on: for each n these are the runs of n or more.
     """
-    low = F.transform(words, fold_ascii)
-    size = F.size(words)
-    sizes = F.when(size > least, F.sequence(F.lit(least), F.greatest(size - 1, F.lit(least)))).otherwise(F.array().cast("array<int>"))
+    low = np.array([w.translate(_ASCII) for w in words], object)
+    marks = np.zeros(len(low), bool)
+    for n in range(max(least, 1), len(low) // 2 + 1):
+        same = np.flatnonzero(low[:-n] == low[n:])
+        if len(same) >= n:
+            begin = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1] + 1)))
+            count = np.diff(np.append(begin, len(same)))
+            marks[same[np.repeat(count >= n, count)]] = True
+    return marks
+
 
-    def marked(w: Column, i: Column) -> Column:
-        def covers(n: Column) -> Column:
-            first = F.greatest(i - n + 1, F.lit(0))
-            starts = F.sequence(first, i)
-            return F.exists(starts, lambda s: (s + 2 * n <= size) & (F.slice(low, s + 1, n) == F.slice(low, s + n + 1, n)))
+@lazy_udf("array<boolean>")
+def _retraces(words: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([None if ws is None else [bool(m) and not w.startswith("&-") for m, w in zip(repeated(list(ws), k), ws, strict=True)] for ws, k in zip(words, least, strict=True)])
 
-        return F.exists(sizes, covers) & ~w.startswith("&-")
 
-    return F.transform(words, marked)
+def retraces(words: Column, least: int = 1) -> Column:
+    """array<boolean>: words that open a repeated stretch (the repetition follows at once).
+
+    ``words`` are content words. Fillers take part in the comparison but are not
+    marked. Arrow-batched; quadratic in the words of a turn.
+    """
+    return _retraces(words, F.lit(least))
 
 
 def group_ids(flags: Column) -> Column:

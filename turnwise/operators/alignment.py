@@ -8,6 +8,7 @@ gathered: a pair is one row.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -60,15 +61,40 @@ def matcher(mode: str) -> Callable[[str, str], bool]:
     return lambda a, b: jaro_winkler(a, b) >= least
 
 
-def _row(a: list[str], b: list[str], same) -> list[int]:
-    """Costs of all of ``a`` against each prefix of ``b``."""
-    prev = list(range(len(b) + 1))
-    for x in a:
-        cur = [prev[0] + 1]
-        for j, y in enumerate(b):
-            cur.append(min(prev[j] + (0 if same(x, y) else 2), prev[j + 1] + 1, cur[j] + 1))
-        prev = cur
-    return prev
+class Sames:
+    """Which reference tokens a payload token equals, as rows of booleans over the distinct tokens."""
+
+    def __init__(self, payload: list[str], reference: list[str], mode: str) -> None:
+        fold = (lambda w: w.translate(_ASCII)) if mode == "nocase" else (lambda w: w)
+        names: dict[str, int] = {}
+        self.ref = np.array([names.setdefault(fold(w), len(names)) for w in reference], np.int64)
+        self.pay = np.array([names.get(fold(w), -1) for w in payload], np.int64)
+        self.fuzzy = None
+        if mode not in ("exact", "nocase"):
+            same, distinct = matcher(mode), list(names)
+            rows = {w: np.array([same(w, y) for y in distinct], bool) for w in set(payload)}
+            self.fuzzy = [rows[w] for w in payload]
+
+    def row(self, i: int, c: int, d: int) -> np.ndarray:
+        return self.ref[c:d] == self.pay[i] if self.fuzzy is None else self.fuzzy[i][self.ref[c:d]]
+
+
+def _table(sames: Sames, order: list[int], c: int, d: int, back: bool = False, whole: bool = False):
+    """Costs of the payload tokens ``order`` against each prefix of reference c to d (or each suffix, ``back``).
+
+    A step costs 1, a pair of unlike tokens 2; along a row the costs of steps are
+    a running minimum. All rows are returned if ``whole``, else the last one.
+    """
+    at = np.arange(d - c + 1)
+    row = at.copy()
+    rows = [row]
+    for i in order:
+        same = sames.row(i, c, d)
+        pair = row[:-1] + np.where(same[::-1] if back else same, 0, 2)
+        row = np.minimum.accumulate(np.minimum(np.append(row[0] + 1, pair), row + 1) - at) + at
+        if whole:
+            rows.append(row)
+    return rows if whole else row
 
 
 def align(payload: list[str], reference: list[str], mode: str = "exact") -> list[tuple[str, str, int | None, int | None]]:
@@ -81,6 +107,7 @@ def align(payload: list[str], reference: list[str], mode: str = "exact") -> list
         hi += 1
     out = [("match", payload[i], i, i) for i in range(lo)]
     stack = [(lo, len(payload) - hi, lo, len(reference) - hi)]
+    sames = Sames(payload, reference, mode) if lo < min(len(payload), len(reference)) - hi else None
     while stack:
         a, b, c, d = stack.pop()
         n, m = b - a, d - c
@@ -89,29 +116,23 @@ def align(payload: list[str], reference: list[str], mode: str = "exact") -> list
         elif m == 0:
             out += [("extra_payload", payload[i], i, None) for i in range(a, b)]
         elif n == 1 or n * m <= _CELLS:
-            out += _full(payload, reference, a, b, c, d, same)
+            out += _full(payload, reference, a, b, c, d, sames)
         else:
             mid = (a + b) // 2
-            head = _row(payload[a:mid], reference[c:d], same)
-            tail = _row(payload[mid:b][::-1], reference[c:d][::-1], same)[::-1]
-            total = [x + y for x, y in zip(head, tail, strict=True)]
-            cut = c + total.index(min(total))
+            head = _table(sames, range(a, mid), c, d)
+            tail = _table(sames, range(b - 1, mid - 1, -1), c, d, back=True)[::-1]
+            cut = c + int(np.argmin(head + tail))
             stack += [(mid, b, cut, d), (a, mid, c, cut)]
     shift = len(payload) - len(reference)
     return out + [("match", payload[j + shift], j + shift, j) for j in range(len(reference) - hi, len(reference))]
 
 
-def _full(payload, reference, a, b, c, d, same):
-    n, m = b - a, d - c
-    table = [list(range(m + 1))]
-    for i in range(n):
-        cur = [i + 1]
-        for j in range(m):
-            cur.append(min(table[i][j] + (0 if same(payload[a + i], reference[c + j]) else 2), table[i][j + 1] + 1, cur[j] + 1))
-        table.append(cur)
-    back, i, j = [], n, m
+def _full(payload, reference, a, b, c, d, sames):
+    table = [r.tolist() for r in _table(sames, range(a, b), c, d, whole=True)]
+    equal = [sames.row(i, c, d).tolist() for i in range(a, b)]
+    back, i, j = [], b - a, d - c
     while i or j:
-        if i and j and same(payload[a + i - 1], reference[c + j - 1]) and table[i][j] == table[i - 1][j - 1]:
+        if i and j and equal[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1]:
             back.append(("match", payload[a + i - 1], a + i - 1, c + j - 1))
             i, j = i - 1, j - 1
         elif i and j and table[i][j] == table[i - 1][j - 1] + 2:
@@ -167,42 +188,38 @@ def counts(items: Column) -> Column:
     return F.struct(n("match").alias("matches"), n("extra_payload").alias("extra_payload"), n("extra_reference").alias("extra_reference"))
 
 
+_LETTER = {"match": "m", "extra_payload": "p", "extra_reference": "r"}
+_SIGN = {"match": "  ", "extra_reference": "+ ", "extra_payload": "- "}
+
+
 def benchmark_errors(items: list[tuple[str, str]]) -> tuple[int, int, int, list[str]]:
     """(substitutions, deletions, insertions, diff lines) of aligned (type, key) items.
 
-    Neighbouring extras of both sides pair up as a substitution. A reference
-    word that holds, but does not begin with, ``name`` stands for a personal
-    name and takes the payload word beside it along.
+    The alignment is read as a string: m(atch), p(ayload only), r(eference only)
+    and n for a reference word that holds, but does not begin with, ``name``,
+    which stands for a personal name and is no error. Between names, ``rp`` and
+    ``pr`` are substitutions and other r and p insertions and deletions. A name
+    takes a payload word along: the one right before it is no longer shown (but
+    counted); failing that, the next one is neither shown nor counted.
     """
-    sub = dele = ins = 0
-    before, awaited, kept = None, False, []
-    for kind, key in items:
-        if kind == "match":
-            before = None
-        elif kind == "extra_reference" and "name" in key and not key.startswith("name"):
-            if kept and kept[-1][0] == "extra_payload":
-                kept.pop()
-            else:
-                awaited = True
-            before = None
-        elif kind == "extra_payload" and awaited:
-            awaited = False
-            continue
-        elif before is not None and before != kind:
-            sub, before = sub + 1, None
-            if kind == "extra_reference":
-                dele -= 1
-            else:
-                ins -= 1
-        else:
-            before = kind
-            if kind == "extra_reference":
-                ins += 1
-            else:
-                dele += 1
-        kept.append((kind, key))
-    sign = {"match": "  ", "extra_reference": "+ ", "extra_payload": "- "}
-    return sub, dele, ins, [sign[k] + w for k, w in kept]
+    text = "".join("n" if t == "extra_reference" and "name" in k[1:] and not k.startswith("name") else _LETTER[t] for t, k in items)
+    hidden: set[int] = set()
+    found = Counter()
+    owed = False
+    for part in re.finditer(r"([^n]*)(n?)", text):
+        at = [i for i in range(part.start(1), part.end(1))]
+        if owed and "p" in part[1]:
+            owed = False
+            hidden.add(part.start(1) + part[1].index("p"))
+            at = [i for i in at if i not in hidden]
+        shown = "".join(text[i] for i in at)
+        pairs = len(re.findall("rp|pr", shown))
+        found.update(sub=pairs, dele=shown.count("p") - pairs, ins=shown.count("r") - pairs)
+        if part[2] and shown.endswith("p"):
+            hidden.add(at[-1])
+        elif part[2]:
+            owed = True
+    return found["sub"], found["dele"], found["ins"], [_SIGN[t] + k for i, (t, k) in enumerate(items) if i not in hidden]
 
 
 @lazy_udf("struct<wer:double,total:int,matches:int,diff:string>")
@@ -223,33 +240,64 @@ def benchmark_wer(hyp: pd.Series, ref: pd.Series, raw: pd.Series) -> pd.DataFram
 
 
 def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int, int]:
-    """The stretch of ``main`` that fits ``gold`` best: overlap, aligned matches, little waste, late end."""
-    if not gold or not main:
+    """The stretch of ``main`` that fits ``gold`` best: overlap, aligned matches, little waste, late end.
+
+    Windows of about the length of ``gold`` are cut to the utterance that has most
+    of their words (``utts`` never falls; ties: the first). Overlaps of all windows
+    come from running counts; only windows with the largest one are aligned, those
+    that could have most matches first.
+    """
+    n, g = len(main), len(gold)
+    spans = np.arange(max(1, g - 2), min(n, g + 2) + 1)
+    if not n or not g or not len(spans):
+        return 0, 0
+    start = np.concatenate([np.arange(n - w + 1) for w in spans])
+    end = start + np.repeat(spans, n - spans + 1)
+    u = np.asarray(utts)
+    begins = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    ends = np.append(begins[1:], n)
+    own = np.searchsorted(begins, np.arange(n), side="right") - 1
+    s, e = start, np.minimum(end, ends[own[start]])
+    for k in range(1, int((own[end - 1] - own[start]).max()) + 1):
+        r = np.minimum(own[start] + k, own[end - 1])
+        x, y = np.maximum(start, begins[r]), np.minimum(end, ends[r])
+        more = y - x > e - s
+        s, e = np.where(more, x, s), np.where(more, y, e)
+    s, e = np.unique(np.stack([s, e]), axis=1)
+
+    def overlap(words: list[str], want: list[str]) -> np.ndarray:
+        total = np.zeros(len(s), np.int64)
+        have = np.array(words, object)
+        for w, most in Counter(want).items():
+            count = np.concatenate(([0], np.cumsum(have == w)))
+            total += np.minimum(count[e] - count[s], most)
+        return total
+
+    shared = overlap(main, gold)
+    if not shared.max():
         return 0, 0
-    want, best, where = Counter(gold), None, (0, min(len(main), len(gold)))
     low, low_gold = [t.translate(_ASCII) for t in main], [t.translate(_ASCII) for t in gold]
-    for span in range(max(1, len(gold) - 2), min(len(main), len(gold) + 2) + 1):
-        for start in range(len(main) - span + 1):
-            inside = utts[start : start + span]
-            seen = Counter(inside)
-            major = max(seen, key=lambda u: (seen[u], -inside.index(u)))
-            s = start + inside.index(major)
-            e = start + span - inside[::-1].index(major)
-            overlap = sum((Counter(main[s:e]) & want).values())
-            if best is not None and overlap < best[0]:
-                continue
-            hits = lcs(low[s:e], low_gold)  # the matches of an alignment without case
-            key = (overlap, hits, -(e - s - overlap), e)
-            if best is None or key > best:
-                best, where = key, (s, e)
-    return where if best and best[0] else (0, 0)
+    at = np.flatnonzero(shared == shared.max())
+    bound = overlap(low, low_gold)[at]  # an alignment without case has no more matches
+    best, where = None, (0, 0)
+    for k in np.lexsort((-e[at], e[at] - s[at], -bound)):
+        if best is not None and bound[k] < best[0]:
+            break
+        x, y = int(s[at[k]]), int(e[at[k]])
+        if best is not None and bound[k] == best[0] and (x - y, y) <= best[1:]:
+            continue  # even with all its matches it would not be better
+        key = (lcs(low[x:y], low_gold), x - y, y)
+        if best is None or key > best:
+            best, where = key, (x, y)
+    return where
 
 
 def compare_file(main: pd.DataFrame, gold: pd.DataFrame, complete: bool = True) -> list[tuple]:
     """Compared tokens of a file: (unit, seq, side, main utt, gold utt, text, pos, status).
 
-    Each gold utterance goes to the main utterance with its best segment;
-    all gold utterances of one main utterance form a unit with it. Main
+    Each gold utterance goes to the main utterance with its best segment, which is
+    sought behind the segment of the gold utterance before, so that a segment is
+    used once; all gold utterances of one main utterance form a unit with it. Main
     utterances without gold are units of insertions unless ``complete`` is off.
     """
     m_text, m_utt, m_pos = main["text"].tolist(), main["utt"].tolist(), main["pos"].tolist()
@@ -262,6 +310,7 @@ def compare_file(main: pd.DataFrame, gold: pd.DataFrame, complete: bool = True)
             lost.append(u)
         else:
             owner.setdefault(m_utt[frontier + s], []).append(u)
+            frontier += e
     out, unit = [], 0
     for mu in dict.fromkeys(m_utt):
         gs = owner.get(mu, [])

@@ -14,7 +14,7 @@ def test_pairs_and_error_counts_use_all_words(spark, sf):
     rows = pairs(spark, sf).collect()
     n = duckdb.sql(f"SELECT sum(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))) FROM '{sf}/conversations.parquet'").fetchall()[0][0]
     assert sum(len(r.gold) for r in rows) == n and max(len(r.gold) for r in rows) > 25
-    got = {(r.file, r.utt): (r.matches, r.extra_payload, r.extra_reference) for r in QUERIES["c03_alignment_counts_whole"](spark, sf).collect()}
+    got = {(r.file, r.utt): (r.matches, r.extra_payload, r.extra_reference) for r in QUERIES["c03_alignment_counts"](spark, sf).collect()}
     some = [r for r in rows if len(r.gold) > 25][:20]
     assert some
     for r in some:
@@ -29,7 +29,7 @@ def test_error_rates_reach_every_content_word(spark, sf):
         k = lcs(r.a, r.b)
         m, i, x = want.get(r.speaker, (0, 0, 0))
         want[r.speaker] = (m + k, i + len(r.a) - k, x + len(r.b) - k)
-    got = {r.speaker: (r.matches, r.insertions, r.deletions) for r in QUERIES["d01_d03_error_rates_whole"](spark, sf).collect()}
+    got = {r.speaker: (r.matches, r.insertions, r.deletions) for r in QUERIES["d01_d03_error_rates"](spark, sf).collect()}
     assert got == want
 
 
@@ -42,8 +42,8 @@ def test_commands_see_whole_turns(spark, sf):
 
 def test_text_rules_reach_the_end(spark, sf):
     longest = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY length(text) DESC LIMIT 1").fetchall()[0]
-    clean = QUERIES["h16_illegal_characters_whole"](spark, sf).where(F.col("doc_id") == longest[0]).first().clean
+    clean = QUERIES["h16_illegal_characters"](spark, sf).where(F.col("doc_id") == longest[0]).first().clean
     assert len(longest[1]) > 400 and len(clean) > 400
     n = utterances(spark, sf).select(F.sum(F.size("words"))).first()[0]
-    assert QUERIES["h11_split_with_times_whole"](spark, sf).count() == n
+    assert QUERIES["h11_split_with_times"](spark, sf).count() == n
     assert QUERIES["h24_sentences"](spark, sf).where(F.size(F.split("gra", " ")) > 6).count() > 0

@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from turnwise.functions import sequences
 from turnwise.functions import words as W
 from turnwise.operators import alignment, joins, metrics
 from turnwise.plans import commands
-from turnwise.queries.base import ORACLE_SQL, SPANS, U, query, spans, spiced, utterances
+from turnwise.queries.base import SPANS, U, query, spans, spiced, utterances
 from turnwise.queries.text import CONFORM
 from turnwise.session import table
 
-#: Queries whose SQL is given for the first words of a turn keep them; each has a
-#: ``_whole`` twin (end of the file) over whole turns. All others take whole turns.
-_N = 25
-
-
-def first_words(n):
-    return F.col("words") if n is None else F.slice("words", 1, n)
-
-
-def pairs(spark, d, first=None):
+def pairs(spark, d):
     """Pairs of word lists for alignment: a turn and a worn copy of it."""
-    gold = first_words(first)
+    gold = F.col("words")
     worn = F.filter(F.transform(gold, lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 1, "um").when(i % 6 == 2, F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(w)), lambda w: w.isNotNull())
     return utterances(spark, d).where(F.size("words") > 0).select("file", "utt", "speaker", gold.alias("gold"), worn.alias("main"))
 
 
-_PAIRS = f"""{U}, g AS (SELECT file, utt, speaker, words[1:{_N}] AS gold FROM u WHERE len(words) > 0),
+_PAIRS = f"""{U}, g AS (SELECT file, utt, speaker, words AS gold FROM u WHERE len(words) > 0),
 p AS (SELECT *, list_filter(list_transform(gold, lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN NULL WHEN (i - 1) % 5 = 1 THEN 'um' WHEN (i - 1) % 6 = 2 THEN translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE x END), lambda x: x IS NOT NULL) AS main FROM g)"""
 #: Longest common subsequence by a recursive table: one row of the table for each word.
 _LCS_CTE = """lcs AS (SELECT file, utt, 0 AS i, list_transform(range(len(b) + 1), lambda z: 0) AS r, a, b FROM ab
@@ -40,16 +29,16 @@ l AS (SELECT file, utt, r[-1] AS matches, len(a) AS n, len(b) AS m FROM lcs WHER
 
 
 @query("c03_alignment_counts", f"WITH RECURSIVE {_PAIRS}, ab AS (SELECT file, utt, main AS a, gold AS b FROM p), {_LCS_CTE} SELECT file, utt, matches::BIGINT AS matches, (n - matches)::BIGINT AS extra_payload, (m - matches)::BIGINT AS extra_reference FROM l")
-def c03(spark, d, first=_N):
+def c03(spark, d):
     """Aligned pairs by traceback; the counts must be those of the longest common subsequence."""
     items = alignment.aligned("exact")("main", "gold")
-    return pairs(spark, d, first).select("file", "utt", items.alias("i")).select("file", "utt", alignment.counts(F.col("i")).alias("c")).select("file", "utt", "c.*")
+    return pairs(spark, d).select("file", "utt", items.alias("i")).select("file", "utt", alignment.counts(F.col("i")).alias("c")).select("file", "utt", "c.*")
 
 
 @query("c03_lcs_native", f"WITH RECURSIVE {_PAIRS}, ab AS (SELECT file, utt, list_transform(main, lambda x: lower(x)) AS a, list_transform(gold, lambda x: lower(x)) AS b FROM p), {_LCS_CTE} SELECT file, utt, matches::INT AS lcs FROM l")
-def c03n(spark, d, first=_N, lcs_length=sequences.lcs_length):
+def c03n(spark, d):
     low = lambda c: F.transform(c, F.lower)
-    return pairs(spark, d, first).select("file", "utt", lcs_length(low("main"), low("gold")).alias("lcs"))
+    return pairs(spark, d).select("file", "utt", alignment.lcs_length(low("main"), low("gold")).alias("lcs"))
 
 
 @query("c03_alignment_items")
@@ -102,20 +91,20 @@ SELECT speaker, matches::BIGINT AS matches, insertions::BIGINT AS insertions, de
 
 
 @query("d01_d03_error_rates", _WER)
-def wer(spark, d, first=_N, lcs_length=sequences.lcs_length):
+def wer(spark, d):
     """Word error rate by speaker, with utterances as units: content words, conformed, counted without a traceback."""
     content = lambda c: W.conform_all(F.filter(c, lambda w: ~W.is_punct_or_filler(w)))
-    p = pairs(spark, d, first).select("speaker", content("main").alias("a"), content("gold").alias("b"))
-    n = p.select("speaker", lcs_length(F.col("a"), F.col("b")).alias("k"), F.size("a").alias("n"), F.size("b").alias("m"))
+    p = pairs(spark, d).select("speaker", content("main").alias("a"), content("gold").alias("b"))
+    n = p.select("speaker", alignment.lcs_length(F.col("a"), F.col("b")).alias("k"), F.size("a").alias("n"), F.size("b").alias("m"))
     c = n.groupBy("speaker").agg(F.sum("k").alias("matches"), F.sum(F.col("n") - F.col("k")).alias("insertions"), F.sum(F.col("m") - F.col("k")).alias("deletions"))
     return metrics.with_rates(c).select("speaker", "matches", "insertions", "deletions", F.round("wer", 6).alias("wer"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("d02_bag_errors", f"""WITH {_PAIRS}, w AS (SELECT file, utt, lower(unnest(main)) AS w, 1 AS s FROM p UNION ALL SELECT file, utt, lower(unnest(gold)), -1 FROM p), c AS (SELECT file, utt, w, abs(sum(s)) AS k FROM w GROUP BY 1, 2, 3)
 SELECT file, utt, sum(k)::INT AS bag FROM c GROUP BY 1, 2""")
-def d02(spark, d, first=_N):
+def d02(spark, d):
     low = lambda c: F.transform(c, F.lower)
-    return pairs(spark, d, first).select("file", "utt", sequences.bag_difference(low("main"), low("gold")).alias("bag"))
+    return pairs(spark, d).select("file", "utt", sequences.bag_difference(low("main"), low("gold")).alias("bag"))
 
 
 @query("d04_benchmark_rate")
@@ -127,15 +116,15 @@ def d04(spark, d):
 
 @query("d05_agreement", f"""WITH {_PAIRS}, w AS (SELECT file, lower(unnest(main)) AS w, 1 AS l, 0 AS r FROM p UNION ALL SELECT file, lower(unnest(gold)), 0, 1 FROM p), c AS (SELECT file, w, sum(l) AS l, sum(r) AS r FROM w GROUP BY 1, 2)
 SELECT file, sum(l)::BIGINT AS left_words, sum(r)::BIGINT AS right_words, sum(least(l, r))::BIGINT AS overlap, round(sum(least(l, r)) / nullif(sum(l), 0), 6) AS rate FROM c GROUP BY 1""")
-def d05(spark, d, first=_N):
-    p = pairs(spark, d, first)
+def d05(spark, d):
+    p = pairs(spark, d)
     a = metrics.agreement(p.select("file", F.explode("main").alias("token")), p.select("file", F.explode("gold").alias("token")), "file", "token")
     return a.withColumn("rate", F.round("rate", 6))
 
 
 @query("d06_bag_overlap", f"WITH {_PAIRS}, k AS (SELECT file, utt, main, gold, unnest(list_distinct(main)) AS k FROM p) SELECT file, utt, sum(least(len(list_filter(main, lambda x: x = k)), len(list_filter(gold, lambda x: x = k))))::INT AS overlap FROM k GROUP BY 1, 2")
-def d06(spark, d, first=_N):
-    return pairs(spark, d, first).where(F.size("main") > 0).select("file", "utt", sequences.bag_overlap(F.col("main"), F.col("gold")).alias("overlap"))
+def d06(spark, d):
+    return pairs(spark, d).where(F.size("main") > 0).select("file", "utt", sequences.bag_overlap(F.col("main"), F.col("gold")).alias("overlap"))
 
 
 @query("c01_companion_pairs", "WITH f AS (SELECT 'a/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.gold.cha' ELSE '.cha' END AS p FROM documents UNION ALL SELECT 'a/' || doc_id || '.gold.cha' FROM documents WHERE doc_id % 4 = 1) SELECT p AS main, replace(p, '.cha', '.gold.cha') AS gold, replace(p, '.cha', '.gold.cha') IN (SELECT p FROM f) AS has_gold FROM f WHERE p NOT LIKE '%.gold.cha'")
@@ -153,10 +142,10 @@ def c02(spark, d):
     return joins.media_pairs(s, media, ["wav", "mp3"])
 
 
-@query("c09_token_overlaps", f"""WITH {U}, w AS (SELECT file, speaker, lower(unnest(words[1:30])) AS token FROM u), l AS (SELECT file, speaker AS l, token, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT file, speaker AS r, token, count(*) AS m FROM w GROUP BY ALL)
+@query("c09_token_overlaps", f"""WITH {U}, w AS (SELECT file, speaker, lower(unnest(words)) AS token FROM u), l AS (SELECT file, speaker AS l, token, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT file, speaker AS r, token, count(*) AS m FROM w GROUP BY ALL)
 SELECT file, l, r, sum(least(n, m))::BIGINT AS overlap FROM l JOIN r USING (file, token) GROUP BY 1, 2, 3""")
-def c09(spark, d, first=30):
-    w = utterances(spark, d).select("file", "speaker", F.explode(F.transform(first_words(first), F.lower)).alias("token"))
+def c09(spark, d):
+    w = utterances(spark, d).select("file", "speaker", F.explode(F.transform("words", F.lower)).alias("token"))
     return joins.token_overlaps(w, w)
 
 
@@ -169,8 +158,8 @@ def c09s(spark, d):
 @query("c12_positional_differences", f"""WITH {_PAIRS}, l AS (SELECT file, utt, unnest(main) AS w, unnest(range(len(main))) AS pos FROM p), r AS (SELECT file, utt, unnest(gold) AS w, unnest(range(len(gold))) AS pos FROM p)
 SELECT CASE WHEN l.w IS NULL THEN 'missing_left' WHEN r.w IS NULL THEN 'missing_right' ELSE array_to_string(list_filter([CASE WHEN l.w <> r.w THEN 'text' END, CASE WHEN length(l.w) <> length(r.w) THEN 'size' END], lambda x: x IS NOT NULL), '+') END AS difference, count(*) AS n
 FROM l FULL JOIN r ON l.file = r.file AND l.utt = r.utt AND l.pos = r.pos GROUP BY 1""")
-def c12(spark, d, first=_N):
-    side = lambda c: pairs(spark, d, first).select("file", "utt", F.posexplode(c).alias("pos", "text")).withColumn("size", F.length("text"))
+def c12(spark, d):
+    side = lambda c: pairs(spark, d).select("file", "utt", F.posexplode(c).alias("pos", "text")).withColumn("size", F.length("text"))
     return joins.compare_positions(side("main"), side("gold"), ["file", "utt", "pos"], ["text", "size"]).groupBy(F.array_join("differences", "+").alias("difference")).agg(F.count("*").alias("n"))
 
 
@@ -191,11 +180,11 @@ def c14(spark, d):
     return joins.reassign_speakers(t, t.where("utt % 4 = 0").withColumnRenamed("utt", "seq")).select("file", "utt", "speaker_new")
 
 
-@query("c15_tokens_to_words", f"""WITH {U}, p AS (SELECT file, utt, words[1:6] AS ws FROM u WHERE len(words) >= 6), w AS (SELECT file, utt, unnest(ws) AS x, unnest(range(6)) AS pos FROM p), c AS (SELECT *, sum(length(x)) OVER (PARTITION BY file, utt ORDER BY pos) AS t FROM w),
+@query("c15_tokens_to_words", f"""WITH {U}, p AS (SELECT file, utt, words AS ws FROM u WHERE len(words) > 0), w AS (SELECT file, utt, unnest(ws) AS x, unnest(range(len(ws))) AS pos FROM p), c AS (SELECT *, sum(length(x)) OVER (PARTITION BY file, utt ORDER BY pos) AS t FROM w),
 k AS (SELECT file, utt, unnest(generate_series(0, (length(array_to_string(ws, '')) - 1) // 3)) AS token, length(array_to_string(ws, '')) AS n FROM p)
 SELECT c.file, c.utt, c.pos::INT AS word, k.token::INT AS token FROM c JOIN k ON k.file = c.file AND k.utt = c.utt AND k.token * 3 < c.t AND least(k.token * 3 + 3, n) > c.t - length(c.x)""")
-def c15(spark, d, first=6):
-    u = utterances(spark, d).where(F.size("words") >= (first or 1)).select("file", "utt", first_words(first).alias("ws"))
+def c15(spark, d):
+    u = utterances(spark, d).where(F.size("words") > 0).select("file", "utt", F.col("words").alias("ws"))
     w = u.select("file", "utt", F.posexplode("ws").alias("pos", "text"))
     whole = F.array_join("ws", "")
     thirds = F.transform(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / 3).cast("int")), lambda k: F.substr(whole, k * 3 + 1, F.lit(3)))
@@ -247,10 +236,10 @@ def _tokens(u):
     return each.select("file", (F.col("utt") * 1000 + F.col("pos")).alias("seq"), "text", ((F.col("utt") * 1000 + F.col("pos")) * 100).alias("start_ms"), ((F.col("utt") * 1000 + F.col("pos")) * 100 + 90).alias("end_ms"))
 
 
-@query("c22_timing_recovery", f"WITH {U} SELECT file, utt, CASE WHEN len(words) > 0 THEN utt * 100000 END AS start_ms, CASE WHEN len(words) > 0 THEN (utt * 1000 + least(len(words), 15) - 1) * 100 + 90 END AS end_ms FROM u")
-def c22(spark, d, first=15):
+@query("c22_timing_recovery", f"WITH {U} SELECT file, utt, CASE WHEN len(words) > 0 THEN utt * 100000 END AS start_ms, CASE WHEN len(words) > 0 THEN (utt * 1000 + len(words) - 1) * 100 + 90 END AS end_ms FROM u")
+def c22(spark, d):
     """Spans from tokens of the same words: each utterance from its first token to its last."""
-    u = utterances(spark, d).select("file", "utt", first_words(first).alias("words"))
+    u = utterances(spark, d).select("file", "utt", "words")
     return alignment.recover_timing(u, _tokens(u))
 
 
@@ -277,9 +266,9 @@ def c26(spark, d):
     return utterances(spark, d).select("file", "utt", F.posexplode(run(ws, pieces)).alias("pos", "s")).select("file", "utt", "pos", "s.start_ms", "s.end_ms")
 
 
-@query("c27_indexed_timings", f"WITH {U}, e AS (SELECT file, utt, unnest(words[1:5]) AS text, unnest(range(len(words[1:5]))) AS i FROM u) SELECT file, utt, i::INT AS pos, text, CASE WHEN i <> 2 THEN utt * 1000 + i * 10 END AS start_ms, CASE WHEN i <> 2 THEN utt * 1000 + i * 10 + 9 END AS end_ms FROM e")
-def c27(spark, d, first=5, step=1000):
-    ws = first_words(first)
+@query("c27_indexed_timings", f"WITH {U}, e AS (SELECT file, utt, unnest(words) AS text, unnest(range(len(words))) AS i FROM u) SELECT file, utt, i::INT AS pos, text, CASE WHEN i <> 2 THEN utt * 100000 + i * 10 END AS start_ms, CASE WHEN i <> 2 THEN utt * 100000 + i * 10 + 9 END AS end_ms FROM e")
+def c27(spark, d):
+    ws, step = F.col("words"), 100_000
     times = F.transform(ws, lambda _, i: F.struct((i * 10).cast("long").alias("start_ms"), F.when(i == 2, i * 10).otherwise(i * 10 + 9).cast("long").alias("end_ms")))
     t = joins.indexed_timings(ws, times, F.col("utt") * step, F.col("utt") * step + step // 2)
     return utterances(spark, d).select("file", "utt", F.posexplode(t).alias("pos", "t")).select("file", "utt", "pos", "t.text", "t.start_ms", "t.end_ms")
@@ -326,7 +315,10 @@ def c31(spark, d):
 
 @query("c33_gold_projection")
 def c33(spark, d):
-    return joins.gold_projection(alignment.compare(_main_words(spark, d), _gold_words(spark, d)))
+    """Each third turn is worn; the others can be projected where their words lie in one turn."""
+    u = utterances(spark, d).where(F.size("words") > 0)
+    main = commands.compare_words(u.where("utt % 3 <> 1")).union(_main_words(spark, d).where("utt % 3 = 1"))
+    return joins.gold_projection(alignment.compare(main, commands.compare_words(u)))
 
 
 @query("g01_unmapped_speakers", f"WITH {U} SELECT DISTINCT file, speaker FROM u EXCEPT SELECT file, speaker FROM u WHERE speaker = 'user'")
@@ -404,24 +396,3 @@ def k13(spark, d):
     t = tagged(spark, d).select("file", F.concat_ws(",", "lang", F.lit("spa")).alias("pair"), F.col("w").alias("text"), "lang", "mor", F.col("upos").alias("pos"), "feats")
     return commands.evaluate(t).select("pair", "files", "total", "spliced", "l2xxx", "missing_mor", "clean", F.round("splice_rate", 4).alias("splice_rate"), F.round("clean_rate", 4).alias("clean_rate"))
 
-
-# --- whole turns -------------------------------------------------------------------
-
-
-def whole(name, f, *cuts, **options):
-    """The query over whole turns; its SQL is the given one without the cuts."""
-    sql = ORACLE_SQL[name]
-    for old, new in cuts:
-        assert old in sql, (name, old)
-        sql = sql.replace(old, new)
-    query(f"{name}_whole", sql)(partial(f, first=None, **options))
-
-
-for _name, _f in (("c03_lcs_native", c03n), ("d01_d03_error_rates", wer)):
-    whole(_name, _f, (f"words[1:{_N}]", "words"), lcs_length=alignment.lcs_length)
-for _name, _f in (("c03_alignment_counts", c03), ("d02_bag_errors", d02), ("d05_agreement", d05), ("d06_bag_overlap", d06), ("c12_positional_differences", c12)):
-    whole(_name, _f, (f"words[1:{_N}]", "words"))
-whole("c09_token_overlaps", c09, ("words[1:30]", "words"))
-whole("c15_tokens_to_words", c15, ("words[1:6]", "words"), ("len(words) >= 6", "len(words) > 0"), ("range(6)", "range(len(ws))"))
-whole("c22_timing_recovery", c22, ("least(len(words), 15)", "len(words)"))
-whole("c27_indexed_timings", c27, ("words[1:5]", "words"), ("utt * 1000", "utt * 100000"), step=100_000)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.cantonese import character_tokens, normalise
 from turnwise.operators import joins, morphology, segmentation
 from turnwise.queries.base import U, query, spans, utterances
-from turnwise.queries.matching import first_words, whole
-from turnwise.queries.text import e18, e19, e20, h04, h11, h16, tagged
+from turnwise.queries.text import tagged
 
 
 @query("b17_placeholders", f"WITH {U} SELECT file, utt FROM u WHERE len(words) > 0 AND utt % 3 <> 0")
@@ -32,10 +31,10 @@ def b25(spark, d):
     return morphology.misaligned(utterances(spark, d).withColumn("mor", mor)).select("file", "utt")
 
 
-@query("c17_realigned_tokens", f"""WITH {U} SELECT file, utt, string_agg(x, '|' ORDER BY i) AS words FROM (SELECT file, utt, unnest(words[1:5]) AS x, unnest(range(5)) AS i FROM u WHERE len(words) >= 5) GROUP BY 1, 2""")
-def c17(spark, d, first=5):
+@query("c17_realigned_tokens", f"""WITH {U} SELECT file, utt, string_agg(x, '|' ORDER BY i) AS words FROM (SELECT file, utt, unnest(words) AS x, unnest(range(len(words))) AS i FROM u WHERE len(words) > 0) GROUP BY 1, 2""")
+def c17(spark, d):
     """Tokens of two characters put back together to the words they came from."""
-    u = utterances(spark, d).where(F.size("words") >= (first or 1)).select("file", "utt", first_words(first).alias("ws"))
+    u = utterances(spark, d).where(F.size("words") > 0).select("file", "utt", F.col("words").alias("ws"))
     w = u.select("file", "utt", F.posexplode("ws").alias("pos", "text"))
     parts = F.flatten(F.transform("ws", lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 2).cast("int")), lambda k: F.substr(x, k * 2 + 1, F.lit(2)))))
     t = u.select("file", "utt", F.posexplode(parts).alias("pos", "text"))
@@ -44,9 +43,6 @@ def c17(spark, d, first=5):
     return one.groupBy("file", "utt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "w"))), lambda x: x["w"]), "|").alias("words"))
 
 
-whole("c17_realigned_tokens", c17, ("words[1:5]", "words"), ("len(words) >= 5", "len(words) > 0"), ("range(5)", "range(len(words))"))
-
-
 @query("d31_hint_counters", f"WITH {U}, w AS (SELECT file, unnest(range(len(words))) AS i FROM u) SELECT file, count(*) FILTER (i % 4 = 0) AS hinted, count(*) FILTER (i % 4 <> 0) AS plain FROM w GROUP BY 1")
 def d31(spark, d):
     w = utterances(spark, d).select("file", F.posexplode("words").alias("i", "w")).select("file", F.when(F.col("i") % 4 == 0, "v").alias("pos_hint"), F.lit("NOUN").alias("pos"))
@@ -79,12 +75,3 @@ def h24(spark, d):
     t = tagged(spark, d).withColumn("n", F.col("pos") + 1)
     s = t.groupBy("file", "utt").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("id_start"), F.when((F.col("n") == 2) & (F.col("file") % 2 == 0), 3).otherwise(0).alias("id_end"), F.col("w").alias("text"), F.lower("w").alias("lemma"), F.col("upos"), "feats", F.when(F.col("n") == 1, 0).otherwise(1).alias("head"), F.lit("nsubj:x").alias("deprel")))).alias("ud"))
     return s.select("file", "utt", morphology.mapped_sentence("ud").alias("m")).select("file", "utt", "m.mor", "m.gra")
-
-
-# The given SQL of these holds a cut; their twins take whole texts and turns.
-whole("h04_characters", h04, ("words[1:3]", "words"))
-whole("h11_split_with_times", h11, (" WHERE i < 20", ""))
-whole("h16_illegal_characters", h16, ("text[1:400]", "text"))
-whole("e18_compounds", e18, ("words[1:3]", "words"))
-whole("e19_abbreviations", e19, ("words[1:2]", "words"))
-whole("e20_single_letters", e20, ("words[1:2]", "words"))

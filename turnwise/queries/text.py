@@ -222,9 +222,9 @@ def h03(spark, d):
     return words(spark, d).select("file", "utt", F.col("pos").cast("long").alias("pos"), W.normalise_for_wer(F.concat(F.lit("("), "w", F.lit(")"))).alias("normal"), W.without_dashes(F.col("w")).alias("dashless"))
 
 
-@query("h04_characters", f"WITH {S} SELECT file, utt, length(array_to_string(words, ''))::INT AS n, array_to_string(string_split(array_to_string(words[1:3], ''), ''), '.') AS head FROM s")
-def h04(spark, d, first=3):
-    return spiced(spark, d).select("file", "utt", F.size(W.characters(F.col("words"))).alias("n"), F.array_join(W.characters(F.col("words") if first is None else F.slice("words", 1, first)), ".").alias("head"))
+@query("h04_characters", f"WITH {S} SELECT file, utt, length(array_to_string(words, ''))::INT AS n, array_to_string(string_split(array_to_string(words, ''), ''), '.') AS head FROM s")
+def h04(spark, d):
+    return spiced(spark, d).select("file", "utt", F.size(W.characters(F.col("words"))).alias("n"), F.array_join(W.characters(F.col("words")), ".").alias("head"))
 
 
 @query("h05_number_words")
@@ -258,11 +258,11 @@ def h09(spark, d):
 @query("h11_split_with_times", f"""WITH {U}, p AS (SELECT file, utt, words, utt * 1000 AS s, utt * 1000 + 777 AS e, length(array_to_string(words, '')) AS total FROM u),
 e AS (SELECT file, utt, s, e, total, unnest(words) AS text, unnest(range(len(words))) AS i FROM p),
 c AS (SELECT *, sum(length(text)) OVER (PARTITION BY file, utt ORDER BY i) AS t, sum(length(text)) OVER (PARTITION BY file, utt ORDER BY i) - length(text) AS f FROM e)
-SELECT file, utt, i::INT AS part, text, (s + (e - s) * f // total)::BIGINT AS start_ms, (s + (e - s) * t // total)::BIGINT AS end_ms FROM c WHERE i < 20""")
-def h11(spark, d, first=20):
+SELECT file, utt, i::INT AS part, text, (s + (e - s) * f // total)::BIGINT AS start_ms, (s + (e - s) * t // total)::BIGINT AS end_ms FROM c""")
+def h11(spark, d):
     start = F.col("utt") * 1000
     u = utterances(spark, d).select("file", "utt", F.posexplode(W.split_timed(F.coalesce("text", F.lit("")), start, start + 777)).alias("part", "p"))
-    return (u if first is None else u.where(F.col("part") < first)).select("file", "utt", "part", "p.text", "p.start_ms", "p.end_ms")
+    return u.select("file", "utt", "part", "p.text", "p.start_ms", "p.end_ms")
 
 
 @query("h13_disfluency", f"WITH {SW} SELECT file, utt, pos, coalesce({_map(L.FILLED_PAUSES, 'lower(w)')}, {_map(L.REPLACEMENTS, 'lower(w)')}, w) AS w FROM w")
@@ -286,9 +286,9 @@ def h17(spark, d):
     return words(spark, d).select("file", "utt", F.col("pos").cast("long").alias("pos"), W.strip_punct(F.col("w")).alias("w"))
 
 
-@query("h16_illegal_characters", r"SELECT doc_id, regexp_replace(text[1:400], '[\[\]<>{}\x00-\x20\x15\\|^*%$#=;]', '', 'g') AS clean FROM documents")
-def h16(spark, d, first=400):
-    return table(spark, d, "documents").select("doc_id", W.illegal_removed(F.col("text") if first is None else F.substring("text", 1, first)).alias("clean"))
+@query("h16_illegal_characters", r"SELECT doc_id, regexp_replace(text, '[\[\]<>{}\x00-\x20\x15\\|^*%$#=;]', '', 'g') AS clean FROM documents")
+def h16(spark, d):
+    return table(spark, d, "documents").select("doc_id", W.illegal_removed(F.col("text")).alias("clean"))
 
 
 @query("h19_detection_gate", r"SELECT doc_id, CASE WHEN length(regexp_replace(trim(text), '[^\p{L}]', '', 'g')) >= 40 THEN lang END AS lang FROM documents")
@@ -372,30 +372,36 @@ def h33(spark, d):
 # --- word lists ------------------------------------------------------------------
 
 
-@query("e17_retraces")
+@query("e17_retraces", f"""WITH {U}, b AS (SELECT file, utt, flatten(list_transform(words, lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN [x, x] ELSE [x] END)) AS d FROM u WHERE len(words) > 0),
+g AS (SELECT file, utt, CASE WHEN utt % 3 = 0 THEN list_concat(d, d) ELSE d END AS ws FROM b), w AS (SELECT file, utt, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM g),
+f AS (SELECT *, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS y FROM w),
+e AS (SELECT a.file, a.utt, z.i - a.i AS n, a.i FROM f a JOIN f z ON a.file = z.file AND a.utt = z.utt AND a.y = z.y AND a.i < z.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY file, utt, n ORDER BY i) AS g FROM e), r AS (SELECT file, utt, min(i) AS lo, max(i) AS hi FROM k GROUP BY file, utt, n, g HAVING count(*) >= n),
+m AS (SELECT DISTINCT file, utt, unnest(generate_series(lo, hi)) AS i FROM r)
+SELECT w.file, w.utt, string_agg(x, ' ' ORDER BY i) AS said, string_agg(CASE WHEN m.i IS NULL THEN 'false' ELSE 'true' END, ' ' ORDER BY i) AS marks FROM w LEFT JOIN m USING (file, utt, i) GROUP BY 1, 2""")
 def e17(spark, d):
-    """Marked openings of repeated stretches over short word lists that repeat."""
-    ws = F.concat(F.slice("words", 1, 4), F.slice("words", 3, 4), F.slice("words", 5, 2))
-    u = utterances(spark, d).select("file", "utt", ws.alias("ws"))
+    """Marked openings of repeated stretches; each fifth word, and the whole of each third turn, is said twice."""
+    twice = F.flatten(F.transform("words", lambda w, i: F.when(i % 5 == 2, F.array(w, w)).otherwise(F.array(w))))
+    u = utterances(spark, d).where(F.size("words") > 0).select("file", "utt", F.when(F.col("utt") % 3 == 0, F.concat(twice, twice)).otherwise(twice).alias("ws"))
     return u.select("file", "utt", F.array_join("ws", " ").alias("said"), F.array_join(F.transform(sequences.retraces(F.col("ws")), lambda b: b.cast("string")), " ").alias("marks"))
 
 
-@query("e18_compounds", f"""WITH {U}, p AS (SELECT file, utt, list_concat(['air', 'port', 'port', 'some', 'thing'], words[1:3]) AS ws FROM u)
+@query("e18_compounds", f"""WITH {U}, p AS (SELECT file, utt, list_concat(['air', 'port', 'port', 'some', 'thing'], words) AS ws FROM u)
 SELECT file, utt, replace(replace(array_to_string(ws, ' '), 'air port', 'airport'), 'some thing', 'something') AS merged FROM p""")
-def e18(spark, d, first=3):
-    ws = F.concat(F.array(*map(F.lit, ["air", "port", "port", "some", "thing"])), F.col("words") if first is None else F.slice("words", 1, first))
+def e18(spark, d):
+    ws = F.concat(F.array(*map(F.lit, ["air", "port", "port", "some", "thing"])), "words")
     return utterances(spark, d).select("file", "utt", F.array_join(sequences.merge_compounds(ws), " ").alias("merged"))
 
 
-@query("e19_abbreviations", f"WITH {U} SELECT file, utt, 'USA x ' || array_to_string(list_transform(words[1:2], lambda x: x || '_'), ' ') || ' FBI TV' AS merged FROM u WHERE len(words) >= 2")
-def e19(spark, d, first=2):
-    ws = F.concat(F.array(*map(F.lit, ["U", "S", "A", "x"])), F.transform(F.col("words") if first is None else F.slice("words", 1, first), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, ["F", "B", "I", "T", "V"])))
+@query("e19_abbreviations", f"WITH {U} SELECT file, utt, 'USA x ' || array_to_string(list_transform(words, lambda x: x || '_'), ' ') || ' FBI TV' AS merged FROM u WHERE len(words) >= 2")
+def e19(spark, d):
+    ws = F.concat(F.array(*map(F.lit, ["U", "S", "A", "x"])), F.transform("words", lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, ["F", "B", "I", "T", "V"])))
     return utterances(spark, d).where(F.size("words") >= 2).select("file", "utt", F.array_join(sequences.merge_abbreviations(ws), " ").alias("merged"))
 
 
-@query("e20_single_letters", f"WITH {U} SELECT file, utt, 'abc ' || array_to_string(list_transform(words[1:2], lambda x: x || '_'), ' ') || ' de' AS joined FROM u WHERE len(words) >= 2")
-def e20(spark, d, first=2):
-    ws = F.concat(F.array(*map(F.lit, "abc")), F.transform(F.col("words") if first is None else F.slice("words", 1, first), lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, "de")))
+@query("e20_single_letters", f"WITH {U} SELECT file, utt, 'abc ' || array_to_string(list_transform(words, lambda x: x || '_'), ' ') || ' de' AS joined FROM u WHERE len(words) >= 2")
+def e20(spark, d):
+    ws = F.concat(F.array(*map(F.lit, "abc")), F.transform("words", lambda w: F.concat(w, F.lit("_"))), F.array(*map(F.lit, "de")))
     return utterances(spark, d).where(F.size("words") >= 2).select("file", "utt", F.array_join(sequences.join_single_letters(ws), " ").alias("joined"))
 
 

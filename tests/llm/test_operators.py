@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,7 +303,7 @@ def test_hadamard_keeps_lengths():
 # --- decontamination ----------------------------------------------------------------------------------
 
 
-def test_decontamination_in_blocks(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     r = random.Random(2)
     v = ["a", "b", "c", "dé", "e5"]
     items = [(i, " ".join(r.choice(v) for _ in range(r.choice([0, 1, 3, 10, 14])))) for i in range(12)] + [(50, None), (51, "!!")]
@@ -322,13 +323,26 @@ def test_decontamination_in_blocks(spark):
                         hit |= set(range(p, p + len(win)))
                         own.add(str(k))
         want[i] = (len(w), len(hit), sorted(own))
-    for most in (10, 2_000_000):
-        got = {x.doc_id: (x.n_words, sum(e - s for s, e in zip(x.starts, x.ends, strict=True)), x["items"]) for x in decontaminate.find_hits(d, b, max_index_words=most).collect()}
-        assert got == want
+    real = decontaminate.bloom
+    for bloom in (real, lambda hashes: ~np.zeros(1024, np.uint64)):  # a filter that is full only costs time
+        monkeypatch.setattr(decontaminate, "bloom", bloom)
+        rows = decontaminate.find_hits(d, b).collect()
+        assert {x.doc_id: (x.n_words, sum(e - s for s, e in zip(x.starts, x.ends, strict=True)), x["items"]) for x in rows} == want
+        assert all(e < s for x in rows for e, s in zip(x.ends, x.starts[1:], strict=False))
     assert decontaminate.find_hits(odd(spark), b.limit(0)).count() == len(ODD)
     assert decontaminate.find_hits(empty(spark), b).count() == 0
 
 
+def test_words_of_long_texts_in_parts(monkeypatch):
+    texts = ["Ab, cd " * 30 + "é" * 40, None, "", "x" * 200 + " y", ",,,", "a-b"]
+    whole = decontaminate.Words(pa.array(texts, pa.string()))
+    monkeypatch.setattr(decontaminate, "_PART", 16)
+    parts = decontaminate.Words(pa.array(texts, pa.string()))
+    assert whole.count.tolist() == [61, 0, 0, 2, 0, 2] == parts.count.tolist()
+    assert (whole.hash == parts.hash).all() and (whole.start == parts.start).all() and (whole.end == parts.end).all()
+    assert parts.text(0, 3) == "ab cd ab" and [len(parts.shingles(k)[0]) for k in (1, 2, 3)] == [65, 62, 59]
+
+
 # --- urls ---------------------------------------------------------------------------------------------
 
 

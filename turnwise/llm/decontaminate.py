@@ -1,34 +1,35 @@
 """Benchmark decontamination by a prefix-filtered set join (operator 10).
 
 The benchmark side is a set of windows: every run of ``window`` consecutive
-words of an item, or the whole item if it is shorter. A window is contained in
-a document only if all its words are, so with a containment threshold of 1 the
-necessary prefix of a window, its words ordered by rarity in the corpus, is its
-single rarest word. Documents are joined with the windows on that word alone
-(the inverted index), candidates that would start before the first or end
-after the last word of the document are cut by position and length, and the
-rest are verified word by word.
-
-* Rarity is counted over all documents (one pass that emits at most one row
-  for each word of the index and task, summed by Spark).
-* The index goes to the executors in blocks of at most ``max_index_words``
-  words. One block is the normal case; a larger benchmark takes more passes
-  over the documents, whose hits are then merged by id and text. Nothing is
-  dropped, and what is broadcast never exceeds the block bound.
-* Documents never move: no shuffle carries text.
+words of an item, or the whole item if it is shorter. A window is the list of its
+shingles (``_SIZE`` words; a shorter window is one shingle), ordered by rarity in
+the corpus. A window is contained in a document only if all its shingles are, so
+that with a containment threshold of 1 its necessary prefix is its rarest one.
+
+1. The windows are made and told apart by Spark; a benchmark of any size stays
+   distributed.
+2. Rarity is counted over all documents, in one pass that emits the counts of
+   shingles that may be in the index. What may be is told by a Bloom filter, the
+   only thing that is broadcast: at most ``_BITS`` bits (16 MB), whatever the size
+   of the benchmark. It has no false negatives; what passes wrongly falls at the
+   joins, which compare hashes.
+3. A second pass emits for each document the places of prefix shingles with the
+   words around them (up to ``window`` on each side).
+4. These are joined with the windows on the prefix shingle. Candidates that would
+   start before the first word of the document or end after its last one are cut
+   by position and length; the rest are verified word by word.
+5. Hits are gathered by document. Documents never move: no shuffle carries text.
 
 Defined results: a null or empty text has no words and no hit; an item without
-words has no window; repeated documents are reported once for each row; items
-with the same window are all reported; further columns are ignored.
+words has no window; rows are told apart by id (null included) and text, every
+row is reported once, and equal rows have equal results; items with the same
+window are all reported, an item without an id is not named; further columns are
+ignored. Nothing depends on the number of items or documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,237 +37,200 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.llm.common import slices
+from turnwise.llm.common import cut, fresh, slices, utf8
+from turnwise.llm.shingles import LOWER, mix, words
 from turnwise.session import table
 
-#: Words are runs of digits, small letters and non-ASCII characters, after A-Z is lower-cased.
-_KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
-_TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
-#: A text is split in parts of about this many bytes, so that a very long one
-#: never becomes one list of Python objects.
+_SIZE = 3
+_BITS = 1 << 27
+#: Words are runs of digits, small letters and non-ASCII bytes, after A-Z is lower-cased.
+_GAP = np.ones(256, bool)
+_GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Hashes are made for about this many bytes at a time, so that of a very long text only its words stay in memory.
 _PART = 1 << 20
 
 
-def word_parts(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of bounded length."""
-    if not text:
-        return
-    raw = text.encode("utf-8").translate(_TO_WORDS)
-    if len(raw) <= _PART:
-        yield raw.split()
-        return
-    at = 0
-    while at < len(raw):
-        end = raw.find(b" ", at + _PART)
-        end = len(raw) if end < 0 else end
-        yield raw[at:end].split()
-        at = end
-
-
-def word_ids(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """Vocabulary ids of the words of a text; -1 for a word outside it."""
-    parts = [np.fromiter(map(vocabulary.get, w, repeat(-1)), np.int32, len(w)) for w in word_parts(text)]
-    return np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.int32)
-
-
-class WindowIndex:
-    """Windows of a block of items, looked up by the rarest word of each."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        self.items = [k for k, _ in items]
-        for at, (_, words) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners = seen[tuple(ids[i : i + window])]
-                if not owners or owners[-1] != at:
-                    owners.append(at)
-        self.windows = list(seen)
-        self.owners = list(seen.values())
-
-    def order(self, counts: np.ndarray) -> None:
-        """Builds the inverted index on the rarest word of each window."""
-        n, most = len(self.windows), max((len(w) for w in self.windows), default=1)
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.full((n, most), -1, np.int32)
-        offset, token = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, w in enumerate(self.windows):
-            self.words[k, : len(w)] = w
-            offset[k] = min(range(len(w)), key=lambda i: (counts[w[i]], w[i], i))
-            token[k] = w[offset[k]]
-        by = np.argsort(token, kind="stable")
-        self.entry_window, self.entry_offset = by, offset[by]
-        ends = np.searchsorted(token[by], np.arange(len(self.vocabulary) + 1))
-        self.first, self.number = ends[:-1], np.diff(ends)
-
-    def hits(self, ids: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first word) of every occurrence in ``ids``.
-
-        ``doc`` names the document of each word, ``start`` and ``end`` its bounds.
-        """
-        if not len(self.windows):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(ids >= 0)
-        n = self.number[ids[at]]
-        at, n = at[n > 0], n[n > 0]
-        wins, starts = [], []
-        # bounded groups of candidates: a frequent prefix word never makes one huge array
-        cum = np.cumsum(n)
-        lo = 0
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(cum, (cum[lo - 1] if lo else 0) + 500_000, side="right")))
-            p, m = at[lo:hi], n[lo:hi]
-            entry = np.repeat(self.first[ids[p]] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-            p = np.repeat(p, m)
-            w, s = self.entry_window[entry], p - self.entry_offset[entry]
-            ok = (s >= start[doc[p]]) & (s + self.length[w] <= end[doc[p]])  # position and length bounds
-            w, s = w[ok], s[ok]
-            for j in range(self.words.shape[1]):  # verification; most fall at the first words
-                if not len(w):
-                    break
-                inside = self.length[w] > j
-                same = ~inside | (ids[np.minimum(s + j, len(ids) - 1)] == self.words[w, j])
-                w, s = w[same], s[same]
-            wins.append(w)
-            starts.append(s)
-            lo = hi
-        return (np.concatenate(wins), np.concatenate(starts)) if wins else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _index_blocks(items: DataFrame, item_id: str, text: str, window: int, max_words: int) -> Iterator[WindowIndex]:
-    words = items.select(F.col(item_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    total = words.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / 2 / max_words))
-    for b in range(blocks):
-        block = words if blocks == 1 else words.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
-        rows = block.distinct().orderBy("k", "t").collect()  # bounded: about max_words words of a benchmark
-        yield WindowIndex([(r.k, [w for part in word_parts(r.t) for w in part]) for r in rows], window)
-
-
-def corpus_counts(docs: DataFrame, text: str, index: WindowIndex) -> np.ndarray:
-    """How often each word of the index occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
-
-    def count(batches):
-        vocabulary = shared.value
-        total = np.zeros(len(vocabulary), np.int64)
+class Words:
+    """The words of some texts: hash, first and last byte of each, and the first word of each text."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        data, off = utf8(texts)
+        self.low = LOWER[data]
+        parts, at = [], 0
+        while at < len(data):
+            end = self._gap(at + _PART)
+            inside = off[(off >= at) & (off <= end)] - at
+            h, _, a, b = words(self.low[at:end], np.unique(np.concatenate(([0], inside, [end - at]))), _GAP)
+            parts.append((h, a + at, b + at))
+            at = end
+        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.first = np.searchsorted(self.start, off)
+        self.count = np.diff(self.first)
+
+    def _gap(self, at: int) -> int:
+        """The first place from ``at`` that is in no word."""
+        while at < len(self.low):
+            found = np.flatnonzero(_GAP[self.low[at : at + 65_536]])
+            if len(found):
+                return at + int(found[0])
+            at += 65_536
+        return len(self.low)
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of every run of ``size`` words of a text."""
+        last = np.repeat(self.first[1:], self.count)
+        at = np.flatnonzero(np.arange(len(self.hash)) + size <= last)
+        gram = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            gram = gram * np.uint64(0xD6E8FEB86659FD93) + self.hash[at + k]
+        return at, mix(gram + np.uint64(size))
+
+    def text(self, a: int, b: int) -> str:
+        """Words ``a`` to ``b`` (excluded) with one space between."""
+        raw = self.low[self.start[a] : self.end[b - 1]]
+        return b" ".join(np.where(_GAP[raw], np.uint8(0x20), raw).tobytes().split()).decode("utf-8", "replace")
+
+
+def windows(items: DataFrame, *, item_id: str, text: str, window: int) -> DataFrame:
+    """item (string), n, words, grams (hashes in order) of every distinct window of each item."""
+    source = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text"))
+
+    def run(batches):
         for batch in batches:
-            for value in batch.column(0):
-                ids = word_ids(value.as_py(), vocabulary)
-                total += np.bincount(ids[ids >= 0], minlength=len(vocabulary))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["w", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(index.vocabulary), np.int64)
-    for r in rows:
-        counts[r.w] = r.n
-    return counts
-
-
-_HITS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("starts", T.ArrayType(T.LongType())),
-        T.StructField("ends", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def find_hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-              item_text: str = "text", window: int = 10, max_index_words: int = 2_000_000) -> DataFrame:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                item, n, said, grams = [], [], [], []
+                for name, first, count in zip(part.column("item").to_pylist(), w.first[:-1].tolist(), w.count.tolist(), strict=True):
+                    wide = min(window, count)
+                    for a in range(first, first + count - wide + 1 if count else first):
+                        item.append(name)
+                        n.append(wide)
+                        said.append(w.text(a, a + wide))
+                size = {k: dict(zip(*(x.tolist() for x in w.shingles(k)), strict=True)) for k in range(1, _SIZE + 1)}
+                for first, count in zip(w.first[:-1].tolist(), w.count.tolist(), strict=True):
+                    wide = min(window, count)
+                    k = min(_SIZE, wide)
+                    for a in range(first, first + count - wide + 1 if count else first):
+                        grams.append([size[k][a + i] for i in range(wide - k + 1)])
+                grams = pa.array(np.array([g for x in grams for g in x], np.uint64).view(np.int64)), np.cumsum([0, *map(len, grams)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(item, pa.string()), pa.array(n, pa.int32()), pa.array(said, pa.string()), pa.ListArray.from_arrays(pa.array(grams[1], pa.int32()), grams[0])],
+                    ["item", "n", "words", "grams"],
+                )
+
+    return source.mapInArrow(run, "item string, n int, words string, grams array<long>").distinct()
+
+
+def bloom(hashes: DataFrame) -> np.ndarray:
+    """A filter of the column ``g``: 64 bits for each hash, up to ``_BITS`` in all; three of them are set."""
+    size = 1 << 16
+    while size < min(_BITS, 64 * hashes.count()):
+        size *= 2
+    places = F.array(*[F.shiftrightunsigned("g", k).bitwiseAND(F.lit(size - 1)) for k in (0, 18, 36)])
+    rows = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(filter_: np.ndarray, g: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(g), bool)
+    for k in (0, 18, 36):
+        p = (g >> np.uint64(k)) & np.uint64(64 * len(filter_) - 1)
+        ok &= (filter_[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def corpus_counts(source: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """(g, c): how often each of the ``wanted`` shingles (g) occurs in all texts."""
+    shared = source.sparkSession.sparkContext.broadcast(bloom(wanted))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                for size in sizes:
+                    g = w.shingles(size)[1]
+                    found, number = np.unique(g[passes(shared.value, g)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(number.astype(np.int64))], ["g", "c"])
+
+    counted = source.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return counted.join(wanted, "g", "left_semi")
+
+
+_PLACE = T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("at", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("around", T.StringType())]))
+
+
+def places(source: DataFrame, prefixes: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """doc_id, tk, n_words and the places of prefix shingles, for each document."""
+    shared = source.sparkSession.sparkContext.broadcast(bloom(prefixes))
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("around", pa.string())]))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(part.column("text"))
+                found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                for size in sizes:
+                    at, g = w.shingles(size)
+                    ok = passes(shared.value, g)
+                    at, g = at[ok], g[ok].view(np.int64)
+                    row = np.searchsorted(w.first, at, side="right") - 1
+                    for r, a, x in zip(row.tolist(), at.tolist(), g.tolist(), strict=True):
+                        first, last = int(w.first[r]), int(w.first[r + 1])
+                        begin, end = max(first, a - window + 1), min(last, a + window)
+                        found[r].append({"g": x, "at": a - first, "before": a - begin, "around": w.text(begin, end)})
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tk"), pa.array(w.count.astype(np.int64)), pa.array(found, kind)], ["doc_id", "tk", "n_words", "places"])
+
+    schema = T.StructType([source.schema["doc_id"], T.StructField("tk", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("places", _PLACE)])
+    return source.select("doc_id", "tk", "text").mapInArrow(run, schema)
+
+
+def _hits(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tk, n_words) of each document; (doc_id, tk, start, n, item) of each window that occurs."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tk"))
+    owned = cut(windows(items, item_id=item_id, text=item_text, window=window), "windows")
+    each = owned.select("words", "n", "grams").distinct()
+    sizes = sorted(r[0] for r in owned.select(F.least("n", F.lit(_SIZE))).distinct().collect())  # three at most
+    spread = each.select("words", "n", F.posexplode("grams").alias("offset", "g"))
+    counts = cut(corpus_counts(source, spread.select("g").distinct(), sizes), "rarity")
+    # a shingle that no document holds makes its window impossible
+    rare = spread.join(counts, "g", "left").groupBy("words", "n").agg(F.min(F.struct(F.coalesce("c", F.lit(0).cast("long")).alias("c"), "g", "offset")).alias("r")).where("r.c > 0")
+    prefixed = cut(rare.select("words", "n", "r.g", "r.offset"), "prefixes")
+    found = cut(places(source, prefixed.select("g").distinct(), sizes, window), "places")
+    spots = found.select("doc_id", "tk", F.explode("places").alias("p")).select("doc_id", "tk", "p.*").distinct()
+    inside = (F.col("before") >= F.col("offset")) & (F.size("list") >= F.col("before") - F.col("offset") + F.col("n"))
+    met = spots.withColumn("list", F.split("around", " ")).join(prefixed, "g").where(inside)
+    met = met.where(F.array_join(F.expr("slice(list, before - offset + 1, n)"), " ") == F.col("words"))
+    hits = met.select("doc_id", "tk", (F.col("at") - F.col("offset")).alias("start"), "n", "words").join(owned.select("words", "item"), "words")
+    return found.select("doc_id", "tk", "n_words"), hits.select("doc_id", "tk", "start", "n", "item")
+
+
+def find_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row for each document: its id, n_words, maximal hit runs and item ids.
 
     ``starts``/``ends`` are word positions (end excluded), ascending and disjoint;
     ``items`` are ids of the items with an occurring window, cast to string.
     """
-    spark = docs.sparkSession
-    passes = []
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    id_type = source.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), *_HITS.fields[:3], T.StructField("items", T.ArrayType(T.StringType()))])
-    for index in _index_blocks(items, item_id, item_text, window, max_index_words):
-        index.order(corpus_counts(source, "text", index))
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    yield _hits_of(part, index)
-
-        passes.append(run)
-    if len(passes) == 1:
-        return source.mapInArrow(run, schema)
-    # equal rows have equal hits: they are one key, and come out as often as they are in
-    keyed = source.withColumn("_key", F.sha2("text", 256))
-    both = None
-    for run in passes:
-        hits = keyed.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_key", T.StringType())]))
-        both = hits if both is None else both.unionByName(hits)
-    return _merged(both, len(passes))
-
-
-def _hits_of(part: pa.RecordBatch, index: WindowIndex) -> pa.RecordBatch:
-    each = [word_ids(v.as_py(), index.vocabulary) for v in part.column(1)]
-    n = np.array([len(x) for x in each], np.int64)
-    end = np.cumsum(n)
-    start = end - n
-    ids = np.concatenate(each) if each else np.zeros(0, np.int32)
-    w, s = index.hits(ids, np.repeat(np.arange(len(each)), n), start, end)
-    starts, ends, items = [[] for _ in each], [[] for _ in each], [[] for _ in each]
-    if len(w):
-        edge = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + index.length[w], -1)
-        # the document bounds end a run, so that runs never join across documents
-        on = np.cumsum(edge[:-1]) > 0
-        first = on & ~np.concatenate(([False], on[:-1]))
-        last = on & ~np.concatenate((on[1:], [False]))
-        bound = start[n > 0]
-        first[bound] |= on[bound]
-        last[end[n > 0] - 1] |= on[end[n > 0] - 1]
-        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        for d, x, y in zip(np.searchsorted(end, a, side="right"), a, b, strict=True):
-            starts[d].append(int(x - start[d]))
-            ends[d].append(int(y - start[d]))
-        found = defaultdict(set)
-        pairs = np.unique(np.stack([np.searchsorted(end, s, side="right"), w]), axis=1)
-        for d, k in pairs.T.tolist():
-            found[d].update(index.owners[k])
-        for d, own in found.items():
-            items[d] = sorted({str(index.items[k]) for k in own})
-    big = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [part.column(0), pa.array(n), pa.array(starts, big), pa.array(ends, big), pa.array(items, pa.list_(pa.string())), *part.columns[2:]],
-        ["doc_id", "n_words", "starts", "ends", "items", *part.schema.names[2:]],
-    )
-
-
-def _merged(both: DataFrame, blocks: int) -> DataFrame:
-    """Hits of several index blocks by id and text; every row is in each block once."""
-    grouped = both.groupBy("doc_id", "_key").agg(
-        F.max("n_words").alias("n_words"), F.count("*").alias("_n"),
-        F.array_sort(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("r"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    step = F.aggregate(
-        "r",
-        F.array().cast("array<struct<starts:bigint,ends:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["ends"] >= x["starts"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                     F.array(F.struct(F.get(acc, F.size(acc) - 1)["starts"].alias("starts"), F.greatest(F.get(acc, F.size(acc) - 1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(acc, F.array(x))),
+    each, hits = _hits(docs, items, **options)
+    by = hits.groupBy(F.col("doc_id").alias("d"), F.col("tk").alias("k")).agg(F.collect_set(F.struct("start", "n")).alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
+    hit = by.withColumn("p", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1))))))
+    runs = hit.select(
+        "d", "k", "items",
+        F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1) != x - 1)).alias("starts"),
+        F.transform(F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) != x + 1)), lambda x: x + 1).alias("ends"),
+    )
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return each.join(runs, each["doc_id"].eqNullSafe(runs["d"]) & (each["tk"] == runs["k"]), "left").select(
+        "doc_id", "n_words", F.coalesce("starts", none("long")).alias("starts"), F.coalesce("ends", none("long")).alias("ends"), F.coalesce("items", none("string")).alias("items"),
     )
-    each = grouped.withColumn("r", step).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"_n div {blocks}"))))
-    return each.select("doc_id", "n_words", F.col("r.starts").alias("starts"), F.col("r.ends").alias("ends"), "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without any benchmark window; all their columns."""
-    hit = find_hits(docs, items, **options).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs[options.get("doc_id", "doc_id")].eqNullSafe(hit["_hit_id"]), "left_anti")
+    d, k = fresh(docs, "_d"), fresh(docs, "_k")
+    hit = _hits(docs, items, doc_id=doc_id, text=text, **options)[1].select(F.col("doc_id").alias(d), F.col("tk").alias(k)).distinct()
+    return docs.join(hit, docs[doc_id].eqNullSafe(hit[d]) & (F.xxhash64(docs[text]) == hit[k]), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +239,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"),
     )
 
 

@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 _BASE = np.uint64(0x9E6C63D0876A9A47)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -51,10 +51,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each document and the total)."""
-    low = _LOWER[data]
-    on = ~_SPACE[low]
+def words(data: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each document and the total, first and last byte of each word)."""
+    low = LOWER[data]
+    on = ~space[low]
     before = np.empty(len(on) + 1, bool)
     before[0], before[1:] = False, on
     edge = np.zeros(len(on) + 1, bool)
@@ -64,7 +64,7 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[:-1], after[-1:] = ~on[1:], True
     end = np.flatnonzero(on & (after | edge[1:])) + 1
     total, down = prefix_hash(low)
-    return mix(range_hash(total, down, start, end)), np.searchsorted(start, off)
+    return mix(range_hash(total, down, start, end)), np.searchsorted(start, off), start, end
 
 
 def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
@@ -72,7 +72,7 @@ def sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarray]:
 
     A document of fewer words, but not none, has its whole sequence as one.
     """
-    h, first = words(data, off)
+    h, first, _, _ = words(data, off)
     gram = np.zeros(len(h), np.uint64)
     for k in range(size):
         n = max(0, len(h) - k)

@@ -18,7 +18,8 @@ when it was fetched:
 Defined results: a capture without a URL, host or fetch time meets no entry and
 is kept; entries without a pattern or date are ignored; entries of one pattern
 and date count in the order allow, block, remove, of which the last one holds;
-repeated captures are decided one by one; all their columns are kept.
+repeated captures are decided one by one; all their columns are kept, and new
+columns never take the name of one; an empty table or list is no special case.
 """
 
 from __future__ import annotations
@@ -66,27 +67,30 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *, url: str = "url", fetched: str = "fetched", broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
-    """``captures`` with ``action`` (null: no entry), ``pattern`` and ``kept`` added."""
-    assert not {"action", "pattern", "kept"} & {c.lower() for c in captures.columns}, "clashing columns"
+    """``captures`` with ``action`` (null: no entry), ``pattern`` and ``kept`` added.
+
+    Where ``captures`` has a column of such a name, the new one gets a number at its end.
+    """
     spans = intervals(entries)
-    p, u = fresh(captures, "_p"), fresh(captures, "_u")
+    u, f, p, t, s, b = (fresh(captures, c) for c in ("_url", "_fetched", "_pattern", "_salt", "_part", "_best"))
+    action, pattern, kept = (fresh(captures, c) for c in ("action", "pattern", "kept"))
     small = spans.limit(broadcast_rows + 1).count() <= broadcast_rows
     depth = spans.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0  # no entry has more path parts
     # the captures of one url and time are decided once and by one key
-    keyed = captures.select(F.col(url).alias(u), F.col(fetched).alias("_f")).where("_f IS NOT NULL").where(F.col(u).isNotNull()).distinct()
-    asked = keyed.select(u, "_f", F.explode(patterns_of(F.col(u), depth)).alias(p))
-    inside = lambda s: (F.col("_f") >= s["valid_from"]) & (s["valid_to"].isNull() | (F.col("_f") < s["valid_to"]))
+    keyed = captures.select(F.col(url).alias(u), F.col(fetched).alias(f)).where(F.col(f).isNotNull() & F.col(u).isNotNull()).distinct()
+    asked = keyed.select(u, f, F.explode(patterns_of(F.col(u), depth)).alias(p))
+    inside = lambda x: (F.col(f) >= x["valid_from"]) & (x["valid_to"].isNull() | (F.col(f) < x["valid_to"]))
     if small:
         side = F.broadcast(spans)
         met = asked.join(side, (F.col(p) == spans["pattern"]) & inside(spans))
     else:
-        salted = spans.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        asked = asked.withColumn("_t", F.pmod(F.xxhash64(u, "_f"), F.lit(salts)).cast("int"))
-        met = asked.join(salted, (F.col(p) == salted["pattern"]) & (F.col("_t") == salted["_s"]) & inside(salted))
-    best = met.groupBy(u, "_f").agg(F.max(F.struct(F.length("pattern").alias("n"), F.when(F.col("action") == "allow", 1).otherwise(0).alias("a"), "pattern", "action")).alias("b"))
-    verdict = best.select(F.col(u).alias("_vu"), F.col("_f").alias("_vf"), F.col("b.action").alias("action"), F.col("b.pattern").alias("pattern"))
-    out = captures.join(verdict, (captures[url] == verdict["_vu"]) & (captures[fetched] == verdict["_vf"]), "left").drop("_vu", "_vf")
-    return out.withColumn("kept", F.coalesce(F.col("action") != "block", F.lit(True)))
+        salted = spans.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asked = asked.withColumn(t, F.pmod(F.xxhash64(u, f), F.lit(salts)).cast("int"))
+        met = asked.join(salted, (F.col(p) == salted["pattern"]) & (F.col(t) == salted[s]) & inside(salted))
+    best = met.groupBy(u, f).agg(F.max(F.struct(F.length("pattern").alias("n"), F.when(F.col("action") == "allow", 1).otherwise(0).alias("a"), "pattern", "action")).alias(b))
+    verdict = best.select(u, f, F.col(f"{b}.action").alias(action), F.col(f"{b}.pattern").alias(pattern))
+    out = captures.join(verdict, (captures[url] == verdict[u]) & (captures[fetched] == verdict[f]), "left").drop(u, f)
+    return out.withColumn(kept, F.coalesce(F.col(action) != "block", F.lit(True)))
 
 
 def sample_entries(spark: SparkSession) -> DataFrame:

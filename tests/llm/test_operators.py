@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -258,7 +259,8 @@ def test_reply_trees(spark):
     said = "</s>[INST] ok [/INST] <|end|> <\\|end|> <|turn|"
     rows = [("t", 1, None, "user", said, 1.0), ("t", 2, 1, "assistant", said, 5.0), ("t", 3, 1, "assistant", "no", 1.0), ("t", 4, 3, "user", "deep", 1.0), ("t", 5, 4, "assistant", None, 1.0), ("u", 1, 9, None, "lone", 0.0), ("c", 1, 2, "user", "loop", 1.0), ("c", 2, 1, "user", "loop", 1.0)]
     nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
-    paths = {(r.tree, r.leaf): (r.path, r.score) for r in chat.paths(nodes).collect()}
+    steps = sorted(chat.paths(nodes, keep=5).collect(), key=lambda r: (r.tree, r.leaf, -r.up))
+    paths = {k: ([r.node for r in steps if (r.tree, r.leaf) == k], next(r.score for r in steps if (r.tree, r.leaf) == k)) for k in {(r.tree, r.leaf) for r in steps}}
     assert paths == {("t", 2): ([1, 2], 3.0), ("t", 5): ([1, 3, 4, 5], 1.0), ("u", 1): ([1], 0.0)}
     out = {(r.tree, r["rank"]): r for r in chat.formatted(nodes, keep=5).withColumn("back", chat.read_back(F.col("text"))).collect()}
     best = out["t", 1]
@@ -269,6 +271,43 @@ def test_reply_trees(spark):
     assert chat.formatted(nodes.limit(0)).count() == 0
 
 
+def test_reply_trees_match_a_walk(spark):
+    r = random.Random(4)
+    rows = [(t, n, r.choice([None, *range(n)]) if n else None, "user" if n % 2 else "assistant", f"x{n}", float(r.randint(0, 9))) for t in ("p", "q", None) for n in range(25)]
+    rows += [("q", 90 + k, 89 + k if k else None, "user", "y", 1.0) for k in range(33)] + [("q", 200, 201, "user", "", 1.0), ("q", 201, 200, "user", "", 1.0), ("q", 202, 201, "user", "", 1.0), ("p", None, 3, "user", "no id", 9.0)]
+    rows += [("p", 7, 99, "zz", "another row of node 7", 1.0)]
+    of = {}
+    for t, n, up, _, _, score in sorted(rows, key=lambda x: (str(x[0]), x[1] or 0, x[2] is not None, x[2] or 0)):
+        if n is not None:
+            of.setdefault((t, n), (up, score))
+    want = []
+    for tree in ("p", "q", None):
+        leaves = {n for t, n in of if t == tree} - {up for (t, _), (up, _) in of.items() if t == tree}
+        best = []
+        for leaf in leaves:
+            path, n = [], leaf
+            while n is not None and (tree, n) in of and n not in path:
+                path.append(n)
+                n = of[tree, n][0]
+            if n not in path:
+                best.append((-sum(of[tree, x][1] for x in path) / len(path), leaf, path[::-1]))
+        want += [(tree, leaf, k + 1, path) for k, (_, leaf, path) in enumerate(sorted(best)[:3])]
+    got = {}
+    for x in sorted(chat.paths(chat._nodes(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")), keep=3).collect(), key=lambda x: -x.up):
+        got.setdefault((x.tree, x.leaf, x["rank"]), []).append(x.node)
+    assert sorted(map(str, want)) == sorted(str((*k, v)) for k, v in got.items())
+
+
+def test_every_turn_is_formatted(spark, tmp_path):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, "user", "no id"), (None, 1, "assistant", "<|end|>"), (2, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("x")).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.turns_sha256) for r in chat.op8_chat(spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got.pop(-7)[0] == 2
+    assert got == {1: (3, 0, sha("user\nhi\nuser\nhi\nassistant\n\n")), None: (2, 7, sha("user\nno id\nassistant\n<|end|>\n")), 2: (1, 0, sha("\n\n"))}
+    assert differs(spark, chat.op8_chat, chat.SQL, str(tmp_path)) is None
+
+
 # --- neighbours -------------------------------------------------------------------------------------
 
 
@@ -353,3 +392,6 @@ def test_url_intervals(spark):
         got = sorted((r.id, r.action, r.kept) for r in urlfilter.filter_urls(c, e, broadcast_rows=rows, salts=3).collect())
         assert got == [(1, "allow", True), (2, "block", False), (2, "block", False), (3, None, True), (4, None, True), (5, None, True), (6, None, True), (7, None, True)]
     assert urlfilter.filter_urls(c.limit(0), e).count() == 0
+    clash = urlfilter.filter_urls(c.selectExpr("*", "1 as action", "2 as KEPT", "3 as _f", "4 as pattern"), e.withColumn("id", F.lit(1)))
+    assert clash.columns == ["id", "url", "fetched", "action", "KEPT", "_f", "pattern", "action_1", "pattern_1", "kept_1"]
+    assert Counter((r.id, r.action_1) for r in clash.collect()) == Counter([(1, "allow"), (2, "block"), (2, "block"), (3, None), (4, None), (5, None), (6, None), (7, None)])

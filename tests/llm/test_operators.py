@@ -200,7 +200,7 @@ def test_components(spark):
 def test_surrogates(spark):
     texts = ["an.34@mail7.example.com AN.34@MAIL7.EXAMPLE.COM!!", "+1 (017) 555-7713 and +1 017 555 7713", "97.51.17.173 not 1.2.3", "9807915762804490", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "Mrs Anna Smith met Mr Smith", "nothing 4.0. here 2020", None, ""]
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, name string")
-    out = [r.text for r in pii.pseudonymise(docs).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymise(docs, key="k").orderBy("doc_id").collect()]
     a, b = out[0].split()
     assert b.rstrip("!") == a.upper() and a != "an.34@mail7.example.com"
     assert re.sub(r"\D", "", out[1].split(" and ")[0]) == re.sub(r"\D", "", out[1].split(" and ")[1])
@@ -213,13 +213,13 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"123-45-{i:04d}") for i in range(3000)] + [(9000 + i, f"x{i}@a.org") for i in range(50)], "doc_id long, text string")
-    one = pii.pseudonymise(docs)
+    one = pii.pseudonymise(docs, key="k")
     assert one.select("text").distinct().count() == 3050
     real = {r.text for r in docs.collect()}
     got = {r.doc_id: r.text for r in one.collect()}
     assert not real & set(got.values())
     monkeypatch.setattr(pii, "_LITERAL", -1)  # the way for many redraws gives the same texts
-    assert {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()} == got
+    assert {r.doc_id: r.text for r in pii.pseudonymise(docs, key="k").collect()} == got
 
 
 def test_redraws_settle_collisions(spark, monkeypatch):
@@ -231,9 +231,59 @@ def test_redraws_settle_collisions(spark, monkeypatch):
     assert lost and len(set(drawn)) == 120
 
 
+def test_full_formats_are_permuted(spark):
+    """5,001 numbers of four digits: no draw could avoid all of them, a permutation ends."""
+    docs = spark.createDataFrame([(i, f"+49 {i // 100:02d}-{i % 100:02d}") for i in range(5_001)] + [(9_000, "+33 12-34")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs, key="k").collect()}
+    assert len(set(out.values())) == 5_002 and all(re.fullmatch(r"\+(49|33) \d\d-\d\d", t) for t in out.values())
+    assert sum(out[i] == f"+49 {i // 100:02d}-{i % 100:02d}" for i in range(5_001)) < 10
+    every = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    assert every.select(pii.permuted(F.col("d"), F.lit("f"), "k").alias("p")).distinct().where("p rlike '^[0-9]{3}$'").count() == 1000
+
+
+def test_surrogates_match_a_plain_reading(spark):
+    """The text between entities stays; what stands for an entity has its type and format and is one for one."""
+    import regex
+
+    r = random.Random(8)
+    people = ["Mr Smith", "Mrs Anna Smith", "Herr Weber", "κύριος Παππάς", "господин Иванов", "Mr. John Doe"]
+    values = [lambda: f"{r.choice('abc')}{r.randint(1, 9)}@{r.choice(['x.org', 'MAIL.de', 'mail.de'])}", lambda: f"10.{r.randint(0, 3)}.0.{r.randint(1, 9)}", lambda: r.choice(["+1 (212) 555-01", "+44 20 7946 00", "212-555-01"]) + str(r.randint(10, 40)),
+              lambda: f"078-05-11{r.randint(10, 30)}", lambda: f"4000 1234 5678 90{r.randint(10, 20)}", lambda: f"{r.randint(0, 9)}f" * 20, lambda: r.choice(people), lambda: "plain 12 words,"]
+    texts = [" then ".join(r.choice(values)() for _ in range(r.randint(0, 6))) for _ in range(60)]
+    out = [x.text for x in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()]
+    entity, names = regex.compile(pii.ENTITY), {}
+    for before, after in zip(texts, out, strict=True):
+        found = [m[0] for m in entity.finditer(before)]
+        gaps = entity.split(before) if found else [before]
+        m = re.fullmatch("(.+?)".join(map(re.escape, gaps)), after, re.S)
+        assert m, (before, after)
+        for a, b in zip(found, m.groups(), strict=True):
+            assert a != b
+            if "@" in a or re.fullmatch(r"[\d.]+", a):
+                assert ("@" in b) == ("@" in a) and b.count(".") >= 1
+                key = a.lower()
+            elif a[0].isalpha() and not re.fullmatch("[0-9a-f]{40}", a):
+                assert len(a.split()) == len(b.split()) and a.split()[0] == b.split()[0]
+                for x, y in zip(a.split()[1:], b.split()[1:], strict=True):
+                    script = lambda w: "greek" if "Ͱ" <= w[-1] <= "Ͽ" else "cyrillic" if "Ѐ" <= w[-1] <= "ӿ" else "latin"
+                    assert script(x) == script(y) and y.istitle()
+                key = ("last", a.split()[-1])
+                a, b = a.split()[-1], b.split()[-1]
+            elif len(a) == 40:
+                assert re.fullmatch("[0-9a-f]{40}", b)
+                key = a
+            else:
+                assert re.sub(r"\d", "0", a).split()[-1] == re.sub(r"\d", "0", b).split()[-1] and len(a) == len(b)
+                key = re.sub(r"\D", "", a)
+            assert names.setdefault(key, b.lower()) == b.lower()
+    assert len(set(names.values())) == len(names) and not set(names.values()) & {str(k) for k in names}
+
+
 def test_surrogates_on_odd_rows(spark):
-    assert pii.pseudonymise(odd(spark)).columns == odd(spark).columns
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    with pytest.raises((TypeError, ValueError)):
+        pii.pseudonymise(odd(spark), key="")
+    assert pii.pseudonymise(odd(spark), key="k").columns == odd(spark).columns
+    assert pii.pseudonymise(empty(spark), key="k").count() == 0
 
 
 # --- tokens ----------------------------------------------------------------------------------

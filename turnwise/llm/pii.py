@@ -13,7 +13,15 @@ text by surrogates of the same type:
   or Cyrillic);
 * distinctness is checked over the corpus: all entities and their surrogates are
   compared by ``groupBy``; where two entities share one, or one is itself an
-  entity of the corpus, the later entity draws again until none is left.
+  entity of the corpus, the later entity draws again until none is left;
+* a format of digits that is more than an eighth full (say, 2,000 numbers of four
+  digits behind one country code) is not drawn but permuted: a keyed Feistel
+  network maps its numbers one to one, so that they stay distinct however full
+  the format is. Such a surrogate may be another number of the corpus, which a
+  format that is more than half full cannot avoid. Other formats have room for
+  any corpus; an entity that lost ``_DRAWS`` draws nevertheless keeps its last one.
+
+The key is the caller's: who has it can compute the surrogates again.
 
 Replacing is a map over the documents: gaps and matches of a text are put
 together again with surrogates in place of the matches. Only draws after the
@@ -21,12 +29,16 @@ first have to be looked up. Up to ``_LITERAL`` of them go along as a literal;
 more are joined to the documents that need them. No text is shuffled unless so.
 
 Defined results: null stays null, texts without entities are unchanged, and
-all columns and rows are kept; an entity inside a longer run of digits or
-letters is not one; empty tables stay empty.
+all columns and rows are kept (repeated rows get equal texts, added columns never
+take the name of one); an entity inside a longer run of digits or letters is not
+one; where patterns overlap the first in the text counts, ties in the order of
+``ENTITY``; a text of any length is one value; empty tables stay empty.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +49,10 @@ from turnwise.session import table
 _MALE = "Mr|Herr|Monsieur|Señor|Signor|Sr|κύριος|господин|г-н"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Signora|Sra|κυρία|госпожа|г-жа"
 _LITERAL = 5_000
+_DRAWS = 60
+_ROUNDS = 6
+#: The formats whose surrogates are digits, one for one.
+_DIGITS = ("phone", "ssn", "card")
 
 _WORDC = r"\p{L}\p{N}._%+\-"
 EMAIL = rf"(?<![{_WORDC}])[{_WORDC}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)++"
@@ -100,10 +116,27 @@ def described(found: Column) -> Column:
     )
 
 
+def permuted(digits: Column, form: Column, key: str) -> Column:
+    """A keyed permutation of all strings of as many digits: a Feistel network of additions."""
+    n = F.length(digits)
+    half = F.floor(n / 2).cast("int")
+    start = F.struct(F.substr(digits, F.lit(1), half).alias("l"), F.substr(digits, half + 1).alias("r"))
+
+    def step(acc: Column, i: Column) -> Column:
+        left, right = acc["l"], acc["r"]
+        into, by = F.when(i % 2 == 0, left).otherwise(right), F.when(i % 2 == 0, right).otherwise(left)
+        add = F.conv(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("permute"), form, i.cast("string"), by), 256), F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")
+        room = F.rpad(F.lit("1"), F.length(into) + 1, F.lit("0")).cast("decimal(38,0)")
+        out = F.lpad(((F.coalesce(into.try_cast("decimal(38,0)"), F.lit(0)) + add) % room).cast("decimal(38,0)").cast("string"), F.length(into), F.lit("0"))
+        return F.struct(F.when(i % 2 == 0, out).otherwise(left).alias("l"), F.when(i % 2 == 0, right).otherwise(out).alias("r"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
+
+
 def values_of(names: Column, attempt, key: str) -> Column:
     """The surrogates of entities in canonical form (what distinctness is checked on).
 
-    ``attempt`` gives the number of draws an entity has lost.
+    ``attempt`` gives the number of draws an entity has lost, or -1 for a permutation.
     """
     drawn = F.transform(names, lambda n: F.struct(F.split(n, r"\|", 3).alias("p"), n.alias("n"), attempt(n).alias("a")))
     hashed = F.transform(drawn, lambda x: F.struct(F.get(x["p"], F.lit(0)).alias("t"), F.get(x["p"], F.lit(1)).alias("form"), F.get(x["p"], F.lit(2)).alias("canon"), x["a"].alias("a"),
@@ -115,7 +148,7 @@ def values_of(names: Column, attempt, key: str) -> Column:
     def value(x: Column) -> Column:
         h, n = x["h"], F.length(x["canon"])
         # three syllables; a word that has lost draws gets longer
-        syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(2) + x["a"], F.lit(20))), lambda i: F.concat(F.substr(x["c"], 2 * i + 1, F.lit(1)), F.substr(x["v"], 2 * i + 2, F.lit(1)))), "")
+        syllables = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(2) + F.greatest(x["a"], F.lit(0)), F.lit(20))), lambda i: F.concat(F.substr(x["c"], 2 * i + 1, F.lit(1)), F.substr(x["v"], 2 * i + 2, F.lit(1)))), "")
         ending = F.when(x["form"].endswith("f"), by_script(x["form"], 3)).otherwise(by_script(x["form"], 2))
         octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substr(h, 4 * i + 1, F.lit(4)), 16, 10).cast("int") % 223 + 1).cast("string")), ".")
         local = F.greatest(F.lit(10), F.least(F.length(F.substring_index(x["canon"], "@", 1)), F.lit(40)))
@@ -123,7 +156,7 @@ def values_of(names: Column, attempt, key: str) -> Column:
         return (
             F.when(x["t"] == "email", F.concat(F.substr(F.translate(h, "0123456789", "ghjkmnpqrs"), F.lit(1), local), domain)).when(x["t"] == "ip", octets)
             .when(x["t"] == "secret", F.substr(h, F.lit(1), n)).when(x["t"] == "last", syllables).when(x["t"] == "given", F.concat(syllables, F.substr(x["c"], F.lit(60), F.lit(1)), ending))
-            .otherwise(F.substr(F.translate(h, "abcdef", "274953"), F.lit(1), n))
+            .when((x["a"] < 0) & (n > 1), permuted(x["canon"], F.concat_ws("|", x["t"], x["form"]), key)).otherwise(F.substr(F.translate(h, "abcdef", "274953"), F.lit(1), n))
         )
 
     return F.transform(spelled, value)
@@ -165,17 +198,23 @@ def entities(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def redraws(names: DataFrame, key: str) -> DataFrame:
-    """(name, attempt) of the entities whose first surrogates are taken.
+    """(name, attempt) of the entities whose first surrogates are not used.
 
     Of the entities that draw one surrogate, the one with the fewest draws (ties:
-    in order of the name) keeps it; none may keep an entity of the corpus.
+    in order of the name) keeps it; none may keep an entity of the corpus. All
+    entities of a format of digits that is more than an eighth full get -1.
     """
-    cur = cut(names.select("name", F.lit(0).alias("attempt")), "draws")
+    shape = F.regexp_extract("name", r"^([^|]*\|[^|]*)\|", 1)
+    digits, length = F.substring_index("name", "|", 1).isin(*_DIGITS), F.length(F.regexp_extract("name", r"^[^|]*\|[^|]*\|(.*)$", 1))
+    shaped = cut(names.select("name", F.when(digits & (length < 18), F.pow(F.lit(10.0), length)).alias("room"), shape.alias("shape")), "entities")
+    full = shaped.where("room IS NOT NULL").groupBy("shape").agg(F.count("*").alias("k"), F.max("room").alias("room")).where("8 * k > room").select("shape")
+    crowded = cut(shaped.join(full, "shape", "left_semi").select("name"), "crowded")
+    cur = cut(shaped.join(full, "shape", "left_anti").select("name", F.lit(0).alias("attempt")), "draws")
     # what is compared: all but the length of the original, which a surrogate (of an address) may not keep
     plain = lambda c: F.regexp_replace(c, r"^([^|]*\|[^|#]*)#\d+\|", "$1|")
     form = F.regexp_extract(plain(F.col("name")), r"^[^|]*\|[^|]*\|", 0)
-    real = cur.select(plain(F.col("name")).alias("real")).distinct()
-    while True:
+    real = shaped.select(plain(F.col("name")).alias("real")).distinct()
+    for _ in range(_DRAWS):
         value = F.get(values_of(F.array("name"), lambda n: F.col("attempt"), key), F.lit(0))
         drawn = cur.withColumn("drawn", F.concat(form, value))
         order = Window.partitionBy("drawn").orderBy("attempt", "name")
@@ -183,15 +222,18 @@ def redraws(names: DataFrame, key: str) -> DataFrame:
         lost = (F.col("r") > 1) | F.col("real").isNotNull()
         cur = cut(ranked.select("name", F.when(lost, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), lost.alias("again")), "draws")
         if cur.where("again").isEmpty():
-            return cur.where("attempt > 0").select("name", "attempt")
+            break
         cur = cur.select("name", "attempt")
+    return cur.where("attempt > 0").select("name", "attempt").union(crowded.select("name", F.lit(-1)))
 
 
-def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "turnwise", count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; all columns and rows are kept.
 
     ``count`` names a column to add: how many matches the text had.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     taken = redraws(entities(docs, text=text), key)
     few = taken.limit(_LITERAL + 1).collect()
     body, hits = F.col(text), fresh(docs, "_hits")
@@ -213,6 +255,11 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str = "turnwise",
     return out.select(*docs.columns, *([F.coalesce(F.size(hits), F.lit(0)).cast("long").alias(count)] if count else []))
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key set as ``spark.turnwise.pii.key``; without one, a new key that holds for this call."""
+    return spark.conf.get("spark.turnwise.pii.key", None) or secrets.token_hex(32)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates: doc_id, text, n_entities (matches of the original)."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key_of(spark), count="n_entities")

@@ -8,12 +8,15 @@ and minimum over the chunks, a small hidden layer and one sigmoid.
 The weights are fitted on the driver on a bounded sample of labelled rows
 (``sample`` rows with texts of at most ``sample_bytes`` bytes, in the order of a
 hash of their ids); scores are then made for every whole text, on the
-executors, in slices of bounded memory, without any shuffle of text.
+executors, without any shuffle of text. Of a text of any length, 512 chunks are
+expanded at a time; what stays is half a byte for each byte of it.
 
 Defined results: null and empty texts get the score of a document without
 bytes; several labels of one id count as their maximum; labels without a
 document and null labels are not used; without any labelled row, or with one
-class only, each score is the share of label 1 (0.5 without labels).
+class only, each score is the share of label 1 (0.5 without labels). Repeated rows
+are scored one by one, equal texts get equal scores (ties stay ties); an empty
+table stays empty; where the score's name is taken, it gets a number at its end.
 """
 
 from __future__ import annotations
@@ -23,27 +26,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import crc_mod, slices, utf8
+from turnwise.llm.common import crc_mod, fresh, slices, utf8
 from turnwise.session import table
 
 CHUNK, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 256, 8, 4, 8, 32, 16
 _PAD = 256  # the embedding row of bytes after the end
 
 
-def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(chunk matrix of byte ids, first chunk of each document)."""
-    n = np.diff(off)
-    step = CHUNK - WIDTH
-    k = np.maximum(1, -(-(n - WIDTH) // step))
-    first = np.concatenate(([0], np.cumsum(k)[:-1]))
-    doc = np.repeat(np.arange(len(n)), k)
-    start = off[doc] + (np.arange(len(doc)) - first[doc]) * step
-    at = start[:, None] + np.arange(CHUNK)
+def layout(off: np.ndarray) -> np.ndarray:
+    """First chunk of each document, and the number of chunks."""
+    return np.concatenate(([0], np.cumsum(np.maximum(1, -(-(np.diff(off) - WIDTH) // (CHUNK - WIDTH))))))
+
+
+def expanded(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Byte ids of the chunks ``lo`` to ``hi`` of the documents, a row for each."""
+    first = layout(off)
+    each = np.arange(lo, min(hi, first[-1]))
+    doc = np.searchsorted(first, each, side="right") - 1
+    at = (off[doc] + (each - first[doc]) * (CHUNK - WIDTH))[:, None] + np.arange(CHUNK)
     inside = at < off[doc + 1][:, None]
     ids = np.full(at.shape, _PAD, np.int16)
     if len(data):
         ids[inside] = data[at[inside]]
-    return ids, first
+    return ids
+
+
+def chunks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk matrix of byte ids, first chunk of each document)."""
+    first = layout(off)
+    return expanded(data, off, 0, int(first[-1])), first[:-1]
 
 
 class ByteNet:
@@ -87,10 +98,9 @@ class ByteNet:
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
-        ids, first = chunks(data, off)
-        n = np.diff(np.append(first, len(ids)))
-        m = np.concatenate([self.pooled(ids[i : i + 512])[0] for i in range(0, len(ids), 512)]) if len(ids) else np.zeros((0, FILTERS), np.float32)
-        return self.combine(m, first, n)[2].astype(np.float64) if len(n) else np.zeros(0)
+        first = layout(off)
+        m = [self.pooled(expanded(data, off, i, i + 512))[0] for i in range(0, int(first[-1]), 512)]
+        return self.combine(np.concatenate(m), first[:-1], np.diff(first))[2].astype(np.float64) if m else np.zeros(0)
 
     def gradient(self, ids: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n = np.diff(np.append(first, len(ids)))
@@ -155,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, net: ByteNet, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with one more column, the probability of good quality."""
-    assert out not in docs.columns, f"column {out} exists"
+    """``docs`` with one more column, the probability of good quality (``out``, or a free name like it)."""
+    out = fresh(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

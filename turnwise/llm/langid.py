@@ -12,7 +12,9 @@ into one table of scores by bucket; every whole text is read once, in slices.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 rows with a null language are predicted but not learned from; ties go to the
-language first in alphabetical order; without learnable rows all are ``und``.
+language first in alphabetical order; without learnable rows all are ``und``;
+repeated rows are predicted one by one; of a text of any length ``_PART`` bytes are
+looked up at a time; further columns are ignored, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from turnwise.llm.common import crc_mod, slices, utf8
 from turnwise.session import table
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, (2, 3, 4)
+#: Bytes whose subwords are looked up at a time (some 60 bytes of memory each).
+_PART = 1 << 18
 
 
 def subwords(data: np.ndarray, n: int) -> np.ndarray:
@@ -48,16 +52,16 @@ class LanguageModel:
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         total = np.zeros((len(off) - 1, len(self.langs)))
         count = np.zeros(len(off) - 1)
-        for n in GRAMS:
-            idx = subwords(data, n)
-            if not len(idx):
-                continue
-            cum = np.zeros((len(idx) + 1, len(self.langs)))
-            np.cumsum(self.table[idx], axis=0, dtype=np.float64, out=cum[1:])
-            a = np.minimum(off[:-1], len(idx))
-            b = np.clip(off[1:] - n + 1, a, len(idx))
-            total += cum[b] - cum[a]
-            count += b - a
+        for lo in range(0, len(data), _PART):
+            own = slice(max(0, int(np.searchsorted(off, lo, side="right")) - 1), int(np.searchsorted(off, lo + _PART)))  # documents that begin or go on here
+            for n in GRAMS:
+                idx = subwords(data[lo : lo + _PART + n - 1], n)
+                cum = np.zeros((len(idx) + 1, len(self.langs)))
+                np.cumsum(self.table[idx], axis=0, dtype=np.float64, out=cum[1:])
+                a = np.clip(off[:-1][own] - lo, 0, len(idx))
+                b = np.clip(off[1:][own] - n + 1 - lo, a, len(idx))
+                total[own] += cum[b] - cum[a]
+                count[own] += b - a
         return total / np.maximum(count, 1)[:, None] + self.bias
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +128,10 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """Fits on at most ``per_lang`` rows of each language (``most`` in all) outside the held-out quarter."""
     rows = docs.select(F.col(doc_id).alias("k"), F.col(lang).alias("y"), F.octet_length(text).alias("n"))
     rows = rows.where(F.col("k").isNotNull() & F.col("y").isNotNull() & (F.col("n") <= sample_bytes)).where(crc_mod("k", 4) != 2)
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    ids = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).orderBy("r", "y").limit(most).select("k").distinct()
+    order = (F.xxhash64("k"), F.col("k"))
+    # first in parts, so that no task gets all rows of a frequent language
+    some = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("y", "part").orderBy(*order))).where(F.col("r") <= per_lang)
+    ids = some.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("r") <= per_lang).orderBy("r", "y").limit(most).select("k").distinct()
     found = docs.select(F.col(doc_id).alias("k"), F.lower(F.col(text)).alias("t"), F.col(lang).alias("y")).join(F.broadcast(ids), "k")
     found = found.where(F.col("t").isNotNull() & F.col("y").isNotNull()).toPandas().sort_values(["k", "y", "t"])  # bounded by most * sample_bytes
     langs = sorted(found["y"].unique())

@@ -445,3 +445,73 @@ def test_url_intervals(spark):
     clash = urlfilter.filter_urls(c.selectExpr("*", "1 as action", "2 as KEPT", "3 as _f", "4 as pattern"), e.withColumn("id", F.lit(1)))
     assert clash.columns == ["id", "url", "fetched", "action", "KEPT", "_f", "pattern", "action_1", "pattern_1", "kept_1"]
     assert Counter((r.id, r.action_1) for r in clash.collect()) == Counter([(1, "allow"), (2, "block"), (2, "block"), (3, None), (4, None), (5, None), (6, None), (7, None)])
+
+
+# --- plain readings of the models -------------------------------------------------------------------
+
+
+def test_quality_scores_match_a_plain_network(monkeypatch):
+    net = quality.ByteNet(3)
+    r = np.random.default_rng(1)
+    for k, v in net.p.items():
+        net.p[k] = (v + r.normal(0, 0.1, v.shape)).astype(np.float32)
+    net.p["emb"][256] = 0
+    texts = [b"", b"a", bytes(r.integers(0, 256, 255).tolist()), bytes(r.integers(0, 256, 256).tolist()), bytes(r.integers(0, 256, 1300).tolist())]
+
+    def plain(t):
+        p = {k: v.astype(float) for k, v in net.p.items()}
+        pooled, step = [], quality.CHUNK - quality.WIDTH
+        for at in range(0, max(1, len(t) - quality.WIDTH), step):
+            ids = [t[at + i] if at + i < len(t) else 256 for i in range(quality.CHUNK)]
+            conv = [sum(p["emb"][ids[s + w]] @ p["conv"][w * quality.EMBED : (w + 1) * quality.EMBED] for w in range(quality.WIDTH)) for s in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)]
+            pooled.append([max(0.0, max(c[f] for c in conv) + p["bias"][f]) for f in range(quality.FILTERS)])
+        cols = list(zip(*pooled, strict=True))
+        x = [max(c) for c in cols] + [sum(c) / len(c) for c in cols] + [min(c) for c in cols]
+        z = np.tanh(np.array(x) @ p["hid"] + p["hb"]) @ p["out"] + p["ob"][0]
+        return 1 / (1 + np.exp(-z))
+
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = net.score(data, off)
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+    long = np.frombuffer(bytes(r.integers(0, 256, 400_000).tolist()), np.uint8)  # more chunks than are expanded at a time
+    one = net.score(long, np.array([0, len(long)]))
+    ids, first = quality.chunks(long, np.array([0, len(long)]))
+    assert np.allclose(one, net.combine(net.pooled(ids)[0], first, np.array([len(ids)]))[2], atol=1e-5)
+
+
+def test_language_scores_match_a_plain_average(monkeypatch):
+    model = langid.LanguageModel(["a", "b", "c"])
+    r = np.random.default_rng(2)
+    model.table, model.bias = r.normal(0, 1, model.table.shape).astype(np.float32), r.normal(0, 1, 3)
+    texts = [b"", b"x", b"hello there", bytes(r.integers(97, 123, 700).tolist()), b"ab"]
+
+    def plain(t):
+        rows = []
+        for n in langid.GRAMS:
+            for i in range(len(t) - n + 1):
+                x = 0
+                for c in t[i : i + n]:
+                    x = (x * 257 + c) % 2**32
+                x = (x + n * 0x1F3D) * 0x9E3779B1 % 2**32
+                rows.append(model.table[(x ^ x >> 15) % langid.BUCKETS].astype(float))
+        return (np.mean(rows, axis=0) if rows else np.zeros(3)) + model.bias
+
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for part in (1 << 18, 7, 64):
+        monkeypatch.setattr(langid, "_PART", part)
+        assert np.allclose(model.logits(data, off), [plain(t) for t in texts], atol=1e-5)
+
+
+def test_model_columns_on_clashes_and_odd_rows(spark):
+    net = quality.ByteNet().fit([], np.zeros(0), 1)
+    out = quality.score(odd(spark).withColumnRenamed("score", "SCORE"), net)
+    assert out.columns == ["doc_id", "text", "SCORE", "score_1"] and {r.score_1 for r in out.collect()} == {0.5}
+    assert quality.score(empty(spark), net).count() == 0 == langid.identify(empty(spark), langid.LanguageModel(["x"])).count()
+    got = langid.identify(odd(spark).withColumn("lang_pred", F.lit(1)), langid.LanguageModel([])).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)] * len(ODD)
+    assert langid.train(empty(spark).withColumn("lang", F.lit("x"))).langs == []
+    own = bpe.default_vocabulary()
+    coded = bpe.encode(odd(spark), **own).withColumn("decoded", F.lit(1))
+    back = bpe.decode(coded, **own)
+    assert back.columns == ["doc_id", "ids", "decoded", "decoded_1"]
+    assert Counter(r.decoded_1.decode() for r in back.collect()) == Counter(t or "" for _, t, _ in ODD)

@@ -49,6 +49,10 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A pre-token that is already cut out: its whole text is one match.
+_PIECE = "(?s:.+)"
+
+
 @lru_cache(maxsize=4)
 def pre_tokens(pattern: str):
     return regex.compile(pattern)
@@ -120,7 +124,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
                                F.when(F.col("k") == F.col("n") - 1, F.length("piece")).otherwise(F.col("to") + chunk).alias("to"))
 
     def pieces(batches):
-        enc = encoder(ranks_path, pattern)
+        enc = encoder(ranks_path, _PIECE)
         cache: dict[str, bytes] = {}
         for batch in batches:
             out = []
@@ -134,7 +138,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
                         break
                     ids = cache.get(m[0])
                     if ids is None:
-                        ids = _pack(enc._encode_single_piece(m[0]))
+                        ids = _pack(enc.encode_ordinary(m[0]))
                         if len(m[0]) < 64:
                             if len(cache) > 50_000:
                                 cache.clear()
@@ -157,8 +161,8 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
 
 
 def decode(coded: DataFrame, *, ids: str = "ids", ranks_path: str, pattern: str, out: str = "decoded") -> DataFrame:
-    """Adds the raw bytes of the ids, concatenated (null ids: null)."""
-    assert out not in coded.columns, f"column {out} exists"
+    """Adds the raw bytes of the ids, concatenated (null ids: null); where ``out`` is taken, under a name with a number at its end."""
+    out = fresh(coded, out)
     kept = [(f.name, f.dataType.simpleString()) for f in coded.schema.fields]
     spec = ", ".join(f"`{n}` {t}" for n, t in [*kept, (out, "binary")])
 

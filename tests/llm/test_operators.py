@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -367,7 +368,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     x[5] = x[100]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 24), (9003, [float("nan")] * 24), (9004, []), (9005, [1.0, 2.0]), (100, x[100].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, "vec_id % 100 = 0", least=600, probes=8, tables=12).orderBy("query_id", "rank").collect()
+    got = ann.search(df, "vec_id % 100 = 0", least=600, tables=12).orderBy("query_id", "rank").collect()
     found = {}
     for g in got:
         found.setdefault(g.query_id, []).append((g.vec_id, g.score))
@@ -384,6 +385,33 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert ann.search(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
+def test_neighbours_with_the_settings_of_the_query(spark):
+    """Recall of the query's own settings on 20,000 clustered vectors, of which it ranks a third; hot cells are dealt in parts."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(20_000, 32)) + 1.2 * r.normal(size=(10, 32))[r.integers(0, 10, 20_000)]
+    x[:9_000] = x[0] + 0.01 * r.normal(size=(9_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = {}
+    for g in ann.search(df, "vec_id % 100 = 0").collect():
+        found.setdefault(g.query_id, set()).add(g.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & found[q])
+    assert len(found) == 200 and hits >= 0.95 * 2_000
+    assert ann.share(500) == 500 and ann.share(20_000) < 20_000 / 2 and ann.share(10**9) < 10**6
+
+
+def test_cells_in_parts_give_the_same(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(1_500), "embedding": r.normal(size=(1_500, 8)).tolist()}), "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.search(df, "vec_id % 100 = 0", least=300).collect()))
+    monkeypatch.setattr(ann, "_CELL", 7)  # what is hot is decided on the driver
+    assert sorted(map(tuple, ann.search(df, "vec_id % 100 = 0", least=300).collect())) == whole
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(4, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))

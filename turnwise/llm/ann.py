@@ -2,25 +2,27 @@
 
 A vector of length one is rotated by three rounds of random signs and a fast
 Hadamard transform; its hash is the nearest signed axis. A table joins such a
-hash with one of a second rotation, cut to ``_SECOND`` axes, so that it has
-2d * 2 * _SECOND buckets. All rows are indexed: their buckets in all tables are
-written once, beside the vector. A query probes in each table the buckets whose
-axes lose least against its own (multiprobe), as many as promise ``least``
-candidates in all tables, ``probes`` at least; for a small table that is
-every bucket. Candidates are ranked by their exact Euclidean distance in double
-precision, summed in the order of the components.
-
-Queries go to the tasks in blocks of ``block`` vectors, whatever their number;
-each task meets a block with its own rows of the index and keeps the ``k`` best
-for each query, so that no bucket is ever gathered in one place, however many
-rows it holds, and what is shuffled is at most k rows for each query and task.
-There is no cap on buckets or candidates. A query with fewer than ``k`` found is
-compared with every row.
+hash with one of a second rotation, so that it has (2d)^2 buckets. All rows are
+indexed: their buckets in all tables are written once, beside the vector.
+
+A query probes in each table the buckets whose axes lose least against its own
+(multiprobe), as many as promise ``share(n)`` candidates of n rows in all tables; of
+a small table that is every row, of a larger one an ever smaller part.
+
+Rows and probes meet by a shuffle join on (table, cell): a cell is a first axis, or
+for large tables a first axis and a part of the second axes, so that cells have about
+``_CELL`` rows whatever the size of the table; a cell that has more is dealt in
+salted parts. A task ranks the rows of the probed buckets of its cell by their exact
+Euclidean distance in double precision, summed in the order of the components, and
+returns the ``k`` best for each query, so that what grows with the data is the
+number of cells. There is no cap on buckets or candidates, and nothing passes
+through the driver. A query with fewer than ``k`` found probes every bucket of one
+table, which is every row.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, take no part; vectors of other lengths are
 never compared; rows that share an id count as one, at their least distance;
-ties go to the smaller id.
+ties go to the smaller id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import cut
 from turnwise.session import table
 
-_SECOND = 8
+#: About how many rows a cell has.
+_CELL = 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -61,7 +65,7 @@ def rotated(unit: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
-    """Unit vectors, filled up with zeros to a power of two of at least ``_SECOND``."""
+    """Unit vectors, filled up with zeros to a power of two of at least 8."""
     width = 1 << max(3, (x.shape[1] - 1).bit_length())
     unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
     return np.pad(unit, ((0, 0), (0, width - x.shape[1])))
@@ -70,22 +74,22 @@ def _padded(x: np.ndarray) -> np.ndarray:
 def axes(unit: np.ndarray, table_: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores of all signed axes of both rotations of a table."""
     s = signs(unit.shape[1], tables)[table_]
-    a, b = rotated(unit, s[0]), rotated(unit, s[1])[:, :_SECOND]
+    a, b = rotated(unit, s[0]), rotated(unit, s[1])
     return np.concatenate([a, -a], axis=1), np.concatenate([b, -b], axis=1)
 
 
 def buckets(x: np.ndarray, tables: int) -> np.ndarray:
-    """The bucket of each row in each table."""
+    """The bucket (first axis, second axis) of each row in each table."""
     unit = _padded(x)
-    out = np.empty((len(x), tables), np.uint32)
+    out = np.empty((len(x), tables, 2), np.uint16)
     for t in range(tables):
-        a, b = axes(unit, t, tables)
-        out[:, t] = a.argmax(axis=1) * (2 * _SECOND) + b.argmax(axis=1)
+        for k, score in enumerate(axes(unit, t, tables)):
+            out[:, t, k] = score.argmax(axis=1)
     return out
 
 
 def probed(x: np.ndarray, tables: int, probes: int) -> list[np.ndarray]:
-    """For each table, the ``probes`` buckets with the least loss for each row."""
+    """For each table, the ``probes`` buckets (first * 2d + second) with the least loss for each row."""
     unit = _padded(x)
     out = []
     for t in range(tables):
@@ -97,6 +101,20 @@ def probed(x: np.ndarray, tables: int, probes: int) -> list[np.ndarray]:
     return out
 
 
+def share(n: int) -> int:
+    """How many of ``n`` rows are worth ranking for each query."""
+    return min(n, int(120 * n**0.42))
+
+
+def groups(n: int, width: int) -> int:
+    """Parts of the second axes, so that a cell has about ``_CELL`` rows."""
+    return min(2 * width, max(1, -(-n // (2 * width * _CELL))))
+
+
+def _width(dim: int) -> int:
+    return 1 << max(3, (dim - 1).bit_length())
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of row pairs; the sum runs over the components in order."""
     total = np.zeros(len(a))
@@ -128,68 +146,89 @@ def index(rows: DataFrame, *, vec_id: str, embedding: str, tables: int) -> DataF
     return source.mapInArrow(run, "vec_id long, dim long, x binary, codes binary")
 
 
-class QueryBlock:
-    """Some query vectors with the queries of each bucket, by dimension."""
-
-    def __init__(self, rows: list, tables: int, sizes: dict[int, int], least: int, probes: int) -> None:
-        self.by_dim = {}
-        for dim in sorted({r.dim for r in rows}):
-            own = [r for r in rows if r.dim == dim]
-            x = np.stack([np.frombuffer(r.x) for r in own])
-            number = 2 * (1 << max(3, (dim - 1).bit_length())) * 2 * _SECOND
-            p = max(probes, -(-least * number // (max(1, sizes.get(dim, 1)) * tables)))
-            lookup = []
-            for found in probed(x, tables, p):
-                order = np.argsort(found, axis=None, kind="stable")
-                lookup.append((order // found.shape[1], np.searchsorted(found.ravel()[order], np.arange(number + 1))))
-            self.by_dim[dim] = (np.array([r.vec_id for r in own]), x, lookup)
-
-    def nearest(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray | None, dim: int, k: int):
-        """The k best of the given rows for each query; all rows count without codes."""
-        if dim not in self.by_dim:
-            return
-        q_ids, q_x, lookup = self.by_dim[dim]
-        step = max(1, 2_000_000 // max(1, len(q_ids)))
-        for lo in range(0, len(ids), step):
-            part = slice(lo, lo + step)
-            hit = np.zeros((len(q_ids), len(ids[part])), bool)
-            if codes is None:
-                hit[:] = True
-            else:
-                for t, (who, starts) in enumerate(lookup):
-                    c = codes[part, t]
-                    n = starts[c + 1] - starts[c]
-                    rows = np.repeat(np.arange(len(c)), n)
-                    at = np.repeat(starts[c] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    hit[who[at], rows] = True
-            hit &= q_ids[:, None] != ids[part][None]
-            q, v = np.nonzero(hit)
-            d = np.concatenate([distances(q_x[q[i : i + 200_000]], x[part][v[i : i + 200_000]]) for i in range(0, len(q), 200_000)]) if len(q) else np.zeros(0)
-            order = np.lexsort((ids[part][v], d, q))
-            q, v, d = q[order], v[order], d[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = rank < k
-            yield q_ids[q[keep]], ids[part][v[keep]], d[keep]
+def postings(indexed: DataFrame, sizes: dict[int, int], tables: int) -> DataFrame:
+    """dim, table, cell, vec_id, x, seconds (the second axis, one): every row in every table."""
 
+    def run(batches):
+        for batch in batches:
+            for dim in np.unique(batch.column("dim").to_numpy()):
+                part = batch.filter(pc.equal(batch.column("dim"), int(dim)))
+                g = groups(sizes[int(dim)], _width(int(dim)))
+                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint16).reshape(len(part), -1, 2).astype(np.int64)
+                for t in range(tables):
+                    yield _side(part, np.arange(len(part)), np.full(len(part), t), codes[:, t, 0] * g + codes[:, t, 1] % g, codes[:, t, 1].astype("<u2").tobytes(), np.full(len(part), 2))
+
+    return indexed.select("vec_id", "dim", "x", "codes").mapInArrow(run, _SIDE)
 
-_FOUND = "query_id long, vec_id long, score double"
 
+_SIDE = "dim long, t int, cell long, vec_id long, x binary, seconds binary"
 
-def _against(indexed: DataFrame, block: QueryBlock, k: int, exact: bool) -> DataFrame:
-    shared = indexed.sparkSession.sparkContext.broadcast(block)
+
+def _side(part: pa.RecordBatch, rows: np.ndarray, t: np.ndarray, cell: np.ndarray, raw: bytes, sizes: np.ndarray) -> pa.RecordBatch:
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    seconds = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
+    own = part.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([own.column("dim"), pa.array(t.astype(np.int32)), pa.array(cell.astype(np.int64)), own.column("vec_id"), own.column("x"), seconds], ["dim", "t", "cell", "vec_id", "x", "seconds"])
+
+
+def probes(asked: DataFrame, sizes: dict[int, int], tables: int, every: bool, least: int | None = None) -> DataFrame:
+    """dim, table, cell, vec_id, x, seconds (the second axes to look at): the probes of every query, a row for each cell.
+
+    ``every``: all buckets of the first table.
+    """
 
     def run(batches):
-        block = shared.value
         for batch in batches:
-            dims, ids = batch.column("dim").to_numpy(), batch.column("vec_id").to_numpy()
-            for dim in np.unique(dims):
-                own = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(batch.column("x").take(pa.array(own)).to_pylist())).reshape(len(own), dim)
-                codes = None if exact else np.frombuffer(b"".join(batch.column("codes").take(pa.array(own)).to_pylist()), np.uint32).reshape(len(own), -1)
-                for q, v, d in block.nearest(ids[own], x, codes, int(dim), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
+            for dim in np.unique(batch.column("dim").to_numpy()):
+                whole = batch.filter(pc.equal(batch.column("dim"), int(dim)))
+                n, width = sizes[int(dim)], _width(int(dim))
+                g, axes_ = groups(n, width), 2 * width
+                for lo in range(0, len(whole), 64):
+                    part = whole.slice(lo, 64)
+                    x = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(len(part), -1)
+                    want = least or share(n)
+                    all_ = every or want >= n  # the buckets of one table hold every row
+                    found = [np.tile(np.arange(axes_ * axes_), (len(part), 1))] if all_ else probed(x, tables, -(-want * axes_ * axes_ // (n * tables)))
+                    for t, own in enumerate(found):
+                        row = np.repeat(np.arange(len(part)), own.shape[1])
+                        first, second = np.divmod(own.ravel(), axes_)
+                        cell = first * g + second % g
+                        order = np.lexsort((second, cell, row))
+                        row, cell, second = row[order], cell[order], second[order]
+                        begin = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1]))))
+                        yield _side(part, row[begin], np.full(len(begin), t), cell[begin], second.astype("<u2").tobytes(), 2 * np.diff(np.append(begin, len(row))))
+
+    return asked.mapInArrow(run, _SIDE)
+
 
-    return indexed.mapInArrow(run, _FOUND)
+_FOUND = "query_id long, vec_id long, score double"
+
+
+def _ranked(cell: pa.Table, k: int) -> pa.Table:
+    """The k best rows of a cell for each of its queries."""
+    asks = cell.column("ask").to_numpy()
+    ids = cell.column("vec_id").to_numpy()
+    x = np.frombuffer(b"".join(cell.column("x").to_pylist())).reshape(len(ids), -1)
+    seconds = cell.column("seconds").to_pylist()
+    rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+    own = np.frombuffer(b"".join(seconds[i] for i in rows), "<u2").astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    rows, own = rows[order], own[order]
+    out: list[tuple[np.ndarray, ...]] = []
+    for q in queries:
+        want = np.frombuffer(seconds[q], "<u2").astype(np.int64)
+        a, b = np.searchsorted(own, want, side="left"), np.searchsorted(own, want, side="right")
+        n = b - a
+        at = rows[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = at[ids[at] != ids[q]]
+        d = distances(np.broadcast_to(x[q], (len(at), x.shape[1])), x[at])
+        if len(at) > k:
+            near = d <= np.partition(d, k - 1)[k - 1]
+            at, d = at[near], d[near]
+        best = np.lexsort((ids[at], d))[:k]
+        out.append((np.full(len(best), ids[q]), ids[at[best]], d[best]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -198,40 +237,35 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: str, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, tables: int = 24,
-           probes: int = 32, least: int = 4_000, block: int = 1_024) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row that meets the SQL condition ``queries``."""
+def search(rows: DataFrame, queries: str, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, tables: int = 16, least: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row that meets the SQL condition ``queries``.
+
+    ``least``: how many rows a query should rank, ``share`` of the rows if not given.
+    """
     indexed = cut(index(rows, vec_id=vec_id, embedding=embedding, tables=tables), "index")
     sizes = {r.dim: r.n for r in indexed.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each vector length
-    asked = indexed.where(queries).select("vec_id", "dim", "x").dropDuplicates(["vec_id", "dim", "x"])
-    number = max(1, -(-asked.count() // block))
-
-    def blocks(source: DataFrame):
-        for b in range(number):
-            own = source if number == 1 else source.where(F.pmod(F.xxhash64("vec_id"), F.lit(number)) == b)
-            got = own.orderBy("vec_id").collect()  # about ``block`` vectors
-            if got:
-                yield QueryBlock(got, tables, sizes, least, probes)
-
-    parts = [_against(indexed, b, k, exact=False) for b in blocks(asked)]
-    if not parts:
-        return _best(_empty(indexed), k).select("query_id", "rank", "vec_id", "score")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    first = cut(_best(found, k), "nearest")
-    few = asked.join(first.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k), "vec_id", "left_anti")
-    if sum(sizes.values()) > k and not few.isEmpty():
-        whole = [_against(indexed, b, k, exact=True) for b in blocks(few)]
-        for p in whole:
-            first = _best(first.select("query_id", "vec_id", "score").union(p), k)
+    asked = indexed.where(queries).select("vec_id", "dim", "x").distinct()
+    key = ["dim", "t", "cell", "part"]
+
+    def met(queries_: DataFrame, every: bool) -> DataFrame:
+        own = postings(indexed, sizes, tables)
+        own = own.where("t = 0") if every else own
+        own, ask = own.withColumn("part", F.lit(0)), probes(queries_, sizes, tables, every, least).withColumn("part", F.lit(0))
+        hot = cut(own.groupBy("dim", "t", "cell").count().where(F.col("count") > 2 * _CELL).withColumn("parts", F.ceil(F.col("count") / _CELL).cast("int")).drop("count"), "hot")
+        if not hot.isEmpty():
+            parts = F.coalesce("parts", F.lit(1))
+            own = own.join(hot, ["dim", "t", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id", "x"), parts).cast("int"))
+            ask = ask.join(hot, ["dim", "t", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        both = own.select(*key, F.lit(False).alias("ask"), "vec_id", "x", "seconds").union(ask.select(*key, F.lit(True).alias("ask"), "vec_id", "x", "seconds"))
+        return both.groupBy(*key).applyInArrow(lambda cell: _ranked(cell, k), _FOUND)
+
+    first = cut(_best(met(asked, False), k), "nearest")
+    few = cut(asked.join(first.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= k), "vec_id", "left_anti"), "few")
+    if not few.isEmpty():
+        first = _best(first.select("query_id", "vec_id", "score").union(met(few, True)), k)
     return first.select("query_id", "rank", "vec_id", "score")
 
 
-def _empty(indexed: DataFrame) -> DataFrame:
-    return indexed.where("false").select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"))
-
-
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract rows: ids divisible by 100 against all rows, ten nearest."""
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")

@@ -67,8 +67,9 @@ def paths(nodes: DataFrame, *, keep: int = 1) -> DataFrame:
     most = plain.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while 2 ** len(jumps) < 2 * most and not jumps[-1].where("top IS NOT NULL").isEmpty():  # what is open then hangs on a cycle
         last = jumps[-1]
-        far = _jump(last, last, "top", "left", top="far", steps="more", total="add")
-        jumps.append(cut(far.select("tree", "node", F.col("far").alias("top"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("add", F.lit(0.0))).alias("total")), "jump"))
+        far = _jump(last.where("top IS NOT NULL"), last, "top", top="far", steps="more", total="add")  # only what is open moves
+        far = far.select("tree", "node", F.col("far").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("total") + F.col("add")).alias("total"))
+        jumps.append(cut(last.where("top IS NULL").unionByName(far), "jump"))
     parents = plain.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = _jump(jumps[-1].where("top IS NULL"), parents, "node", "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")

@@ -77,3 +77,30 @@ def recovered(jobs: DataFrame) -> DataFrame:
 
 def run_time_average(runs: DataFrame) -> DataFrame:
     return runs.groupBy("name").agg(F.avg("elapsed_s").alias("mean_s"), F.count("*").alias("runs"))
+
+
+def counters(files: DataFrame) -> DataFrame:
+    """One row of operational counters over the files of all jobs."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return files.agg(F.count("*").alias("files"), F.count_distinct("job_id").alias("jobs"), n("done").alias("done"), n("error").alias("failed"))
+
+
+def newest_first(jobs: DataFrame, at: str, key: str, n: int | None = None) -> DataFrame:
+    """Jobs from the newest on (ties: the smaller key); the first ``n`` if given, without a full sort."""
+    ordered = jobs.orderBy(F.desc(at), key)
+    return ordered if n is None else ordered.limit(n)
+
+
+def attempts_in_order(attempts: DataFrame, keys: list[str], started: str, number: str) -> DataFrame:
+    """Adds ``n``, the place of an attempt among those of its unit, by start and number."""
+    return attempts.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(started, number)).cast("long"))
+
+
+def latest_one(df: DataFrame, *order: str) -> DataFrame:
+    """The one row that comes last."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(1)
+
+
+def rejections(rows: DataFrame, reason: str) -> DataFrame:
+    """reason, n: dropped and rejected timings by reason; rows without one are kept timings."""
+    return rows.where(F.col(reason).isNotNull()).groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,24 +43,60 @@ def token_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("file", "l", "r").agg(F.sum(F.least("n", "m")).alias("overlap"))
 
 
-def assign_speakers(pairs: list[tuple[str, str, int]], left: list[str], right: list[str], most: int = 8) -> tuple[str, dict[str, str]]:
-    """(established | ambiguous | unavailable, map) with the largest total overlap, one to one."""
-    score = {(a, b): n for a, b, n in pairs}
-    if not score or max(len(left), len(right)) > most:
+def largest_total(score: list[list[int]]) -> tuple[int, list[tuple[int, int]]]:
+    """(total, pairs above 0) of a best one-to-one choice from a table with no more rows than columns.
+
+    Rows are placed one after the other along cheapest augmenting paths (with prices on rows and columns).
+    """
+    n, m = len(score), len(score[0]) if score else 0
+    row_price, col_price, taken = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for new in range(1, n + 1):
+        taken[0], at = new, 0
+        slack, came, seen = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while taken[at]:
+            seen[at], row, step, to = True, taken[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not seen[j]:
+                    gap = -score[row - 1][j - 1] - row_price[row] - col_price[j]
+                    if gap < slack[j]:
+                        slack[j], came[j] = gap, at
+                    if slack[j] < step:
+                        step, to = slack[j], j
+            for j in range(m + 1):
+                if seen[j]:
+                    row_price[taken[j]] += step
+                    col_price[j] -= step
+                else:
+                    slack[j] -= step
+            at = to
+        while at:
+            taken[at], at = taken[came[at]], came[at]
+    pairs = [(taken[j] - 1, j - 1) for j in range(1, m + 1) if taken[j] and score[taken[j] - 1][j - 1] > 0]
+    return sum(score[i][j] for i, j in pairs), pairs
+
+
+def assign_speakers(pairs: list[tuple[str, str, int]], left: list[str], right: list[str]) -> tuple[str, dict[str, str]]:
+    """(established | ambiguous | unavailable, map) with the largest total overlap, one to one.
+
+    Ambiguous: another map has the same total, which shows when a pair of the first one is forbidden.
+    """
+    given = {(a, b): n for a, b, n in pairs if n > 0}
+    turned = len(left) > len(right)
+    rows, cols = (right, left) if turned else (left, right)
+
+    def solve(without=None):
+        table = [[0 if (k := (c, r) if turned else (r, c)) == without else given.get(k, 0) for c in cols] for r in rows]
+        total, found = largest_total(table)
+        return total, {(cols[j], rows[i]) if turned else (rows[i], cols[j]) for i, j in found}
+
+    if not given or not rows:
         return "unavailable", {}
-    small, large = (left, right) if len(left) <= len(right) else (right, left)
-    best, maps = 0, set()
-    for chosen in permutations(large, len(small)):
-        pairing = [(a, b) if small is left else (b, a) for a, b in zip(small, chosen, strict=True)]
-        total = sum(score.get(p, 0) for p in pairing)
-        own = tuple(sorted(p for p in pairing if score.get(p, 0)))
-        if total > best:
-            best, maps = total, {own}
-        elif total == best:
-            maps.add(own)
+    best, chosen = solve()
     if not best:
         return "unavailable", {}
-    return ("ambiguous", {}) if len(maps) > 1 else ("established", dict(next(iter(maps))))
+    if any(solve(without=p)[0] == best for p in chosen):
+        return "ambiguous", {}
+    return "established", dict(chosen)
 
 
 def speaker_correspondence(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -87,6 +121,83 @@ def unknown_speakers(mapping: DataFrame, present: DataFrame) -> DataFrame:
     return mapping.join(present, ["file", "speaker"], "left_anti")
 
 
+def apply_speaker_map(left: DataFrame, right: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tokens of both sides under their pair, what is wrong with the map) for a map given by hand.
+
+    Tables (file, speaker, token); ``mapping``: file, l, r. The first table has file,
+    pair, side, token; the second file, side, speaker, problem: ``unknown`` speakers
+    and such that are mapped ``twice``. Speakers without an entry take no part.
+    """
+    rules = mapping.select("file", "l", "r").distinct()
+    sides = {"left": (left, "l"), "right": (right, "r")}
+    said = [df.join(rules.withColumnRenamed(c, "speaker").withColumn("pair", F.concat_ws("=", *["speaker" if x == c else x for x in ("l", "r")])), ["file", "speaker"]).select("file", "pair", F.lit(side).alias("side"), "token") for side, (df, c) in sides.items()]
+    wrong = []
+    for side, (df, c) in sides.items():
+        own = rules.select("file", F.col(c).alias("speaker"))
+        wrong.append(own.distinct().join(df.select("file", "speaker").distinct(), ["file", "speaker"], "left_anti").select("file", F.lit(side).alias("side"), "speaker", F.lit("unknown").alias("problem")))
+        wrong.append(own.groupBy("file", "speaker").count().where("count > 1").select("file", F.lit(side).alias("side"), "speaker", F.lit("twice").alias("problem")))
+    return said[0].unionByName(said[1]), wrong[0].unionByName(wrong[1]).unionByName(wrong[2]).unionByName(wrong[3])
+
+
+def candidate_maps(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidate maps, each once and in order: ``rank`` by overlap (most first), then names."""
+    one = pairs.select(*keys, "l", "r", "overlap").distinct()
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("overlap"), "l", "r")))
+
+
+def artifact_pairs(expected: DataFrame, left: DataFrame, right: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """key, outcome, left, right: the artifacts of two runs by relative path.
+
+    Outcome: ``equal``, ``different``, or what is missing; one failed pair never stops the others.
+    """
+    a = left.select(key, F.col(content).alias("left"), F.lit(True).alias("_l"))
+    b = right.select(key, F.col(content).alias("right"), F.lit(True).alias("_r"))
+    both = expected.select(key).distinct().join(a, key, "left").join(b, key, "left")
+    outcome = F.when(F.col("_l").isNull() & F.col("_r").isNull(), "missing_both").when(F.col("_l").isNull(), "missing_left").when(F.col("_r").isNull(), "missing_right").when(F.col("left").eqNullSafe(F.col("right")), "equal").otherwise("different")
+    return both.select(key, outcome.alias("outcome"), "left", "right")
+
+
+def speaker_words(words: DataFrame, exclusions: list[str]) -> DataFrame:
+    """file, speaker, kept, excluded: words of each speaker, and how many of them are excluded (as written or in lower case)."""
+    out = F.col("w").isin(exclusions) | F.lower("w").isin(exclusions)
+    return words.groupBy("file", "speaker").agg(F.count_if(~out).alias("kept"), F.count_if(out).alias("excluded"))
+
+
+def positioned(tokens: DataFrame, keys: list[str], position: str, sequence: str, text: str) -> DataFrame:
+    """keys, tokens: in order of their (fractional) position, then as they were emitted."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(sequence).alias("s"), F.col(text).alias("t"))))
+    return tokens.groupBy(*keys).agg(F.transform(each, lambda x: x["t"]).alias("tokens"))
+
+
+def unit_union(main: DataFrame, gold: DataFrame) -> DataFrame:
+    """Units of main utterances and, after them, of gold utterances that found no place: ``side`` tells which."""
+    return main.withColumn("side", F.lit("main")).unionByName(gold.withColumn("side", F.lit("gold")), allowMissingColumns=True)
+
+
+def header_union(rows: DataFrame, key: str, order: str) -> list[str]:
+    """The distinct header keys of all rows in the order in which they are first seen (a table's columns, so few)."""
+    first = rows.groupBy(key).agg(F.min(order).alias("o")).orderBy("o", key)
+    return [r[key] for r in first.collect()]
+
+
+def without_subsets(ranges: Column) -> Column:
+    """Sets of positions without those that lie inside another one (of equal ones the first stays)."""
+    inside = lambda a, b: F.size(F.array_except(a, b)) == 0
+    numbered = F.transform(ranges, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+    kept = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (x["i"] != y["i"]) & inside(x["r"], y["r"]) & (~inside(y["r"], x["r"]) | (y["i"] < x["i"]))))
+    return F.transform(kept, lambda x: x["r"])
+
+
+def range_subtraction(positions: Column, taken: Column) -> Column:
+    """Positions that no other range has taken, in order."""
+    return F.array_sort(F.array_except(positions, taken))
+
+
+def difference_axes(rows: DataFrame, keys: list[str], axis: str) -> DataFrame:
+    """keys, axes: the distinct axes on which a group differs, in order."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(axis)).alias("axes"))
+
+
 def compare_positions(left: DataFrame, right: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
     """Full outer join by position; ``differences`` names the axes that differ (a missing side: 'missing_left'/'missing_right')."""
     a = left.select(*keys, *[F.col(c).alias(f"l_{c}") for c in axes], F.lit(True).alias("_l"))
@@ -108,11 +219,15 @@ def compare_timings(left: DataFrame, right: DataFrame, keys: list[str], order: s
 def reassign_speakers(utts: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds ``speaker_new``: the last segment in list order that ends by the utterance's end, else the first segment.
 
-    Segments: (file, seq, end_ms, speaker). The range join is cut to one file by its equality.
+    Segments: (file, seq, end_ms, speaker). Both sides lie in one order of ends, in
+    which a running maximum over (seq, speaker) is what has ended so far.
     """
     first = segments.groupBy("file").agg(F.min_by("speaker", "seq").alias("_first"))
-    met = utts.select("file", "utt", F.col("end_ms").alias("_e")).join(segments.select("file", "seq", F.col("end_ms").alias("_se"), F.col("speaker").alias("_sp")), "file").where("_se <= _e")
-    last = met.groupBy("file", "utt").agg(F.max_by("_sp", "seq").alias("_last"))
+    ends = segments.select("file", F.col("end_ms").alias("_e"), F.lit(0).alias("_k"), F.struct(F.col("seq").alias("s"), F.col("speaker").alias("who")).alias("_seg"), F.lit(None).cast(utts.schema["utt"].dataType).alias("utt"))
+    asks = utts.select("file", F.col("end_ms").alias("_e"), F.lit(1).alias("_k"), F.lit(None).cast(ends.schema["_seg"].dataType).alias("_seg"), "utt")
+    order = Window.partitionBy("file").orderBy("_e", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = ends.union(asks).where("_e IS NOT NULL").withColumn("_last", F.max("_seg").over(order)["who"]).where("_k = 1").select("file", "utt", "_last")
+    last = met.groupBy("file", "utt").agg(F.max("_last").alias("_last"))
     return utts.join(last, ["file", "utt"], "left").join(first, "file", "left").withColumn("speaker_new", F.when(F.col("end_ms").isNotNull(), F.coalesce("_last", "_first", "speaker")).otherwise(F.col("speaker"))).drop("_last", "_first")
 
 
@@ -129,10 +244,16 @@ def character_spans(words: DataFrame, keys: list[str], order: str, text: str) ->
 
 
 def tokens_to_words(words: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, word, token) that share characters; tables: keys, pos, text, equal when written together."""
-    w = character_spans(words, keys, "pos", "text").select(*keys, F.col("pos").alias("word"), F.col("from_char").alias("wf"), F.col("to_char").alias("wt"))
-    t = character_spans(tokens, keys, "pos", "text").select(*keys, F.col("pos").alias("token"), F.col("from_char").alias("tf"), F.col("to_char").alias("tt"))
-    return w.join(t, keys).where("tf < wt AND tt > wf").select(*keys, "word", "token")
+    """(keys, word, token) that share characters; tables: keys, pos, text, equal when written together.
+
+    Where a word or a token begins, the last of each that has begun meet; empty ones share nothing.
+    """
+    w = character_spans(words, keys, "pos", "text").where("to_char > from_char").select(*keys, F.col("from_char").alias("at"), F.col("pos").alias("word"), F.lit(None).cast(tokens.schema["pos"].dataType).alias("token"))
+    t = character_spans(tokens, keys, "pos", "text").where("to_char > from_char").select(*keys, F.col("from_char").alias("at"), F.lit(None).cast(words.schema["pos"].dataType).alias("word"), F.col("pos").alias("token"))
+    begun = w.unionByName(t).groupBy(*keys, "at").agg(F.max("word").alias("word"), F.max("token").alias("token"))
+    order = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    met = begun.select(*keys, F.last("word", ignorenulls=True).over(order).alias("word"), F.last("token", ignorenulls=True).over(order).alias("token"))
+    return met.where("word IS NOT NULL AND token IS NOT NULL")
 
 
 def indexed_timings(words: Column, timings: Column, window_start: Column, window_end: Column) -> Column:

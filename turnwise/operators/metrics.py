@@ -149,3 +149,13 @@ def count_flags(df: DataFrame, key: str, flag_columns: list[str]) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def distinct_speakers(segments: DataFrame) -> DataFrame:
+    """file, speakers: how many speakers the segments of a file have."""
+    return segments.groupBy("file").agg(F.count_distinct("speaker").alias("speakers"))
+
+
+def language_batches(rows: DataFrame, lang: str, text: str) -> DataFrame:
+    """Size of the batch that goes to the engine of each language: rows and characters."""
+    return rows.groupBy(lang).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("chars"))

@@ -140,3 +140,38 @@ def clitic(text: Column, lang: Column) -> Column:
 def misaligned(tiers: DataFrame) -> DataFrame:
     """Utterances whose analysis has another number of items than words (words, mor arrays)."""
     return tiers.where(F.size("words") != F.size("mor"))
+
+
+def pos_labels(mor: Column) -> Column:
+    """Upper-case classes of the items of a morphology tier (``class|lemma...``); clitics count one by one."""
+    return F.transform(F.flatten(F.transform(mor, lambda x: F.split(x, "[~$]"))), lambda x: F.upper(F.substring_index(x, "|", 1)))
+
+
+def translation_payload(utts: DataFrame) -> DataFrame:
+    """file, utt, text of the utterances that have words."""
+    return utts.where(F.size("words") > 0).select("file", "utt", F.array_join("words", " ").alias("text"))
+
+
+def coreference_payload(utts: DataFrame) -> DataFrame:
+    """file, sentences (utt, words) in order: a document is one payload."""
+    return utts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("utt", "words"))).alias("sentences"))
+
+
+def without_placeholders(tiers: DataFrame, items: str = "items") -> DataFrame:
+    """Tiers that hold something."""
+    return tiers.where(F.size(items) > 0)
+
+
+def response_check(asked: Column, answered: Column) -> Column:
+    """struct<bad_length, distinct>: an answer for each word or not, and how many different ones."""
+    return F.struct((F.size(asked) != F.size(answered)).alias("bad_length"), F.size(F.array_distinct(answered)).cast("long").alias("distinct"))
+
+
+def gate(rows: DataFrame, fatal: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
+    """Adds ``gate`` (reject, warn or ok) and ``broken``, the names of the rules that do not hold.
+
+    Rules before the work are fatal, rules after it only warn; a rule that is null is broken.
+    """
+    names = lambda rules: F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), n) for n, ok in rules.items()])) if rules else F.array().cast("array<string>")
+    out = rows.withColumns({"_fatal": names(fatal), "_warn": names(warnings)})
+    return out.withColumns({"gate": F.when(F.size("_fatal") > 0, "reject").when(F.size("_warn") > 0, "warn").otherwise("ok"), "broken": F.concat("_fatal", "_warn")}).drop("_fatal", "_warn")

@@ -296,3 +296,22 @@ def order_violations(df: DataFrame) -> DataFrame:
 def contained(at: Column, duration: Column) -> Column:
     """struct<clamped, overshoot> of an instant in a recording."""
     return F.struct(F.least(F.greatest(at, F.lit(0)), duration).alias("clamped"), F.greatest(at - duration, F.lit(0)).alias("overshoot"))
+
+
+def timed_counts(rows: DataFrame) -> DataFrame:
+    """file, timed, untimed utterances."""
+    return rows.groupBy("file").agg(F.count_if(F.col("start_ms").isNotNull()).alias("timed"), F.count_if(F.col("start_ms").isNull()).alias("untimed"))
+
+
+ORIGINS = ("observed", "derived", "assumed", "clamped")
+
+
+def origin_tally(rows: DataFrame, origin: str = "origin") -> DataFrame:
+    """file, a count for each origin of a time, their total, and whether someone should look (assumed or clamped)."""
+    n = rows.groupBy("file").agg(*[F.count_if(F.col(origin) == k).alias(k) for k in ORIGINS])
+    return n.withColumns({"total": sum((F.col(k) for k in ORIGINS[1:]), F.col(ORIGINS[0])), "needs_review": (F.col("assumed") + F.col("clamped")) > 0})
+
+
+def recovery_strategy(rows: DataFrame, has_overlap: str = "has_overlap") -> DataFrame:
+    """file, strategy: two passes where an utterance is marked as overlapping, one over the whole file elsewhere."""
+    return rows.groupBy("file").agg(F.when(F.bool_or(F.coalesce(has_overlap, F.lit(False))), "two_pass").otherwise("global").alias("strategy"))

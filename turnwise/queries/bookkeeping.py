@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.operators import jobs, metrics
+from turnwise.operators import jobs, joins, metrics
 from turnwise.queries.base import U, query, utterances
 from turnwise.queries.text import _TAG, tagged
 from turnwise.session import table
@@ -27,7 +27,7 @@ def d20(spark, d):
 
 @query("d21_counters", f"WITH f AS ({_FILES}) SELECT count(*) AS files, count(DISTINCT job_id) AS jobs, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS failed FROM f")
 def d21(spark, d):
-    return file_rows(spark, d).agg(F.count("*").alias("files"), F.count_distinct("job_id").alias("jobs"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "error").alias("failed"))
+    return jobs.counters(file_rows(spark, d))
 
 
 @query("d16_next_attempt", "SELECT l_suppkey AS work_unit, coalesce(max(l_linenumber), 0) + 1 AS next_attempt FROM lineitem GROUP BY 1")
@@ -81,20 +81,17 @@ def g07(spark, d):
 
 @query("f01_newest_first", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def f01(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
+    return jobs.newest_first(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 100)
 
 
 @query("f02_attempts_ordered", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS n FROM lineitem")
 def f02(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.cast("long").alias("n"))
+    return jobs.attempts_in_order(table(spark, d, "lineitem"), ["l_orderkey"], "l_shipdate", "l_linenumber").select("l_orderkey", "l_linenumber", "n")
 
 
 @query("f03_latest_one", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def f03(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id").limit(1)
+    return jobs.latest_one(table(spark, d, "events"), "ts", "event_id").select("event_id")
 
 
 @query("f04_ready_queue", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'O'")
@@ -111,7 +108,8 @@ def f05(spark, d):
 
 @query("f06_positioned_tokens", "SELECT user_id, string_agg(event_type, '' ORDER BY event_id % 7 / 2.0, event_id) AS s FROM events GROUP BY 1")
 def f06(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((F.col("event_id") % 7 / 2.0).alias("p"), "event_id", "event_type"))), lambda x: x["event_type"]), "").alias("s"))
+    e = table(spark, d, "events").withColumn("p", F.col("event_id") % 7 / 2.0)
+    return joins.positioned(e, ["user_id"], "p", "event_id", "event_type").select("user_id", F.array_join("tokens", "").alias("s"))
 
 
 @query("d08_majority_first_seen", "WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS k FROM c) SELECT user_id, event_type, n FROM r WHERE k = 1")
@@ -142,7 +140,7 @@ def d13(spark, d):
 
 @query("d19_rejections", "SELECT event_type AS reason, count(*) AS n FROM events WHERE value < 5 GROUP BY 1")
 def d19(spark, d):
-    return table(spark, d, "events").where("value < 5").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"))
+    return jobs.rejections(table(spark, d, "events").withColumn("reason", F.when(F.col("value") < 5, F.col("event_type"))), "reason")
 
 
 @query("d26_run_times", "SELECT event_type AS name, round(avg(value), 6) AS mean_s, count(*) AS runs FROM events GROUP BY 1")
@@ -152,7 +150,7 @@ def d26(spark, d):
 
 @query("d27_distinct_speakers", "SELECT conv_id AS file, count(DISTINCT role) AS speakers FROM conversations GROUP BY 1")
 def d27(spark, d):
-    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("file")).agg(F.count_distinct("role").alias("speakers"))
+    return metrics.distinct_speakers(table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("speaker")))
 
 
 @query("d29_review_queue", "SELECT event_id AS line, CASE event_id % 4 WHEN 0 THEN 'review' ELSE 'hold' END AS tier FROM events WHERE event_id % 4 < 2")
@@ -163,7 +161,7 @@ def d29(spark, d):
 
 @query("d30_language_batches", "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
 def d30(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return metrics.language_batches(table(spark, d, "documents"), "lang", "text")
 
 
 @query("a13_metrics_long", "WITH c AS (SELECT user_id AS file, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1), l AS (SELECT file, 'n' AS metric, n::DOUBLE AS x FROM c UNION ALL SELECT file, 'mean', mean FROM c), f AS (SELECT file, metric, rtrim(printf('%.4f', x), '0') AS v FROM l) SELECT file, metric, CASE WHEN v LIKE '%.' THEN v || '0' ELSE v END AS value FROM f")
@@ -214,7 +212,7 @@ def a04(spark, d):
 @query("g02_unit_union", f"WITH {U} SELECT file, utt, 'main' AS side FROM u WHERE utt % 2 = 0 UNION ALL SELECT file, utt, 'gold' FROM u WHERE utt % 3 = 0")
 def g02(spark, d):
     u = utterances(spark, d).select("file", "utt")
-    return u.where("utt % 2 = 0").withColumn("side", F.lit("main")).unionByName(u.where("utt % 3 = 0").withColumn("side", F.lit("gold")))
+    return joins.unit_union(u.where("utt % 2 = 0"), u.where("utt % 3 = 0"))
 
 
 @query("g04_g06_sets", "SELECT event_id, event_id % 3 < 2 AS same FROM events")
@@ -229,13 +227,13 @@ def g06(spark, d):
 
 @query("g05_difference_axes", "SELECT event_type, count(DISTINCT user_id % 3) AS axes FROM events GROUP BY 1")
 def g05(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.size(F.array_distinct(F.collect_set(F.col("user_id") % 3))).cast("long").alias("axes"))
+    return joins.difference_axes(table(spark, d, "events").withColumn("axis", F.col("user_id") % 3), ["event_type"], "axis").select("event_type", F.size("axes").cast("long").alias("axes"))
 
 
 @query("h34_json_columns", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1")
 def h34(spark, d):
-    j = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list("turn"))).alias("j"))
-    return j.select("conv_id", F.size(F.from_json("j", "array<bigint>")).cast("long").alias("n"))
+    j = table(spark, d, "conversations").groupBy("conv_id").agg(payloads.json_column(F.array_sort(F.collect_list("turn"))).alias("j"))
+    return j.select("conv_id", F.size(payloads.from_json_column(F.col("j"), "bigint")).cast("long").alias("n"))
 
 
 @query("i03_leases", """WITH c AS (SELECT event_id % 40 AS job_id, event_id AS t, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'release' ELSE 'claim' END AS action FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t DESC, seq DESC) AS r FROM c), x AS (SELECT max(event_id) AS m FROM events)

@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.cantonese import character_tokens, normalise
-from turnwise.operators import joins, morphology, segmentation
+from turnwise.operators import alignment, joins, morphology, segmentation
 from turnwise.queries.base import U, query, spans, utterances
 from turnwise.queries.text import tagged
+from turnwise.session import table
 
 
 @query("b17_placeholders", f"WITH {U} SELECT file, utt FROM u WHERE len(words) > 0 AND utt % 3 <> 0")
 def b17(spark, d):
     """Analyses that hold nothing are taken out."""
     u = utterances(spark, d).select("file", "utt", F.when(F.col("utt") % 3 != 0, F.col("words")).otherwise(F.array().cast("array<string>")).alias("items"))
-    return u.where(F.size("items") > 0).select("file", "utt")
+    return morphology.without_placeholders(u).select("file", "utt")
 
 
 @query("b23_validation_gates", f"WITH {U} SELECT file, utt, CASE WHEN len(words) = 0 THEN 'reject' WHEN len(words) > 200 THEN 'warn' ELSE 'ok' END AS gate FROM u")
 def b23(spark, d):
     """Rows that break a rule before the work are set aside; rules after it only warn."""
-    gate = F.when(F.size("words") == 0, "reject").when(F.size("words") > 200, "warn").otherwise("ok")
-    return utterances(spark, d).select("file", "utt", gate.alias("gate"))
+    return morphology.gate(utterances(spark, d), {"words": F.size("words") > 0}, {"length": F.size("words") <= 200}).select("file", "utt", "gate")
 
 
 @query("b25_misaligned_tiers", f"WITH {U} SELECT file, utt FROM u WHERE utt % 4 = 1 AND len(words) > 0")
@@ -58,10 +57,10 @@ def e22(spark, d):
 
 @query("e31_token_jumps", "SELECT event_id, event_type FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
 def e31(spark, d):
-    from turnwise.session import table
-
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").withColumn("p", before).where(F.col("p").isNull() | (F.col("p") != F.col("event_type"))).select("event_id", "event_type")
+    """Where the row of a path changes: events as the path, their kind as its row."""
+    step = F.struct(F.col("event_id").alias("at"), F.struct(F.col("event_type").alias("i"), F.struct("event_id", "event_type").alias("j")).alias("p"))
+    path = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["p"]).alias("path"))
+    return path.select(F.explode(alignment.token_jumps(F.col("path"))).alias("j")).select("j.event_id", "j.event_type")
 
 
 @query("h18_cantonese", f"WITH {U} SELECT file, utt, '佢哋 話 ' || speaker AS text, '佢|哋|話' AS tokens FROM u")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import lexicon as L
 from turnwise.functions import numbers, sequences
 from turnwise.functions import words as W
-from turnwise.operators import morphology, segmentation
+from turnwise.operators import joins, morphology, segmentation
 from turnwise.queries.base import SW, S, U, query, spiced, utterances
 from turnwise.session import table
 from turnwise.sources import payloads, transcripts
@@ -52,8 +52,7 @@ def b05(spark, d):
 
 @query("b06_excluded_words", f"WITH {SW} SELECT file, speaker, count(*) FILTER (lower(w) NOT IN ('um', 'ok', ',')) AS kept, count(*) FILTER (lower(w) IN ('um', 'ok', ',')) AS excluded FROM w GROUP BY 1, 2")
 def b06(spark, d):
-    out = F.lower("w").isin("um", "ok", ",")
-    return words(spark, d).groupBy("file", "speaker").agg(F.count_if(~out).alias("kept"), F.count_if(out).alias("excluded"))
+    return joins.speaker_words(words(spark, d), ["um", "ok", ","])
 
 
 @query("b07_timed_words", """WITH a AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '<noise>' WHEN event_id % 11 = 0 THEN ' ' ELSE event_type END AS w, value AS s, CASE WHEN event_id % 3 = 0 THEN value - 0.2 ELSE value + 0.3 END AS e FROM events)
@@ -90,13 +89,13 @@ def b10(spark, d):
 
 @query("b11_translation_payload", f"WITH {U} SELECT file, utt, array_to_string(words, ' ') AS text FROM u WHERE len(words) > 0")
 def b11(spark, d):
-    return utterances(spark, d).where(F.size("words") > 0).select("file", "utt", F.array_join("words", " ").alias("text"))
+    return morphology.translation_payload(utterances(spark, d))
 
 
 @query("b12_coreference_payload", f"WITH {U} SELECT file, string_agg(array_to_string(words, ' '), '|' ORDER BY utt) AS sentences, count(*) AS n FROM u GROUP BY 1")
 def b12(spark, d):
-    g = utterances(spark, d).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("utt", "words"))).alias("s"), F.count("*").alias("n"))
-    return g.select("file", F.array_join(F.transform("s", lambda x: F.array_join(x["words"], " ")), "|").alias("sentences"), "n")
+    g = morphology.coreference_payload(utterances(spark, d))
+    return g.select("file", F.array_join(F.transform("sentences", lambda x: F.array_join(x["words"], " ")), "|").alias("sentences"), F.size("sentences").cast("long").alias("n"))
 
 
 @query("b16_empty_translations", f"WITH {U} SELECT file, utt, CASE WHEN utt % 3 = 0 THEN '.' WHEN utt % 3 = 1 THEN '' ELSE 'x' END AS content FROM u WHERE trim(CASE WHEN utt % 3 = 0 THEN '.' WHEN utt % 3 = 1 THEN '' ELSE 'x' END) NOT IN ('', '.', '!', '?')")
@@ -159,8 +158,9 @@ def b22(spark, d):
 @query("b24_lengths_valid", f"WITH {U} SELECT file, utt, len(words) <> len(words) - (utt % 2) AS bad_length, len(list_distinct(words)) AS distinct_words FROM u")
 def b24(spark, d):
     answers = F.slice("words", F.lit(1), F.greatest(F.size("words") - F.col("utt").cast("int") % 2, F.lit(0)))
-    bad = F.when(F.size("words") == 0, F.col("utt") % 2 != 0).otherwise(F.size("words") != F.size(answers))
-    return utterances(spark, d).select("file", "utt", bad.alias("bad_length"), F.size(F.array_distinct("words")).cast("long").alias("distinct_words"))
+    answers = F.when((F.size("words") == 0) & (F.col("utt") % 2 != 0), F.array(F.lit("x"))).otherwise(answers)
+    c = utterances(spark, d).select("file", "utt", morphology.response_check(F.col("words"), answers).alias("a"), morphology.response_check(F.col("words"), F.col("words")).alias("b"))
+    return c.select("file", "utt", "a.bad_length", F.col("b.distinct").alias("distinct_words"))
 
 
 @query("b26_relations_valid", f"""WITH {U}, h AS (SELECT file, utt, list_transform(words, lambda x, i: CASE WHEN i = 1 THEN 0 WHEN utt % 6 = 5 THEN 99999 ELSE i - 1 END) AS h FROM u)

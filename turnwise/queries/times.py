@@ -18,7 +18,7 @@ def plain(spark, d):
 
 @query("b27_timed_counts", f"WITH {SPANS} SELECT file, count(start_ms) AS timed, count(*) - count(start_ms) AS untimed FROM sp GROUP BY 1")
 def b27(spark, d):
-    return plain(spark, d).groupBy("file").agg(F.count_if(F.col("start_ms").isNotNull()).alias("timed"), F.count_if(F.col("start_ms").isNull()).alias("untimed"))
+    return timing.timed_counts(plain(spark, d))
 
 
 @query("b28_speech_rate", f"WITH {SPANS} SELECT CASE WHEN n_words = 0 THEN 'no_words' WHEN end_ms - start_ms <= 0 THEN 'no_audio' WHEN n_words / ((end_ms - start_ms) / 1000.0) > 15 THEN 'impossible' ELSE 'plausible' END AS rate, count(*) AS n FROM t GROUP BY 1")
@@ -184,8 +184,7 @@ def c24(spark, d):
 
 @query("c25_strategy_by_file", "SELECT user_id AS file, CASE WHEN bool_or(event_type = 'error') THEN 'two_pass' ELSE 'global' END AS strategy FROM events GROUP BY 1")
 def c25(spark, d):
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("file")).agg(F.bool_or(F.col("event_type") == "error").alias("o"))
-    return e.select("file", F.when(F.col("o"), "two_pass").otherwise("global").alias("strategy"))
+    return timing.recovery_strategy(table(spark, d, "events").select(F.col("user_id").alias("file"), (F.col("event_type") == "error").alias("has_overlap")))
 
 
 @query("d12_distribution", f"WITH {SPANS} SELECT speaker, count(*) AS n, min(end_ms - start_ms) AS min, quantile_disc(end_ms - start_ms, 0.5) AS p50, quantile_disc(end_ms - start_ms, 0.95) AS p95, max(end_ms - start_ms) AS max FROM t GROUP BY 1")
@@ -196,7 +195,7 @@ def d12(spark, d):
 @query("d18_origin_tally", f"WITH {SPANS} SELECT file, count(*) FILTER (start_ms IS NOT NULL AND line % 2 = 0) AS observed, count(*) FILTER (start_ms IS NOT NULL AND line % 2 = 1) AS derived, count(*) FILTER (start_ms IS NULL) AS assumed FROM sp GROUP BY 1")
 def d18(spark, d):
     o = F.when(F.col("start_ms").isNull(), "assumed").when(F.col("line") % 2 == 0, "observed").otherwise("derived")
-    return plain(spark, d).withColumn("o", o).groupBy("file").agg(*[F.count_if(F.col("o") == k).alias(k) for k in ("observed", "derived", "assumed")])
+    return timing.origin_tally(plain(spark, d).withColumn("origin", o)).select("file", "observed", "derived", "assumed")
 
 
 @query("d22_boundary_quality", """WITH b AS (SELECT user_id, (event_id % 3 = 0)::INT AS p, CASE WHEN event_id % 10 = 9 THEN -100 ELSE (event_id % 2 = 0)::INT END AS y FROM events),

@@ -72,3 +72,13 @@ def plan_pairs(spark, plan: dict) -> DataFrame:
 def runaway(text: Column, seconds: Column, limit: float = 8.0) -> Column:
     """More characters for each second than speech has."""
     return F.coalesce(F.length(text) / F.when(seconds > 0, seconds) > limit, F.lit(False))
+
+
+def json_column(values: Column) -> Column:
+    """An array as the JSON text that job tables keep."""
+    return F.to_json(values)
+
+
+def from_json_column(text: Column, kind: str) -> Column:
+    """The array behind a JSON text of element type ``kind``; what cannot be read is null."""
+    return F.from_json(text, f"array<{kind}>")

@@ -114,3 +114,25 @@ def test_evaluation_reports(spark, tmp_path):
     assert {r.pair: r.clean for r in read("per-pair").collect()} == {"eng,spa": "1", "eng,fra": "0"}
     text = evaluation.summary(evaluation.per_pair(w, ["spliced"], []), "T").first().markdown
     assert text.startswith("# T\n\n| pair |") and text.endswith("Words: 3, clean: 1") and text.index("eng,fra") < text.index("eng,spa")
+
+
+def test_numbers_of_other_languages():
+    from turnwise.functions.numbers import expand
+
+    want = {
+        "deu": {1: "eins", 10: "zehn", 21: "einundzwanzig", 34: "vierunddreißig", 70: "siebzig", 200: "zwei hundert"},
+        "fra": {1: "un", 5: "cinq", 21: "vingt-et-un", 71: "soixante-et-onze", 80: "quatre-vingts", 81: "quatre-vingt-un", 91: "quatre-vingt-onze", 77: "soixante-dix-sept"},
+        "spa": {1: "uno", 5: "cinco", 13: "trece", 22: "veintidós", 25: "veinticinco", 31: "treinta y uno", 1000: "mil"},
+        "por": {21: "vinte e um"}, "nld": {22: "tweeëntwintig", 25: "vijfentwintig"}, "ita": {21: "ventuno", 28: "ventotto", 33: "trentatré", 45: "quarantacinque"},
+    }
+    assert {lang: {n: expand(str(n), lang) for n in some} for lang, some in want.items()} == want
+    assert expand("13th", "spa") == "13th" and expand("21-22", "fra") == "vingt-et-un vingt-deux" and expand("5", "xxx") == "5"
+    assert expand("$12", "spa") == "doce dollars"
+
+
+def test_language_rules(spark):
+    from turnwise.functions import languages as X
+
+    df = spark.createDataFrame([("Go", "WENT", "Moi", "Chevaux"), ("walk", "walked", "l'", "table"), (None, "x", "leur", "travail"), ("go", None, "le'", "travaux")], "l string, f string, p string, n string")
+    got = df.select(X.irregular(F.col("l"), F.col("f")), X.french_case(F.col("p")), X.heard_plural(F.col("n"), ["cheval", "travail"])).collect()
+    assert [tuple(r) for r in got] == [(True, "Nom", True), (False, "", False), (False, "Acc", True), (False, "Acc", True)]

@@ -269,22 +269,17 @@ def utterance_spans(words: DataFrame) -> DataFrame:
 
 
 def floor_pass(df: DataFrame) -> DataFrame:
-    """Spans pushed behind the last end that was committed in their file; spans left empty lose their time."""
+    """Spans pushed behind the last end that was committed in their file; spans left empty lose their time.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        floor, out = 0, []
-        for line, s, e in rows.sort_values("line")[["line", "start_ms", "end_ms"]].itertuples(index=False):
-            s = max(s, floor)
-            if e > s:
-                floor = e
-                out.append((line, s, e))
-            else:
-                out.append((line, None, None))
-        res = pd.DataFrame(out, columns=["line", "start_ms", "end_ms"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
-        res.insert(0, "file", rows["file"].iloc[0])
-        return res
-
-    return timed(df).select("file", "line", "start_ms", "end_ms").groupBy("file").applyInPandas(run, "file long, line long, start_ms long, end_ms long")
+    A span that is not inverted is committed unless its end lies under the floor, so
+    that the floor is the running maximum of such ends.
+    """
+    before = _file().rowsBetween(Window.unboundedPreceding, -1)
+    floor = F.greatest(F.coalesce(F.max(F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms"))).over(before), F.lit(0)), F.lit(0))
+    start = F.greatest("start_ms", floor)
+    t = timed(df).select("file", "line", start.alias("_s"), F.col("end_ms").alias("_e"))
+    good = F.col("_e") > F.col("_s")
+    return t.select("file", "line", F.when(good, F.col("_s")).alias("start_ms"), F.when(good, F.col("_e")).alias("end_ms"))
 
 
 def order_violations(df: DataFrame) -> DataFrame:

@@ -182,7 +182,7 @@ def a17(spark, d):
     return payloads.csv_columns(c, ["file", "turns", "chars"])
 
 
-@query("a16_json_report")
+@query("a16_json_report", """SELECT '{"conv_id":' || conv_id || ',"turns":' || count(*) || '}' AS value FROM conversations GROUP BY conv_id""")
 def a16(spark, d):
     return payloads.json_rows(table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns")))
 

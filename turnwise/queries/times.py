@@ -111,9 +111,16 @@ def e08(spark, d):
     return timing.untimed_windows(plain(spark, d), DURATION, 300)
 
 
-@query("e09_alignment_groups")
+@query("e09_alignment_groups", f"""WITH RECURSIVE {SPANS}, n AS (SELECT file, line, start_ms AS s, end_ms AS e, n_chars AS c, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM t),
+r AS (SELECT file, k, line, 0 AS grp, s AS a, e AS z, c AS chars FROM n WHERE k = 1
+ UNION ALL SELECT n.file, n.k, n.line, CASE WHEN x THEN grp + 1 ELSE grp END, CASE WHEN x THEN n.s ELSE a END, n.e, CASE WHEN x THEN n.c ELSE chars + n.c END
+  FROM (SELECT r.*, n.e <= r.a OR n.e - r.a > {L.GROUP_MS_NARROW} OR r.chars + n.c > {L.GROUP_CHARS} AS x FROM r JOIN n ON n.file = r.file AND n.k = r.k + 1) r JOIN n ON n.file = r.file AND n.k = r.k + 1),
+g AS (SELECT file, grp, min(a) AS a, max_by(z, k) AS z, max(k) AS k, string_agg(line::VARCHAR, ',' ORDER BY k) AS lines FROM r GROUP BY 1, 2),
+o AS (SELECT g.*, coalesce(n.s, {DURATION}) - g.z AS gap FROM g LEFT JOIN n ON n.file = g.file AND n.k = g.k + 1)
+SELECT file, grp::INT AS grp, a AS start_ms, z + CASE WHEN gap > 0 THEN least(gap // 2, {L.TRAILING_GAP_MS}) ELSE 0 END AS end_ms, lines FROM o""")
 def e09(spark, d):
-    return timing.group_for_alignment(plain(spark, d), L.GROUP_MS_NARROW, DURATION)
+    groups = timing.group_for_alignment(plain(spark, d), L.GROUP_MS_NARROW, DURATION)
+    return groups.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
 
 
 @query("e10_trailing_extension", f"WITH {SPANS}, n AS (SELECT file, line, end_ms, lead(start_ms) OVER (PARTITION BY file ORDER BY line) AS nx FROM t) SELECT file, line, CASE WHEN nx <= end_ms THEN end_ms ELSE end_ms + least((nx - end_ms) // 2, 1500) END AS extended FROM n WHERE nx IS NOT NULL")
@@ -159,7 +166,10 @@ def e15(spark, d):
     return timing.utterance_spans(word_times(spark, d))
 
 
-@query("e16_floor_pass")
+@query("e16_floor_pass", f"""WITH RECURSIVE {SPANS}, n AS (SELECT file, line, start_ms, end_ms, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM t),
+r AS (SELECT file, line, k, greatest(start_ms, 0) AS s, end_ms AS e, CASE WHEN end_ms > greatest(start_ms, 0) THEN end_ms ELSE 0 END AS f FROM n WHERE k = 1
+ UNION ALL SELECT n.file, n.line, n.k, greatest(n.start_ms, r.f), n.end_ms, CASE WHEN n.end_ms > greatest(n.start_ms, r.f) THEN n.end_ms ELSE r.f END FROM r JOIN n ON n.file = r.file AND n.k = r.k + 1)
+SELECT file, line, CASE WHEN e > s THEN s END AS start_ms, CASE WHEN e > s THEN e END AS end_ms FROM r""")
 def e16(spark, d):
     return timing.floor_pass(plain(spark, d))
 

@@ -136,3 +136,55 @@ def test_language_rules(spark):
     df = spark.createDataFrame([("Go", "WENT", "Moi", "Chevaux"), ("walk", "walked", "l'", "table"), (None, "x", "leur", "travail"), ("go", None, "le'", "travaux")], "l string, f string, p string, n string")
     got = df.select(X.irregular(F.col("l"), F.col("f")), X.french_case(F.col("p")), X.heard_plural(F.col("n"), ["cheval", "travail"])).collect()
     assert [tuple(r) for r in got] == [(True, "Nom", True), (False, "", False), (False, "Acc", True), (False, "Acc", True)]
+
+
+def test_recovery_by_strategy(spark):
+    from turnwise.plans import strategies as X
+
+    utts = spark.createDataFrame([(1, 0, ["a", "b"], False), (1, 1, ["c"], False), (2, 0, ["a"], False), (2, 1, ["b"], True)], "file long, utt long, words array<string>, has_overlap boolean")
+    tokens = spark.createDataFrame([(f, i, w, 10 * i, 10 * i + 5) for f in (1, 2) for i, w in enumerate("abc")], "file long, seq long, text string, start_ms long, end_ms long")
+    auto = rows(X.recover(utts, tokens), "file", "utt", "start_ms", "end_ms")
+    assert auto[:2] == [(1, 0, 0, 15), (1, 1, 20, 25)] and len(auto) == 4
+    assert rows(X.recover(utts, tokens, "global").where("file = 1"), "file", "utt", "start_ms", "end_ms") == auto[:2]
+    with pytest.raises(KeyError):
+        X.recover(utts, tokens, "other")
+
+
+def test_caches(spark, tmp_path):
+    from turnwise.plans import strategies as X
+
+    items = spark.createDataFrame([("a", "v1"), ("b", "v1")], "key string, engine_version string")
+    keys = ["key", "engine_version"]
+    table = X.TableCache(spark, str(tmp_path / "cache"), keys)
+    calls = []
+
+    def compute(df):
+        calls.append(df.count())
+        return df.withColumn("data", F.concat("key", F.lit("!")))
+
+    for cache in (table, table, X.TieredCache(X.NoCache(), table), X.NoCache()):
+        assert rows(X.through_cache(items, keys, cache, compute, 1), "key", "data") == [("a", "a!"), ("b", "b!")]
+    assert calls == [2, 0, 0, 2]
+    assert X.choose_engine("morphology", None, "eng") == "rules"
+    with pytest.raises(KeyError):
+        X.choose_engine("morphology", "none", "eng")
+
+
+def test_overrides_and_multiwords(spark):
+    from turnwise.plans import strategies as X
+
+    df = spark.createDataFrame([(["New", "york", "city", "is", "in", "spite", "of"],), ([],)], "w array<string>")
+    got = [r[0] for r in df.select(X.merge_multiwords(F.col("w"), [["new", "york"], ["New", "York", "City"], ["in", "spite", "of"]])).collect()]
+    assert got == [["New_york_city", "is", "in_spite_of"], []]
+    assert df.select(X.override_items(F.col("w"), [(lambda x: x == "is", lambda x: F.lit("be")), (lambda x: F.length(x) == 2, F.upper)])).first()[0] == ["New", "york", "city", "be", "IN", "spite", "OF"]
+
+
+def test_a_batch_replaces_itself(spark, tmp_path):
+    from turnwise.streaming import events
+
+    sink = events.upsert_sink(str(tmp_path / "s"))
+    make = lambda *r: spark.createDataFrame(r, "key string, v int")
+    sink(make(("a", 1), ("b", 1)), 0)
+    sink(make(("a", 9)), 1)
+    sink(make(("a", 2)), 1)
+    assert rows(events.upserted(spark, str(tmp_path / "s"), ["key"])) == [("a", 2), ("b", 1)]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from turnwise.operators import jobs
+
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """Parquet files as they come, with the schema of those that are there; ``ts`` as an instant."""
@@ -54,15 +56,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_sink(write: Callable[[DataFrame, int], None]):
-    """For ``foreachBatch``: each batch once, in the order of its number."""
+def upsert_sink(path: str):
+    """For ``foreachBatch``: each batch is a folder of its number, so that a batch that is sent again replaces itself."""
 
     def run(batch: DataFrame, number: int) -> None:
-        write(batch, number)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
 
 
+def upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest row of each key over all batches."""
+    return jobs.latest(spark.read.parquet(path), keys, "batch").drop("batch")
+
+
 def changed_only(before: DataFrame, after: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
     """Rows of ``after`` whose content is new or different: what has to be processed again."""
     same = before.select(*keys, F.sha2(F.to_json(F.struct(*content)), 256).alias("_h"))

@@ -32,7 +32,14 @@ shuffled once (by block) and that exchange is reused by the four passes.
 Defined results: null counts as the empty text; texts under ``LENGTH`` bytes lose
 nothing; rows that share id and text are one document and get equal rows; rows
 that share an id but not the text are told apart by block and text; a null
-id comes after all others.
+id comes after all others. Ids are integers; further columns are ignored; an empty
+table gives no rows. A document lies in one block and is held whole by its task,
+while its hashes are made in slices of 1 MB, so that the longest document, and not
+the number of copies, bounds what a block needs.
+
+Steps 1 and 2 decide by hashes (64 bits of the anchor and 64 bits of the context);
+only strings that reach step 3 are verified on their bytes, or by two independent
+hashes between blocks.
 """
 
 from __future__ import annotations

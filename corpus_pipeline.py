@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``; columns that a
+table has besides pass through, whatever their names.
 
 SQL cannot express the first stage (a trained network) and the last (BPE), so
 that ``ORACLE_SQL`` is None; ``tests/llm/test_pipeline.py`` holds the stages
@@ -22,30 +23,41 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of at least 0.3)."""
+    """Documents that the quality classifier accepts (score of at least 0.3).
+
+    Null and empty texts are scored like any other; repeated rows share their fate.
+    """
     score = fresh(docs, "quality_score")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), out=score)
     return scored.where(F.col(score) >= 0.3).drop(score)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five words, similarity of 0.8 or more."""
+    """One document of each class of near-duplicates: five words, similarity of 0.8 or more.
+
+    Rows that repeat id and text count once; rows that share an id only are told
+    apart; documents without words all stay.
+    """
     return neardup.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Rows are taken out by id and text, so that another text of the same id stays;
+    null and empty texts stay.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars follows the text."""
+    """All documents, with surrogates for personal data; n_chars follows the text (null for a null text)."""
     out = pii.pseudonymise(docs, key=pii.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), digest of the decoded bytes, of every text."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), digest of the decoded bytes, of every text (null: empty)."""
     own = bpe.default_vocabulary()
     coded = bpe.decode(bpe.encode(docs, **own), **own)
     checked = coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -69,3 +69,28 @@ def test_clean_documents_pass_quality(spark, sf):
     kept = ids(stage("quality")(spark, all_, sf))
     good = {r.doc_id for r in table(spark, sf, "labels").where("quality = 1").collect()} & ids(all_)
     assert len(good & kept) >= 0.95 * len(good)
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, shared ids, and columns whose names clash."""
+    from pyspark.sql import functions as F
+
+    bench = table(spark, sf, "benchmark").orderBy("item_id").first().text
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "", "en", "a", 0), (2, None, None, None, None), (None, "a text without an id " * 3, "en", "a", 1), (3, "one two three four five six seven", "en", "a", 1),
+            (3, "one two three four five six seven", "en", "a", 1), (3, "another text of the same id, quite different", "en", "b", 1), (4, long, "en", "a", 1), (5, "before " + bench + " after", "en", "a", 1), (5, "a clean text of that id", "fr", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"score": F.lit("s"), "class": F.lit(1), "_d": F.lit(2), "_hits": F.lit(3), "quality_score": F.lit(4)})
+    key = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+    quality = stage("quality")(spark, docs, sf)
+    assert quality.columns == docs.columns and quality.count() <= docs.count()
+    once = stage("near_duplicates")(spark, docs, sf)
+    assert once.columns == docs.columns and key(once) == sorted({(r[0] or 0, r[1]) for r in rows}, key=str)
+    clean = stage("decontamination")(spark, docs, sf)
+    assert clean.columns == docs.columns and key(clean) == sorted(((r[0] or 0, r[1]) for r in rows if r[1] is None or bench not in r[1]), key=str)
+    out = stage("pii")(spark, docs, sf)
+    assert out.columns == docs.columns and key(out) == sorted(((r[0] or 0, r[1]) for r in rows), key=str)
+    coded = stage("bpe")(spark, docs, sf)
+    assert coded.count() == len(rows) and coded.where("n_tokens = 0").count() == 2
+    for name, f in pipeline.STAGES[1:]:
+        assert f(spark, docs.limit(0), sf).count() == 0, name

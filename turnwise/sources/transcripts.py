@@ -53,16 +53,18 @@ def utterances(lines: DataFrame) -> DataFrame:
     """file, utt, line_no, speaker, words, terminator, start_ms, end_ms, has_overlap."""
     from pyspark.sql import Window
 
+    # one step for each value that others use several times, so that it is computed once
     body = F.trim(F.regexp_replace("text", BULLET + r"\d+_\d+" + BULLET, ""))
     clean = F.regexp_replace(F.regexp_replace(body, r"\[[^\]]*\]", " "), "[<>]", " ")
-    tokens = F.filter(F.split(clean, r"\s+"), lambda t: (t != "") & ~t.rlike(r"^(0|&[=+].*|\+<|\+\^|\+,|\+\+)$"))
-    last = F.try_element_at(tokens, F.lit(-1))
-    term = F.when(last.rlike(r"^([.?!]|\+[./!?\".]+)$"), last)
-    words = F.when(term.isNotNull(), F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+    said = lines.where("kind = 'utterance'").select("file", "line_no", "label", "text", F.split(clean, r"\s+").alias("t"))
+    kept = said.withColumn("t", F.filter("t", lambda t: (t != "") & ~t.rlike(r"^(0|&[=+].*|\+<|\+\^|\+,|\+\+)$")))
+    ended = kept.withColumn("last", F.try_element_at("t", F.lit(-1))).withColumn("terminator", F.when(F.col("last").rlike(r"^([.?!]|\+[./!?\".]+)$"), F.col("last")))
+    words = F.when(F.col("terminator").isNotNull(), F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0)))).otherwise(F.col("t"))
+    bare = ended.withColumn("t", F.filter(words, lambda w: ~w.rlike(r"^[,‡„]$")))
     time = lambda i: F.try_to_number(F.nullif(F.regexp_extract("text", BULLET + r"(\d+)_(\d+)" + BULLET, i), F.lit("")), F.lit("999999999999")).cast("long")
-    rows = lines.where("kind = 'utterance'").select(
-        "file", "line_no", F.col("label").alias("speaker"), F.transform(F.filter(words, lambda w: ~w.rlike(r"^[,‡„]$")), word_struct).alias("words"),
-        term.alias("terminator"), time(1).alias("start_ms"), time(2).alias("end_ms"), F.col("text").contains("+<").alias("has_overlap"),
+    rows = bare.select(
+        "file", "line_no", F.col("label").alias("speaker"), F.transform("t", word_struct).alias("words"), "terminator",
+        time(1).alias("start_ms"), time(2).alias("end_ms"), F.col("text").contains("+<").alias("has_overlap"),
     )
     return rows.withColumn("utt", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).cast("long"))
 

@@ -72,3 +72,13 @@ def test_documents_that_share_an_id_stay_apart(spark):
     assert Counter((r.doc_id, r.text) for r in stay.collect()) == Counter([(1, a), (3, b), (5, "m n o"), (None, "q r s"), (9, ""), (9, None)])
     named = spark.createDataFrame([("k2", a), ("k1", a), ("k3", b)], "name string, body string")
     assert {r.name for r in neardup.deduplicate(named, doc_id="name", text="body", size=2).collect()} == {"k1", "k3"}
+
+
+def test_the_quick_look_misses_no_entity(spark):
+    """Each kind of entity alone in a text, behind each kind of character."""
+    some = ["a@b.org", "1.2.3.4", "+49 123 4567", "(212) 555-0100", "212-555-0100", "123-45-6789", "4000123412341234", "0f" * 16, "Mr Smith", "Señora López", "κυρία Άννα", "г-жа Анна", "Herr. Weber"]
+    before = ["", " ", "x ", "1", "-", ".", "é ", "_", "(", "\n"]
+    texts = spark.createDataFrame([(b + e + t,) for e in some for b in before for t in ("", ".", " x")], "text string")
+    full = F.regexp_extract_all("text", F.lit(pii.ENTITY), 0)
+    assert texts.where(full != pii.matches(F.col("text"))).count() == 0
+    assert texts.where(F.size(full) > 0).count() > 0.7 * texts.count()

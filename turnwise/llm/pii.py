@@ -63,9 +63,10 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 SECRET = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"
 NAME = rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})"
-ENTITY = "|".join(f"(?:{x})" for x in (EMAIL, IPV4, PHONE, PHONE_PLAIN, SSN, CARD, SECRET, NAME))
+#: Every entity begins with a digit, ``+`` or ``(``, or where no letter comes before; inside a word nothing else is tried.
+ENTITY = r"(?:(?=[\d+(])|(?<!\p{L}))(?:" + "|".join(f"(?:{x})" for x in (EMAIL, IPV4, PHONE, PHONE_PLAIN, SSN, CARD, SECRET, NAME)) + ")"
 #: A text without any of these has no entity; the long expression then never runs.
-_QUICK = rf"@|[0-9a-fA-F]{{32}}|\d[ .\-)]?\(?\d[ .\-)]?\(?\d|\d\.\d|(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"
+_QUICK = rf"@|\d(?:[ .\-)]?\(?\d[ .\-)]?\(?\d|\.\d)|(?<!\p{{L}})(?:(?<!\p{{N}})[0-9a-fA-F]{{32}}|(?=[MHSFκг])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}})"
 
 
 # Letters of the syllables (16 onsets, 16 vowels) and gender endings, by script.

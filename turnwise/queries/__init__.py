@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnwise.queries import bookkeeping, matching, more, text, times
+from turnwise.queries import added, bookkeeping, matching, more, text, times
 from turnwise.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bookkeeping", "matching", "more", "text", "times"]
+__all__ = ["ORACLE_SQL", "QUERIES", "added", "bookkeeping", "matching", "more", "text", "times"]

@@ -90,8 +90,9 @@ def _table(sames: Sames, order: list[int], c: int, d: int, back: bool = False, w
     rows = [row]
     for i in order:
         same = sames.row(i, c, d)
-        pair = row[:-1] + np.where(same[::-1] if back else same, 0, 2)
-        row = np.minimum.accumulate(np.minimum(np.append(row[0] + 1, pair), row + 1) - at) + at
+        cost = row + 1
+        np.minimum(cost[1:], row[:-1] + 2 * ~(same[::-1] if back else same), out=cost[1:])
+        row = np.minimum.accumulate(cost - at) + at
         if whole:
             rows.append(row)
     return rows if whole else row
@@ -267,10 +268,13 @@ def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int
 
     def overlap(words: list[str], want: list[str]) -> np.ndarray:
         total = np.zeros(len(s), np.int64)
-        have = np.array(words, object)
+        names: dict[str, int] = {}
+        have = np.array([names.setdefault(w, len(names)) for w in words], np.int32)
+        count = np.zeros(n + 1, np.int32)
         for w, most in Counter(want).items():
-            count = np.concatenate(([0], np.cumsum(have == w)))
-            total += np.minimum(count[e] - count[s], most)
+            if w in names:
+                np.cumsum(have == names[w], out=count[1:])
+                total += np.minimum(count[e] - count[s], most)
         return total
 
     shared = overlap(main, gold)

@@ -80,10 +80,10 @@ def transcribe_s(asr: DataFrame, segments: DataFrame, ends: DataFrame, lang: str
 
 
 def compare_words(utts: DataFrame) -> DataFrame:
-    """Content words of utterances, conformed: file, utt, seq, text, pos."""
-    content = F.filter("words", lambda w: ~W.is_punct_or_filler(w))
-    each = utts.select("file", "utt", F.posexplode(W.conform_mapped(content)).alias("seq", "w"))
-    return each.select("file", "utt", "seq", F.col("w.text").alias("text"), F.lit(None).cast("string").alias("pos"))
+    """Content words of utterances, conformed, a row for each: file, utt, seq (in order), text, pos."""
+    each = utts.select("file", "utt", F.posexplode("words").alias("_p", "_w")).where(~W.is_punct_or_filler(F.col("_w")))
+    said = each.select("file", "utt", "_p", F.posexplode(W.conform(F.col("_w"))).alias("_k", "text"))
+    return said.select("file", "utt", (F.col("_p").cast("long") * (1 << 20) + F.col("_k")).alias("seq"), "text", F.lit(None).cast("string").alias("pos"))
 
 
 def compare(main: DataFrame, gold: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ def pairs(spark, d):
     """Pairs of word lists for alignment: a turn and a worn copy of it."""
     gold = F.col("words")
     worn = F.filter(F.transform(gold, lambda w, i: F.when(i % 7 == 3, F.lit(None)).when(i % 5 == 1, "um").when(i % 6 == 2, F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(w)), lambda w: w.isNotNull())
-    return utterances(spark, d).where(F.size("words") > 0).select("file", "utt", "speaker", gold.alias("gold"), worn.alias("main"))
+    # aligning a turn costs far more than moving its words: all cores take part, however few files the table has
+    spread = utterances(spark, d).where(F.size("words") > 0).repartition("file", "utt")
+    return spread.select("file", "utt", "speaker", gold.alias("gold"), worn.alias("main"))
 
 
 _PAIRS = f"""{U}, g AS (SELECT file, utt, speaker, words AS gold FROM u WHERE len(words) > 0),

@@ -12,6 +12,7 @@ def local_session(cpus: int | str = 8, app: str = "turnwise", shuffle: int = 8)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # small tables of costly rows still use all cores
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")

@@ -47,6 +47,8 @@ def test_modes():
     assert sum(t == "match" for t, *_ in A.align(["The", "É"], ["the", "é"], "nocase")) == 1
     assert A.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert A.jaro_winkler("", "a") == 0.0
+    assert A.jaro_winkler("thhatind", "thantion.") == pytest.approx(0.8, abs=1e-4)  # three letters out of place are one transposition
+    assert A.matcher("fuzzy:0.9")("HELLO", "hello") and not A.matcher("fuzzy:0.9")("HELLO", "help")
 
 
 @settings(max_examples=100, deadline=None)

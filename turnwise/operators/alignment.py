@@ -42,7 +42,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [y for y, f in zip(b, free, strict=True) if not f]
-    m, t = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m, t = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
@@ -52,13 +52,13 @@ _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def matcher(mode: str) -> Callable[[str, str], bool]:
-    """exact, nocase (ASCII) or fuzzy:<threshold> (Jaro-Winkler)."""
+    """exact, nocase (ASCII) or fuzzy:<threshold> (Jaro-Winkler of the words in lower case)."""
     if mode == "exact":
         return lambda a, b: a == b
     if mode == "nocase":
         return lambda a, b: a.translate(_ASCII) == b.translate(_ASCII)
     least = float(mode.split(":")[1])
-    return lambda a, b: jaro_winkler(a, b) >= least
+    return lambda a, b: jaro_winkler(a.lower(), b.lower()) >= least
 
 
 class Sames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnwise.llm import ann, bpe, chat, decontaminate, langid, neardup, pii, quality, repeats, urlfilter
+from turnwise.llm import ann, bpe, chat, decontaminate, divergence, langid, neardup, pii, quality, repeats, tokenalign, treebpe, urlfilter
 
 QUERIES = {
     "op1_urls": urlfilter.op1_urls,
@@ -15,6 +15,9 @@ QUERIES = {
     "op4_neardup": neardup.op4_neardup,
     "op3_quality": quality.op3_quality,
     "op6_langid": langid.op6_langid,
+    "op11_token_alignment": tokenalign.op11_token_alignment,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_tree_bpe": treebpe.op13_tree_bpe,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,5 @@ ORACLE_SQL = {
     "op2_repeats": repeats.SQL,
     "op4_neardup": neardup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op12_divergence": divergence.SQL,
 }

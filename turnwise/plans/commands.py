@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import sequences, words as W
 from turnwise.functions.numbers import expanded
-from turnwise.operators import alignment, joins, metrics, morphology, segmentation, timing
+from turnwise.operators import alignment, joins, lexicons, metrics, morphology, phrases, segmentation, timing
 from turnwise.plans.engines import infer
 
 COMMANDS = ("morphotag", "utseg", "translate", "coref", "align", "transcribe", "transcribe_s", "compare", "benchmark", "opensmile", "avqi", "diarize")
@@ -58,15 +58,18 @@ def align(utts: DataFrame, tokens: DataFrame, duration: int) -> DataFrame:
     return timing.estimate_untimed(timing.repair(ordered), duration).withColumnRenamed("line", "utt")
 
 
-def transcribe(asr: DataFrame, lang: str = "eng") -> DataFrame:
-    """Utterances (file, utt, pos, text, kind) out of recogniser words (file, seq, text)."""
+def transcribe(asr: DataFrame, lang: str = "eng", lexicon: DataFrame | None = None) -> DataFrame:
+    """Utterances (file, utt, pos, text, kind) out of recogniser words (file, seq, text); multiword entries of ``lexicon`` become one word."""
     text = W.without_title_period(F.col("text")) if lang == "eng" else F.col("text")
     clean = asr.select("file", "seq", W.strip_boundary(W.strip_boundary(text, W.COMMAS), W.QUOTES).alias("text")).where("text <> ''")
     split = clean.select("file", "seq", F.posexplode(W.percent_split(F.col("text"), lang)).alias("_i", "text")).withColumn("text", expanded(F.col("text"), F.lit(lang)))
-    each = split.select("file", (F.col("seq") * 10 + F.col("_i")).alias("seq"), F.posexplode(F.split("text", " ")).alias("_j", "text")).withColumn("seq", F.col("seq") * 100 + F.col("_j"))
+    # parts of a word are ordered by a struct: no number of parts runs into the next word
+    each = split.select("file", "seq", "_i", F.posexplode(F.split("text", " ")).alias("_j", "text")).select("file", F.struct("seq", "_i", "_j").alias("seq"), "text")
     said = segmentation.retokenise(each, ["file"], "seq", "text")
     said = said.withColumn("text", W.disfluency(F.col("text")) if lang == "eng" else F.col("text"))
     utt = said.groupBy("file", "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("words"))
+    if lexicon is not None:
+        utt = phrases.merge_multiwords(utt, lexicon)
     content = F.filter("words", lambda w: ~w.isin(W.L.ENDING_PUNCT + W.L.MOR_PUNCT))
     marks = sequences.retraces(content, 2 if lang in ("yue", "zho") else 1)
     flagged = utt.select("file", "utt", F.posexplode(F.arrays_zip(content.alias("text"), marks.alias("retrace"))).alias("pos", "w")).select("file", "utt", "pos", F.when(F.col("w.retrace"), W.strip_punct(F.col("w.text"))).otherwise(F.col("w.text")).alias("text"), F.when(F.col("w.retrace"), "retrace").otherwise("regular").alias("kind"))
@@ -79,25 +82,32 @@ def transcribe_s(asr: DataFrame, segments: DataFrame, ends: DataFrame, lang: str
     return transcribe(asr, lang).join(joins.reassign_speakers(ends, segments).select("file", "utt", "speaker_new"), ["file", "utt"], "left")
 
 
-def compare_words(utts: DataFrame) -> DataFrame:
-    """Content words of utterances, conformed, a row for each: file, utt, seq (in order), text, pos."""
+def compare_words(utts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Content words of utterances, conformed, a row for each: file, utt, seq (in order), text, pos.
+
+    ``lexicon``: a list table (kind, key, parts) of any size, used in place of the built-in lists
+    (multiword entries need nothing here, since words with ``_`` are scored by their parts).
+    """
     each = utts.select("file", "utt", F.posexplode("words").alias("_p", "_w")).where(~W.is_punct_or_filler(F.col("_w")))
-    said = each.select("file", "utt", "_p", F.posexplode(W.conform(F.col("_w"))).alias("_k", "text"))
+    value = W.conform(F.col("_w"))
+    if lexicon is not None:
+        each, value = lexicons.conformed(each, lexicon, "_w", "_c"), F.col("_c")
+    said = each.select("file", "utt", "_p", F.posexplode(value).alias("_k", "text"))
     return said.select("file", "utt", (F.col("_p").cast("long") * (1 << 20) + F.col("_k")).alias("seq"), "text", F.lit(None).cast("string").alias("pos"))
 
 
-def compare(main: DataFrame, gold: DataFrame) -> DataFrame:
-    """file, matches, insertions, deletions, total_gold_words, wer, accuracy, cwer."""
-    tokens = alignment.compare(compare_words(main), compare_words(gold))
+def compare(main: DataFrame, gold: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """file, matches, insertions, deletions, total_gold_words, wer, accuracy, cwer; both sides conformed by ``lexicon`` where one is given."""
+    tokens = alignment.compare(compare_words(main, lexicon), compare_words(gold, lexicon))
     rates = metrics.with_rates(metrics.tally(tokens, "file"))
     bag = metrics.bag_errors(tokens)
     return rates.join(bag, "file", "left").withColumn("cwer", F.when(F.col("total_gold_words") > 0, F.coalesce("bag_errors", F.lit(0)) / F.col("total_gold_words")).otherwise(F.lit(0.0))).drop("bag_errors")
 
 
-def benchmark(asr: DataFrame, gold: DataFrame, lang: str = "eng") -> DataFrame:
+def benchmark(asr: DataFrame, gold: DataFrame, lang: str = "eng", lexicon: DataFrame | None = None) -> DataFrame:
     """Recogniser words against gold utterances."""
     said = transcribe(asr, lang).groupBy("file", "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("words"))
-    return compare(said, gold)
+    return compare(said, gold, lexicon)
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:

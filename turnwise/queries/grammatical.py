@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.operators import splice
+from turnwise.operators import phrases, splice
 from turnwise.queries.base import U, query, utterances
 from turnwise.session import table
 from turnwise.sources import grammar
@@ -70,3 +70,16 @@ def c34_spliced(spark, d):
     rows = F.when(F.col("word") == 1, F.array(F.struct(F.lit(1).alias("id"), F.col("text"), F.lit(0).alias("head")))).otherwise(F.array(F.struct(F.lit(2).alias("id"), F.col("text"), F.lit(1).alias("head")), F.struct(F.lit(3).alias("id"), F.concat("text", F.lit("2")).alias("text"), F.lit(2).alias("head"))))
     second = far.select("file", "utt", "span", "word", F.explode(rows).alias("r")).select("file", "utt", "span", "r.id", "word", "r.text", F.col("r.text").alias("lemma"), F.lit("NOUN").alias("upos"), "r.head", F.when(F.col("r.head") == 0, "root").otherwise("nmod").alias("deprel"))
     return splice.splice(host, second).select("file", "utt", "id", "text", "head", "origin")
+
+
+@query("j10_phrase_matches", f"""WITH {U}, e AS (SELECT file, utt, unnest(words) AS a, unnest(range(len(words))) AS i FROM u), n AS (SELECT *, lead(a) OVER (PARTITION BY file, utt ORDER BY i) AS b FROM e),
+p AS (SELECT *, regexp_matches(a, '^[a-m]') AND regexp_matches(b, '^[n-z]') AS fits FROM n), l AS (SELECT DISTINCT a, b FROM p WHERE fits AND file % 2 = 0)
+SELECT file, utt, count(*) AS n, min(i)::INT AS first, max(i)::INT AS last FROM p SEMI JOIN l ON p.a = l.a AND p.b = l.b WHERE fits GROUP BY 1, 2""")
+def j10_phrases(spark, d):
+    """A list of thousands of two-word phrases out of the even conversations, found in all of them."""
+    u = utterances(spark, d).select("file", "utt", "words")
+    pairs = F.filter(F.transform("words", lambda w, i: F.array(w, F.get("words", i + 1))), lambda p: p[0].rlike("^[a-m]") & F.coalesce(p[1].rlike("^[n-z]"), F.lit(False)))
+    listed = u.where("file % 2 = 0").select(F.explode(pairs).alias("phrase")).distinct().withColumn("value", F.array(F.array_join("phrase", "_")))
+    found = phrases.find(u, listed).where(F.size("matches") > 0)
+    at = F.transform("matches", lambda m: m["start"])
+    return found.select("file", "utt", F.size("matches").cast("long").alias("n"), F.array_min(at).alias("first"), F.array_max(at).alias("last"))

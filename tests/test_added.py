@@ -120,7 +120,7 @@ def test_numbers_of_other_languages():
     from turnwise.functions.numbers import expand
 
     want = {
-        "deu": {1: "eins", 10: "zehn", 21: "einundzwanzig", 34: "vierunddreißig", 70: "siebzig", 200: "zwei hundert"},
+        "deu": {1: "eins", 10: "zehn", 21: "einundzwanzig", 34: "vierunddreißig", 70: "siebzig", 200: "zweihundert"},
         "fra": {1: "un", 5: "cinq", 21: "vingt-et-un", 71: "soixante-et-onze", 80: "quatre-vingts", 81: "quatre-vingt-un", 91: "quatre-vingt-onze", 77: "soixante-dix-sept"},
         "spa": {1: "uno", 5: "cinco", 13: "trece", 22: "veintidós", 25: "veinticinco", 31: "treinta y uno", 1000: "mil"},
         "por": {21: "vinte e um"}, "nld": {22: "tweeëntwintig", 25: "vijfentwintig"}, "ita": {21: "ventuno", 28: "ventotto", 33: "trentatré", 45: "quarantacinque"},

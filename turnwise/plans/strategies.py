@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators import alignment, jobs, joins, timing
+from turnwise.plans.cache import SnapshotCache, cached
 from turnwise.plans.engines import engines
+from turnwise.session import kept
 
 # --- timing recovery ------------------------------------------------------------------
 
@@ -91,9 +93,15 @@ class TieredCache:
 
 
 def through_cache(items: DataFrame, keys: list[str], cache: Cache, compute: Callable[[DataFrame], DataFrame], now: int) -> DataFrame:
-    """(items with ``data``): cached where there is an entry; the rest is computed and stored."""
+    """(items with ``data``): cached where there is an entry; the rest is computed and stored.
+
+    With a ``SnapshotCache`` results are written once and read from the cache. Other caches have no
+    place for that: the new results are checkpointed, so that the model does not run again for each reader.
+    """
+    if isinstance(cache, SnapshotCache):
+        return cached(items, keys, [cache], compute, now)
     hits, misses = cache.lookup(items, keys)
-    new = compute(misses)
+    new = kept(compute(misses), "computed")
     cache.store(new.withColumn("created_at", F.lit(now)))
     return hits.select(*items.columns, "data").unionByName(new.select(*items.columns, "data"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from turnwise.operators import jobs, joins, metrics
 from turnwise.queries.base import U, query, utterances
 from turnwise.queries.text import _TAG, tagged
-from turnwise.session import table
+from turnwise.session import shared_folder, table
 from turnwise.sources import listing, payloads, transcripts
-from turnwise.streaming import events as streams
+from turnwise.streaming import events as streams, stateful
 
 _FILES = "SELECT o_orderkey AS job_id, l_linenumber AS n, CASE WHEN l_returnflag = 'R' THEN 'error' WHEN l_quantity > 49 THEN 'cancelled' WHEN l_linenumber = 7 THEN 'pending' ELSE 'done' END AS status FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
@@ -258,18 +258,33 @@ def i07(spark, d):
 
 @query("i01_windowed_stream", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def i01(spark, d):
-    """Events by day and kind through a stream that is drained (an addition: the tables are the stream)."""
+    """Events by day and kind through a stream into files (an addition: the tables are the stream)."""
     s = streams.event_counts(streams.event_stream(spark, f"{d}/events.parquet*"), width="1 day")
-    return streams.drain(s, f"events_by_day_{abs(hash(d)) % 10**8}", "complete").withColumn("total", F.round("total", 4))
+    path = shared_folder(spark, "by-day")
+    stateful.store(s, path, "update")
+    return stateful.stored(spark, path, "start timestamp, event_type string, n long, total double", ["start", "event_type"]).withColumn("total", F.round("total", 4))
 
 
-@query("i02_job_stream", "SELECT user_id AS job_id, count(*) AS updates FROM events GROUP BY 1")
+@query("i02_job_stream", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS updates FROM events GROUP BY 1")
 def i02(spark, d):
-    """State of each job after all its events."""
+    """State of each job after all its events, kept by a stateful stream and read from files."""
     raw = streams.event_stream(spark, f"{d}/events.parquet*")
-    e = raw.select(F.col("user_id").alias("job_id"), "ts", F.lit("job_update").alias("kind"))
-    out = streams.drain(streams.job_state(e, None), f"job_state_{abs(hash(d)) % 10**8}", "update")
-    return out.groupBy("job_id").agg(F.max("updates").alias("updates"))
+    path = shared_folder(spark, "jobs")
+    stateful.store(stateful.job_status(raw.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))), path, "update")
+    return stateful.stored(spark, path, stateful.STATUS, ["job_id"])
+
+
+@query("i03_lease_stream", """WITH e AS (SELECT user_id AS job_id, epoch_us(ts) // 1000 AS ms, event_id, 'w' || (user_id % 7) AS worker FROM events),
+p AS (SELECT *, lag(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS past, lead(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS next, max(ms) OVER () AS newest FROM e)
+SELECT job_id, ms AS at_ms, worker, CASE WHEN past IS NULL OR past + 21600000 < ms THEN 'granted' ELSE 'renewed' END AS outcome FROM p
+UNION ALL SELECT job_id, ms + 21600000, worker, 'expired' FROM p WHERE coalesce(ms + 21600000 < next, ms + 21600000 <= newest - 60000)""")
+def i03_stream(spark, d):
+    """Leases of six hours: each event is a claim; what is not renewed in time ends by a timer."""
+    raw = streams.event_stream(spark, f"{d}/events.parquet*")
+    claims = raw.select(F.col("user_id").alias("job_id"), "ts", F.col("event_id").alias("seq"), F.lit("claim").alias("action"), F.concat(F.lit("w"), F.col("user_id") % 7).alias("worker"))
+    path = shared_folder(spark, "leases")
+    stateful.store(stateful.leases(claims, 6 * 3_600_000), path)
+    return stateful.stored(spark, path, stateful.LEASES)
 
 
 @query("i05_sessions", "WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,20 @@ def local_session(cpus: int | str = 8, app: str = "turnwise", shuffle: int = 8)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, by Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``; a temporary one only on one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="turnwise-")
+    return f"{found.rstrip('/')}/turnwise-{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` computed once and read back from a table in the shared folder."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,13 +1,9 @@
-"""Job events as streams: state, leases, sessions and incremental work."""
+"""Job events as streams: windows, sessions, idempotent batches and incremental work (state and leases: ``stateful``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnwise.operators import jobs
 
@@ -18,35 +14,6 @@ def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def job_state(events: DataFrame, ttl_ms: int | None = 60_000) -> DataFrame:
-    """Latest status of each job with the number of updates; ``complete`` closes the state; idle jobs time out after ``ttl_ms`` (None: never, as a stream that is drained needs).
-
-    ``events``: job_id, ts, kind (snapshot, job_update, file_update, complete, deleted).
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, last = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["timed_out"], "updates": [n]})
-            return
-        n, last = state.get if state.exists else (0, "")
-        for b in batches:
-            b = b.sort_values("ts")
-            n += len(b)
-            last = b["kind"].iloc[-1]
-        if last in ("complete", "deleted"):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((n, last))
-            if ttl_ms is not None:
-                state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [last], "updates": [n]})
-
-    return events.groupBy("job_id").applyInPandasWithState(update, "job_id long, status string, updates long", "n long, last string", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events by window and kind; late rows beyond the watermark are dropped (an addition, not parity)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -74,10 +41,3 @@ def changed_only(before: DataFrame, after: DataFrame, keys: list[str], content:
     """Rows of ``after`` whose content is new or different: what has to be processed again."""
     same = before.select(*keys, F.sha2(F.to_json(F.struct(*content)), 256).alias("_h"))
     return after.withColumn("_h", F.sha2(F.to_json(F.struct(*content)), 256)).join(same, [*keys, "_h"], "left_anti").drop("_h")
-
-
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now; its result as a table in memory (tests and small reports)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)

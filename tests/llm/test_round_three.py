@@ -224,3 +224,28 @@ def test_words_are_counted_the_same_in_small_blocks(monkeypatch):
     text = "Añb c1d é " * 40
     monkeypatch.setattr(divergence, "_BLOCK", 7)
     assert [w for b in divergence._blocks(text.encode().lower()) for w in divergence._TERM.findall(b)] == divergence._TERM.findall(text.encode().lower())
+
+
+def test_training_reads_one_row_of_an_id(spark, monkeypatch):
+    """Twenty thousand documents share an id: one text of it reaches the driver, the same one in any order."""
+    from pyspark.sql import functions as F
+
+    from turnwise.llm import langid, quality
+
+    many = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    others = spark.range(40).selectExpr("id + 100 AS doc_id", "concat('other ', id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    docs = many.unionByName(others)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    seen = []
+    original = type(docs).toPandas
+
+    def spy(self):
+        seen.append(original(self))
+        return seen[-1]
+
+    monkeypatch.setattr(type(docs), "toPandas", spy)
+    for table_ in (docs, docs.repartition(7)):
+        quality.train(table_, labels, steps=1)
+        langid.train(table_)
+    assert all(f["k"].is_unique and len(f) <= 41 for f in seen) and len(seen) == 4
+    assert seen[0]["t"].tolist() == seen[2]["t"].tolist() and seen[1]["t"].tolist() == seen[3]["t"].tolist()

@@ -125,15 +125,20 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 800, most: int = 12_000, sample_bytes: int = 16_384) -> LanguageModel:
-    """Fits on at most ``per_lang`` rows of each language (``most`` in all) outside the held-out quarter."""
+    """Fits on at most ``per_lang`` rows of each language (``most`` ids in all) outside the held-out quarter.
+
+    Of rows that share an id one is learned from, that with the least hash of text and language.
+    """
     rows = docs.select(F.col(doc_id).alias("k"), F.col(lang).alias("y"), F.octet_length(text).alias("n"))
     rows = rows.where(F.col("k").isNotNull() & F.col("y").isNotNull() & (F.col("n") <= sample_bytes)).where(crc_mod("k", 4) != 2)
     order = (F.xxhash64("k"), F.col("k"))
     # first in parts, so that no task gets all rows of a frequent language
     some = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("y", "part").orderBy(*order))).where(F.col("r") <= per_lang)
     ids = some.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("r") <= per_lang).orderBy("r", "y").limit(most).select("k").distinct()
-    found = docs.select(F.col(doc_id).alias("k"), F.lower(F.col(text)).alias("t"), F.col(lang).alias("y")).join(F.broadcast(ids), "k")
-    found = found.where(F.col("t").isNotNull() & F.col("y").isNotNull()).toPandas().sort_values(["k", "y", "t"])  # bounded by most * sample_bytes
+    found = docs.select(F.col(doc_id).alias("k"), F.lower(F.col(text)).alias("t"), F.col(lang).alias("y"), F.octet_length(text).alias("n")).join(F.broadcast(ids), "k")
+    found = found.where(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.col("n") <= sample_bytes))
+    one = found.groupBy("k").agg(F.min(F.struct(F.xxhash64("t", "y").alias("h"), "t", "y")).alias("m")).select("k", "m.t", "m.y")
+    found = one.toPandas().sort_values(["k", "y", "t"])  # one row an id: bounded by most * sample_bytes
     langs = sorted(found["y"].unique())
     model = LanguageModel(langs)
     if not langs:

@@ -153,14 +153,15 @@ class ByteNet:
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
           sample: int = 4_000, sample_bytes: int = 32_768, steps: int = 700) -> ByteNet:
-    """Fits on at most ``sample`` labelled rows outside the held-out fifth."""
+    """Fits on at most ``sample`` labelled ids outside the held-out fifth, one text of each (of several the one with the least hash)."""
     chosen = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).where(crc_mod(doc_id, 5) != 0)
         .groupBy(F.col(doc_id).alias("k")).agg(F.max(label).alias("y"))
         .orderBy(F.xxhash64("k"), "k").limit(sample)
     )
     texts = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= sample_bytes)
-    found = texts.join(F.broadcast(chosen), "k").select("k", "t", "y").toPandas().drop_duplicates("k").sort_values("k")  # bounded by sample * sample_bytes
+    one = texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"), F.max("y").alias("y"))
+    found = one.select("k", "m.t", "y").toPandas().sort_values("k")  # one row an id: bounded by sample * sample_bytes
     return ByteNet().fit([t.encode() for t in found["t"]], (found["y"].to_numpy() > 0).astype(np.float32), steps)
 
 

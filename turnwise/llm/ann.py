@@ -6,8 +6,9 @@ hash with one of a second rotation, so that it has (2d)^2 buckets. All rows are
 indexed: their buckets in all tables are written once, beside the vector.
 
 A query probes in each table the buckets whose axes lose least against its own
-(multiprobe), as many as promise ``share(n)`` candidates of n rows in all tables; of
-a small table that is every row, of a larger one an ever smaller part.
+(multiprobe), as many as promise ``share(n)`` candidates of n rows in all tables, counted
+once for each table that finds them: about half of the rows of a small table, of a
+larger one an ever smaller part. The buckets decide at every size.
 
 Rows and probes meet by a shuffle join on (table, cell): a cell is a first axis, or
 for large tables a first axis and a part of the second axes, so that cells have about
@@ -102,8 +103,8 @@ def probed(x: np.ndarray, tables: int, probes: int) -> list[np.ndarray]:
 
 
 def share(n: int) -> int:
-    """How many of ``n`` rows are worth ranking for each query."""
-    return min(n, int(120 * n**0.42))
+    """How many candidates, repeats between tables included, are worth looking at of ``n`` rows for each query."""
+    return max(1, int(min(0.8 * n, 120 * n**0.42)))
 
 
 def groups(n: int, width: int) -> int:
@@ -187,8 +188,8 @@ def probes(asked: DataFrame, sizes: dict[int, int], tables: int, every: bool, le
                     part = whole.slice(lo, 64)
                     x = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(len(part), -1)
                     want = least or share(n)
-                    all_ = every or want >= n  # the buckets of one table hold every row
-                    found = [np.tile(np.arange(axes_ * axes_), (len(part), 1))] if all_ else probed(x, tables, -(-want * axes_ * axes_ // (n * tables)))
+                    # all buckets of one table hold every row
+                    found = [np.tile(np.arange(axes_ * axes_), (len(part), 1))] if every else probed(x, tables, -(-want * axes_ * axes_ // (n * tables)))
                     for t, own in enumerate(found):
                         row = np.repeat(np.arange(len(part)), own.shape[1])
                         first, second = np.divmod(own.ravel(), axes_)

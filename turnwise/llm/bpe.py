@@ -78,8 +78,17 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks_path: str, pattern: str, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers in one binary value."""
+def _unpack(enc: tiktoken.Encoding, ids) -> bytes:
+    """The bytes of packed ids."""
+    return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist())
+
+
+def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks_path: str, pattern: str, chunk: int = 32_768, overlap: int = 1_024, decoded: str | None = None) -> DataFrame:
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers in one binary value.
+
+    ``decoded``: a further column of that name with the bytes that the ids decode to. A text that is one
+    chunk is decoded in the Python worker that encoded it, so that a task needs one worker and not two.
+    """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -88,9 +97,13 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [_pack(enc.encode_ordinary(v.as_py())) for v in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                columns = {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns[decoded] = pa.array([_unpack(enc, x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    short = source.where(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids binary")
+    spec = f"doc_id {id_type}, ids binary" + (f", `{decoded}` binary" if decoded else "")
+    short = source.where(F.length("text") <= chunk).mapInArrow(whole, spec)
 
     def cut(batches):
         for batch in batches:
@@ -156,8 +169,10 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ranks
     copies = long.groupBy("row").agg(F.count("*").cast("int").alias("copies"))
     named = joined.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     good = named.where("lost = 0").select("doc_id", F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x)), "")).alias("ids"))
+    if decoded:
+        good = decode(good, ranks_path=ranks_path, pattern=pattern, out=decoded)
     again = long.join(joined.where("lost > 0").select("row"), "row", "left_semi").select("doc_id", "text")
-    return short.unionByName(good).unionByName(again.mapInArrow(whole, f"doc_id {id_type}, ids binary"))
+    return short.unionByName(good).unionByName(again.mapInArrow(whole, spec))
 
 
 def decode(coded: DataFrame, *, ids: str = "ids", ranks_path: str, pattern: str, out: str = "decoded") -> DataFrame:
@@ -171,7 +186,7 @@ def decode(coded: DataFrame, *, ids: str = "ids", ranks_path: str, pattern: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                raw = [None if not v.is_valid else enc.decode_bytes(np.frombuffer(v.as_buffer(), "<u4").tolist()) for v in part.column(ids)]
+                raw = [None if not v.is_valid else _unpack(enc, v.as_buffer()) for v in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
 
     return coded.mapInArrow(run, spec)
@@ -186,9 +201,7 @@ def default_vocabulary() -> dict[str, str]:
 def digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded bytes."""
     own = options or default_vocabulary()
-    coded = encode(docs, **own)
-    back = decode(coded, out=fresh(coded, "decoded"), ranks_path=own["ranks_path"], pattern=own["pattern"])
-    return back.select(
+    return encode(docs, **own, decoded="decoded").select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

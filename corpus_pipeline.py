@@ -59,7 +59,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), digest of the decoded bytes, of every text (null: empty)."""
     own = bpe.default_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, **own), **own)
+    coded = bpe.encode(docs, **own, decoded="decoded")
     checked = coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
     return checked
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnwise.operators import cascades
-from turnwise.queries.base import U, query, utterances
+from turnwise.functions import lexicon as L
+from turnwise.operators import cascades, incremental
+from turnwise.queries.base import DURATION, SPANS, U, query, spans, utterances
 
 # Rules on the made-up words of the tables: (priority, text_is, text_has, upos, new_upos, new_lemma).
 RULES = [(0, None, "tion", None, "NOUN", None), (1, None, "tion", "X", "PROPN", None), (2, "the", None, None, "DET", "the"), (3, None, "er", "X", "VERB", None), (4, None, "in", "Y", "ADP", "in"), (5, "is", None, None, "AUX", "be")]
@@ -48,3 +49,21 @@ def h25_ranges(spark, d):
     rules = ranges.where(F.length("text") % 3 == 0).select(F.lit("x").alias("lang"), F.lower("text").alias("text")).distinct()
     rules = rules.select("lang", "text", F.lit("one").alias("kind"), F.lit("ONE").alias("new_upos"), F.lit(None).cast("string").alias("new_lemma"), F.lit(None).cast("string").alias("new_feats"))
     return cascades.regrouped(items, ranges, rules).select("file", "utt", "id", "text", "head", "upos")
+
+
+@query("i07_incremental_groups", f"""WITH RECURSIVE {SPANS}, n AS (SELECT file, line, event_id, start_ms AS s, end_ms AS e, n_chars AS c, row_number() OVER (PARTITION BY file ORDER BY line) AS k FROM t),
+r AS (SELECT file, k, line, event_id, 0 AS grp, s AS a, e AS z, c AS chars FROM n WHERE k = 1
+ UNION ALL SELECT n.file, n.k, n.line, n.event_id, CASE WHEN x THEN grp + 1 ELSE grp END, CASE WHEN x THEN n.s ELSE a END, n.e, CASE WHEN x THEN n.c ELSE chars + n.c END
+  FROM (SELECT r.*, n.e <= r.a OR n.e - r.a > {L.GROUP_MS_NARROW} OR r.chars + n.c > {L.GROUP_CHARS} AS x FROM r JOIN n ON n.file = r.file AND n.k = r.k + 1) r JOIN n ON n.file = r.file AND n.k = r.k + 1)
+SELECT file, grp::INT AS grp, bool_and(event_id % 17 <> 0) AS kept, string_agg(line::VARCHAR, ',' ORDER BY k) AS lines FROM r GROUP BY 1, 2""")
+def i07_groups(spark, d):
+    """Each seventeenth event is edited: the groups that hold one go to the engine again, the others keep their times."""
+    s = spans(spark, d)
+    edited = F.col("event_id") % 17 == 0
+    row = lambda words: s.select("file", F.col("line").alias("utt"), "speaker", words.alias("words"), "start_ms", "end_ms", "n_chars")
+    before = row(F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    after = row(F.concat(F.when(edited, F.lit("x")).otherwise(F.lit("e")), F.col("event_id").cast("string")))
+    times = s.select("file", F.col("line").alias("utt"), F.lit(0).alias("pos"), "start_ms", "end_ms")
+    groups, _ = incremental.plan(before, after, times, L.GROUP_MS_NARROW, DURATION)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "utt"))), lambda x: x["utt"].cast("string")), ",")
+    return groups.groupBy("file", "grp").agg(F.bool_and("kept").alias("kept"), lines.alias("lines"))

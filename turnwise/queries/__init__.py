@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnwise.queries import added, bookkeeping, grammatical, matching, more, rules, text, times
+from turnwise.queries import added, bookkeeping, grammatical, matching, more, rules, runs, text, times
 from turnwise.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "added", "bookkeeping", "grammatical", "matching", "more", "rules", "text", "times"]
+__all__ = ["ORACLE_SQL", "QUERIES", "added", "bookkeeping", "grammatical", "matching", "more", "rules", "runs", "text", "times"]

@@ -7,7 +7,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from turnwise.llm import divergence, tokenalign, treebpe
+from turnwise.llm import divergence, pii, tokenalign, treebpe
 from turnwise.session import table
 
 ODD = [
@@ -249,3 +249,40 @@ def test_training_reads_one_row_of_an_id(spark, monkeypatch):
         langid.train(table_)
     assert all(f["k"].is_unique and len(f) <= 41 for f in seen) and len(seen) == 4
     assert seen[0]["t"].tolist() == seen[2]["t"].tolist() and seen[1]["t"].tolist() == seen[3]["t"].tolist()
+
+
+# --- personal data, found by a reading of its own -------------------------------------------------
+
+
+def test_names_of_all_shapes_are_replaced(spark):
+    """Written by hand: what must be gone, what must stay, and which words must get one surrogate."""
+    rows = [
+        ("Mrs McDonald met Mr O'Neil.", ["McDonald", "Neil"], ["Mrs ", " met Mr O'"]),
+        ("MR SMITH, Dr Smith and Prof. Dr. Smith", ["SMITH", "Smith"], ["MR ", ", Dr ", " and Prof. Dr. "]),
+        ("Mr Jean-Pierre Dupont, then Dupont said.", ["Jean", "Pierre", "Dupont"], ["Mr ", ", then ", " said."]),
+        ("Frau Müller-Lüdenscheidt kam, Müller ging.", ["Müller", "Lüdenscheidt"], ["Frau ", " kam, ", " ging."]),
+        ("Mr Smith met Smith and John Smith, not Smithson; SMITH.", ["Mr Smith", "met Smith", "John Smith", "SMITH"], ["Smithson", "John "]),
+        ("Herr von der Leyen, Ms J. R. Huber", ["Leyen", "Huber"], ["Herr von der ", ", Ms J. R. "]),
+        ("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 or fe80::1ff:fe23:4567:890a", ["85a3", "fe80", "890a"], ["at ", " or "]),
+        ("std::abs at 12:30:45, a::b", [], ["std::abs at 12:30:45, a::b"]),
+        ("GB82 WEST 1234 5698 7654 32 or DE89370400440532013000", ["82 WEST 1234", "5698", "3704004405"], ["GB", " WEST ", " or DE"]),
+        ("Mr here and the Smith of it, AB12 CDEF GHIJ KLMN", [], ["Mr here and the Smith of it, AB12 CDEF GHIJ KLMN"]),
+        ("господин Иванов и Иванов", ["Иванов"], ["господин ", " и "]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    first = [r.text for r in pii.pseudonymise(docs, key="k").orderBy("doc_id").collect()]
+    for (text, gone, stay), out in zip(rows, first, strict=True):
+        assert not [g for g in gone if g in out] and not [s for s in stay if s not in out], (text, out)
+        assert gone or text == out
+    assert first == [r.text for r in pii.pseudonymise(docs, key="k").orderBy("doc_id").collect()] and first != [r.text for r in pii.pseudonymise(docs, key="other").orderBy("doc_id").collect()]
+    smith = first[4].split()[1]
+    assert first[4] == f"Mr {smith} met {smith} and John {smith}, not Smithson; {smith.upper()}." and first[1] == f"MR {smith.upper()}, Dr {smith} and Prof. Dr. {smith}"
+    one = first[2].split()
+    assert one[2].rstrip(",") == one[4] and one[1].count("-") == 1
+    assert first[3].split("-")[0].split()[-1] == first[3].split()[-2]
+
+
+def test_the_key_is_not_in_the_plan(spark, capsys):
+    docs = spark.createDataFrame([(1, "Mr Smith, a@b.org"), (2, "Mrs Jones")], "doc_id long, text string")
+    pii.pseudonymise(docs, key="VERYSECRETKEY").explain("extended")
+    assert "VERYSECRETKEY" not in capsys.readouterr().out

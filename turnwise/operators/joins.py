@@ -258,13 +258,13 @@ def tokens_to_words(words: DataFrame, tokens: DataFrame, keys: list[str]) -> Dat
 
 def indexed_timings(words: Column, timings: Column, window_start: Column, window_end: Column) -> Column:
     """Timings put onto words by index, moved to the file and dropped outside the window."""
-    def one(w: Column, i: Column) -> Column:
-        t = F.get(timings, i)
+    def one(w: Column, t: Column) -> Column:
         s, e = t["start_ms"] + window_start, t["end_ms"] + window_start
         good = (e > s) & (s >= window_start) & (e <= window_end)
         return F.struct(w.alias("text"), F.when(good, s).alias("start_ms"), F.when(good, e).alias("end_ms"))
 
-    return F.transform(words, one)
+    # side by side: by index the list of timings would be built anew for each word
+    return F.slice(F.zip_with(words, F.coalesce(timings, F.array()), one), F.lit(1), F.size(words))
 
 
 def upsert_tiers(tiers: DataFrame, new: DataFrame) -> DataFrame:

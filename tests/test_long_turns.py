@@ -30,3 +30,11 @@ def test_timings_may_be_fewer_more_or_missing(spark):
     df = spark.createDataFrame([(1, ["a", "b"], [(0, 5)]), (2, ["a"], [(0, 5), (5, 9)]), (3, ["a"], None), (4, [], [(0, 5)]), (5, ["a"], [None])], f"k int, w array<string>, t {t}")
     got = {r.k: None if r.x is None else [tuple(y) for y in r.x] for r in df.select("k", joins.indexed_timings(F.col("w"), F.col("t"), F.lit(0), F.lit(100)).alias("x")).collect()}
     assert got == {1: [("a", 0, 5), ("b", None, None)], 2: [("a", 0, 5)], 3: [("a", None, None)], 4: [], 5: [("a", None, None)]}
+
+
+def test_abbreviations_of_a_long_turn(spark):
+    df = spark.range(1).select(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(N // 4)), lambda i: F.array(F.lit("u"), F.lit("S"), F.lit("A"), F.lit("x_")))).alias("w"))
+    (row,) = _within(40, df.select(sequences.merge_abbreviations(F.col("w"), ["USA", "SA"]).alias("m")))
+    assert row.m == ["uSA", "x_"] * (N // 4)
+    some = spark.createDataFrame([(["S", None, "A", "S", "A"],), ([],), (None,)], "w array<string>").select(sequences.merge_abbreviations(F.col("w"), ["USA", "SA"]).alias("m"))
+    assert [r.m for r in some.collect()] == [["S", None, "A", "SA"], [], None]

@@ -1,11 +1,19 @@
-"""Pandas functions with a DDL type, built at their first use (a type in words needs a session)."""
+"""Python functions with a DDL type, built at their first use (a type in words needs a session)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: A Python worker holds the values of about so many list elements at once; the rest of a batch stays in Arrow's form.
+_ELEMENTS = 20_000
 
 
 def lazy_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
@@ -17,3 +25,40 @@ def lazy_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
         return column
 
     return wrap
+
+
+def pieces(arrays: tuple[pa.Array, ...], limit: int = _ELEMENTS) -> Iterator[list[pa.Array]]:
+    """Row ranges of ``arrays`` with about ``limit`` list elements (one row at least)."""
+    n = len(arrays[0])
+    weight = np.ones(n, np.int64)
+    for a in arrays:
+        if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+            weight += pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.cumsum(weight)
+    start = 0
+    while start < n:
+        before = total[start - 1] if start else 0
+        end = max(int(np.searchsorted(total, before + limit, side="right")), start + 1)
+        yield [a.slice(start, end - start) for a in arrays]
+        start = end
+
+
+def row_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A function of one row's values; a batch is worked on in pieces, so that memory does not follow its size."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        def column(*cols) -> Column:
+            kind = to_arrow_type(T.DataType.fromDDL(ddl))
+
+            def run(batches):
+                for batch in batches:
+                    for piece in pieces(batch if isinstance(batch, tuple) else (batch,)):
+                        yield pa.array([f(*row) for row in zip(*[a.to_pylist() for a in piece], strict=True)], kind)
+
+            run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]] if len(cols) > 1 else Iterator[pa.Array], "return": Iterator[pa.Array]}
+            return F.arrow_udf(run, ddl)(*cols)
+
+        column.__doc__, column.__name__, column.python = f.__doc__, f.__name__, f
+        return column
+
+    return wrap

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
-from turnwise.functions.lazy import lazy_udf
+from turnwise.functions.lazy import lazy_udf, row_udf
 from turnwise.functions.words import fold_ascii
 
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,26 +77,23 @@ def join_single_letters(words: Column) -> Column:
 
 def merge_abbreviations(words: Column, abbreviations: list[str] | None = None) -> Column:
     """Known abbreviations out of runs of single letters, longest match first."""
-    known = F.array(*[F.lit(a.upper()) for a in (L.ABBREVIATIONS if abbreviations is None else abbreviations)])
-    longest = max((len(a) for a in (L.ABBREVIATIONS if abbreviations is None else abbreviations)), default=1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-
-    def length_at(i: Column) -> Column:
-        """How many letters from ``i`` form the longest abbreviation (0: none)."""
-        sizes = F.sequence(F.lit(longest), F.lit(2)) if longest >= 2 else F.array(F.lit(2))
-        fits = F.filter(sizes, lambda n: (i + n <= F.size(words)) & F.forall(F.slice(words, i + 1, n), lambda w: w.rlike(r"^\p{L}$")) & F.array_contains(known, F.upper(F.array_join(F.slice(words, i + 1, n), ""))))
-        return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
-
-    def step(acc: Column, wi: Column) -> Column:
-        n = length_at(wi["i"])
-        merged = F.array_join(F.slice(words, wi["i"] + 1, F.greatest(n, F.lit(1))), "")
-        return (
-            F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip")))
-            .when(n >= 2, F.struct(F.concat(acc["out"], F.array(merged)).alias("out"), (n - 1).alias("skip")))
-            .otherwise(F.struct(F.concat(acc["out"], F.array(wi["w"])).alias("out"), F.lit(0).alias("skip")))
-        )
-
-    return F.aggregate(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), start, step)["out"]
+    known = {a.upper() for a in (L.ABBREVIATIONS if abbreviations is None else abbreviations)}
+    longest = max(map(len, known), default=1)
+
+    @row_udf("array<string>")
+    def merged(words: list[str] | None) -> list[str] | None:
+        if words is None:
+            return None
+        letter = [w is not None and len(w) == 1 and unicodedata.category(w)[0] == "L" for w in words]
+        out, i = [], 0
+        while i < len(words):
+            run = next((n for n in range(min(longest, len(words) - i)) if not letter[i + n]), min(longest, len(words) - i))
+            n = next((n for n in range(run, 1, -1) if "".join(words[i : i + n]).upper() in known), 1)
+            out.append("".join(words[i : i + n]) if n > 1 else words[i])
+            i += n
+        return out
+
+    return merged(words)
 
 
 def repeated(words: list[str], least: int = 1) -> np.ndarray:

@@ -38,3 +38,14 @@ def test_abbreviations_of_a_long_turn(spark):
     assert row.m == ["uSA", "x_"] * (N // 4)
     some = spark.createDataFrame([(["S", None, "A", "S", "A"],), ([],), (None,)], "w array<string>").select(sequences.merge_abbreviations(F.col("w"), ["USA", "SA"]).alias("m"))
     assert [r.m for r in some.collect()] == [["S", None, "A", "SA"], [], None]
+
+
+def test_times_of_a_long_text(spark):
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(N)), lambda i: F.repeat(F.lit("é"), i % 3 + 1)), " ").alias("t"))
+    got = _within(40, df.select(F.explode(W.split_timed(F.col("t"), F.lit(5), F.lit(5 + 3 * N))).alias("p")).select("p.*"))
+    sizes = [(i % 3) + 1 for i in range(1, N + 1)]
+    total, at = sum(sizes), 0
+    for r, n in zip(got, sizes, strict=True):
+        assert (r.text, r.start_ms, r.end_ms) == ("é" * n, 5 + 3 * N * at // total, 5 + 3 * N * (at + n) // total)
+        at += n
+    assert spark.sql("SELECT CAST(NULL AS string) AS t UNION ALL SELECT ' '").select(W.split_timed(F.col("t"), F.lit(0), F.lit(9)).alias("x")).collect() == [(None,), ([],)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
+from turnwise.functions.lazy import row_udf
 
 
 def literal_map(d: dict[str, str]) -> Column:
@@ -148,16 +150,21 @@ def percent_split(w: Column, lang: str) -> Column:
 
 def split_timed(text: Column, start: Column, end: Column) -> Column:
     """array<struct<text, start_ms, end_ms>>: parts share the span by their lengths, cut with integer division."""
-    parts = F.filter(F.split(text, r"\s+"), lambda p: p != "")
-    total = F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+    def one(p: Column) -> Column:
+        at = lambda n: start + F.floor((end - start) * n / p["total"]).cast("long")
+        timed = F.coalesce(end > start, F.lit(False)) & (p["total"] > 0)
+        return F.struct(p["text"].alias("text"), F.when(timed, at(p["before"])).alias("start_ms"), F.when(timed, at(p["before"] + F.length(p["text"]))).alias("end_ms"))
 
-    def one(p: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        at = lambda n: start + F.floor((end - start) * n / total).cast("long")
-        timed = F.coalesce(end > start, F.lit(False)) & (total > 0)
-        return F.struct(p.alias("text"), F.when(timed, at(before)).alias("start_ms"), F.when(timed, at(before + F.length(p))).alias("end_ms"))
+    return F.transform(placed(F.filter(F.split(text, r"\s+"), lambda p: p != "")), one)
 
-    return F.transform(parts, one)
+
+@row_udf("array<struct<text:string,before:bigint,total:bigint>>")
+def placed(parts: list[str] | None) -> list[tuple[str, int, int]] | None:
+    """Parts with the characters before them and of all, in one pass."""
+    if parts is None:
+        return None
+    ends = list(accumulate(len(p) for p in parts))
+    return [(p, e - len(p), ends[-1]) for p, e in zip(parts, ends, strict=True)]
 
 
 def before_translation(text: Column) -> Column:

@@ -49,3 +49,18 @@ def test_times_of_a_long_text(spark):
         assert (r.text, r.start_ms, r.end_ms) == ("é" * n, 5 + 3 * N * at // total, 5 + 3 * N * (at + n) // total)
         at += n
     assert spark.sql("SELECT CAST(NULL AS string) AS t UNION ALL SELECT ' '").select(W.split_timed(F.col("t"), F.lit(0), F.lit(9)).alias("x")).collect() == [(None,), ([],)]
+
+
+def test_means_are_printed_as_their_values_are(spark):
+    rows = [(1, 0.00025), (2, 0.00035), (3, 45.63525), (4, 7.0), (5, None)]
+    wide = spark.createDataFrame(rows, "file int, mean double")
+    got = {r.file: r.value for r in metrics.long_metrics(wide, "file", ["mean"]).collect()}
+    assert got == {k: None if x is None else (f"{x:.4f}".rstrip("0") + "0" if f"{x:.4f}".rstrip("0").endswith(".") else f"{x:.4f}".rstrip("0")) for k, x in rows}
+    assert got[3] == "45.6352"
+
+
+def test_metrics_match_their_sql_at_a_larger_size(spark):
+    from tests.oracle import differs
+    from turnwise.queries import ORACLE_SQL, QUERIES
+
+    assert differs(spark, QUERIES["a13_metrics_long"], ORACLE_SQL["a13_metrics_long"], "/root/testdata/sf0.1") is None

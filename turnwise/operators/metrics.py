@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
+from turnwise.functions.lazy import row_udf
 
 
 def tally(compared: DataFrame, *keys: str) -> DataFrame:
@@ -94,8 +95,13 @@ def long_metrics(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, metric, value): rates with four decimals, counts whole; zeros at the end go but one."""
     parts = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = wide.select(key, F.expr(f"stack({len(columns)}, {parts}) as (metric, x)"))
-    fixed = F.format_string("%.4f", F.col("x"))
-    return long.select(key, "metric", metric_text(fixed).alias("value"))
+    return long.select(key, "metric", metric_text(four_decimals("x")).alias("value"))
+
+
+@row_udf("string")
+def four_decimals(x: float | None) -> str | None:
+    """The exact value of a double rounded to four decimals, as printf does (Java rounds its shortest digits half up)."""
+    return None if x is None else f"{x:.4f}"
 
 
 def metric_text(fixed: Column) -> Column:

@@ -64,3 +64,11 @@ def test_metrics_match_their_sql_at_a_larger_size(spark):
     from turnwise.queries import ORACLE_SQL, QUERIES
 
     assert differs(spark, QUERIES["a13_metrics_long"], ORACLE_SQL["a13_metrics_long"], "/root/testdata/sf0.1") is None
+
+
+def test_bags_of_long_turns(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(N)), lambda i: F.concat(F.lit("W"), i.cast("string"))).alias("a"), F.transform(F.sequence(F.lit(11), F.lit(N + 5)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("b"))
+    (row,) = _within(40, df.select(sequences.bag_difference(F.col("a"), F.col("b")).alias("d"), sequences.bag_overlap(F.col("a"), F.col("b")).alias("o")))
+    assert (row.d, row.o) == (15, 0)
+    some = spark.createDataFrame([(["a", "A", "b", None], ["a", "c"]), ([], [])], "a array<string>, b array<string>")
+    assert [tuple(r) for r in some.select(sequences.bag_difference(F.col("a"), F.col("b")), sequences.bag_overlap(F.col("a"), F.col("b"))).collect()] == [(3, 1), (0, 0)]

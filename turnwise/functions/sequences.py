@@ -36,16 +36,25 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def bag_difference(a: Column, b: Column) -> Column:
     """Words that one side has more of, ASCII case folded (sum over both sides)."""
-    x, y = F.transform(a, fold_ascii), F.transform(b, fold_ascii)
-    keys = F.array_distinct(F.concat(x, y))
-    count = lambda xs, k: F.size(F.filter(xs, lambda v: v == k))
-    return F.aggregate(keys, F.lit(0), lambda acc, k: acc + F.abs(count(x, k) - count(y, k)))
+    return _difference(F.transform(a, fold_ascii), F.transform(b, fold_ascii))
+
+
+def _difference(a: Column, b: Column) -> Column:
+    """Sum over the words of how much more one side has: one pass over both sides in order; nulls are no words."""
+    side = lambda xs, sign: F.transform(F.filter(xs, lambda w: w.isNotNull()), lambda w: F.struct(w.alias("w"), F.lit(sign).alias("d")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("d"), F.lit(0).alias("sum"))
+
+    def step(acc: Column, x: Column) -> Column:
+        more = F.struct(x["w"].alias("w"), (acc["d"] + x["d"]).alias("d"), acc["sum"].alias("sum"))
+        return F.when(acc["w"].eqNullSafe(x["w"]), more).otherwise(F.struct(x["w"].alias("w"), x["d"].alias("d"), (acc["sum"] + F.abs(acc["d"])).alias("sum")))
+
+    return F.aggregate(F.sort_array(F.concat(side(a, 1), side(b, -1))), start, step, lambda acc: acc["sum"] + F.abs(acc["d"]))
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
     """Words that both sides have, with multiplicity."""
-    count = lambda xs, k: F.size(F.filter(xs, lambda v: v == k))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, k: acc + F.least(count(a, k), count(b, k)))
+    words = lambda xs: F.size(F.filter(xs, lambda w: w.isNotNull()))
+    return ((words(a) + words(b) - _difference(a, b)) / 2).cast("int")
 
 
 def merge_compounds(words: Column, compounds: list[tuple[str, str]] | None = None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: A Python worker holds the values of about so many list elements at once; the rest of a batch stays in Arrow's form.
+#: A Python worker holds about so many values at once; the rest of a batch stays in Arrow's form.
 _ELEMENTS = 20_000
 
 
@@ -27,14 +27,23 @@ def lazy_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
     return wrap
 
 
+def _weight(a: pa.Array) -> np.ndarray:
+    """Values in each row of an array, lists within lists counted through; a long string counts as several."""
+    if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        inner = np.concatenate(([0], np.cumsum(_weight(a.values))))
+        off = a.offsets.to_numpy()
+        return 1 + inner[off[1:]] - inner[off[:-1]]
+    if pa.types.is_struct(a.type):
+        return sum((_weight(f) for f in a.flatten()), np.zeros(len(a), np.int64))
+    if pa.types.is_string(a.type) or pa.types.is_large_string(a.type):
+        return 1 + pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 16
+    return np.ones(len(a), np.int64)
+
+
 def pieces(arrays: tuple[pa.Array, ...], limit: int = _ELEMENTS) -> Iterator[list[pa.Array]]:
-    """Row ranges of ``arrays`` with about ``limit`` list elements (one row at least)."""
+    """Row ranges of ``arrays`` with about ``limit`` values (one row at least)."""
     n = len(arrays[0])
-    weight = np.ones(n, np.int64)
-    for a in arrays:
-        if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
-            weight += pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    total = np.cumsum(weight)
+    total = np.cumsum(sum((_weight(a) for a in arrays), np.zeros(n, np.int64)))
     start = 0
     while start < n:
         before = total[start - 1] if start else 0

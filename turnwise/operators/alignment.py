@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
-from turnwise.functions.lazy import lazy_udf
+from turnwise.functions.lazy import lazy_udf, row_udf
 
 ITEMS = "array<struct<type:string,key:string,payload_idx:int,reference_idx:int>>"
 #: Tables of up to so many cells are filled at once; larger ones are divided.
@@ -150,13 +150,19 @@ def _full(payload, reference, a, b, c, d, sames):
 
 def aligned(mode: str = "exact"):
     """Arrow-batched column: items of two word arrays."""
+    return row_udf(ITEMS)(lambda a, b: None if a is None or b is None else align(a, b, mode))
 
-    @F.pandas_udf(ITEMS)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([[{"type": t, "key": k, "payload_idx": p, "reference_idx": r} for t, k, p, r in align(list(x), list(y), mode)] if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
-    return run
+def aligned_counts(mode: str = "exact"):
+    """``counts`` of ``aligned``, where the items themselves are not wanted; also of the characters of two strings."""
+
+    def run(a, b):
+        if a is None or b is None:
+            return None
+        found = Counter(t for t, *_ in align(list(a), list(b), mode))
+        return found["match"], found["extra_payload"], found["extra_reference"]
+
+    return row_udf("struct<matches:bigint,extra_payload:bigint,extra_reference:bigint>")(run)
 
 
 @lazy_udf("double")

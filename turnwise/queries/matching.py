@@ -33,8 +33,7 @@ l AS (SELECT file, utt, r[-1] AS matches, len(a) AS n, len(b) AS m FROM lcs WHER
 @query("c03_alignment_counts", f"WITH RECURSIVE {_PAIRS}, ab AS (SELECT file, utt, main AS a, gold AS b FROM p), {_LCS_CTE} SELECT file, utt, matches::BIGINT AS matches, (n - matches)::BIGINT AS extra_payload, (m - matches)::BIGINT AS extra_reference FROM l")
 def c03(spark, d):
     """Aligned pairs by traceback; the counts must be those of the longest common subsequence."""
-    items = alignment.aligned("exact")("main", "gold")
-    return pairs(spark, d).select("file", "utt", items.alias("i")).select("file", "utt", alignment.counts(F.col("i")).alias("c")).select("file", "utt", "c.*")
+    return pairs(spark, d).select("file", "utt", alignment.aligned_counts("exact")("main", "gold").alias("c")).select("file", "utt", "c.*")
 
 
 @query("c03_lcs_native", f"WITH RECURSIVE {_PAIRS}, ab AS (SELECT file, utt, list_transform(main, lambda x: lower(x)) AS a, list_transform(gold, lambda x: lower(x)) AS b FROM p), {_LCS_CTE} SELECT file, utt, matches::INT AS lcs FROM l")
@@ -50,8 +49,8 @@ def c03i(spark, d):
 
 @query("c04_character_alignment")
 def c04(spark, d):
-    ch = lambda c: W.characters(F.col(c))
-    return pairs(spark, d).select("file", "utt", alignment.counts(alignment.aligned("exact")(ch("main"), ch("gold"))).alias("c")).select("file", "utt", "c.*")
+    ch = lambda c: F.array_join(c, "")
+    return pairs(spark, d).select("file", "utt", alignment.aligned_counts("exact")(ch("main"), ch("gold")).alias("c")).select("file", "utt", "c.*")
 
 
 @query("c05_match_modes", f"""WITH {_PAIRS}, z AS (SELECT file, utt, unnest(list_zip(main, gold)) AS z FROM p), w AS (SELECT file, utt, z[1] AS a, z[2] AS b FROM z)

@@ -40,3 +40,10 @@ def test_counts_without_items(spark):
     got = df.select(alignment.aligned_counts()("a", "b").alias("n"), alignment.counts(alignment.aligned()("a", "b")).alias("i"), alignment.aligned_counts()("s", "t").alias("c")).collect()
     assert [r.n for r in got] == [(2, 1, 2), (0, 0, 1), None]
     assert got[0].i == got[0].n == got[0].c and got[1].i == got[1].n == got[1].c
+
+
+def test_stitched_column(spark):
+    from turnwise.operators import alignment
+
+    df = spark.createDataFrame([(["ab", "c"], [("a", 0, 1), ("b", 1, 2), ("x", 2, 3)]), (None, [])], "w array<string>, t array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
+    assert [r.s for r in df.select(alignment.stitched("w", "t").alias("s")).collect()] == [[(0, 2), None], None]

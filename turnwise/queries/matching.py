@@ -259,19 +259,9 @@ def c23(spark, d):
 
 @query("c26_token_stitching")
 def c26(spark, d):
-    from pyspark.sql import types as T
-
-    schema = T.ArrayType(T.StructType([T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())]))
-
-    @F.pandas_udf(schema)
-    def run(ws, ts):
-        import pandas as pd
-
-        return pd.Series([[None if s is None else {"start_ms": s[0], "end_ms": s[1]} for s in alignment.stitch(list(w), [(t["text"], t["start_ms"], t["end_ms"]) for t in tokens])] for w, tokens in zip(ws, ts, strict=True)])
-
     ws = F.col("words")
     pieces = F.flatten(F.transform(ws, lambda w, i: F.array(F.struct(F.substring(w, 1, 2).alias("text"), (i * 100).cast("long").alias("start_ms"), (i * 100 + 40).cast("long").alias("end_ms")), F.struct(F.substr(w, F.lit(3)).alias("text"), (i * 100 + 40).cast("long").alias("start_ms"), (i * 100 + 90).cast("long").alias("end_ms")))))
-    return utterances(spark, d).select("file", "utt", F.posexplode(run(ws, pieces)).alias("pos", "s")).select("file", "utt", "pos", "s.start_ms", "s.end_ms")
+    return utterances(spark, d).select("file", "utt", F.posexplode(alignment.stitched(ws, pieces)).alias("pos", "s")).select("file", "utt", "pos", "s.start_ms", "s.end_ms")
 
 
 @query("c27_indexed_timings", f"WITH {U}, e AS (SELECT file, utt, unnest(words) AS text, unnest(range(len(words))) AS i FROM u) SELECT file, utt, i::INT AS pos, text, CASE WHEN i <> 2 THEN utt * 100000 + i * 10 END AS start_ms, CASE WHEN i <> 2 THEN utt * 100000 + i * 10 + 9 END AS end_ms FROM e")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
-from turnwise.functions.lazy import lazy_udf
+from turnwise.functions.lazy import row_udf
 from turnwise.functions.words import literal_map, morph_item, relation
 
 
@@ -126,10 +123,9 @@ def sentence_maps(words: list[dict]) -> tuple[str, str]:
     return " ".join(items), " ".join(rels)
 
 
-@lazy_udf("struct<mor:string,gra:string>")
-def mapped_sentence(sentences: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in sentences:
-        yield pd.DataFrame([(None, None) if x is None else sentence_maps([w if isinstance(w, dict) else w.asDict() for w in x]) for x in s], columns=["mor", "gra"])
+@row_udf("struct<mor:string,gra:string>")
+def mapped_sentence(sentence: list[dict] | None) -> tuple[str | None, str | None]:
+    return (None, None) if sentence is None else sentence_maps(sentence)
 
 
 def clitic(text: Column, lang: Column) -> Column:

@@ -47,3 +47,16 @@ def test_stitched_column(spark):
 
     df = spark.createDataFrame([(["ab", "c"], [("a", 0, 1), ("b", 1, 2), ("x", 2, 3)]), (None, [])], "w array<string>, t array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
     assert [r.s for r in df.select(alignment.stitched("w", "t").alias("s")).collect()] == [[(0, 2), None], None]
+
+
+def test_engines_get_bounded_batches(spark):
+    from turnwise.plans import engines
+
+    def sizes(batches):
+        for b in batches:
+            yield b[["file"]].assign(n=len(b))
+
+    engines.register("sizes", "test", sizes, "file long, n int")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("file"), F.array_repeat(F.struct(F.lit(1).alias("utt"), F.array_repeat(F.lit("w"), 100).alias("words")), 2).alias("sentences"))
+    got = engines.infer(docs, "sizes", "test").agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
+    assert got.rows == 4000 and got.most < 200

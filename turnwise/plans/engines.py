@@ -12,9 +12,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from turnwise.functions import lexicon as L
+from turnwise.functions.lazy import pieces
 
 Engine = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _ENGINES: dict[tuple[str, str], tuple[Engine, str]] = {}
@@ -29,11 +33,21 @@ def engines(task: str | None = None) -> list[tuple[str, str]]:
 
 
 def infer(df: DataFrame, task: str, name: str = "rules") -> DataFrame:
-    """The rows of ``df`` through an engine; one row in, one row out, keys kept."""
+    """The rows of ``df`` through an engine; one row in, one row out, keys kept.
+
+    An engine gets batches of bounded size, however many rows an Arrow batch has.
+    """
     if (task, name) not in _ENGINES:
         raise KeyError(f"no engine {name} for {task}; known: {engines(task)}")
     engine, schema = _ENGINES[task, name]
-    return df.mapInPandas(engine, schema)
+    kinds = to_arrow_schema(T.DataType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = (pa.RecordBatch.from_arrays(piece, batch.schema.names).to_pandas() for batch in batches if batch.num_rows for piece in pieces(tuple(batch.columns)))
+        for out in engine(small):
+            yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
 
 
 _UD = "array<struct<text:string,lemma:string,upos:string,feats:string,head:int,deprel:string>>"

@@ -60,3 +60,15 @@ def test_engines_get_bounded_batches(spark):
     docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("file"), F.array_repeat(F.struct(F.lit(1).alias("utt"), F.array_repeat(F.lit("w"), 100).alias("words")), 2).alias("sentences"))
     got = engines.infer(docs, "sizes", "test").agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
     assert got.rows == 4000 and got.most < 200
+
+
+def test_small_groups_do_not_start_pandas_each(spark):
+    from turnwise.operators import timing
+
+    w = spark.createDataFrame([(1, 1, 0, 0, 10), (1, 1, 1, 10, 200), (1, 2, 0, 5, 6)], "file long, utt long, pos long, start_ms long, end_ms long")
+    out = timing.rebalance_short_words(w)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 0, 0, 40), (1, 1, 1, 40, 200), (1, 2, 0, 5, 6)]
+    lines = spark.createDataFrame([(1, "a", 1, 0, 1), (1, "a", 2, 9, 10), (1, "a", 3, 5, 6), (1, "a", 4, 7, 8), (1, "b", 5, 1, 2)], "file long, speaker string, line long, start_ms long, end_ms long")
+    gone = timing.out_of_order(lines)
+    assert [tuple(r) for r in gone.collect()] == [(1, "a", 2)]
+    assert all("InPandas" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (out, gone))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import lexicon as L
+from turnwise.functions.lazy import row_udf
 
 
 def _file():
@@ -90,12 +91,14 @@ def longest_increasing(values: list[int]) -> list[int]:
 def out_of_order(df: DataFrame) -> DataFrame:
     """file, speaker, line of timed rows outside the speaker's longest non-decreasing run of starts."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line").reset_index(drop=True)
-        keep = set(longest_increasing(rows["start_ms"].tolist()))
-        return rows.loc[[i not in keep for i in rows.index], ["file", "speaker", "line"]]
+    rows = timed(df).groupBy("file", "speaker").agg(F.sort_array(F.collect_list(F.struct("line", "start_ms"))).alias("rows"))
+    return rows.select(F.col("file").cast("long").alias("file"), "speaker", F.explode(_outside(F.transform("rows", lambda x: x["line"].cast("long")), F.transform("rows", lambda x: x["start_ms"]))).alias("line"))
+
 
-    return timed(df).select("file", "speaker", "line", "start_ms").groupBy("file", "speaker").applyInPandas(run, "file long, speaker string, line long")
+@row_udf("array<bigint>")
+def _outside(lines: list[int], values: list[int]) -> list[int]:
+    keep = set(longest_increasing(values))
+    return [line for i, line in enumerate(lines) if i not in keep]
 
 
 def repair(df: DataFrame) -> DataFrame:
@@ -248,20 +251,22 @@ def heal_word_gaps(words: DataFrame, most: int = L.HEAL_GAP_MS, last_ms: int = L
 def rebalance_short_words(words: DataFrame, least: int = 40) -> DataFrame:
     """Words shorter than ``least`` ms take time from the longer word that follows, or else precedes (in order, with the times as changed)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        s, e = rows["start_ms"].tolist(), rows["end_ms"].tolist()
-        for i in range(len(rows)):
-            short = least - (e[i] - s[i])
-            if short <= 0:
-                continue
-            if i + 1 < len(rows) and e[i + 1] - s[i + 1] - short >= least and s[i + 1] == e[i]:
-                e[i], s[i + 1] = e[i] + short, s[i + 1] + short
-            elif i and e[i - 1] - s[i - 1] - short >= least and e[i - 1] == s[i]:
-                s[i], e[i - 1] = s[i] - short, e[i - 1] - short
-        return rows.assign(start_ms=s, end_ms=e)
-
-    return timed(words).select("file", "utt", "pos", "start_ms", "end_ms").groupBy("file", "utt").applyInPandas(run, "file long, utt long, pos long, start_ms long, end_ms long")
+    rows = timed(words).groupBy("file", "utt").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("pos", "start_ms", "end_ms")]))).alias("w"))
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in ("file", "utt")], F.explode(_rebalanced("w", F.lit(least))).alias("w")).select("file", "utt", "w.*")
+
+
+@row_udf("array<struct<pos:bigint,start_ms:bigint,end_ms:bigint>>")
+def _rebalanced(words: list[dict], least: int) -> list[tuple[int, int, int]]:
+    s, e = [w["start_ms"] for w in words], [w["end_ms"] for w in words]
+    for i in range(len(words)):
+        short = least - (e[i] - s[i])
+        if short <= 0:
+            continue
+        if i + 1 < len(words) and e[i + 1] - s[i + 1] - short >= least and s[i + 1] == e[i]:
+            e[i], s[i + 1] = e[i] + short, s[i + 1] + short
+        elif i and e[i - 1] - s[i - 1] - short >= least and e[i - 1] == s[i]:
+            s[i], e[i - 1] = s[i] - short, e[i - 1] - short
+    return [(w["pos"], a, b) for w, a, b in zip(words, s, e, strict=True)]
 
 
 def utterance_spans(words: DataFrame) -> DataFrame:

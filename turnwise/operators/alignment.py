@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from turnwise.functions.lazy import lazy_udf, row_udf
 ITEMS = "array<struct<type:string,key:string,payload_idx:int,reference_idx:int>>"
 #: Tables of up to so many cells are filled at once; larger ones are divided.
 _CELLS = 2048
+#: Counts of a file's windows that are held at once.
+_COUNTS = 500_000
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -69,16 +71,50 @@ class Sames:
         names: dict[str, int] = {}
         self.ref = np.array([names.setdefault(fold(w), len(names)) for w in reference], np.int64)
         self.pay = np.array([names.get(fold(w), -1) for w in payload], np.int64)
+        self.left, self.right = self.pay.tolist(), self.ref.tolist()
         self.fuzzy = None
         if mode not in ("exact", "nocase"):
             same, distinct = matcher(mode), list(names)
             rows = {w: np.array([same(w, y) for y in distinct], bool) for w in set(payload)}
             self.fuzzy = [rows[w] for w in payload]
+        else:
+            self.ahead, self.behind = _places(self.right), _places(self.right[::-1])
 
     def row(self, i: int, c: int, d: int) -> np.ndarray:
         return self.ref[c:d] == self.pay[i] if self.fuzzy is None else self.fuzzy[i][self.ref[c:d]]
 
 
+def _places(names: list[int]) -> dict[int, int]:
+    """For each name an integer whose bits are its places."""
+    where: dict[int, int] = {}
+    for j, y in enumerate(names):
+        where[y] = where.get(y, 0) | 1 << j
+    return where
+
+
+def _bit_rows(sames: Sames, order, c: int, d: int, back: bool = False) -> Iterator[int]:
+    """Rows of the table of longest common subsequences: zero bits are the steps of a row (see ``lcs``)."""
+    where, shift = (sames.behind, len(sames.right) - d) if back else (sames.ahead, c)
+    full = (1 << d - c) - 1
+    row = full
+    yield row
+    for i in order:
+        same = row & (where.get(sames.left[i], 0) >> shift)
+        row = ((row + same) | (row - same)) & full
+        yield row
+
+
+def _costs(sames: Sames, order, c: int, d: int, back: bool = False) -> np.ndarray:
+    """The last row of ``_table``; without fuzzy words from bits."""
+    if sames.fuzzy is not None:
+        return _table(sames, order, c, d, back)
+    for row in _bit_rows(sames, order, c, d, back):
+        pass
+    m = d - c
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(m // 8 + 1, "little"), np.uint8), bitorder="little")[:m]
+    return len(order) + np.arange(m + 1) - 2 * np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
 def _table(sames: Sames, order: list[int], c: int, d: int, back: bool = False, whole: bool = False):
     """Costs of the payload tokens ``order`` against each prefix of reference c to d (or each suffix, ``back``).
 
@@ -120,15 +156,40 @@ def align(payload: list[str], reference: list[str], mode: str = "exact") -> list
             out += _full(payload, reference, a, b, c, d, sames)
         else:
             mid = (a + b) // 2
-            head = _table(sames, range(a, mid), c, d)
-            tail = _table(sames, range(b - 1, mid - 1, -1), c, d, back=True)[::-1]
+            head = _costs(sames, range(a, mid), c, d)
+            tail = _costs(sames, range(b - 1, mid - 1, -1), c, d, back=True)[::-1]
             cut = c + int(np.argmin(head + tail))
             stack += [(mid, b, cut, d), (a, mid, c, cut)]
     shift = len(payload) - len(reference)
     return out + [("match", payload[j + shift], j + shift, j) for j in range(len(reference) - hi, len(reference))]
 
 
+def _full_bits(payload, reference, a, b, c, d, sames):
+    """``_full`` over rows of bits: a common word more is two steps less."""
+    rows = list(_bit_rows(sames, range(a, b), c, d))
+    common = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    back, i, j = [], b - a, d - c
+    here = common(i, j)
+    while i or j:
+        both = common(i - 1, j - 1) if i and j else -1
+        if both == here - 1 and both >= 0 and sames.left[a + i - 1] == sames.right[c + j - 1]:
+            back.append(("match", payload[a + i - 1], a + i - 1, c + j - 1))
+            i, j, here = i - 1, j - 1, both
+        elif both == here:
+            back += [("extra_payload", payload[a + i - 1], a + i - 1, None), ("extra_reference", reference[c + j - 1], None, c + j - 1)]
+            i, j = i - 1, j - 1
+        elif j and (not i or common(i, j - 1) == here):
+            back.append(("extra_reference", reference[c + j - 1], None, c + j - 1))
+            j -= 1
+        else:
+            back.append(("extra_payload", payload[a + i - 1], a + i - 1, None))
+            i -= 1
+    return back[::-1]
+
+
 def _full(payload, reference, a, b, c, d, sames):
+    if sames.fuzzy is None:
+        return _full_bits(payload, reference, a, b, c, d, sames)
     table = [r.tolist() for r in _table(sames, range(a, b), c, d, whole=True)]
     equal = [sames.row(i, c, d).tolist() for i in range(a, b)]
     back, i, j = [], b - a, d - c
@@ -246,13 +307,13 @@ def benchmark_wer(hyp: pd.Series, ref: pd.Series, raw: pd.Series) -> pd.DataFram
 # --- comparison of a transcript with its gold ---------------------------------
 
 
-def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int, int]:
+def best_segment(gold: list[str], main: list[str], utts: list[int], folded: list[str] | None = None) -> tuple[int, int]:
     """The stretch of ``main`` that fits ``gold`` best: overlap, aligned matches, little waste, late end.
 
     Windows of about the length of ``gold`` are cut to the utterance that has most
     of their words (``utts`` never falls; ties: the first). Overlaps of all windows
     come from running counts; only windows with the largest one are aligned, those
-    that could have most matches first.
+    that could have most matches first. ``folded``: ``main`` in ASCII lower case, where it is known.
     """
     n, g = len(main), len(gold)
     spans = np.arange(max(1, g - 2), min(n, g + 2) + 1)
@@ -270,23 +331,26 @@ def best_segment(gold: list[str], main: list[str], utts: list[int]) -> tuple[int
         x, y = np.maximum(start, begins[r]), np.minimum(end, ends[r])
         more = y - x > e - s
         s, e = np.where(more, x, s), np.where(more, y, e)
-    s, e = np.unique(np.stack([s, e]), axis=1)
+    s, e = np.divmod(np.unique(s * (n + 1) + e), n + 1)
 
     def overlap(words: list[str], want: list[str]) -> np.ndarray:
+        most = Counter(want)
+        names = {w: k for k, w in enumerate(most)}
+        have = np.array([names.get(w, -1) for w in words], np.int64)
+        held = np.unique(have[have >= 0])
+        limit = np.array(list(most.values()), np.int32)[held]
         total = np.zeros(len(s), np.int64)
-        names: dict[str, int] = {}
-        have = np.array([names.setdefault(w, len(names)) for w in words], np.int32)
-        count = np.zeros(n + 1, np.int32)
-        for w, most in Counter(want).items():
-            if w in names:
-                np.cumsum(have == names[w], out=count[1:])
-                total += np.minimum(count[e] - count[s], most)
+        step = max(1, _COUNTS // len(s))
+        for k in range(0, len(held), step):  # some words at a time: tables of bounded size
+            count = np.zeros((n + 1, len(held[k : k + step])), np.int32)
+            np.cumsum(have[:, None] == held[k : k + step], axis=0, out=count[1:])
+            total += np.minimum(count[e] - count[s], limit[k : k + step]).sum(axis=1)
         return total
 
     shared = overlap(main, gold)
     if not shared.max():
         return 0, 0
-    low, low_gold = [t.translate(_ASCII) for t in main], [t.translate(_ASCII) for t in gold]
+    low, low_gold = folded or [t.translate(_ASCII) for t in main], [t.translate(_ASCII) for t in gold]
     at = np.flatnonzero(shared == shared.max())
     bound = overlap(low, low_gold)[at]  # an alignment without case has no more matches
     best, where = None, (0, 0)
@@ -311,22 +375,25 @@ def compare_file(main: pd.DataFrame, gold: pd.DataFrame, complete: bool = True)
     utterances without gold are units of insertions unless ``complete`` is off.
     """
     m_text, m_utt, m_pos = main["text"].tolist(), main["utt"].tolist(), main["pos"].tolist()
+    folded = [t.translate(_ASCII) for t in m_text]
     owner: dict[int, list[int]] = {}
     lost, frontier = [], 0
     gold_by = {u: g for u, g in gold.groupby("utt", sort=True)}
     for u, g in gold_by.items():
-        s, e = best_segment(g["text"].tolist(), m_text[frontier:], m_utt[frontier:])
+        s, e = best_segment(g["text"].tolist(), m_text[frontier:], m_utt[frontier:], folded[frontier:])
         if s == e:
             lost.append(u)
         else:
             owner.setdefault(m_utt[frontier + s], []).append(u)
             frontier += e
     out, unit = [], 0
-    for mu in dict.fromkeys(m_utt):
+    places: dict[int, list[int]] = {}
+    for i, u in enumerate(m_utt):
+        places.setdefault(u, []).append(i)
+    for mu, idx in places.items():
         gs = owner.get(mu, [])
         if not gs and not complete:
             continue
-        idx = [i for i, u in enumerate(m_utt) if u == mu]
         golden = [(u, t, p) for u in gs for t, p in zip(gold_by[u]["text"], gold_by[u]["pos"], strict=True)]
         for seq, (t, k, p, r) in enumerate(align([m_text[i] for i in idx], [t for _, t, _ in golden], "nocase")):
             side = "both" if t == "match" else "main" if t == "extra_payload" else "gold"

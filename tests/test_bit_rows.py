@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from turnwise.operators import alignment as A
 
@@ -36,3 +37,11 @@ def test_equal_words_fill_no_table(monkeypatch):
     monkeypatch.setattr(A, "_table", none)
     x, y = ["a", "b", "c"] * 200, ["b", "c", "d"] * 200
     assert sum(t == "match" for t, *_ in A.align(x, y)) == A.lcs(x, y)
+
+
+def test_versions_are_compared_without_a_frame_for_each_row(monkeypatch):
+    rows = [(k, "s" if k else None, f"w{k}", float(k) if k % 3 else float("nan"), k + 1.0) for k in range(6)]
+    before = pd.DataFrame(rows, columns=["utt", "speaker", "words", "start_ms", "end_ms"])
+    after = before.assign(speaker=[None, "s", "t", "s", "s", "s"], end_ms=[1.0, 2.0, 3.0, 4.0, 9.0, 6.0])
+    monkeypatch.setattr(pd.DataFrame, "iloc", None)
+    assert [d[0] for d in A.diff_file(before, after)] == ["unchanged", "unchanged", "speaker_changed", "unchanged", "timing_only", "unchanged"]

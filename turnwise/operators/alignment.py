@@ -431,14 +431,14 @@ def compare(main: DataFrame, gold: DataFrame, complete: bool = True) -> DataFram
 def diff_file(before: pd.DataFrame, after: pd.DataFrame) -> list[tuple]:
     """(kind, before index, after index) of two versions, in document order."""
     b, a = before["words"].tolist(), after["words"].tolist()
+    was, now = ({c: df[c].tolist() for c in ("speaker", "start_ms", "end_ms")} for df in (before, after))
     items = align(a, b)
     out, k = [], 0
     while k < len(items):
         t, _, p, r = items[k]
         if t == "match":
-            x, y = before.iloc[r], after.iloc[p]
-            same_speaker = x["speaker"] == y["speaker"]
-            same_time = all((pd.isna(x[c]) and pd.isna(y[c])) or x[c] == y[c] for c in ("start_ms", "end_ms"))
+            same_speaker = was["speaker"][r] == now["speaker"][p]
+            same_time = all((pd.isna(was[c][r]) and pd.isna(now[c][p])) or was[c][r] == now[c][p] for c in ("start_ms", "end_ms"))
             out.append(("unchanged" if same_speaker and same_time else "timing_only" if same_speaker else "speaker_changed", r, p))
         elif k + 1 < len(items) and {t, items[k + 1][0]} == {"extra_payload", "extra_reference"}:
             other = items[k + 1]

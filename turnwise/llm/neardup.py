@@ -19,7 +19,7 @@
    other is compared in full, by pairs of salted blocks of bounded size: block
    pairs whose sizes cannot reach the similarity, or which hold one class only,
    are left out, and a task counts the common shingles of two blocks from
-   inverted lists. So no candidate is ever dropped, however crowded a region is;
+   inverted lists, some sets of each at a time. So no candidate is ever dropped, however crowded a region is;
    what it costs is the cross comparison of the classes in such a zone.
 5. Classes are connected components of the links, by contraction.
 
@@ -37,6 +37,8 @@ type that can be ordered; further columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,10 @@ _BROADCAST_KEYS = 1_000_000
 _TREE_WIDTH = 6
 #: Shingles of a block of a crowded zone (8 bytes each); a longer document is a block of its own.
 _BLOCK = 500_000
+#: A set counts in a block as at least so many shingles: a block has about _BLOCK / _LEAST sets at most.
+_LEAST = 100
+#: Sets of each side whose common shingles are counted at once; the rest of two blocks waits.
+_TILE = 1000
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str, text: str, size: int, trees: int) -> DataFrame:
@@ -206,9 +212,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, *, share: tup
     def check(cell: pa.Table) -> pa.Table:
         own: dict[int, np.ndarray] = {}
         todo = []
-        for a, b, s in zip(cell.column("a").to_pylist(), cell.column("b").to_pylist(), cell.column("s").to_pylist(), strict=True):
+        for a, b, s in zip(cell.column("a").to_pylist(), cell.column("b").to_pylist(), cell.column("s"), strict=True):
             if b is None:
-                own[a] = np.frombuffer(s, np.uint64)
+                own[a] = np.frombuffer(s.as_buffer(), np.uint64)
             else:
                 todo.append((a, b))
         class_ = Classes(own)
@@ -300,13 +306,32 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def linked_pairs(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs of sets with unlike labels, one of ``left`` and one of ``right`` (places in ``sets``); one block with itself if they are equal.
+
+    The table of counts is filled in tiles: memory follows their size and not that of the blocks.
+    """
+    size = np.array([len(s) for s in sets])
+    alone = np.array_equal(left, right)
+    for x in range(0, len(left), _TILE):
+        one = left[x : x + _TILE]
+        for y in range(x if alone else 0, len(right), _TILE):
+            two = right[y : y + _TILE]
+            unlike = label[one][:, None] != label[two][None]
+            if not unlike.any():
+                continue
+            both = common_counts([sets[i] for i in one], [sets[j] for j in two])
+            for i, j in zip(*np.nonzero(unlike & (den * both >= num * (size[one][:, None] + size[two][None] - both))), strict=True):
+                yield int(one[i]), int(two[j])
+
+
 def crowded(zoned: DataFrame, nodes: DataFrame, docs: DataFrame, *, share: tuple[int, int], **columns) -> DataFrame:
     """Links (a, b) between the classes of each zone of ``zoned`` (node, n, zone, label); all pairs of classes are covered."""
     num, den = share
     # a large class has blocks of its own, so that it is never compared with itself; other nodes lie by size
     of = zoned.groupBy("zone", "label").agg(F.sum("n").alias("all"))
     sized = zoned.join(cut(of, "sums"), ["zone", "label"]).withColumn("part", F.when(F.col("all") >= _BLOCK, F.col("label")).otherwise(-1 - F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))))
-    parts = sized.groupBy("zone", "part").agg(F.ceil(F.sum("n") / F.lit(_BLOCK)).alias("k"))
+    parts = sized.groupBy("zone", "part").agg(F.ceil(F.sum(F.greatest("n", F.lit(_LEAST))) / F.lit(_BLOCK)).alias("k"))
     placed = cut(sized.join(cut(parts, "parts"), ["zone", "part"]).select("zone", "node", "n", "label", F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("k"))).alias("block")), "zones")
     blocks = placed.groupBy("zone", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("label").alias("l"), F.max("label").alias("h"))
     one, two = (blocks.select("zone", *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi", "l", "h")]) for k in (1, 2))
@@ -319,17 +344,13 @@ def crowded(zoned: DataFrame, nodes: DataFrame, docs: DataFrame, *, share: tuple
     def check(pair: pa.Table) -> pa.Table:
         side = np.array(pair.column("side").to_pylist())
         ids, labels = pair.column("node").to_pylist(), pair.column("label").to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in pair.column("s").to_pylist()]
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in pair.column("s")]
         left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         class_, out = Classes(labels), []
         if len(left) and len(right):
             number = {x: k for k, x in enumerate(dict.fromkeys(labels))}
             label = np.array([number[x] for x in labels])
-            size = np.array([len(s) for s in sets])
-            both = common_counts([sets[i] for i in left], [sets[i] for i in right])
-            ok = (den * both >= num * (size[left][:, None] + size[right][None] - both)) & (label[left][:, None] != label[right][None])
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                a, b = left[i], right[j]
+            for a, b in linked_pairs(sets, label, left, right, num, den):
                 if class_.join(labels[a], labels[b]):
                     out.append((ids[a], ids[b]))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})

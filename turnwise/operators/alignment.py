@@ -8,6 +8,7 @@ gathered: a pair is one row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -50,6 +51,34 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def _hopeful(words: list[str], others: list[str], least: float) -> list[np.ndarray]:
+    """For each of ``words`` the places in ``others`` whose Jaro-Winkler similarity may reach ``least``.
+
+    Words cannot have more letters in common than both hold of each, and lose nothing by their order at best; the bonus for the prefix is exact.
+    """
+    size, length = (np.array([len(w) for w in ws], np.int64) for ws in (words, others))
+    chars, code = np.unique(np.frombuffer("".join((*words, *others)).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+
+    def table(n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often a word has each letter, and its first four."""
+        row, at = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held = np.bincount(row * len(chars) + own, minlength=len(n) * len(chars)).reshape(len(n), len(chars)).astype(np.int32)
+        begin = np.full((len(n), 4), -1)
+        begin[row[at < 4], at[at < 4]] = own[at < 4]
+        return held, begin
+
+    held, begin = table(size, code[: size.sum()])
+    have, start = table(length, code[size.sum() :])
+    out, some = [], max(1, _COUNTS // max(1, len(others) * len(chars)))
+    for lo in range(0, len(words), some):  # some words at a time: tables of bounded size
+        n, own = size[lo : lo + some, None], begin[lo : lo + some, None]
+        common = np.minimum(held[lo : lo + some, None], have).sum(axis=2)
+        jaro = np.where(n + length == 0, 1, (common / np.maximum(n, 1) + common / np.maximum(length, 1) + 1) / 3)  # empty words are equal
+        same = np.logical_and.accumulate((start == own) & (own >= 0), axis=2).sum(axis=2)
+        out += [np.flatnonzero(row) for row in jaro + 0.1 * same * (1 - jaro) >= least - 1e-9]
+    return out
+
+
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -74,8 +103,11 @@ class Sames:
         self.left, self.right = self.pay.tolist(), self.ref.tolist()
         self.fuzzy = None
         if mode not in ("exact", "nocase"):
-            same, distinct = matcher(mode), list(names)
-            rows = {w: np.array([same(w, y) for y in distinct], bool) for w in set(payload)}
+            least, distinct, words = float(mode.split(":")[1]), [y.lower() for y in names], list(dict.fromkeys(payload))
+            low = [w.lower() for w in words]
+            rows = {w: np.zeros(len(distinct), bool) for w in words}
+            for w, x, places in zip(words, low, _hopeful(low, distinct, least), strict=True):
+                rows[w][[j for j in places.tolist() if jaro_winkler(x, distinct[j]) >= least]] = True
             self.fuzzy = [rows[w] for w in payload]
         else:
             self.ahead, self.behind = _places(self.right), _places(self.right[::-1])
@@ -498,25 +530,21 @@ def unique_subsequence(words: list[str], tokens: list[str]) -> list[int] | None:
     return first if first == last[::-1] else None
 
 
-def recover_file(utts: pd.DataFrame, tokens: pd.DataFrame, mode: str = "nocase") -> list[tuple]:
+def _spans(utts: list, words: list[list[str]], spoken: list[str], start: list, end: list, mode: str = "nocase") -> list[tuple]:
     """(utt, start_ms, end_ms) from token times: earliest start and latest end of the matched words.
 
-    Spans of later utterances never begin before the end of the last one given.
+    ``words`` and ``spoken`` are in ASCII lower case. Spans of later utterances never begin before the end of the last one given.
     """
-    words, owner = [], []
-    for u, ws in zip(utts["utt"], utts["words"], strict=True):
-        words += [w.translate(_ASCII) for w in ws]
-        owner += [u] * len(ws)
-    spoken = [t.translate(_ASCII) for t in tokens["text"]]
-    where = unique_subsequence(words, spoken)
-    pairs = list(enumerate(where)) if where is not None else [(p, r) for t, _, p, r in align(words, spoken, mode) if t == "match"]
-    start, end = tokens["start_ms"].tolist(), tokens["end_ms"].tolist()
+    said = [w for ws in words for w in ws]
+    owner = [u for u, ws in zip(utts, words, strict=True) for _ in ws]
+    where = unique_subsequence(said, spoken)
+    pairs = list(enumerate(where)) if where is not None else [(p, r) for t, _, p, r in align(said, spoken, mode) if t == "match"]
     spans: dict[int, tuple[int, int]] = {}
     for p, r in pairs:
         s, e = spans.get(owner[p], (start[r], end[r]))
         spans[owner[p]] = (min(s, start[r]), max(e, end[r]))
     out, floor = [], 0
-    for u in utts["utt"]:
+    for u in utts:
         s, e = spans.get(u, (None, None))
         if s is not None:
             s, e = max(s, floor), max(e, floor)
@@ -527,16 +555,50 @@ def recover_file(utts: pd.DataFrame, tokens: pd.DataFrame, mode: str = "nocase")
     return out
 
 
-def recover_timing(utts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Spans of (file, utt, words) from timed tokens (file, seq, text, start_ms, end_ms)."""
+def recover_file(utts: pd.DataFrame, tokens: pd.DataFrame, mode: str = "nocase") -> list[tuple]:
+    """``_spans`` of two tables of one file."""
+    fold = lambda ws: [w.translate(_ASCII) for w in ws]
+    return _spans(utts["utt"].tolist(), [fold(ws) for ws in utts["words"]], fold(tokens["text"]), tokens["start_ms"].tolist(), tokens["end_ms"].tolist(), mode)
+
+
+def _overlapping_spans(utts: list, words: list[list[str]], over: list[bool], spoken: list[str], start: list, end: list, density: float) -> list[tuple]:
+    """``_spans`` in two passes, where that places more utterances."""
+    one = _spans(utts, words, spoken, start, end)
+    if not 0 < sum(over) <= density * len(over):
+        return one
+    plain = [k for k, o in enumerate(over) if not o]
+    main = {r[0]: r for r in _spans([utts[k] for k in plain], [words[k] for k in plain], spoken, start, end)}
+    begins, ends = np.array(start, float), np.array(end, float)
+    two, before = [], None
+    for utt, ws, o in zip(utts, words, over, strict=True):
+        if not o:
+            two.append(main[utt])
+            before = main[utt] if main[utt][1] is not None else before
+            continue
+        near = range(len(spoken)) if before is None else np.flatnonzero((ends >= before[1] - L.OVERLAP_BUFFER_MS) & (begins <= before[2] + L.OVERLAP_BUFFER_MS)).tolist()
+        two += _spans([utt], [ws], [spoken[k] for k in near], [start[k] for k in near], [end[k] for k in near], f"fuzzy:{L.FUZZY_MATCH}")
+    return two if sum(r[1] is not None for r in two) > sum(r[1] is not None for r in one) else one
+
+
+def _recovered(utts: DataFrame, tokens: DataFrame, over: Column, density: float) -> DataFrame:
+    """Spans of each file: a file is a row of two lists, so that many small files share a batch."""
+    fold = lambda ws: [w.translate(_ASCII) for w in ws]
+
+    def run(u: list[dict], t: list[dict]) -> list[tuple]:
+        start, end = ([math.nan if x[c] is None else x[c] for x in t] for c in ("start_ms", "end_ms"))
+        found = _overlapping_spans([x["utt"] for x in u], [fold(x["words"]) for x in u], [bool(x["over"]) for x in u], fold(x["text"] for x in t), start, end, density)
+        return [(k, *(None if x is None or math.isnan(x) else int(x) for x in span)) for k, *span in found]
+
+    said = utts.select("file", F.struct("utt", "words", over.alias("over")).alias("u"))
+    heard = _apart(tokens).select("file", F.struct("seq", "text", "start_ms", "end_ms").alias("t"))
+    met = said.unionByName(heard, allowMissingColumns=True).groupBy("file").agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in "ut"])
+    each = met.select("file", F.explode(row_udf("array<struct<utt:bigint,start_ms:bigint,end_ms:bigint>>")(run)("u", "t")).alias("s"))
+    return each.select(F.col("file").cast("long").alias("file"), "s.utt", "s.start_ms", "s.end_ms")
 
-    def run(key, u: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        u, t = _framed(u, "utt", "words"), _framed(t, "seq", "text", "start_ms", "end_ms")
-        out = pd.DataFrame(recover_file(u.sort_values("utt"), t.sort_values("seq")), columns=["utt", "start_ms", "end_ms"])
-        out.insert(0, "file", key[0])
-        return out.astype({"start_ms": "Int64", "end_ms": "Int64"})
 
-    return utts.groupBy("file").cogroup(_apart(tokens).groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
+def recover_timing(utts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Spans of (file, utt, words) from timed tokens (file, seq, text, start_ms, end_ms)."""
+    return _recovered(utts, tokens, F.lit(False), 0)
 
 
 def recover_overlapping(utts: DataFrame, tokens: DataFrame, density: float = L.OVERLAP_DENSITY) -> DataFrame:
@@ -545,27 +607,7 @@ def recover_overlapping(utts: DataFrame, tokens: DataFrame, density: float = L.O
     Files in which more than ``density`` of the utterances overlap take one pass.
     ``utts`` has ``has_overlap``.
     """
-
-    def run(key, u: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        u, t = _framed(u, "utt", "words", "has_overlap").sort_values("utt"), _framed(t, "seq", "text", "start_ms", "end_ms").sort_values("seq")
-        one = recover_file(u, t)
-        if len(u) and 0 < u["has_overlap"].mean() <= density:
-            main = dict((r[0], r) for r in recover_file(u[~u["has_overlap"]], t))
-            two, before = [], None
-            for utt, ws, over in zip(u["utt"], u["words"], u["has_overlap"], strict=True):
-                if not over:
-                    two.append(main[utt])
-                    before = main[utt] if main[utt][1] is not None else before
-                    continue
-                near = t if before is None else t[(t["end_ms"] >= before[1] - L.OVERLAP_BUFFER_MS) & (t["start_ms"] <= before[2] + L.OVERLAP_BUFFER_MS)]
-                two.append(recover_file(pd.DataFrame({"utt": [utt], "words": [ws]}), near, f"fuzzy:{L.FUZZY_MATCH}")[0])
-            if sum(r[1] is not None for r in two) > sum(r[1] is not None for r in one):
-                one = two
-        out = pd.DataFrame(one, columns=["utt", "start_ms", "end_ms"])
-        out.insert(0, "file", key[0])
-        return out.astype({"start_ms": "Int64", "end_ms": "Int64"})
-
-    return utts.groupBy("file").cogroup(_apart(tokens).groupBy("file")).applyInPandas(run, "file long, utt long, start_ms long, end_ms long")
+    return _recovered(utts, tokens, F.col("has_overlap"), density)
 
 
 def stitch(words: list[str], tokens: list[tuple[str, int, int]]) -> list[tuple[int, int] | None]:

@@ -6,8 +6,9 @@ when a symbol does not fit), so that a text is read once whatever the list's siz
 leftmost-longest: from the left, at each place the longest phrase that begins there.
 
 A list of at most ``_BROADCAST_ROWS`` phrases is sent to the workers, each of which builds the automaton once. A longer one is
-dealt to shards by the first symbol of a phrase; a text goes to the shards that hold one of its
-symbols, several shares of texts to each shard, and the longest match of each start is kept of all shards. Both
+joined by hashes to the places of the texts, in shards of bounded size, one row for each length of a phrase that fits there
+(salted, since a frequent phrase has many places), and what is found is held against the text. What that shuffles grows with
+places and lengths. Both
 ways give the same matches. Phrases are compared as they are given: bring both sides to one case
 before. Empty and null phrases do not count; of equal phrases the smallest value does.
 """
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BROADCAST_ROWS, _SHARD_ROWS, _SHARES = 200_000, 100_000, 16
+_BROADCAST_ROWS, _SHARD_ROWS, _SHARES = 200_000, 100_000, 4
 
 
 class Automaton:
@@ -103,29 +104,33 @@ def _sent(texts: DataFrame, symbols: str, phrases: list, out: str) -> DataFrame:
     return texts.withColumn(out, F.pandas_udf(run, _MATCHES)(F.col(symbols)))
 
 
-def _sharded(texts: DataFrame, symbols: str, phrases: DataFrame, out: str, shards: int) -> DataFrame:
-    """Shards of the list meet the texts that may hold one of their phrases."""
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
-    numbered = texts.withColumn("_row", F.concat_ws(":", F.spark_partition_id().cast("string"), F.monotonically_increasing_id().cast("string")))
-    # the same text is searched once; rows find it again by its content
-    text = F.sha2(F.to_json(F.col(symbols)), 256)
-    distinct = numbered.where(F.size(symbols) > 0).select(text.alias("_text"), F.col(symbols).alias("_s")).dropDuplicates(["_text"])
-    held = F.array_distinct(F.transform(F.array_compact("_s"), lambda x: shard(x)))
-    asked = distinct.select("_text", "_s", F.explode(held).alias("_shard"), F.pmod(F.xxhash64("_text"), F.lit(_SHARES)).cast("int").alias("_share"))
-    dealt = phrases.select("phrase", "value", shard(F.col("phrase")[0]).alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("_share"))
-
-    def search(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        machine, values = Automaton(tuple(p) for p in some["phrase"]), [list(v) for v in some["value"]]
-        found = [[(a, b, values[n]) for a, (b, n) in sorted(machine.longest(list(t)).items())] for t in rows["_s"]]
-        return pd.DataFrame({"_text": rows["_text"], "_found": found})
-
-    met = asked.groupBy("_shard", "_share").cogroup(dealt.groupBy("_shard", "_share")).applyInPandas(search, f"_text string, _found {_MATCHES}")
-    all_ = met.groupBy("_text").agg(F.array_sort(F.flatten(F.collect_list("_found"))).alias("_found"))  # each start belongs to one shard
+def _joined(texts: DataFrame, symbols: str, phrases: DataFrame, out: str, shards: int) -> DataFrame:
+    """The list meets the places of the texts, not the texts: each place goes out once for each length of a phrase, as hashes.
+
+    A text is named by a hash too. Both may clash without harm, since what comes back to a text is held against its symbols.
+    """
+    lengths = sorted(r.n for r in phrases.select(F.size("phrase").alias("n")).distinct().collect())  # at most the longest phrase
+    text = F.xxhash64(symbols)
+
+    def places(n: int):
+        at = F.sequence(F.lit(1), F.size(symbols) - (n - 1))
+        return F.when(F.size(symbols) >= n, F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice(symbols, i, n)).alias("h")))).otherwise(F.array())
+
+    asked = texts.select(text.alias("_text"), F.explode(F.concat(*[places(n) for n in lengths])).alias("p")).select("_text", "p.at", F.col("p.h").alias("_h"), F.pmod(F.xxhash64("_text"), F.lit(_SHARES)).cast("int").alias("_share"))
+    listed = phrases.select("phrase", "value", F.xxhash64(F.size("phrase"), "phrase").alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("_share"))
+    match = F.struct((F.col("at") - 1).alias("start"), (-F.size("phrase")).alias("less"), "phrase", "value")
+    met = asked.repartition(shards, "_h", "_share").join(listed.repartition(shards, "_h", "_share"), ["_h", "_share"]).groupBy("_text").agg(F.array_sort(F.collect_set(match)).alias("_found"))
     zero = F.struct(F.array().cast(_MATCHES).alias("kept"), F.lit(0).alias("free"))
-    step = lambda a, m: F.when(m["start"] >= a["free"], F.struct(F.concat(a["kept"], F.array(m)).alias("kept"), m["end"].alias("free"))).otherwise(a)
-    kept = all_.select("_text", F.aggregate("_found", zero, step)["kept"].alias(out))
-    joined = numbered.withColumn("_text", text).join(kept, "_text", "left")
-    return joined.withColumn(out, F.coalesce(out, F.array().cast(_MATCHES))).drop("_text", "_row")
+
+    def step(a, m):
+        fits = (m["start"] >= a["free"]) & (F.slice(symbols, m["start"] + 1, -m["less"]) == m["phrase"])
+        end = m["start"] - m["less"]
+        one = F.array(F.struct(m["start"].alias("start"), end.alias("end"), m["value"].alias("value")))
+        return F.when(fits, F.struct(F.concat(a["kept"], one).alias("kept"), end.alias("free"))).otherwise(a)
+
+    joined = texts.withColumn("_text", text).join(met, "_text", "left")
+    kept = F.aggregate("_found", zero, step)["kept"]
+    return joined.withColumn(out, F.coalesce(kept, F.array().cast(_MATCHES))).drop("_text", "_found")
 
 
 def find(texts: DataFrame, phrases: DataFrame, symbols: str = "words", out: str = "matches") -> DataFrame:
@@ -137,8 +142,8 @@ def find(texts: DataFrame, phrases: DataFrame, symbols: str = "words", out: str
     some = tidy.limit(_BROADCAST_ROWS + 1).collect()  # bounded
     if len(some) <= _BROADCAST_ROWS:
         return _sent(texts, symbols, [(r.phrase, list(r.value)) for r in some], out)
-    shards = -(-tidy.count() // _SHARD_ROWS)
-    return _sharded(texts, symbols, tidy, out, shards)
+    shards = -(-tidy.count() * _SHARES // _SHARD_ROWS)
+    return _joined(texts, symbols, tidy, out, max(shards, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def replaced(symbols: Column, matches: Column) -> Column:

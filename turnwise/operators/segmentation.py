@@ -9,6 +9,40 @@ from pyspark.sql import functions as F
 from turnwise.functions import lexicon as L
 from turnwise.functions.lazy import lazy_udf
 from turnwise.functions.words import literal_map
+from turnwise.session import fresh
+
+
+def _parts(clean: Column) -> Column:
+    """A word and the punctuation glued to its end, as an array."""
+    marks = L.ENDING_PUNCT + list(L.RTL_PUNCT)
+    last = F.substring(clean, -1, 1)
+    whole = clean.isin(marks)
+    glued = ~whole & last.isin([m for m in marks if len(m) == 1])
+    plain = lambda c: F.coalesce(F.try_element_at(literal_map(L.RTL_PUNCT), c), c)
+    front = F.substr(clean, F.lit(1), F.length(clean) - 1)
+    return F.when(whole, F.array(plain(clean))).when(glued, F.filter(F.array(front, plain(last)), lambda x: x != "")).otherwise(F.array(clean))
+
+
+def retokenised(rows: DataFrame, words: str, out: str) -> DataFrame:
+    """``retokenise`` within each row: ``out`` is an array of utterances, arrays of words, of the array ``words`` (null: null). Nothing is sorted or shuffled."""
+    p, e, m = (fresh(rows, f"_{c}") for c in "pem")
+    size = fresh(rows, "_n")
+    clean = F.transform(words, lambda w: F.replace(F.translate(w, "¿¡", "  "), F.lit("。"), F.lit(".")))
+    cut = rows.withColumn(p, F.flatten(F.transform(clean, _parts)))
+    cut = cut.withColumn(e, F.filter(F.transform(p, lambda x, i: F.when(x.isin(L.ENDING_PUNCT), i)), lambda i: i.isNotNull()))
+    # ends of utterances, and the last word that counts: what follows the last end is a rest, without the separators at its end
+    cut = cut.withColumn(size, F.coalesce(F.element_at(F.when(F.size(e) > 0, F.col(e)), -1) + 1, F.lit(0)))
+    cut = cut.withColumn(m, F.coalesce(F.array_max(F.transform(p, lambda x, i: F.when(~x.isin(L.MOR_PUNCT), i + 1))), F.lit(0)) - F.col(size))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(e, i - 1) + 1)
+    closed = F.transform(e, lambda x, i: F.slice(p, begin(i) + 1, x - begin(i) + 1))
+    rest = F.when(F.col(m) > 0, F.array(F.concat(F.slice(p, F.col(size) + 1, F.greatest(m, F.lit(0))), F.array(F.lit("."))))).otherwise(F.array().cast("array<array<string>>"))
+    return cut.withColumn(out, F.concat(closed, rest)).drop(p, e, m, size)
+
+
+def in_order(words: DataFrame, keys: list[str], seq: str, text: str) -> DataFrame:
+    """``keys`` and ``text``, the words of a key as an array in the order of ``seq``."""
+    each = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(text).alias("t")))).alias(text))
+    return each.withColumn(text, F.transform(text, lambda x: x["t"]))
 
 
 def retokenise(words: DataFrame, keys: list[str], seq: str, text: str) -> DataFrame:
@@ -17,28 +51,17 @@ def retokenise(words: DataFrame, keys: list[str], seq: str, text: str) -> DataFr
     Punctuation at the end of a word becomes a word of its own; marks that
     read from the right become plain ones; a rest without a mark at its end
     loses separators there and gets a full stop. Adds ``utt`` and ``pos``.
+    Words of a key travel as one array.
     """
-    marks = L.ENDING_PUNCT + list(L.RTL_PUNCT)
-    clean = F.replace(F.translate(F.col(text), "¿¡", "  "), F.lit("。"), F.lit("."))
-    last = F.substring(clean, -1, 1)
-    whole = clean.isin(marks)
-    glued = ~whole & last.isin([m for m in marks if len(m) == 1])
-    plain = lambda c: F.coalesce(F.try_element_at(literal_map(L.RTL_PUNCT), c), c)
-    front = F.substr(clean, F.lit(1), F.length(clean) - 1)
-    parts = F.when(whole, F.array(plain(clean))).when(glued, F.filter(F.array(front, plain(last)), lambda x: x != "")).otherwise(F.array(clean))
-    exploded = words.select(*keys, F.col(seq).alias("_s"), F.posexplode(parts).alias("_i", text))
-    order = Window.partitionBy(*keys).orderBy("_s", "_i")
-    ends = F.col(text).isin(L.ENDING_PUNCT).cast("int")
-    utt = F.coalesce(F.sum(ends).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = exploded.withColumn("utt", utt)
-    inside = Window.partitionBy(*keys, "utt").orderBy("_s", "_i")
-    whole_utt = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
-    real = (~F.col(text).isin(L.MOR_PUNCT)).cast("int")
-    kept = cut.withColumns({"_closed": F.max(ends).over(whole_utt), "_more": F.sum(real).over(onward)}).where((F.col("_closed") == 1) | (F.col("_more") > 0))
-    stop = kept.groupBy(*keys, "utt").agg(F.max("_closed").alias("_closed"), F.max("_s").alias("_s")).where("_closed = 0").select(*keys, "_s", F.lit(9).alias("_i"), F.lit(".").alias(text), "utt")
-    both = kept.select(*keys, "_s", "_i", text, "utt").unionByName(stop)
-    return both.withColumn("pos", F.row_number().over(inside) - 1).select(*keys, "utt", "pos", text)
+    said = each_utterance(retokenised(in_order(words, keys, seq, text), text, text).select(*keys, F.col(text)), F.col(text), text)
+    return said.select(*keys, "utt", F.posexplode(text).alias("pos", text))
+
+
+def each_utterance(rows: DataFrame, utts: Column, out: str) -> DataFrame:
+    """A row for each element of an array of utterances: the other columns of ``rows``, ``utt`` (from 0) and ``out``."""
+    # not posexplode: the filter that it infers would have the utterances worked out again for each use of them
+    kept = [F.col(c) for c in rows.columns if c != out]
+    return rows.select(*kept, F.posexplode_outer(utts).alias("_utt", out)).where("_utt IS NOT NULL").select(*kept, F.col("_utt").cast("long").alias("utt"), out)
 
 
 def split_on_pauses(words: DataFrame, keys: list[str], seq: str) -> DataFrame:

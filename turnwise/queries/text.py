@@ -420,9 +420,9 @@ m AS (SELECT *, max((text IN ('.', '?', '!'))::INT) OVER (PARTITION BY file, tur
 k AS (SELECT * FROM m WHERE closed = 1 OR more > 0)
 SELECT file, turn, u::BIGINT AS utt, string_agg(text, ' ' ORDER BY i, j) || CASE WHEN max(closed) = 1 THEN '' ELSE ' .' END AS said FROM k GROUP BY 1, 2, 3""")
 def e23(spark, d):
-    w = spiced(spark, d).select("file", F.col("utt").alias("turn"), F.posexplode("words").alias("seq", "text"))
-    r = segmentation.retokenise(w, ["file", "turn"], "seq", "text")
-    return r.groupBy("file", "turn", F.col("utt").cast("long").alias("utt")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("said"))
+    w = spiced(spark, d).select("file", F.col("utt").alias("turn"), "words")
+    r = segmentation.retokenised(w, "words", "said").select("file", "turn", "said")
+    return segmentation.each_utterance(r, F.transform("said", lambda u: F.array_join(u, " ")), "said").select("file", "turn", "utt", "said")
 
 
 @query("e24_split_by_assignment", f"""WITH {SW}, g AS (SELECT file, utt, pos, w, (pos // 4) % 3 AS grp FROM w), c AS (SELECT *, coalesce(grp <> lag(grp) OVER (PARTITION BY file, utt ORDER BY pos), false)::INT AS c FROM g),

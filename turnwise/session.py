@@ -44,3 +44,11 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    have, name = {c.lower() for c in df.columns}, base
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -65,14 +65,14 @@ def transcribe(asr: DataFrame, lang: str = "eng", lexicon: DataFrame | None = No
     split = clean.select("file", "seq", F.posexplode(W.percent_split(F.col("text"), lang)).alias("_i", "text")).withColumn("text", expanded(F.col("text"), F.lit(lang)))
     # parts of a word are ordered by a struct: no number of parts runs into the next word
     each = split.select("file", "seq", "_i", F.posexplode(F.split("text", " ")).alias("_j", "text")).select("file", F.struct("seq", "_i", "_j").alias("seq"), "text")
-    said = segmentation.retokenise(each, ["file"], "seq", "text")
-    said = said.withColumn("text", W.disfluency(F.col("text")) if lang == "eng" else F.col("text"))
-    utt = said.groupBy("file", "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("words"))
+    said = segmentation.retokenised(segmentation.in_order(each, ["file"], "seq", "text"), "text", "said").select("file", "said")
+    words = F.transform("said", lambda u: F.transform(u, W.disfluency)) if lang == "eng" else F.col("said")
+    utt = segmentation.each_utterance(said, words, "said").withColumnRenamed("said", "words")
     if lexicon is not None:
         utt = phrases.merge_multiwords(utt, lexicon)
     content = F.filter("words", lambda w: ~w.isin(W.L.ENDING_PUNCT + W.L.MOR_PUNCT))
     marks = sequences.retraces(content, 2 if lang in ("yue", "zho") else 1)
-    flagged = utt.select("file", "utt", F.posexplode(F.arrays_zip(content.alias("text"), marks.alias("retrace"))).alias("pos", "w")).select("file", "utt", "pos", F.when(F.col("w.retrace"), W.strip_punct(F.col("w.text"))).otherwise(F.col("w.text")).alias("text"), F.when(F.col("w.retrace"), "retrace").otherwise("regular").alias("kind"))
+    flagged = utt.select("file", "utt", F.posexplode_outer(F.arrays_zip(content.alias("text"), marks.alias("retrace"))).alias("pos", "w")).where("pos IS NOT NULL").select("file", "utt", "pos", F.when(F.col("w.retrace"), W.strip_punct(F.col("w.text"))).otherwise(F.col("w.text")).alias("text"), F.when(F.col("w.retrace"), "retrace").otherwise("regular").alias("kind"))
     first = F.when(F.col("pos") == 0, W.capitalise_first(W.pronoun_i(F.col("text")))).otherwise(W.pronoun_i(F.col("text")))
     return flagged.withColumn("text", first if lang == "eng" else F.col("text"))
 

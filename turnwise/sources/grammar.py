@@ -34,6 +34,9 @@ RETRACES = ["/", "//", "///", "/-"]
 #: Codes that belong to the whole utterance and have no scope.
 WHOLE = ["+", "-", "^"]
 
+#: Characters of the lines that one task parses.
+_SHARE = 1_000_000
+
 _TOKEN = "|".join([BULLET, ANNOTATION, LINKER, TERMINATOR, PAUSE, SEPARATOR, WORD, r"[<>\[\]]", "\x15"])
 _KINDS = [("bullet", BULLET), ("annotation", ANNOTATION), ("open", "<"), ("close", ">"), ("linker", LINKER), ("terminator", TERMINATOR), ("pause", PAUSE), ("separator", SEPARATOR), ("word", WORD)]
 
@@ -65,18 +68,50 @@ def tokens(lines: DataFrame) -> DataFrame:
     return rows.withColumn("partner", partner).withColumn("error", error).select("file", "line_no", "pos", "kind", "text", F.col("level").cast("int").alias("level"), "partner", "error")
 
 
-def annotations(read: DataFrame) -> DataFrame:
-    """file, line_no, pos, code, value, from_pos, to_pos, error: what each annotation acts on (positions of tokens, inclusive)."""
+def _acting(read: DataFrame) -> DataFrame:
+    """``read`` with code, value, from_pos, to_pos and lost (an error) of its annotations; null for other tokens."""
     before = Window.partitionBy("file", "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     base = F.last(F.when(F.col("kind") != "annotation", F.struct("pos", "kind", "partner")), ignorenulls=True).over(before)
-    rows = read.withColumn("base", base).where("kind = 'annotation'")
-    code, value = (F.regexp_extract("text", CODE, i) for i in (1, 2))
-    rows = rows.select("file", "line_no", "pos", F.when(code == "", "other").otherwise(code).alias("code"), F.when(code == "", F.expr("substring(text, 2, length(text) - 2)")).otherwise(value).alias("value"), "base")
-    scoped = ~F.col("code").isin(WHOLE)
+    noted = F.col("kind") == "annotation"
+    code, value = (F.when(noted, F.regexp_extract("text", CODE, i)) for i in (1, 2))
+    rows = read.withColumn("base", base).withColumns({"code": F.when(code == "", "other").otherwise(code), "value": F.when(code == "", F.expr("substring(text, 2, length(text) - 2)")).otherwise(value)})
+    scoped = noted & ~F.col("code").isin(WHOLE)
     first = F.when(scoped & (F.col("base.kind") == "close"), F.col("base.partner") + 1).when(scoped & (F.col("base.kind") == "word"), F.col("base.pos"))
     last = F.when(scoped & (F.col("base.kind") == "close"), F.when(F.col("base.partner").isNotNull(), F.col("base.pos") - 1)).when(scoped & (F.col("base.kind") == "word"), F.col("base.pos"))
-    error = F.when(scoped & first.isNull(), "nothing before")
-    return rows.select("file", "line_no", "pos", "code", "value", first.alias("from_pos"), last.alias("to_pos"), error.alias("error"))
+    return rows.withColumns({"from_pos": first, "to_pos": last, "lost": F.when(scoped & first.isNull(), "nothing before")}).drop("base")
+
+
+def annotations(read: DataFrame) -> DataFrame:
+    """file, line_no, pos, code, value, from_pos, to_pos, error: what each annotation acts on (positions of tokens, inclusive)."""
+    return _acting(read).where("kind = 'annotation'").select("file", "line_no", "pos", "code", "value", "from_pos", "to_pos", F.col("lost").alias("error"))
+
+
+def _scoped(read: DataFrame) -> DataFrame:
+    """``_acting`` with retraced, uncertain, replaced and replacement of every token.
+
+    A scope adds a row where it begins and one behind its end; the tokens follow from running sums over both, so that
+    nothing is joined.
+    """
+    kinds = {"r": F.col("code").isin(RETRACES), "u": F.col("code") == "?", "p": F.col("code").isin(":", "::")}
+    sign = lambda k: [(F.coalesce(t.cast("int"), F.lit(0)) * k).alias(n) for n, t in kinds.items()]
+    token = F.struct("kind", "text", "error", "code", "value", "from_pos", "to_pos", "lost")
+    said = F.struct(F.col("from_pos").alias("pos"), (-F.col("to_pos")).alias("less"), F.col("pos").alias("at"), "value")  # the smallest scope from the last place; of equal ones the last
+    event = lambda pos, t, k, s: F.struct(pos.alias("pos"), t.alias("t"), *sign(k), s.alias("said"))
+    own = event(F.col("pos"), token, 0, F.when(F.lit(False), said))
+    begin = event(F.col("from_pos"), F.when(F.lit(False), token), 1, F.when(kinds["p"], said))
+    end = event(F.col("to_pos") + 1, F.when(F.lit(False), token), -1, F.when(F.lit(False), said))
+    events = _acting(read).select("file", "line_no", F.explode_outer(F.filter(F.array(own, begin, end), lambda e: e["pos"].isNotNull())).alias("e")).select("file", "line_no", "e.*")
+    order = Window.partitionBy("file", "line_no").orderBy("pos")
+    inside = {n: F.sum(c).over(order) > 0 for c, n in (("r", "retraced"), ("u", "uncertain"), ("p", "replaced"))}
+    rows = events.withColumns({**inside, "from": F.max("said").over(order)}).where("t IS NOT NULL").select("file", "line_no", "pos", "t.*", *inside, "from")
+    # a scope that begins with a bracket or a pause hands its replacement to the first word in it
+    word = F.col("kind") == "word"
+    before = F.last(F.when(word, F.col("from.pos")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    one = word & ~before.eqNullSafe(F.col("from.pos"))
+    return rows.withColumn("replacement", F.when(F.col("replaced") & one, F.split("from.value", r"\s+"))).drop("from")
+
+
+_WORD = ["retraced", "uncertain", "replaced", "replacement"]
 
 
 def words(read: DataFrame) -> DataFrame:
@@ -85,21 +120,7 @@ def words(read: DataFrame) -> DataFrame:
     ``replaced``: the word stands in the scope of a replacement; its first word carries the
     ``replacement``'s words as an array, others null.
     """
-    found = annotations(read).where("from_pos IS NOT NULL")
-    named = found.select("file", "line_no", "from_pos", "to_pos", "value", *[F.when(t, 1).otherwise(0).alias(n) for n, t in (("r", F.col("code").isin(RETRACES)), ("u", F.col("code") == "?"), ("p", F.col("code").isin(":", "::")))])
-    ends = named.select("file", "line_no", F.explode(F.array(F.struct(F.col("from_pos").alias("pos"), "r", "u", "p"), F.struct((F.col("to_pos") + 1).alias("pos"), *[(-F.col(c)).alias(c) for c in "rup"]))).alias("e"))
-    steps = ends.groupBy("file", "line_no", F.col("e.pos").alias("pos")).agg(*[F.sum(f"e.{c}").alias(c) for c in "rup"])
-    inner = named.where("p = 1").groupBy("file", "line_no", F.col("from_pos").alias("pos")).agg(F.min_by("value", "to_pos").alias("said"))
-    order = Window.partitionBy("file", "line_no").orderBy("pos")
-    rows = read.select("file", "line_no", "pos", "kind", "text").join(steps, ["file", "line_no", "pos"], "left").join(inner, ["file", "line_no", "pos"], "left")
-    inside = [(F.sum(F.coalesce(c, F.lit(0))).over(order) > 0).alias(n) for c, n in (("r", "retraced"), ("u", "uncertain"), ("p", "replaced"))]
-    rows = rows.select("file", "line_no", "pos", "kind", F.col("text").alias("word"), *inside, "said")
-    # a scope that begins with a bracket or a pause hands its replacement to the first word in it
-    first = F.last(F.when(F.col("said").isNotNull(), F.struct("pos", "said")), ignorenulls=True).over(order)
-    rows = rows.withColumn("from", first).where("kind = 'word'")
-    one = F.row_number().over(Window.partitionBy("file", "line_no", "from").orderBy("pos")) == 1
-    said = F.when(F.col("replaced") & one, F.split("from.said", r"\s+"))
-    return rows.select("file", "line_no", "pos", "word", "retraced", "uncertain", "replaced", said.alias("replacement"))
+    return _scoped(read).where("kind = 'word'").select("file", "line_no", "pos", F.col("text").alias("word"), *_WORD)
 
 
 def render(read: DataFrame) -> DataFrame:
@@ -206,17 +227,27 @@ def bad_words(spoken: DataFrame, word: str = "word", digits: bool = False) -> Da
     return distinct.withColumn("verdict", verdict(F.col("word"), digits)).where("NOT verdict.ok").select("word", "n", "verdict.at", "verdict.reason")
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """``lines`` in shares of about ``_SHARE`` characters: the sorts of a task stay as small however many lines there are."""
+    spark = lines.sparkSession
+    chars = lines.agg(F.sum(F.length("text"))).first()[0] or 0
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return lines.repartition(max(-(-chars // _SHARE), least, 1), "file", "line_no")
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """file, line_no, speaker, words (array of pos, word, retraced, uncertain, replaced, replacement), terminator, codes, errors."""
-    read = tokens(lines)
-    found = annotations(read)
-    spoken = words(read).groupBy("file", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "retraced", "uncertain", "replaced", "replacement"))).alias("words"))
-    ends = read.groupBy("file", "line_no").agg(F.max_by("text", F.when(F.col("kind") == "terminator", F.col("pos"))).alias("terminator"), F.array_sort(F.collect_list("error")).alias("wrong"))
-    codes = found.groupBy("file", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "code", "value", "from_pos", "to_pos"))).alias("codes"), F.array_sort(F.collect_list("error")).alias("lost"))
+    said = _dealt(lines.where("kind = 'utterance'").select("file", "line_no", "kind", "label", "text"))
+    word, code = F.col("kind") == "word", F.col("kind") == "annotation"
+    some = lambda test, *cols: F.when(F.count_if(test) > 0, F.sort_array(F.collect_list(F.when(test, F.struct(*cols)))))
+    each = _scoped(tokens(said)).groupBy("file", "line_no").agg(
+        some(word, "pos", F.col("text").alias("word"), *_WORD).alias("words"),
+        F.max_by("text", F.when(F.col("kind") == "terminator", F.col("pos"))).alias("terminator"),
+        some(code, "pos", "code", "value", "from_pos", "to_pos").alias("codes"),
+        F.sort_array(F.collect_list("error")).alias("wrong"), F.sort_array(F.collect_list("lost")).alias("lost"),
+    )
     none = lambda c: F.coalesce(c, F.array())
-    rows = lines.where("kind = 'utterance'").select("file", "line_no", F.col("label").alias("speaker"))
-    for part in (spoken, ends, codes):
-        rows = rows.join(part, ["file", "line_no"], "left")
+    rows = said.select("file", "line_no", F.col("label").alias("speaker")).join(each, ["file", "line_no"], "left")
     return rows.select("file", "line_no", "speaker", "words", "terminator", "codes", F.concat(none(F.col("wrong")), none(F.col("lost"))).alias("errors"))
 
 

@@ -108,20 +108,27 @@ def regrouped(items: DataFrame, ranges: DataFrame, rules: DataFrame) -> DataFram
     hit = inside.withColumn("_low", F.lower("text")).join(F.broadcast(rule) if small else rule, ["lang", "_low"])
     member = hit.select("file", "utt", F.explode(F.sequence("first", "last")).alias("id"), F.col("first").alias("_first"), F.col("last").alias("_last"), F.col("text").alias("_text"), "_r")
     one = F.coalesce(F.col("_r.kind") == "one", F.lit(False))
-    all_, order = Window.partitionBy("file", "utt"), Window.partitionBy("file", "utt").orderBy("id")
+    order = Window.partitionBy("file", "utt").orderBy("id")
     owner = F.when(one, F.col("_first")).otherwise(F.col("id"))
     rows = items.join(member, ["file", "utt", "id"], "left").withColumn("_owner", owner)
     rows = rows.withColumn("_new", F.sum((F.col("id") == F.col("_owner")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_map", F.map_from_entries(F.collect_list(F.struct("id", "_new")).over(all_)))
     outer = ~F.col("head").between(F.col("_first"), F.col("_last"))
     part = Window.partitionBy("file", "utt", "_owner")
     rows = rows.withColumn("_up", F.coalesce(F.min(F.when(outer, F.struct("id", "head", "deprel"))).over(part), F.min(F.struct("id", F.lit(0).cast(items.schema["head"].dataType).alias("head"), "deprel")).over(part)))
-    rows = rows.where("id = _owner")
+    kept = F.col("id") == F.col("_owner")
     head = F.when(one, F.col("_up.head")).otherwise(F.col("head"))
     changed = F.coalesce(one | ((F.col("_r.kind") == "first") & (F.col("id") == F.col("_first"))), F.lit(False))
     value = {
-        "id": F.col("_new").cast(items.schema["id"].dataType), "text": F.when(one, F.col("_text")).otherwise(F.col("text")), "deprel": F.when(one, F.col("_up.deprel")).otherwise(F.col("deprel")),
-        "head": F.when(head == 0, head).otherwise(F.try_element_at("_map", head.cast(items.schema["id"].dataType)).cast(items.schema["head"].dataType)),
+        "id": F.col("_new").cast(items.schema["id"].dataType), "text": F.when(one, F.col("_text")).otherwise(F.col("text")), "deprel": F.when(one, F.col("_up.deprel")).otherwise(F.col("deprel")), "head": head,
         **{c: F.when(changed, F.coalesce(F.col(f"_r.new_{c}"), F.col(c))).otherwise(F.col(c)) for c in ("upos", "lemma", "feats")},
     }
-    return rows.select(*[value[c].alias(c) if c in value else F.col(c) for c in items.columns])
+    own = [c for c in items.columns if c not in ("file", "utt")]
+    # an utterance is one row while heads look up their new numbers: no word carries the numbers of the others through a sort
+    whole = rows.groupBy("file", "utt").agg(
+        F.collect_list("id").alias("_ids"), F.collect_list("_new").alias("_news"),
+        F.collect_list(F.when(kept, F.struct(*[value[c].alias(c) if c in value else F.col(c) for c in own]))).alias("_words"),
+    )
+    number = lambda h: F.get("_news", F.array_position("_ids", h.cast(items.schema["id"].dataType)).cast("int") - 1).cast(items.schema["head"].dataType)
+    placed = F.transform("_words", lambda w: w.withField("head", F.when(w["head"] == 0, w["head"]).otherwise(number(w["head"]))))
+    each = whole.select("file", "utt", F.explode_outer(placed).alias("w")).where("w IS NOT NULL")
+    return each.select(*[F.col(c) if c in ("file", "utt") else F.col(f"w.{c}").alias(c) for c in items.columns])

@@ -66,6 +66,17 @@ def test_metrics_match_their_sql_at_a_larger_size(spark):
     assert differs(spark, QUERIES["a13_metrics_long"], ORACLE_SQL["a13_metrics_long"], "/root/testdata/sf0.1") is None
 
 
+def test_means_of_events_without_a_number_or_of_one_number(spark, tmp_path):
+    from tests.oracle import differs
+    from turnwise.queries import ORACLE_SQL, QUERIES
+
+    rows = [(None, 1, 1.0), (None, 1, 2.5), (7, 2, 1.0), (7, 2, 4.0), (7, 2, 0.5), (None, 3, 5.0), (1, 3, 6.0), (2, None, 3.0), (3, 4, None), (None, 5, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.expr("timestamp'2024-01-01'")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (part,) = (tmp_path / "t").glob("*.parquet")
+    (tmp_path / "events.parquet").write_bytes(part.read_bytes())
+    assert differs(spark, QUERIES["a13_metrics_long"], ORACLE_SQL["a13_metrics_long"], str(tmp_path)) is None
+
+
 def test_bags_of_long_turns(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(N)), lambda i: F.concat(F.lit("W"), i.cast("string"))).alias("a"), F.transform(F.sequence(F.lit(11), F.lit(N + 5)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("b"))
     (row,) = _within(40, df.select(sequences.bag_difference(F.col("a"), F.col("b")).alias("d"), sequences.bag_overlap(F.col("a"), F.col("b")).alias("o")))

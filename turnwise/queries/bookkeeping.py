@@ -167,10 +167,11 @@ def d30(spark, d):
 
 @query("a13_metrics_long", "WITH c AS (SELECT user_id AS file, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1), l AS (SELECT file, 'n' AS metric, n::DOUBLE AS x FROM c UNION ALL SELECT file, 'mean', mean FROM c), f AS (SELECT file, metric, rtrim(printf('%.4f', x), '0') AS v FROM l) SELECT file, metric, CASE WHEN v LIKE '%.' THEN v || '0' ELSE v END AS value FROM f")
 def a13(spark, d):
-    # summed in the order of the events: a mean that lies between two texts does not depend on how the rows are dealt
-    so_far = F.sum("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = table(spark, d, "events").select(F.col("user_id").alias("file"), "event_id", "value", so_far.alias("s"))
-    c = e.groupBy("file").agg(F.count("*").alias("n"), F.try_divide(F.max_by("s", "event_id"), F.count("value")).alias("mean"))
+    # summed in the order of the events: a mean that lies between two texts does not depend on how the rows are dealt; events without a number, or of one number, count each
+    order = Window.partitionBy("user_id").orderBy("event_id", "ts", "value")
+    so_far = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    e = table(spark, d, "events").select(F.col("user_id").alias("file"), "value", F.row_number().over(order).alias("at"), so_far.alias("s"))
+    c = e.groupBy("file").agg(F.count("*").alias("n"), F.try_divide(F.max_by("s", "at"), F.count("value")).alias("mean"))
     return metrics.long_metrics(c, "file", ["n", "mean"])
 
 

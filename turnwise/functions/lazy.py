@@ -52,6 +52,17 @@ def pieces(arrays: tuple[pa.Array, ...], limit: int = _ELEMENTS) -> Iterator[lis
         start = end
 
 
+def _python(a: pa.Array) -> list:
+    """``a.to_pylist()``; lists and numbers without nulls are turned into Python's all at once."""
+    if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        off = a.offsets.to_numpy()
+        flat = _python(a.values.slice(off[0], off[-1] - off[0]))
+        off = (off - off[0]).tolist()
+        out = [flat[i:j] for i, j in zip(off, off[1:])]
+        return [x if y else None for x, y in zip(out, a.is_valid().to_pylist(), strict=True)] if a.null_count else out
+    return a.to_numpy().tolist() if (pa.types.is_integer(a.type) or pa.types.is_float64(a.type)) and not a.null_count else a.to_pylist()
+
+
 def row_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
     """A function of one row's values; a batch is worked on in pieces, so that memory does not follow its size."""
 
@@ -62,7 +73,7 @@ def row_udf(ddl: str) -> Callable[[Callable], Callable[..., Column]]:
             def run(batches):
                 for batch in batches:
                     for piece in pieces(batch if isinstance(batch, tuple) else (batch,)):
-                        yield pa.array([f(*row) for row in zip(*[a.to_pylist() for a in piece], strict=True)], kind)
+                        yield pa.array([f(*row) for row in zip(*map(_python, piece), strict=True)], kind)
 
             run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]] if len(cols) > 1 else Iterator[pa.Array], "return": Iterator[pa.Array]}
             return F.arrow_udf(run, ddl)(*cols)

@@ -7,21 +7,26 @@ Tables:
 * second: file, utt, span, id, word, text, lemma, upos, head, deprel: the parse of each span on its own; ``word``
   (1, 2, ...) is the word of the span that a row belongs to, which has several rows where it is contracted.
 
+An utterance is worked on in one row, as the array of its words and that of the parses of its spans, so that nothing is
+joined by word: tables of rows are gathered once, and who has the arrays shuffles nothing (``splice_turns``).
 The grafted tree is renumbered by a running sum of the rows that each word takes up. The root
 of a span hangs where its word nearest to the utterance's root hung, so that every step
 from span to span goes up in the host tree: the result has one root and no cycle whatever
 the spans are. Where a span does not fit (its words are not those of the parse) or the host is no tree,
-its words keep their place as ``L2|xxx``. Only depths and repairs inside a span, both walks in an
-array that an utterance bounds, are Python, in Arrow batches.
+its words keep their place as ``L2|xxx``. Numbers and heads, walks in arrays that an utterance bounds, are
+Python, in pieces of Arrow batches; texts, classes and relations are native.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.functions.lazy import lazy_udf
+from turnwise.functions.lazy import row_udf
+
+HOST, SECOND = ("id", "head", "text", "lemma", "upos", "deprel", "lang"), ("span", "id", "word", "text", "lemma", "upos", "head", "deprel")
 
 # Classes that a relation allows, likeliest first; relations that are not named allow all.
 CONSTRAINTS = {
@@ -103,11 +108,6 @@ def _depths(heads: list[int]) -> list[int | None]:
     return [depth[i] if whole else None for i in range(1, n + 1)]
 
 
-@lazy_udf("array<int>")
-def depths(heads: pd.Series) -> pd.Series:
-    return heads.map(lambda h: _depths(list(h)))
-
-
 def _mended(heads: list[int]) -> list[int]:
     """Heads with one root and no cycle: the first root stays (the first row where there is none), others and lost rows hang on it."""
     n = len(heads)
@@ -123,75 +123,108 @@ def _mended(heads: list[int]) -> list[int]:
     return out
 
 
-@lazy_udf("array<int>")
-def mended(heads: pd.Series) -> pd.Series:
-    return heads.map(lambda h: _mended(list(h)))
+def spans(host: Column) -> Column:
+    """Array of (first, last): places (from 0) of the runs of words of one other language in an array of host words, which must be a column."""
 
+    def ends(step: int) -> Column:
+        same = lambda x, i: F.coalesce(F.get(host, i + step)["lang"] == x["lang"], F.lit(False))
+        return F.filter(F.transform(host, lambda x, i: F.when(x["lang"].isNotNull() & ~same(x, i), i)), lambda i: i.isNotNull())
 
-def numbered_spans(host: DataFrame) -> DataFrame:
-    """The host rows with ``span`` (1, 2, ... in an utterance; null outside) and ``word``, the place in it."""
-    order = Window.partitionBy("file", "utt").orderBy("id")
-    foreign = F.col("lang").isNotNull()
-    new = foreign & ~F.coalesce(F.lag("lang").over(order) == F.col("lang"), F.lit(False))
-    rows = host.withColumn("_new", new.cast("int")).withColumn("span", F.when(foreign, F.sum("_new").over(order)))
-    place = F.row_number().over(Window.partitionBy("file", "utt", "span").orderBy("id"))
-    return rows.withColumn("word", F.when(foreign, place)).drop("_new")
+    return F.transform(F.arrays_zip(ends(-1).alias("first"), ends(1).alias("last")), lambda z: F.struct(z["first"].alias("first"), z["last"].alias("last")))
 
 
-def splice(host: DataFrame, second: DataFrame) -> DataFrame:
-    """file, utt, id, text, lemma, upos, head, deprel, origin (``host``, ``spliced`` or ``fallback``)."""
-    key, one_span = ["file", "utt"], ["file", "utt", "span"]
-    tree = host.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("id", "head"))).alias("t"))
-    deep = tree.select(*key, F.posexplode(depths(F.transform("t", lambda x: x["head"].cast("int")))).alias("id", "depth")).withColumn("id", F.col("id") + 1)
-    kin = host.where("head > 0").groupBy("file", "utt", F.col("head").alias("id")).agg(F.array_sort(F.collect_list("deprel")).alias("dependents"))
-    rows = numbered_spans(host).join(deep, [*key, "id"], "left").join(kin, [*key, "id"], "left")
-
-    # parses of spans: one root, no cycle, the rows of a word in a row
-    parsed = second.groupBy(*one_span).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ("id", "word", "text", "lemma", "upos", "head", "deprel")]))).alias("p"))
-    parsed = parsed.withColumn("heads", mended(F.transform("p", lambda x: x["head"].cast("int"))))
-    word = F.transform("p", lambda x: x["word"])
-    tidy = (F.array_sort(word) == word) & (F.transform("p", lambda x: x["id"]) == F.transform("p", lambda x, i: (i + 1).cast(dict(second.dtypes)["id"])))
-    parsed = parsed.withColumn("tidy", F.coalesce(tidy, F.lit(False))).withColumn("n_words", F.size(F.array_distinct(word))).withColumn("top_word", F.array_max(word)).withColumn("low_word", F.array_min(word))
-    asked = rows.where("span IS NOT NULL").groupBy(*one_span).agg(F.count("*").alias("words"), F.bool_and(F.col("depth").isNotNull()).alias("whole"))
-    fitting = asked.join(parsed, one_span).where("tidy AND whole AND low_word = 1 AND n_words = words AND top_word = words")
-    chunks = fitting.select(*one_span, F.posexplode(F.arrays_zip("p", "heads")).alias("at", "c")).select(
-        *one_span, (F.col("at") + 1).alias("chunk"), F.col("c.p.word").cast("int").alias("word"), F.col("c.p.text").alias("c_text"), F.col("c.p.lemma").alias("c_lemma"), F.col("c.p.upos").alias("c_upos"),
-        F.col("c.heads").alias("c_head"), F.col("c.p.deprel").alias("c_deprel"), F.col("c.p.head").alias("c_given"),
-    )
-    in_span = Window.partitionBy(*one_span)
-    # the row that stands for a word: the first whose head lies outside the word
-    inner = chunks.select(*one_span, F.col("chunk").alias("c_head"), F.col("word").alias("head_word"))
-    chunks = chunks.join(inner, [*one_span, "c_head"], "left").withColumn("outer", ~F.coalesce(F.col("head_word") == F.col("word"), F.lit(False)))
-    chunks = chunks.withColumn("main", F.min(F.when(F.col("outer"), F.col("chunk"))).over(Window.partitionBy(*one_span, "word"))).withColumn("first", F.min("chunk").over(Window.partitionBy(*one_span, "word")))
-    has_particle = F.array_contains(F.collect_set(F.when(F.col("c_deprel") == "compound:prt", F.col("c_head"))).over(in_span), F.col("chunk"))
-    chunks = chunks.withColumn("has_particle", has_particle)
-    of_word = chunks.groupBy(*one_span, "word").agg(F.count("*").cast("int").alias("width"), (F.max("main") - F.max("first")).alias("to_main"))
+_PLAN = ("at", "chunk", "id", "head", "near", "over", "main", "has_particle", "lost", "kin", "near_kin")
+
+
+@row_udf("struct<at: array<int>, chunk: array<int>, id: array<bigint>, head: array<bigint>, near: array<int>, over: array<int>, main: array<boolean>, has_particle: array<boolean>, lost: array<boolean>, kin: array<array<string>>, near_kin: array<array<string>>>")
+def _plan(ids, heads, deprels, firsts, lasts, span, number, word, given, relation):
+    """The rows of an utterance's new tree, as lists side by side.
+
+    at, chunk: places of the host word and of the row of its parse (null: the word stays); id, head: new numbers; near, over: for the
+    root of a span, the places of its word nearest to the utterance's root and of that word's head; main: whether a row stands
+    for its word; has_particle; lost: whether its head was mended; kin, near_kin: relations of the dependents of a main row's word and of near.
+    """
+    if ids is None:
+        return None
+    n, deep = len(ids), _depths(heads)
+    depth = [deep[i - 1] if i is not None and 0 < i <= n else None for i in ids]
+    place = {i: p for p, i in enumerate(ids) if i is not None}
+    kin, parsed, fits = defaultdict(list), defaultdict(list), {}
+    for h, d in zip(heads, deprels, strict=True):
+        if h is not None and h > 0 and d is not None:
+            kin[h].append(d)
+    for k, no in enumerate(span or ()):
+        parsed[no].append(k)
+    for no, (a, b) in enumerate(zip(firsts, lasts, strict=True), 1):
+        rows = parsed.get(no, [])
+        words = [word[k] for k in rows]
+        # one row after another, and the words are those of the span
+        tidy = [number[k] for k in rows] == list(range(1, len(rows) + 1)) and None not in words and words == sorted(words) and sorted(set(words)) == list(range(1, b - a + 2))
+        if tidy and None not in depth[a : b + 1]:
+            up, first, main = _mended([given[k] for k in rows]), {}, {}
+            for i, (w, u) in enumerate(zip(words, up, strict=True), 1):
+                first.setdefault(w, i)
+                if u == 0 or words[u - 1] != w:  # the row that stands for a word: the first whose head lies outside the word
+                    main.setdefault(w, i)
+            fits[a] = b, rows, words, up, first, main
 
     # new numbers: a running sum of widths
-    order = Window.partitionBy(*key).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(of_word, [*one_span, "word"], "left")
-    rows = rows.withColumn("start", 1 + F.coalesce(F.sum(F.coalesce("width", F.lit(1))).over(order), F.lit(0))).withColumn("stands", F.col("start") + F.coalesce("to_main", F.lit(0)))
-    governor = rows.select(*key, F.col("id").alias("head"), F.col("stands").alias("head_stands"), F.col("upos").alias("head_upos"))
-    rows = rows.join(governor, [*key, "head"], "left").withColumn("new_head", F.when(F.col("head") == 0, 0).otherwise(F.col("head_stands")))
-    nearest = F.struct("depth", "id", "new_head", "deprel", "head_upos", "dependents", "head")
-    rows = rows.withColumn("anchor", F.when(F.col("width").isNotNull(), F.min(nearest).over(in_span)))
-
-    kept = rows.where("width IS NULL").select(
-        *key, F.col("start").alias("id"), "text", F.when(F.col("span").isNull(), F.col("lemma")).otherwise("xxx").alias("lemma"), F.when(F.col("span").isNull(), F.col("upos")).otherwise("L2").alias("upos"),
-        F.col("new_head").alias("head"), "deprel", F.when(F.col("span").isNull(), "host").otherwise("fallback").alias("origin"),
-    )
-    place = rows.where("width IS NOT NULL").select(*one_span, "word", "start", "anchor", F.col("upos").alias("first_upos"), F.col("deprel").alias("host_deprel"), "dependents", F.min("start").over(in_span).alias("span_start"))
-    new = chunks.join(place, [*one_span, "word"])
-    merged = merged_class(F.col("first_upos"), F.col("c_upos"), F.col("host_deprel"), F.col("dependents"), F.col("c_deprel") == "compound:prt", F.col("has_particle"))
-    new = new.withColumn("upos", F.when(F.col("chunk") == F.col("main"), merged).otherwise(F.col("c_upos")))
-    root, anchor = F.col("c_head") == 0, F.col("anchor")
-    hung = F.when(anchor["head"] == 0, "root").otherwise(corrected_relation(anchor["deprel"], F.col("upos"), anchor["head_upos"], anchor["dependents"]))
-    deprel = F.when(root, hung).when(F.col("c_head") != F.coalesce(F.col("c_given"), F.lit(-1)), "dep").otherwise(F.col("c_deprel"))
-    grafted = new.select(
-        *key, (F.col("span_start") + F.col("chunk") - 1).alias("id"), F.col("c_text").alias("text"), F.col("c_lemma").alias("lemma"), "upos",
-        F.when(root, anchor["new_head"]).otherwise(F.col("span_start") + F.col("c_head") - 1).alias("head"), deprel.alias("deprel"), F.lit("spliced").alias("origin"),
+    begins, stands, at, p = {}, [0] * n, 1, 0
+    while p < n:
+        begins[p] = at
+        if p in fits:
+            b, rows, _, _, _, main = fits[p]
+            stands[p : b + 1] = [at + main[w] - 1 for w in range(1, b - p + 2)]
+            at, p = at + len(rows), b + 1
+        else:
+            stands[p] = at
+            at, p = at + 1, p + 1
+    new_head = lambda p: 0 if heads[p] == 0 else stands[place[heads[p]]] if heads[p] in place else None
+
+    out = []
+    for p, at in begins.items():
+        if p not in fits:
+            out.append((p, None, at, new_head(p), None, None, False, False, False, None, None))
+            continue
+        b, rows, words, up, _, main = fits[p]
+        near = min(range(p, b + 1), key=lambda q: (depth[q], ids[q]))
+        over, heads_of_particles = place.get(heads[near]), {u for k, u in zip(rows, up, strict=True) if relation[k] == "compound:prt"}
+        for i, (k, w, u) in enumerate(zip(rows, words, up, strict=True), 1):
+            q, stays = p + w - 1, main[w] == i
+            hangs = (new_head(near), near, over) if u == 0 else (at + u - 1, None, None)
+            out.append((q, k, at + i - 1, *hangs, stays, i in heads_of_particles, u != given[k], sorted(kin[ids[q]]) if stays else None, sorted(kin[ids[near]]) if u == 0 else None))
+    return dict(zip(_PLAN, map(list, zip(*out, strict=True)), strict=True)) if out else None
+
+
+def splice(host: DataFrame, second: DataFrame) -> DataFrame:
+    """file, utt, id, text, lemma, upos, head, deprel, origin (``host``, ``spliced`` or ``fallback``)."""
+    key = ["file", "utt"]
+    both = host.select(*key, F.struct(*HOST).alias("h")).unionByName(second.select(*key, F.struct(*SECOND).alias("s")), allowMissingColumns=True)
+    turns = both.groupBy(*key).agg(F.array_sort(F.collect_list("h")).alias("host"), F.array_sort(F.collect_list("s")).alias("second"))
+    return splice_turns(turns.withColumn("runs", spans(F.col("host"))))
+
+
+def splice_turns(turns: DataFrame) -> DataFrame:
+    """As ``splice``, from one row for each utterance: file, utt, host and second (arrays of their rows, in order), runs (``spans`` of host)."""
+    each = lambda a, field, kind: F.transform(a, lambda x: x[field].cast(kind))
+    numbers = [each("host", "id", "bigint"), each("host", "head", "bigint"), each("host", "deprel", "string"), each("runs", "first", "int"), each("runs", "last", "int")]
+    turns = turns.withColumn("plan", _plan(*numbers, *[each("second", c, "bigint") for c in ("span", "id", "word", "head")], each("second", "deprel", "string")))
+
+    def row(at: Column, i: Column) -> Column:
+        of = lambda c: F.get(F.col("plan")[c], i)
+        found = {"h": F.get("host", at), "c": F.get("second", of("chunk")), "near": F.get("host", of("near")), "head_upos": F.get("host", of("over"))["upos"]}
+        return F.struct(*[of(c).alias(c) for c in _PLAN if c not in ("at", "chunk", "near", "over")], *[v.alias(k) for k, v in found.items()])
+
+    rows = turns.select("file", "utt", F.inline(F.transform(F.col("plan")["at"], row)))
+    h, c, near = F.col("h"), F.col("c"), F.col("near")
+    grafted, own = c.isNotNull(), h["lang"].isNull()
+    merged = merged_class(h["upos"], c["upos"], h["deprel"], F.col("kin"), c["deprel"] == "compound:prt", F.col("has_particle"))
+    rows = rows.withColumn("upos", F.when(F.col("main"), merged).when(grafted, c["upos"]).when(own, h["upos"]).otherwise("L2"))
+    hung = F.when(near["head"] == 0, "root").otherwise(corrected_relation(near["deprel"], F.col("upos"), F.col("head_upos"), F.col("near_kin")))
+    return rows.select(
+        "file", "utt", "id", F.when(grafted, c["text"]).otherwise(h["text"]).alias("text"), F.when(grafted, c["lemma"]).when(own, h["lemma"]).otherwise("xxx").alias("lemma"), "upos", "head",
+        F.when(near.isNotNull(), hung).when(F.col("lost"), "dep").when(grafted, c["deprel"]).otherwise(h["deprel"]).alias("deprel"), F.when(grafted, "spliced").when(own, "host").otherwise("fallback").alias("origin"),
     )
-    return kept.unionByName(grafted)
 
 
 def tiers(spliced: DataFrame) -> DataFrame:
